@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leafgrid.llm import near_duplicates, packing, quality_rules, sharding
+from leafgrid.llm import near_duplicates, packing, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_ngram_jaccard_join": near_duplicates.op3_ngram_jaccard_join,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_sharding": sharding.op8_sharding,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
