@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leafgrid.llm import fingerprints, near_duplicates, packing, quality_classifier, quality_rules, sharding
+from leafgrid.llm import fingerprints, language_model, near_duplicates, packing, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_ngram_jaccard_join": near_duplicates.op3_ngram_jaccard_join,
+    "op4_lm_scoring": language_model.op4_lm_scoring,
     "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_sharding": sharding.op8_sharding,

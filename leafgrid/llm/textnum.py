@@ -48,9 +48,9 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, the place of each in the bytes, and bounds: text i has words bounds[i]:bounds[i+1]."""
+    """Hashes of all words, the end of each in the bytes, and bounds: text i has words bounds[i]:bounds[i+1]."""
     data, offsets = raw(texts)
-    begins, hashes = [], []
+    begins, ends, hashes = [], [], []
     at = 0
     while at < len(data):
         end = min(at + SLICE, len(data))
@@ -61,17 +61,18 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
             end = int(min(end + nxt[0] + 1 if len(nxt) else end + SLICE, stop, len(data)))
             if end == stop:
                 break
-        b, h = _hashed(data[at:end], offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)] - at, lower)
+        b, e, h = _hashed(data[at:end], offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)] - at, lower)
         begins.append(b + at)
+        ends.append(e + at)
         hashes.append(h)
         at = end
     begin = np.concatenate(begins) if begins else np.zeros(0, np.int64)
     found = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    return found, begin, np.searchsorted(begin, offsets)
+    return found, np.concatenate(ends) if ends else begin, np.searchsorted(begin, offsets)
 
 
-def _hashed(data: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and hash of each word; cuts: where texts begin."""
+def _hashed(data: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and hash of each word; cuts: where texts begin."""
     n = len(data)
     solid = ~_space(data)
     first, last = solid.copy(), solid.copy()
@@ -92,7 +93,7 @@ def _hashed(data: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray
         found[some] = mix((found[some] ^ part) + _SALT[1])
         k += 8
         some = some[long[some] > k]
-    return begin, found
+    return begin, end, found
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
