@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from leafgrid.llm import fingerprints, language_model, near_duplicates, packing, quality_classifier, quality_rules, sharding
+from leafgrid.llm import fingerprints, html_extraction, language_model, near_duplicates, packing, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_html_extraction": html_extraction.op2_html_extraction,
     "op3_ngram_jaccard_join": near_duplicates.op3_ngram_jaccard_join,
     "op4_lm_scoring": language_model.op4_lm_scoring,
     "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
