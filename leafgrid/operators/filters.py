@@ -6,6 +6,7 @@ so that one projection serves keeping, removing, counting by reason and explaini
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -68,6 +69,11 @@ def hits(text: Column, words) -> Column:
     return total([text.contains(w) for w in words])
 
 
+def any_of(text: Column, words) -> Column:
+    """The text contains one of the words."""
+    return text.rlike("|".join(re.escape(w) for w in words))
+
+
 def valid(b: Box, kind: Column, score: Column) -> Column:
     known = kind.isin("figure", "table")
     finite = reduce(lambda a, x: a & x, (c.isNotNull() & ~F.isnan(c) for c in b))
@@ -142,10 +148,10 @@ def pattern_reason(text: Column, b: Box, h: Column) -> Column:
     """What recognised text gives a region away as."""
     t = F.lower(F.trim(text))
     return first_reason(
-        ("title", (hits(t, TITLE_PATTERNS) > 0) & (g.height(b) < h * 0.08)),
-        ("author", (hits(t, AUTHOR_PATTERNS) > 0) & (g.height(b) < h * 0.1)),
+        ("title", any_of(t, TITLE_PATTERNS) & (g.height(b) < h * 0.08)),
+        ("author", any_of(t, AUTHOR_PATTERNS) & (g.height(b) < h * 0.1)),
         ("references", hits(t, REFERENCE_PATTERNS) >= 2),
-        ("margin", hits(t, MARGIN_PATTERNS) > 0),
+        ("margin", any_of(t, MARGIN_PATTERNS)),
     )
 
 
@@ -188,7 +194,7 @@ def table_reason(b: Box, rows: Column, cols: Column, near: Column, ink: Column,
     return first_reason(
         ("area", g.area(b) < 5000), ("aspect", (aspect > 8) | (aspect < 0.15)), ("cells", F.coalesce((rows < 2) | (cols < 2), F.lit(True))),
         ("margin", margin), ("edge", edge), ("citations", F.coalesce(citations >= 2, F.lit(False))),
-        ("section", F.coalesce((hits(low, TEXT_WORDS) >= 1) & (g.height(b) < h * 0.08), F.lit(False))),
+        ("section", F.coalesce(any_of(low, TEXT_WORDS) & (g.height(b) < h * 0.08), F.lit(False))),
         ("ink", (ink > 0.04) & (structure < 400)), ("dense", (ink > 0.08) & (structure < 800)), ("bare", (structure < 200) & (ink > 0.015)),
         ("equation", equation(b, near, F.lit(None).cast("double"))),
     )

@@ -1 +1,116 @@
-"""Queries."""
+"""Queries of quality scores and of values read off charts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from leafgrid import sources
+from leafgrid.catalogue import query
+from leafgrid.functions import geometry as g
+from leafgrid.functions.geometry import Box
+from leafgrid.operators import captions as o
+from leafgrid.operators import digitize as dz
+from leafgrid.operators import filters as f
+from leafgrid.operators import quality as q
+from leafgrid.plans import common as c
+from leafgrid.plans.captioning import KEY, _K, _ON
+from leafgrid.plans.detections import _FACTS, H, W, facts
+
+B = Box.of()
+_FAR = f"{c.s_distance('b.', 'k.')} + CASE WHEN {c.s_overlap('b.', 'k.')} < 0.8 AND {c.s_iou('b.', 'k.')} <= 0.1 AND abs(k.x0 + k.x1 - b.x0 - b.x1) <= abs(k.y0 + k.y1 - b.y0 - b.y1) AND k.y0 + k.y1 <= b.y0 + b.y1 THEN 100 ELSE 0 END"
+_NEAR = f"near AS (SELECT b.doc_no, b.page_index, b.ord, min({_FAR}) FILTER (WHERE b.type = k.kind) AS far, min({c.s_distance('b.', 'k.')}) AS any_far FROM b JOIN k ON {_ON} GROUP BY ALL)"
+_BUCKET = "CASE WHEN {0} IS NULL THEN {1} WHEN {0} < 50 THEN 1 WHEN {0} < {2} THEN 0.8 WHEN {0} < {3} THEN {4} ELSE {5} END"
+_CONTENT = "CASE WHEN ink < 0.005 THEN 0 WHEN ink > 0.5 THEN 1 ELSE (ink - 0.005::DOUBLE) / 0.495::DOUBLE END"
+_EDGE = "(x0 < 20 OR y0 < 20 OR x1 > 880 OR y1 > 930)"
+
+
+def _scored(spark, sf_dir):
+    rows = facts(spark, sf_dir)
+    line, above = Box.of("l_"), F.when(g.position(Box.of(), Box.of("l_")) == "above", 100.0).otherwise(0.0)
+    pairs = o.beside(rows, o.candidates(c.captions(spark, sf_dir)), c.PAGE, ("kind",)).withColumn("far", g.distance(B, line))
+    near = pairs.groupBy(*KEY).agg(F.min(F.when(F.col("type") == F.col("l_kind"), F.col("far") + above)).alias("far"), F.min("far").alias("any_far"))
+    return rows.join(near, KEY, "left")
+
+
+@query(c.sql("bc", f"""WITH {_FACTS}, {_K}, {_NEAR}, s AS (SELECT d.*, {_CONTENT} AS content, {_BUCKET.format('far', '0.3', '150', '300', '0.6', '0.4')} AS caption,
+ CASE WHEN w * h = 0 THEN 0 WHEN w * h / 855000 < 0.005 OR w * h / 855000 > 0.95 THEN 0.3 WHEN w * h / 855000 BETWEEN 0.01 AND 0.8 THEN 1 ELSE 0.7 END AS size,
+ CASE WHEN least(x0, 900 - x1, y0, 950 - y1) < 5 THEN 0.5 WHEN least(x0, 900 - x1, y0, 950 - y1) < 20 THEN 0.7 ELSE 1 END AS position
+ FROM d LEFT JOIN near USING (doc_no, page_index, ord))
+SELECT doc_no, page_index, ord, round(content, 6)::DOUBLE AS content, caption::DOUBLE AS caption, size::DOUBLE AS size, position::DOUBLE AS position,
+ round(score * 0.3::DOUBLE + content * 0.3::DOUBLE + caption::DOUBLE * 0.2::DOUBLE + size::DOUBLE * 0.1::DOUBLE + position::DOUBLE * 0.1::DOUBLE, 6) AS overall FROM s"""))
+def quality_v1(spark, sf_dir):
+    rows = _scored(spark, sf_dir)
+    s = {"detection": F.col("score"), "content": q.content(F.col("ink")), "caption": q.caption(F.col("far")), "size": q.size(B, W * H), "position": q.margins(B, W, H)}
+    return rows.select(*KEY, F.round(s["content"], 6).alias("content"), *(s[k].alias(k) for k in ("caption", "size", "position")), F.round(q.first_overall(s), 6).alias("overall"))
+
+
+_SECOND = f"""v AS (SELECT d.*, {_CONTENT} AS content, structure / 900 AS boundary, (structure + ord) % 10 / 10 AS text_share, ({_BUCKET.format('any_far', '0.5', '100', '200', '0.5', '0.2')})::DOUBLE AS caption,
+ greatest(0, least(1, 1::DOUBLE - CASE WHEN {_EDGE} THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN y0 < 95 OR y1 > 855 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN abs(cy - 475) / 475 < 0.5 THEN 0.1::DOUBLE ELSE 0 END)) AS position,
+ cx < 270 AND cy < 190 AND w * h / 855000 <= 0.05 AND w / h > 1.5 AND w / h < 8 AS stamp, any_far IS NOT NULL AS has_captions FROM d LEFT JOIN near USING (doc_no, page_index, ord)),
+z AS (SELECT *, round((score * 0.3::DOUBLE + content * 0.25::DOUBLE + boundary * 0.2::DOUBLE + caption * 0.15::DOUBLE + position * 0.1::DOUBLE) * CASE WHEN text_share > 0.7 THEN 0.2::DOUBLE WHEN text_share > 0.5 THEN 0.6::DOUBLE ELSE 1 END
+ * CASE WHEN stamp THEN 0.1::DOUBLE ELSE 1 END, 6) AS overall FROM v)"""
+
+
+def _second(spark, sf_dir):
+    rows = _scored(spark, sf_dir).withColumn("text_share", (F.col("structure") + F.col("ord")) % 10 / 10)
+    s = {"detection": F.col("score"), "content": q.content(F.col("ink")), "boundary": F.col("structure") / 900, "caption": q.nearest_caption(F.col("any_far")), "position": q.place(B, W, H)}
+    stamp = f.arxiv_corner(B, W, H)
+    overall = F.round(q.second_overall(s, F.col("text_share"), stamp), 6)
+    return rows.withColumn("overall", overall).withColumn("issues", q.issues(s, F.col("text_share"), stamp, F.col("any_far").isNotNull()))
+
+
+@query(c.sql("bc", f"""WITH {_FACTS}, {_K}, {_NEAR}, {_SECOND} SELECT doc_no, page_index, ord, overall, concat_ws(',', CASE WHEN score < 0.5 THEN 'low_detection' END, CASE WHEN content < 0.5 THEN 'low_content' END,
+ CASE WHEN boundary < 0.5 THEN 'low_boundary' END, CASE WHEN has_captions AND caption < 0.3 THEN 'low_caption' END, CASE WHEN position < 0.5 THEN 'low_position' END,
+ CASE WHEN text_share > 0.7 THEN 'text' WHEN text_share > 0.5 THEN 'some_text' END, CASE WHEN stamp THEN 'stamp' END) AS issues FROM z"""))
+def quality_v2(spark, sf_dir):
+    return _second(spark, sf_dir).select(*KEY, "overall", F.concat_ws(",", "issues").alias("issues"))
+
+
+@query(c.sql("bc", f"""WITH {_FACTS}, {_K}, {_NEAR}, {_SECOND} SELECT type, count(*) AS n, round(avg(overall), 6) AS mean, min(overall) AS least, max(overall) AS most,
+ round(stddev_pop(overall), 6) AS std, count(*) FILTER (WHERE overall < 0.4) AS low, round(count(*) FILTER (WHERE overall < 0.4) / count(*), 6) AS low_ratio FROM z GROUP BY ALL"""))
+def quality_stats(spark, sf_dir):
+    low = F.col("overall") < 0.4
+    return _second(spark, sf_dir).groupBy("type").agg(
+        F.count("*").alias("n"), F.round(F.avg("overall"), 6).alias("mean"), F.min("overall").alias("least"), F.max("overall").alias("most"),
+        F.round(F.stddev_pop("overall"), 6).alias("std"), F.count_if(low).alias("low"), F.round(F.count_if(low) / F.count("*"), 6).alias("low_ratio"),
+    )
+
+
+@query(c.sql("bc", f"""WITH {_FACTS}, {_K}, {_NEAR}, {_SECOND} SELECT doc_no, page_index, ord, overall >= 0.4 AS passed FROM z"""))
+def low_quality(spark, sf_dir):
+    return _second(spark, sf_dir).select(*KEY, (F.col("overall") >= 0.4).alias("passed"))
+
+
+@query(c.sql("b", f"""WITH {_FACTS} SELECT doc_no, page_index, ord, unnest(kinds) AS kind FROM (SELECT *, list_filter([CASE WHEN w * h / 40000 > 0.9 THEN 'oversized' END,
+ CASE WHEN w * h / 40000 < 0.001 THEN 'undersized' END, CASE WHEN w / h > 10 OR w / h < 0.1 THEN 'extreme_aspect_ratio' END, CASE WHEN ink < 0.005 THEN 'sparse_content' END], lambda x: x IS NOT NULL) AS kinds FROM d)"""))
+def anomalies(spark, sf_dir):
+    return facts(spark, sf_dir).select(*KEY, F.explode(q.anomalies(B, F.lit(40000.0), F.col("ink"))).alias("a")).select(*KEY, "a.kind")
+
+
+_PX = f"px AS (SELECT img_id, x, y, min(v) AS v FROM ({sources.view('pixels')}) GROUP BY ALL)"
+
+
+def _pixels(spark, sf_dir):
+    return sources.entity(spark, sf_dir, "pixels").groupBy("img_id", "x", "y").agg(F.min("v").alias("v"))
+
+
+@query(f"WITH {_PX} SELECT img_id, count(*) FILTER (WHERE v <= 245) / 4096 AS ink, (4096 - count(*) + count(*) FILTER (WHERE v > 240)) / 4096 AS white, min(x) FILTER (WHERE v <= 245) AS x0, min(y) FILTER (WHERE v <= 245) AS y0, max(x) FILTER (WHERE v <= 245) AS x1, max(y) FILTER (WHERE v <= 245) AS y1 FROM px GROUP BY ALL")
+def ink_ratio(spark, sf_dir):
+    """Share of dark and of white pixels of 64 by 64 images and the bounds of what is dark; pixels that no row has are white."""
+    return dz.pixel_facts(_pixels(spark, sf_dir), ["img_id"], F.lit(4096))
+
+
+@query(f"""WITH {_PX}, m AS (SELECT img_id, x, median(y) AS y FROM px WHERE v <= 200 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY img_id) AS n FROM m)
+SELECT img_id, x, y, round(x / 63 * 10, 6) AS value_x, round(5 - y / 63 * 5, 6) AS value_y FROM r WHERE n <= 30 OR k % (n // 30) = 0""")
+def curve_median(spark, sf_dir):
+    """The curve of a line plot: median dark pixel of each column, thinned, on the axes 0..10 and 0..5."""
+    return dz.curve(_pixels(spark, sf_dir), ["img_id"], (63, 63), (0.0, 10.0), (0.0, 5.0), most=30)
+
+
+@query(c.sql("b", """SELECT doc_no, page_index, row_number() OVER (PARTITION BY doc_no, page_index ORDER BY (x0 + x1) / 2, ord)::INT AS bar, round(least(100, greatest(0, (y1 - y0) / 190 * 100)), 2) AS value,
+ x1 - x0 >= 5 AND y1 - y0 >= 60 AS valid FROM b"""))
+def bar_values(spark, sf_dir):
+    """Bars from left to right with their height as a percentage of an axis of 190 pixels."""
+    rows = c.boxes(spark, sf_dir).withColumn("bar", F.row_number().over(Window.partitionBy(*c.PAGE).orderBy((F.col("x0") + F.col("x1")) / 2, "ord")))
+    return rows.select(*c.PAGE, "bar", dz.bar_value(g.height(B), F.lit(190.0)).alias("value"), dz.valid_bar(B, 5, 60).alias("valid"))
