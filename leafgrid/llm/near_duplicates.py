@@ -6,15 +6,16 @@ Steps
    stands for it.
 2. One pass orders each class's shingles rare first (by the sketch, then by hash) and emits
    its prefix: a linked partner must share a shingle of it. Entries are dealt and sorted by
-   shingle, and those that one class alone has go at once.
+   shingle; those that one class alone has go at once, and each other entry gets the
+   smallest class of its shingle, its centre, beside it.
 3. Pairs that share a prefix shingle pass the length and positional filters and are made
    distinct; a suffix filter compares how both sets spread over 128 cells of the hash space;
    what is left is verified once on the whole sets.
-4. Links become components by alternating star contraction. A first round pairs each entry
-   with the smallest class of its shingle alone. Pairs inside one component need no test,
-   so that later rounds pair only classes of different components that share a shingle,
-   until none is left untested. Every link between components is found; large groups of
-   near copies cost their size, not its square.
+4. The first round pairs each entry with its centre alone, and links are contracted to
+   components. Pairs inside one component need no test, so that a later round pairs only
+   strays, entries whose component is not their centre's, with the entries of other
+   components that share their shingle. Every link between components is found; large
+   groups of near copies cost their size, not its square.
 
 The sketch only orders shingles, so its errors cost time and never change the result.
 """
@@ -40,9 +41,9 @@ SKETCH, PARTS = 1 << 20, 16
 CELLS = 128
 #: Ids up to this number go to all executors (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: A round of all remaining pairs runs when they are at most so many for each entry; else stars shrink them first.
-PAIRS_PER_ENTRY = 4
-STAR_ROUNDS = 8
+#: All remaining pairs are made when they are at most so many for each entry; else rounds of stars shrink them first.
+PAIRS_PER_ENTRY = 32
+STAR_ROUNDS = 2
 
 
 def shingle_set(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -127,6 +128,7 @@ def prefix_length(n: np.ndarray | int, share: tuple[int, int] = SHARE):
 
 
 _ENTRY = "tok long, doc long, n int, pos int"
+_CENTRED = _ENTRY + ", rank int, c_doc long, c_n int, c_pos int"
 
 
 def _prefixes(sketch, words: int, share: tuple[int, int]):
@@ -165,26 +167,40 @@ def _entries(held: list[tuple]) -> pa.RecordBatch:
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by shingle, those whose shingle a neighbour has; holds back one row."""
-    last: pa.RecordBatch | None = None
-    open_run = False  # the row held back has the shingle of the row before it
+    """Of entries sorted by shingle and class, those whose shingle another has, with their rank in it and its first entry.
+
+    Equal entries count once. The last entry seen is held back until the next one is known.
+    """
+    held: list[np.ndarray] | None = None
+    run = None  # rank and first entry of the run that the held row is in
     for batch in batches:
-        if not batch.num_rows:
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        if not len(cols[0]):
             continue
-        if last is not None:
-            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-        tok = batch.column(0).to_numpy(zero_copy_only=False)
-        same = tok[1:] == tok[:-1]
-        take = np.zeros(len(tok), bool)
-        take[1:] = same
-        take[:-1] |= same
-        take[0] |= open_run
-        last, open_run = batch.slice(len(tok) - 1), bool(take[-1])
-        out = batch.slice(0, len(tok) - 1).filter(pa.array(take[:-1]))
-        if out.num_rows:
-            yield out
-    if last is not None and open_run:
-        yield last
+        fresh = np.ones(len(cols[0]), bool)
+        fresh[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        tok, doc, n, pos = cols = [c[fresh] for c in cols]
+        begins = np.ones(len(tok), bool)
+        begins[1:] = tok[1:] != tok[:-1]
+        first = np.flatnonzero(begins)
+        of = np.cumsum(begins) - 1
+        rank = np.arange(len(tok)) - first[of]
+        c_doc, c_n, c_pos = doc[first][of], n[first][of], pos[first][of]
+        if run is not None:  # the first rows go on with a run that began before
+            own = of == 0
+            rank[own] += run[0]
+            c_doc[own], c_n[own], c_pos[own] = run[1:]
+        shared = rank > 0
+        shared[:-1] |= ~begins[1:]
+        held, run = [c[-1:] for c in cols], (int(rank[-1]), c_doc[-1], c_n[-1], c_pos[-1])
+        out = [c[:-1][shared[:-1]] for c in (tok, doc, n, pos, rank.astype(np.int32), c_doc, c_n, c_pos)]
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["tok", "doc", "n", "pos", "rank", "c_doc", "c_n", "c_pos"])
+    if held is not None and run[0] > 0:
+        last = [*(c for c in held), np.array([run[0]], np.int32), *(np.array([v]) for v in run[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=["tok", "doc", "n", "pos", "rank", "c_doc", "c_n", "c_pos"])
 
 
 _SETS = "doc long, n int, cells binary, shingles binary"
@@ -245,38 +261,53 @@ def _verify(share: tuple[int, int]):
 
 
 def _possible(n, m, i, j, share: tuple[int, int]):
-    """Length and positional filter as expressions; i, j: places of a shared shingle."""
+    """Length and positional filter as expressions; i, j: places of a shared shingle.
+
+    Were it the first that both share, no more than it and what follows could be shared. The
+    first one of a link passes, so that a pair may be made of those that pass alone.
+    """
     small, large = F.least(n, m), F.greatest(n, m)
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    most = 1 + F.least(n - i - 1, m - j - 1)
     return (share[1] * small >= share[0] * large) & ((share[0] + share[1]) * most >= share[0] * (n + m))
 
 
-def _within(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id: small ids go to the executors, many are joined by a shuffle."""
-    n = ids.count()
-    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("merge"), "doc_id", how)
+def _small(ids: DataFrame) -> DataFrame:
+    """The rows of ids, sent to all executors if they are few, and otherwise joined by a shuffle; ids is a written table."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc, comp) for every end of a link: comp is the smallest doc that it reaches.
+    """(doc, comp) for every end of a link that is not the smallest doc it reaches: comp is that doc.
 
-    Alternating large and small stars; each round is written out, groups are reduced by
-    a minimum alone, and the join of a busy node can be split.
+    Each round hooks every doc to the smallest beside it, follows hooks to their roots by
+    doubling, and goes on with the links between different roots. Groups are reduced by a
+    minimum alone; each round is written out.
     """
-    edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    rounds: list[DataFrame] = []
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
-        edges = keep(small.where("u <> v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("doc"), F.col("v").alias("comp"))
-        mark = now
+        # of each link the larger end hooks; a doc's hook is the smallest doc beside it
+        hooks = keep(edges.groupBy("u").agg(F.min("v").alias("r")), "hooks")
+        while True:
+            up = _small(hooks.select(F.col("u").alias("r"), F.col("r").alias("r2")))
+            further = hooks.join(up, "r")
+            if further.isEmpty():
+                break
+            hooks = keep(hooks.join(up, "r", "left").select("u", F.coalesce("r2", "r").alias("r")), "hooks")
+        rounds.append(hooks)
+        to = _small(hooks)
+        at = lambda c: to.select(F.col("u").alias(c), F.col("r").alias(f"{c}_r"))  # noqa: B023, E731
+        moved = edges.join(at("u"), "u", "left").join(at("v"), "v", "left")
+        moved = moved.select(F.coalesce("u_r", "u").alias("x"), F.coalesce("v_r", "v").alias("y")).where("x <> y")
+        edges = keep(moved.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+        if edges.isEmpty():
+            break
+    out = rounds[0]
+    for later in rounds[1:]:
+        # roots that a later round moved, and what hooked to them
+        moved = _small(later.select(F.col("u").alias("r"), F.col("r").alias("r2")))
+        out = keep(out.join(moved, "r", "left").select("u", F.coalesce("r2", "r").alias("r")).unionByName(later), "hooks")
+    return out.select(F.col("u").alias("doc"), F.col("r").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -294,86 +325,90 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int]
     sketch = spark.sparkContext.broadcast(_sketch(facts))
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     named = keep(rows.join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", "rep"), "classes")
-    copies = named.where("rep <> doc_id").select("doc_id").distinct()
-    # a doc_id that stands for one text and repeats another keeps both
-    copies = copies.join(named.where("rep = doc_id").select("doc_id"), "doc_id", "left_anti")
+    # doc_ids all of whose texts another stands for
+    copies = named.where("rep is not null").groupBy("doc_id").agg(F.bool_and(F.col("rep") != F.col("doc_id")).alias("copy")).where("copy").select("doc_id")
     entries = (
-        _within(docs, copies, "left_anti")
+        docs.join(_small(keep(copies, "copies")), "doc_id", "left_anti")
         .mapInArrow(_prefixes(sketch, words, share), _ENTRY)
         .repartition("tok")
-        .sortWithinPartitions("tok")
-        .mapInArrow(_shared_only, _ENTRY)
+        .sortWithinPartitions("tok", "doc", "n", "pos")
+        .mapInArrow(_shared_only, _CENTRED)
     )
-    entries = keep(entries.distinct(), "entries")
-    links = _links(docs, entries, words, share)
+    links = _links(docs, keep(entries, "entries"), words, share)
     # equal words but another representative: one link to it
     same = named.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comps = components(links.unionByName(same))
-    out = named.join(comps.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    comps = _small(components(links.unionByName(same)).withColumnRenamed("doc", "doc_id"))
+    out = named.join(comps, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
+def _strays(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """Entries with their component and their centre's, where these differ."""
+    to = _small(comps)
+    own, centre = to, to.select(F.col("doc").alias("c_doc"), F.col("comp").alias("c_comp"))
+    both = entries.join(own, "doc", "left").join(centre, "c_doc", "left")
+    both = both.withColumn("comp", F.coalesce("comp", "doc")).withColumn("c_comp", F.coalesce("c_comp", "c_doc"))
+    return keep(both.where("comp <> c_comp"), "strays")
+
+
+def _pairs(rows: DataFrame, of: tuple[str, str, str], share: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of each row's entry and the entry in the columns ``of`` that pass length and positional filter."""
+    doc, n, pos = (F.col(c) for c in of)
+    possible = rows.where(F.col("doc") != doc).where(_possible(F.col("n"), n, F.col("pos"), pos, share))
+    return possible.select(F.least("doc", doc).alias("a"), F.greatest("doc", doc).alias("b"))
+
+
 def _links(docs: DataFrame, entries: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
     """Verified links (a, b) that join all classes that any links join."""
     spark = docs.sparkSession
-    ids = keep(entries.select(F.col("doc").alias("doc_id")).distinct(), "ids")
     links = spark.createDataFrame([], "a long, b long")
+    ids = keep(entries.select(F.col("doc").alias("doc_id")).distinct(), "ids")
     if ids.isEmpty():
         return links
-    sets = keep(_within(docs, ids, "left_semi").mapInArrow(_sets(words), _SETS), "sets")
-    tested = links
-    first = entries.groupBy("tok").agg(F.min(F.struct("doc", "n", "pos")).alias("c"), F.count("*").alias("k")).where("k > 1").select("tok", "c")
-    pairs = entries.join(first, "tok").where("doc <> c.doc").where(_possible(F.col("n"), F.col("c.n"), F.col("pos"), F.col("c.pos"), share))
-    pairs = pairs.select(F.col("c.doc").alias("a"), F.col("doc").alias("b"))
+    sets = keep(docs.join(_small(ids), "doc_id", "left_semi").mapInArrow(_sets(words), _SETS), "sets")
+    pairs = keep(_pairs(entries, ("c_doc", "c_n", "c_pos"), share).distinct(), "pairs")
+    tested = pairs
     for turn in range(STAR_ROUNDS + 1):
-        pairs = keep(_untested(pairs, tested), "pairs")
-        tested = tested.unionByName(pairs)
         links = links.unionByName(keep(_verified(pairs, sets, share), "links"))
-        comps = components(links)
-        held = entries.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        by_comp = held.groupBy("tok", "comp").agg(F.count("*").alias("k"), F.min(F.struct("doc", "n", "pos")).alias("c"))
-        main = by_comp.groupBy("tok").agg(
-            F.count("*").alias("comps"), F.sum("k").alias("of"), F.max(F.struct("k", (-F.col("comp")).alias("neg"), "c")).alias("main")
-        ).where("comps > 1")
-        main = main.select("tok", (-F.col("main.neg")).alias("main"), (F.col("of") - F.col("main.k")).alias("strays"), "of", F.col("main.c").alias("c"))
-        mixed = keep(held.join(main, "tok"), "mixed")
-        left = mixed.where("comp <> main").agg(F.count("*"), F.sum("of")).first()
-        if not left[0]:
+        strays = _strays(entries, components(links))
+        left, deepest = strays.agg(F.count("*"), F.max("rank")).first()
+        if not left:
             return links
-        whole = left[1] <= PAIRS_PER_ENTRY * mixed.count() + 1_000_000 or turn >= STAR_ROUNDS - 1
-        strays = mixed.where("comp <> main")
+        most = PAIRS_PER_ENTRY * entries.count() + 1_000_000
+        whole = turn == STAR_ROUNDS or left * (deepest + 1) <= most
+        of_tok = strays.groupBy("tok").agg(F.count("*").alias("k"), F.min_by(F.struct("doc", "n", "pos", "comp"), F.xxhash64(F.col("doc"), F.lit(turn))).alias("s"))
+        if not whole:  # a closer count
+            whole = (entries.join(of_tok, "tok").agg(F.sum("k")).first()[0] or 0) <= most
         if whole:
-            other = mixed.select("tok", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"), "main")
-            both = strays.drop("main").join(other, "tok").where("comp <> comp2 and (comp2 = main or doc < doc2)")
-            pairs = both.where(_possible(F.col("n"), F.col("n2"), F.col("pos"), F.col("pos2"), share)).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"))
-            pairs = keep(_untested(pairs, tested), "pairs")
-            return links.unionByName(keep(_verified(pairs, sets, share), "links"))
-        # another star: each stray with one member of its shingle, chosen anew each round
-        pick = mixed.groupBy("tok").agg(F.min_by(F.struct("doc", "n", "pos", "comp"), F.xxhash64(F.col("doc"), F.lit(turn))).alias("s"))
-        pairs = mixed.join(pick, "tok").where("comp <> s.comp").where(_possible(F.col("n"), F.col("s.n"), F.col("pos"), F.col("s.pos"), share))
-        pairs = pairs.select(F.least(F.col("doc"), F.col("s.doc")).alias("a"), F.greatest(F.col("doc"), F.col("s.doc")).alias("b"))
-    return links
-
-
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+            break
+        # a star around one stray of each shingle, chosen anew each round
+        around = strays.join(of_tok, "tok").where("comp <> s.comp")
+        pairs = keep(_pairs(around, ("s.doc", "s.n", "s.pos"), share).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
+    one = strays.select("tok", "doc", "n", "pos", "comp", "c_comp")
+    # every other entry of the shingle: those of the centre's component, and strays of a third one once
+    to = _small(components(links))
+    other = entries.join(to, "doc", "left").select("tok", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.coalesce("comp", "doc").alias("comp2"))
+    met = one.join(other, "tok").where("comp <> comp2 and (comp2 = c_comp or doc < doc2)")
+    pairs = keep(_pairs(met, ("doc2", "n2", "pos2"), share).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(keep(_verified(pairs, sets, share), "links"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Of distinct pairs the linked ones: suffix filter on the cells, then the whole sets."""
     left = sets.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("cells").alias("cells_a"))
     right = sets.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("cells").alias("cells_b"))
-    near = keep(pairs.join(right, "b").join(left, "a").mapInArrow(_suffix_filter(share), "a long, b long").distinct(), "near")
+    near = keep(pairs.join(right, "b").join(left, "a").mapInArrow(_suffix_filter(share), "a long, b long"), "near")
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb"))
-    return near.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_verify(share), "a long, b long").distinct()
+    return near.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_verify(share), "a long, b long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies: that of the smallest doc_id; rows without doc_id stay."""
     found = near_duplicates(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return _within(docs, gone, "left_anti").select(*docs.columns)
+    gone = keep(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch: documents may be long, so that a batch stays small.
-ARROW_ROWS = "1000"
+ARROW_ROWS = "500"
 
 _made: dict[str, SparkSession] = {}
 _sent: set[str] = set()
