@@ -3,6 +3,8 @@
 Positions of a text are reached by pieces; the best sum of scores at each position needs
 only the last positions that a piece can span. Whenever the paths back from all of these
 meet at one boundary, everything before it is settled: its ids are committed and forgotten.
+Scores are needed only within the longest piece; what is open beyond it are back pointers, in
+practice for some letters (a run of one letter can keep two alignments open to its end).
 """
 
 from __future__ import annotations
