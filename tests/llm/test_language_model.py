@@ -11,10 +11,11 @@ from leafgrid.llm import language_model as lm
 
 
 def texts(n=160):
+    """Texts of two languages: what a word ends in says which words may follow."""
     r = random.Random(6)
-    vocabulary = [f"w{k}" for k in range(60)] + [f"rare{k}" for k in range(400)]
     weights = [1 / (k + 1) for k in range(60)] + [0.004] * 400
-    return [(k, " ".join(r.choices(vocabulary, weights, k=r.randint(0, 60)))) for k in range(n)]
+    speech = [[f"w{k}{end}" for k in range(60)] + [f"rare{k}{end}" for k in range(400)] for end in "ao"]
+    return [(k, " ".join(r.choices(speech[k % 2], weights, k=r.randint(0, 60)))) for k in range(n)]
 
 
 @pytest.mark.parametrize("frequent", [300_000, 40, 0])
