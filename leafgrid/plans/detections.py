@@ -13,7 +13,14 @@ from leafgrid.plans import common as c
 
 KEY = ("doc_no", "page_index", "ord")
 #: Page size of the queries, in pixels.
-W, H = F.lit(900.0), F.lit(950.0)
+def W():
+    return F.lit(900.0)
+
+
+def H():
+    return F.lit(950.0)
+
+
 _FACTS = """d AS (SELECT *, (x0 * 7 + y0 * 3) % 100 / 250 AS ink, (x0 * 13 + y0) % 900 AS structure, ord % 4 + 1 AS n_rows, (ord + page_index) % 4 + 1 AS n_cols,
  CASE (x0 + y0)::BIGINT % 9 WHEN 0 THEN 'Abstract and results' WHEN 1 THEN 'University of Nowhere' WHEN 2 THEN 'see [1] and [2], et al.' WHEN 3 THEN 'Page 3 draft'
  WHEN 4 THEN 'a = b + c' WHEN 5 THEN 'Sample Value Result = 3' WHEN 6 THEN '参考文献' ELSE 'plain words' END AS near,
@@ -98,13 +105,13 @@ def page_ratio_filter(spark, sf_dir):
 SELECT doc_no, page_index, ord, (cy < 95 AND w * h / 855000 < 0.05 AND w / h > 1.5 AND w / h < 8)
  OR (cx < 135 AND cy > 190 AND cy < 760 AND h > 142.5 AND w * h / 855000 > 0.02 AND w * h / 855000 < 0.15) AS candidate FROM d WHERE type = 'figure'"""))
 def arxiv_candidates(spark, sf_dir):
-    return c.boxes(spark, sf_dir).where("type = 'figure'").select(*KEY, f.arxiv_candidate(Box.of(), W, H).alias("candidate"))
+    return c.boxes(spark, sf_dir).where("type = 'figure'").select(*KEY, f.arxiv_candidate(Box.of(), W(), H()).alias("candidate"))
 
 
 @query(c.sql("b", f"""WITH {_FACTS}
 SELECT doc_no, page_index, ord FROM d WHERE cx < 270 AND cy < 190 AND w * h / 855000 <= 0.05 AND w / h > 1.5 AND w / h < 8"""))
 def arxiv_id_rule(spark, sf_dir):
-    return c.boxes(spark, sf_dir).where(f.arxiv_corner(Box.of(), W, H)).select(*KEY)
+    return c.boxes(spark, sf_dir).where(f.arxiv_corner(Box.of(), W(), H())).select(*KEY)
 
 
 _MARGIN = """CASE WHEN cy < 95 AND h < 47.5 THEN 'header' WHEN cy > 855 AND h < 47.5 THEN 'footer'
@@ -113,7 +120,7 @@ _MARGIN = """CASE WHEN cy < 95 AND h < 47.5 THEN 'header' WHEN cy > 855 AND h <
 
 @query(c.sql("b", f"WITH {_FACTS} SELECT doc_no, page_index, ord, {_MARGIN} AS reason FROM d"))
 def position_heuristics(spark, sf_dir):
-    return c.boxes(spark, sf_dir).select(*KEY, f.margin_reason(Box.of(), W, H).alias("reason"))
+    return c.boxes(spark, sf_dir).select(*KEY, f.margin_reason(Box.of(), W(), H()).alias("reason"))
 
 
 _PATTERN = f"""CASE WHEN ({_any('lower(near)', f.TITLE_PATTERNS)}) AND h < 76 THEN 'title' WHEN ({_any('lower(near)', f.AUTHOR_PATTERNS)}) AND h < 95 THEN 'author'
@@ -122,7 +129,7 @@ _PATTERN = f"""CASE WHEN ({_any('lower(near)', f.TITLE_PATTERNS)}) AND h < 76 TH
 
 @query(c.sql("b", f"WITH {_FACTS} SELECT doc_no, page_index, ord, {_PATTERN} AS reason FROM d"))
 def ocr_pattern(spark, sf_dir):
-    return facts(spark, sf_dir).select(*KEY, f.pattern_reason(F.col("near"), Box.of(), H).alias("reason"))
+    return facts(spark, sf_dir).select(*KEY, f.pattern_reason(F.col("near"), Box.of(), H()).alias("reason"))
 
 
 _DENSE = "((ink > 0.08 AND structure < 200) OR (ink > 0.1 AND structure < 400) OR (structure < 100 AND ink > 0.02))"
@@ -131,7 +138,7 @@ _TEXT = f"""CASE WHEN type <> 'table' THEN NULL WHEN score < 0.5 THEN 'confidenc
 
 
 def _text_reason():
-    return f.text_reason(Box.of(), F.col("type"), F.col("score"), F.col("near"), F.col("ink"), F.col("structure"), W, H)
+    return f.text_reason(Box.of(), F.col("type"), F.col("score"), F.col("near"), F.col("ink"), F.col("structure"), W(), H())
 
 
 @query(c.sql("b", f"WITH {_FACTS} SELECT doc_no, page_index, ord, {_TEXT} AS reason FROM d"))
@@ -170,7 +177,7 @@ _TABLE = f"""CASE WHEN w * h < 5000 THEN 'area' WHEN w / h > 8 OR w / h < 0.15 T
 @query(c.sql("b", f"WITH {_FACTS} SELECT doc_no, page_index, ord, {_TABLE} AS reason FROM d WHERE type = 'table'"))
 def valid_table(spark, sf_dir):
     rows = facts(spark, sf_dir).where("type = 'table'")
-    reason = f.table_reason(Box.of(), F.col("n_rows"), F.col("n_cols"), F.col("near"), F.col("ink"), F.col("structure"), W, H)
+    reason = f.table_reason(Box.of(), F.col("n_rows"), F.col("n_cols"), F.col("near"), F.col("ink"), F.col("structure"), W(), H())
     return rows.select(*KEY, reason.alias("reason"))
 
 

@@ -14,7 +14,14 @@ from leafgrid.operators import merging as m
 from leafgrid.plans import common as c
 from leafgrid.plans.captioning import KEY, _K, _ON
 
-A, B = Box.of("a_"), Box.of("b_")
+
+def A():
+    return Box.of("a_")
+
+
+def B():
+    return Box.of("b_")
+
 
 
 def _fold(order: str, test: str, by: str = "doc_no, page_index") -> str:
@@ -71,7 +78,7 @@ reach AS (SELECT doc_no, page_index, ord, ord AS to_ FROM b UNION SELECT r.doc_n
 def components(spark, sf_dir):
     """Boxes of a page joined by gaps of at most 50."""
     rows = c.boxes(spark, sf_dir)
-    edges = c.pairs(rows).where(g.close(A, B)).select(*c.PAGE, F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
+    edges = c.pairs(rows).where(g.close(A(), B())).select(*c.PAGE, F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
     return m.components(edges, rows, c.PAGE)
 
 
@@ -107,7 +114,7 @@ def subfigure_groups(spark, sf_dir):
     """Whether boxes under one caption are parts of one figure: close together and of like size."""
     rows = _with_nearest(spark, sf_dir)
     side = lambda p: rows.select(*c.PAGE, "line_no", *(F.col(x).alias(p + x) for x in ("ord", *c.CORNERS)))
-    far = side("a_").join(side("b_"), [*c.PAGE, "line_no"]).where("a_ord < b_ord").groupBy(*c.PAGE, "line_no").agg(F.max(g.distance(A, B)).alias("far"))
+    far = side("a_").join(side("b_"), [*c.PAGE, "line_no"]).where("a_ord < b_ord").groupBy(*c.PAGE, "line_no").agg(F.max(g.distance(A(), B())).alias("far"))
     size = rows.groupBy(*c.PAGE, "line_no").agg(F.count("*").alias("n_boxes"), (F.max(g.area(Box.of())) / F.min(g.area(Box.of()))).alias("spread")).where("n_boxes > 1")
     out = size.join(far, [*c.PAGE, "line_no"], "left")
     return out.select(*c.PAGE, "line_no", "n_boxes", ((F.col("far") <= 100) & (F.col("spread") <= 4)).alias("is_group"))

@@ -17,7 +17,10 @@ from leafgrid.plans import common as c
 from leafgrid.plans.captioning import KEY, _K, _ON
 from leafgrid.plans.detections import _FACTS, H, W, facts
 
-B = Box.of()
+def B():
+    return Box.of()
+
+
 _FAR = f"{c.s_distance('b.', 'k.')} + CASE WHEN {c.s_overlap('b.', 'k.')} < 0.8 AND {c.s_iou('b.', 'k.')} <= 0.1 AND abs(k.x0 + k.x1 - b.x0 - b.x1) <= abs(k.y0 + k.y1 - b.y0 - b.y1) AND k.y0 + k.y1 <= b.y0 + b.y1 THEN 100 ELSE 0 END"
 _NEAR = f"near AS (SELECT b.doc_no, b.page_index, b.ord, min({_FAR}) FILTER (WHERE b.type = k.kind) AS far, min({c.s_distance('b.', 'k.')}) AS any_far FROM b JOIN k ON {_ON} GROUP BY ALL)"
 _BUCKET = "CASE WHEN {0} IS NULL THEN {1} WHEN {0} < 50 THEN 1 WHEN {0} < {2} THEN 0.8 WHEN {0} < {3} THEN {4} ELSE {5} END"
@@ -28,7 +31,7 @@ _EDGE = "(x0 < 20 OR y0 < 20 OR x1 > 880 OR y1 > 930)"
 def _scored(spark, sf_dir):
     rows = facts(spark, sf_dir)
     line, above = Box.of("l_"), F.when(g.position(Box.of(), Box.of("l_")) == "above", 100.0).otherwise(0.0)
-    pairs = o.beside(rows, o.candidates(c.captions(spark, sf_dir)), c.PAGE, ("kind",)).withColumn("far", g.distance(B, line))
+    pairs = o.beside(rows, o.candidates(c.captions(spark, sf_dir)), c.PAGE, ("kind",)).withColumn("far", g.distance(B(), line))
     near = pairs.groupBy(*KEY).agg(F.min(F.when(F.col("type") == F.col("l_kind"), F.col("far") + above)).alias("far"), F.min("far").alias("any_far"))
     return rows.join(near, KEY, "left")
 
@@ -41,7 +44,7 @@ SELECT doc_no, page_index, ord, round(content, 6)::DOUBLE AS content, caption::D
  round(score * 0.3::DOUBLE + content * 0.3::DOUBLE + caption::DOUBLE * 0.2::DOUBLE + size::DOUBLE * 0.1::DOUBLE + position::DOUBLE * 0.1::DOUBLE, 6) AS overall FROM s"""))
 def quality_v1(spark, sf_dir):
     rows = _scored(spark, sf_dir)
-    s = {"detection": F.col("score"), "content": q.content(F.col("ink")), "caption": q.caption(F.col("far")), "size": q.size(B, W * H), "position": q.margins(B, W, H)}
+    s = {"detection": F.col("score"), "content": q.content(F.col("ink")), "caption": q.caption(F.col("far")), "size": q.size(B(), W() * H()), "position": q.margins(B(), W(), H())}
     return rows.select(*KEY, F.round(s["content"], 6).alias("content"), *(s[k].alias(k) for k in ("caption", "size", "position")), F.round(q.first_overall(s), 6).alias("overall"))
 
 
@@ -54,8 +57,8 @@ z AS (SELECT *, round((score * 0.3::DOUBLE + content * 0.25::DOUBLE + boundary *
 
 def _second(spark, sf_dir):
     rows = _scored(spark, sf_dir).withColumn("text_share", (F.col("structure") + F.col("ord")) % 10 / 10)
-    s = {"detection": F.col("score"), "content": q.content(F.col("ink")), "boundary": F.col("structure") / 900, "caption": q.nearest_caption(F.col("any_far")), "position": q.place(B, W, H)}
-    stamp = f.arxiv_corner(B, W, H)
+    s = {"detection": F.col("score"), "content": q.content(F.col("ink")), "boundary": F.col("structure") / 900, "caption": q.nearest_caption(F.col("any_far")), "position": q.place(B(), W(), H())}
+    stamp = f.arxiv_corner(B(), W(), H())
     overall = F.round(q.second_overall(s, F.col("text_share"), stamp), 6)
     return rows.withColumn("overall", overall).withColumn("issues", q.issues(s, F.col("text_share"), stamp, F.col("any_far").isNotNull()))
 
@@ -85,7 +88,7 @@ def low_quality(spark, sf_dir):
 @query(c.sql("b", f"""WITH {_FACTS} SELECT doc_no, page_index, ord, unnest(kinds) AS kind FROM (SELECT *, list_filter([CASE WHEN w * h / 40000 > 0.9 THEN 'oversized' END,
  CASE WHEN w * h / 40000 < 0.001 THEN 'undersized' END, CASE WHEN w / h > 10 OR w / h < 0.1 THEN 'extreme_aspect_ratio' END, CASE WHEN ink < 0.005 THEN 'sparse_content' END], lambda x: x IS NOT NULL) AS kinds FROM d)"""))
 def anomalies(spark, sf_dir):
-    return facts(spark, sf_dir).select(*KEY, F.explode(q.anomalies(B, F.lit(40000.0), F.col("ink"))).alias("a")).select(*KEY, "a.kind")
+    return facts(spark, sf_dir).select(*KEY, F.explode(q.anomalies(B(), F.lit(40000.0), F.col("ink"))).alias("a")).select(*KEY, "a.kind")
 
 
 _PX = f"px AS (SELECT img_id, x, y, min(v) AS v FROM ({sources.view('pixels')}) GROUP BY ALL)"
@@ -113,4 +116,4 @@ def curve_median(spark, sf_dir):
 def bar_values(spark, sf_dir):
     """Bars from left to right with their height as a percentage of an axis of 190 pixels."""
     rows = c.boxes(spark, sf_dir).withColumn("bar", F.row_number().over(Window.partitionBy(*c.PAGE).orderBy((F.col("x0") + F.col("x1")) / 2, "ord")))
-    return rows.select(*c.PAGE, "bar", dz.bar_value(g.height(B), F.lit(190.0)).alias("value"), dz.valid_bar(B, 5, 60).alias("valid"))
+    return rows.select(*c.PAGE, "bar", dz.bar_value(g.height(B()), F.lit(190.0)).alias("value"), dz.valid_bar(B(), 5, 60).alias("valid"))

@@ -13,7 +13,10 @@ from leafgrid.plans import common as c
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _K = ", ".join(KEYS)
 _FX = f"ph AS ({sources.view('phrases')})"
-X = F.col("text")
+def X():
+    return F.col("text")
+
+
 
 
 def _phrases(spark, sf_dir):
@@ -33,13 +36,13 @@ def _best(scores: dict[str, str], none: str | None = None) -> str:
 
 @query(f"WITH {_FX} SELECT {_K}, name, value, 'regex' AS source, 0.8::DOUBLE AS confidence FROM (" + " UNION ALL ".join(f"SELECT {_K}, '{n}' AS name, unnest(regexp_extract_all(text, '{p}', 1)) AS value FROM ph" for n, p in t.CONDITIONS.items()) + ")")
 def conditions(spark, sf_dir):
-    return _phrases(spark, sf_dir).select(*KEYS, F.explode(t.conditions(X)).alias("c")).select(*KEYS, "c.*")
+    return _phrases(spark, sf_dir).select(*KEYS, F.explode(t.conditions(X())).alias("c")).select(*KEYS, "c.*")
 
 
 @query(f"""WITH {_FX}, m AS (SELECT {_K}, text, list_filter(regexp_extract_all(text, '{t.MATERIAL}', 0), lambda x: length(x) > 1 AND x NOT IN ('The', 'In', 'On', 'At', 'To', 'For')) AS l FROM ph)
 SELECT {_K}, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:10], ',') AS materials FROM m""")
 def materials(spark, sf_dir):
-    return _phrases(spark, sf_dir).select(*KEYS, F.concat_ws(",", t.materials(X)).alias("materials"))
+    return _phrases(spark, sf_dir).select(*KEYS, F.concat_ws(",", t.materials(X())).alias("materials"))
 
 
 _MEASURE = t.MEASUREMENT
@@ -49,8 +52,8 @@ _UNITS = f"regexp_extract_all(text, '{_MEASURE}', 3)"
 @query(f"""WITH {_FX}, m AS (SELECT *, regexp_extract_all(text, '{_MEASURE}', 1)[1:20] AS v, {_UNITS}[1:20] AS u, {_UNITS} AS a FROM ph)
 SELECT {_K}, array_to_string(list_transform(v, lambda x, i: x || ' ' || u[i]), ',') AS measurements, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i)[1:10], ',') AS units FROM m""")
 def measurements(spark, sf_dir):
-    both = F.transform(t.measurements(X), lambda s: F.concat(s["value"], F.lit(" "), s["unit"]))
-    return _phrases(spark, sf_dir).select(*KEYS, F.concat_ws(",", both).alias("measurements"), F.concat_ws(",", t.units(X)).alias("units"))
+    both = F.transform(t.measurements(X()), lambda s: F.concat(s["value"], F.lit(" "), s["unit"]))
+    return _phrases(spark, sf_dir).select(*KEYS, F.concat_ws(",", both).alias("measurements"), F.concat_ws(",", t.units(X())).alias("units"))
 
 
 _LOOK = f"lo AS (SELECT *, lower(text) AS lt, (l_partkey * 7 + l_suppkey) % 10 / 10 AS white, l_linenumber % 3 / 20 AS edges FROM ph)"
@@ -76,14 +79,14 @@ _CONF = "least(1, greatest({0}) / 3)::DOUBLE"
 
 @query(f"WITH {_FX}, {_LOOK} SELECT {_K}, {_best(_ONE, 'unknown')} AS subtype, round({_CONF.format(', '.join(_ONE.values()))}, 6) AS confidence FROM lo")
 def subtype_baseline(spark, sf_dir):
-    s = k.subtype_scores(X, F.col("white"))
+    s = k.subtype_scores(X(), F.col("white"))
     return _looks(spark, sf_dir).select(*KEYS, k.best(s, "unknown").alias("subtype"), F.round(k.confidence(s), 6).alias("confidence"))
 
 
 @query(f"""WITH {_FX}, {_LOOK}, s AS (SELECT {_K}, {_best(_TWO, 'unknown')} AS subtype, round({_CONF.format(', '.join(_TWO.values()))}, 6) AS confidence FROM lo)
 SELECT {_K}, subtype || CASE WHEN confidence < 0.6 THEN '_low_confidence' ELSE '' END AS subtype, confidence FROM s""")
 def subtype_robust(spark, sf_dir):
-    s = k.subtype_scores(X, F.col("white"), F.col("edges"))
+    s = k.subtype_scores(X(), F.col("white"), F.col("edges"))
     conf = F.round(k.confidence(s), 6)
     name = F.concat(k.best(s, "unknown"), F.when(conf < 0.6, "_low_confidence").otherwise(""))
     return _looks(spark, sf_dir).select(*KEYS, name.alias("subtype"), conf.alias("confidence"))
@@ -94,7 +97,7 @@ _FLAT = {n: f"(0.4::DOUBLE * ({_hits(w)} / 7) + 0.6::DOUBLE * {'edges' if n == '
 
 @query(f"WITH {_FX}, {_LOOK} SELECT {_K}, {_best(_FLAT, 'unknown')} AS chart_type, round(least(1, greatest({', '.join(_FLAT.values())})), 6)::DOUBLE AS confidence FROM lo")
 def chart_kw_v13(spark, sf_dir):
-    s = k.flat_scores(X, {"line_plot": F.col("edges")})
+    s = k.flat_scores(X(), {"line_plot": F.col("edges")})
     conf = F.round(F.least(F.lit(1.0), F.greatest(*s.values())), 6)
     return _looks(spark, sf_dir).select(*KEYS, k.best(s, "unknown").alias("chart_type"), conf.alias("confidence"))
 
@@ -111,7 +114,7 @@ _SHARE = {n: f"round(CASE WHEN {_SUMR} > 0 THEN r_{n} / {_SUMR} ELSE 0 END, 9)"
 
 @query(f"WITH {_FX}, {_LOOK}, {_W}, {_V} SELECT {_K}, {_best(_SHARE)} AS main, round(1 / (1 + exp(-greatest({', '.join(_SHARE.values())}))), 6) AS confidence FROM v")
 def chart_main_v17(spark, sf_dir):
-    rows, s = k.with_main_scores(_looks(spark, sf_dir), X, {"chart": F.col("white"), "photo": F.col("edges")}, {})
+    rows, s = k.with_main_scores(_looks(spark, sf_dir), X(), {"chart": F.col("white"), "photo": F.col("edges")}, {})
     return rows.select(*KEYS, k.best(s).alias("main"), F.round(k.calibrated(F.greatest(*s.values())), 6).alias("confidence"))
 
 
@@ -132,7 +135,7 @@ def chart_sub_v17(spark, sf_dir):
     """The kind under each main category that a phrase speaks for."""
     rows, each = _looks(spark, sf_dir), []
     for main in k.HIERARCHY:
-        rows, s = k.with_sub_scores(rows, X, main)
+        rows, s = k.with_sub_scores(rows, X(), main)
         top = F.greatest(*s.values()) if len(s) > 1 else next(iter(s.values()))
         each.append(F.struct(F.lit(main).alias("main"), k.best(s).alias("sub"), F.round(k.calibrated(top), 6).alias("confidence")))
     return rows.select(*KEYS, F.explode(F.array(*each)).alias("s")).select(*KEYS, "s.*")
@@ -140,7 +143,7 @@ def chart_sub_v17(spark, sf_dir):
 
 @query(f"WITH {_FX}, {_LOOK} SELECT {_K}, array_to_string(list_filter([" + ", ".join(f"'{w}'" for w in k.SUB["microscopy_sem"]) + "], lambda w: contains(lt, w)), ',') AS matched FROM lo")
 def matched_keywords(spark, sf_dir):
-    return _looks(spark, sf_dir).select(*KEYS, F.concat_ws(",", k.matched(X, F.lit("microscopy_sem"))).alias("matched"))
+    return _looks(spark, sf_dir).select(*KEYS, F.concat_ws(",", k.matched(X(), F.lit("microscopy_sem"))).alias("matched"))
 
 
 @query(c.sql("b", """SELECT doc_no, page_index, ord, CASE WHEN contains(detector, 'table') THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN y0 < 100 OR y1 > 800 THEN 0.2::DOUBLE ELSE 0 END
@@ -157,7 +160,7 @@ def context_scores(spark, sf_dir):
 SELECT b.doc_no, b.page_index, b.ord, type AS was, CASE WHEN type = 'table' AND figures > 2 * tables AND figures >= 2 THEN 'figure' WHEN type = 'figure' AND tables > 2 * figures AND tables >= 2 THEN 'table' ELSE type END AS type
 FROM b LEFT JOIN n USING (doc_no, page_index)"""))
 def caption_reclassify(spark, sf_dir):
-    count = lambda p: F.sum(F.regexp_count(X, F.lit(p)))
+    count = lambda p: F.sum(F.regexp_count(X(), F.lit(p)))
     n = c.captions(spark, sf_dir).groupBy(*c.PAGE).agg(count(r"(?i)\b(fig\.?|figure)\s*\d+").alias("figures"), count(r"(?i)\b(table|tab\.)\s*\d+").alias("tables"))
     rows = c.boxes(spark, sf_dir).join(n, c.PAGE, "left")
     return rows.select(*c.PAGE, "ord", F.col("type").alias("was"), k.reclassified(F.col("type"), F.col("figures"), F.col("tables")).alias("type"))
@@ -167,6 +170,6 @@ def caption_reclassify(spark, sf_dir):
 SELECT {_K}, CASE WHEN first = 'unknown' OR conf < 0.4 THEN second ELSE first END AS subtype FROM s""")
 def merge_annotations(spark, sf_dir):
     """The first classifier's answer, or the second's where that is unknown or unsure."""
-    one, two = k.subtype_scores(X, F.col("white")), k.flat_scores(X, {"line_plot": F.col("edges")})
+    one, two = k.subtype_scores(X(), F.col("white")), k.flat_scores(X(), {"line_plot": F.col("edges")})
     rows = _looks(spark, sf_dir).select(*KEYS, k.best(one, "unknown").alias("first"), k.confidence(one).alias("conf"), k.best(two, "unknown").alias("second"))
     return rows.select(*KEYS, F.when((F.col("first") == "unknown") | (F.col("conf") < 0.4), F.col("second")).otherwise(F.col("first")).alias("subtype"))
