@@ -1,7 +1,7 @@
 """Ids of whole texts by a byte-level BPE vocabulary file of the library tokenizers.
 
 The file's vocabulary is run by tiktoken's merge loop, which gives the same ids as
-the library that the file is for (a test compares them) in a sixth of the time. Strings
+the library that the file is for (a test compares them) at a fraction of its cost. Strings
 of special tokens are ordinary text.
 """
 
