@@ -13,6 +13,7 @@ from leafgrid.operators import captions as o
 from leafgrid.operators import digitize as dz
 from leafgrid.operators import filters as f
 from leafgrid.operators import quality as q
+from leafgrid.operators import raster
 from leafgrid.plans import common as c
 from leafgrid.plans.captioning import KEY, _K, _ON
 from leafgrid.plans.detections import _FACTS, H, W, facts
@@ -117,3 +118,17 @@ def bar_values(spark, sf_dir):
     """Bars from left to right with their height as a percentage of an axis of 190 pixels."""
     rows = c.boxes(spark, sf_dir).withColumn("bar", F.row_number().over(Window.partitionBy(*c.PAGE).orderBy((F.col("x0") + F.col("x1")) / 2, "ord")))
     return rows.select(*c.PAGE, "bar", dz.bar_value(g.height(B()), F.lit(190.0)).alias("value"), dz.valid_bar(B(), 5, 60).alias("valid"))
+
+
+def _runs(along: str, across: str) -> str:
+    """Pixels of each image in runs of at least three dark ones along a direction."""
+    return f"""(SELECT img_id, sum(n)::BIGINT AS n FROM (SELECT img_id, {across}, k, count(*) AS n FROM (SELECT img_id, {across}, {along} - row_number() OVER (PARTITION BY img_id, {across} ORDER BY {along}) AS k
+ FROM px WHERE v <= 245) GROUP BY ALL HAVING count(*) >= 3) GROUP BY 1)"""
+
+
+@query(f"""WITH {_PX} SELECT i.img_id, i.ink, coalesce(a.n, 0) AS across_pixels, coalesce(d.n, 0) AS down_pixels FROM (SELECT img_id, count(*) FILTER (WHERE v <= 245) / 4096 AS ink FROM px GROUP BY ALL) i
+LEFT JOIN {_runs('x', 'y')} a USING (img_id) LEFT JOIN {_runs('y', 'x')} d USING (img_id)""")
+def raster_features(spark, sf_dir):
+    """Ink and pixels in lines of rasters of 64 by 64, by the kernels on rasters."""
+    rasters = raster.from_pixels(_pixels(spark, sf_dir), ["img_id"], 64, 64)
+    return raster.with_features(rasters, ["img_id"], 3).select("img_id", "ink", "across_pixels", "down_pixels")
