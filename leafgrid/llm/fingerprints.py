@@ -1,9 +1,12 @@
-"""Document fingerprints: 64-bit SimHash and search by permuted block tables.
+"""Document fingerprints: 64-bit SimHash and search by block tables.
 
 Terms are runs of two words; each weighs one and the logarithm of its count, in sixteenths.
 The bits of a term's hash vote for or against each bit of the fingerprint. Two
-fingerprints within radius r agree on all of some (blocks - r) of the blocks, so that
-tables keyed by every choice of that many blocks find every such pair.
+fingerprints within radius r differ by at most r // blocks bits in some block, so that
+tables keyed by one block each, asked for all keys that near, find every such pair.
+
+Equal fingerprints are one class, named by its smallest doc_id; classes are searched, so
+that copies cost no pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from leafgrid.llm.store import keep, small_batches
 
 TERM_WORDS = 2
 RADIUS, BLOCKS = 3, 6
+#: Pairs of fingerprints looked at together.
+PAIRS = 1 << 20
 #: Terms whose bits are added up at once.
 SLICE = 1 << 16
 
@@ -141,17 +146,78 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return made.where(F.col("kind") == DONE).unionByName(at_edges).drop("kind", "text")
 
 
-def block_keys(fp, blocks: int = BLOCKS, radius: int = RADIUS):
-    """An array of (table, key): the bits of every choice of ``blocks - radius`` blocks, in place."""
+def _masks(blocks: int) -> list[int]:
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [_signed(((1 << (b - a)) - 1) << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    keys = []
-    for table, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = 0
-        for k in chosen:
-            mask |= masks[k] % (1 << 64)
-        keys.append(F.struct(F.lit(table).alias("table"), fp.bitwiseAND(F.lit(_signed(mask))).alias("key")))
-    return F.array(*keys)
+    return [((1 << (b - a)) - 1) << a for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def block_cells(fp, blocks: int, off: int):
+    """An array of cells, each a table and the value of its block, with at most ``off`` bits of the block changed."""
+    cells = []
+    for table, mask in enumerate(_masks(blocks)):
+        low, width = (mask & -mask).bit_length() - 1, mask.bit_count()
+        changes = [sum(1 << b for b in bits) for n in range(off + 1) for bits in combinations(range(width), n)]
+        own = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(table << 40)
+        cells += [own.bitwiseXOR(F.lit(x)) for x in changes]
+    return F.array(*cells)
+
+
+_NEAR = "array<struct<class_id: long, fp: long, distance: int, n_docs: long>>"
+_NEAR_TYPE = pa.struct([("class_id", pa.int64()), ("fp", pa.int64()), ("distance", pa.int32()), ("n_docs", pa.int64())])
+
+
+def _cell_pairs(radius: int, blocks: int):
+    """Of rows sorted by cell, searched fingerprints first: each query of a cell with what is near it and meets it in no earlier table."""
+    off, masks = radius // blocks, np.array(_masks(blocks), np.uint64)
+
+    def near(table: int, index: list[np.ndarray], asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fps, ids, null, sizes = index
+        step = max(1, PAIRS // len(fps))
+        for at in range(0, len(asked), step):
+            part = asked[at : at + step]
+            apart = part[:, None] ^ fps
+            bits = np.bitwise_count(apart)
+            q, x = np.nonzero((bits <= radius) & (bits > 0))
+            change = apart[q, x]
+            first = np.ones(len(q), bool)
+            for mask in masks[:table]:
+                first &= np.bitwise_count(change & mask) > off
+            q, x = q[first], x[first]
+            if len(q):
+                fields = [pa.array(ids[x], pa.int64(), mask=null[x]), pa.array(fps[x].view(np.int64)), pa.array(bits[q, x].astype(np.int32)), pa.array(sizes[x])]
+                some, starts = np.unique(q, return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(q)).astype(np.int32)), pa.StructArray.from_arrays(fields, fields=list(_NEAR_TYPE)))
+                yield pa.RecordBatch.from_arrays([pa.array(part[some].view(np.int64)), lists], names=["query", "near"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            cells, sizes, fps = (batch.column(c).to_numpy() for c in ("cell", "n_docs", "fp"))
+            ids, null = batch.column("class_id").fill_null(0).to_numpy(), batch.column("class_id").is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(cells)) + 1 if len(cells) else []
+            for a, b in zip([0, *cuts], [*cuts, len(cells)], strict=True) if len(cells) else ():
+                if cells[a] != cell:
+                    cell, held = cells[a], []
+                middle = a + int((sizes[a:b] > 0).sum())
+                if middle > a:
+                    held.append([fps[a:middle].view(np.uint64), ids[a:middle], null[a:middle], sizes[a:middle]])
+                if b > middle and held:
+                    held = [[np.concatenate(x) for x in zip(*held, strict=True)]] if len(held) > 1 else held
+                    yield from near(int(cell) >> 40, held[0], fps[middle:b].view(np.uint64))
+
+    return run
+
+
+def near_classes(classes: DataFrame, queries: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """query and near: for each queried fingerprint that has any, all other classes at most ``radius`` bits apart.
+
+    Classes have fp, class_id and n_docs, one row for each fp; queries have distinct fp.
+    """
+    small_batches(classes.sparkSession)
+    index = classes.select(F.explode(block_cells(F.col("fp"), blocks, 0)).alias("cell"), "n_docs", "fp", "class_id")
+    asked = queries.select(F.explode(block_cells(F.col("fp"), blocks, radius // blocks)).alias("cell"), F.lit(0).cast("long").alias("n_docs"), "fp", F.lit(None).cast("long").alias("class_id"))
+    met = index.unionByName(asked).repartition("cell").sortWithinPartitions("cell", F.col("n_docs").desc()).mapInArrow(_cell_pairs(radius, blocks), f"query long, near {_NEAR}")
+    return met.groupBy("query").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
 
 
 def within_radius(index: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -160,31 +226,41 @@ def within_radius(index: DataFrame, queries: DataFrame, radius: int = RADIUS, bl
     Both inputs have a column fp and are taken as sets; nulls match nothing.
     """
     of = lambda df: df.select("fp").where("fp is not null").distinct()
-    tables = lambda df: df.select("fp", F.explode(block_keys(F.col("fp"), blocks, radius)).alias("t")).select("fp", "t.table", "t.key")
-    asked = tables(of(queries)).withColumnRenamed("fp", "query")
-    met = tables(of(index)).join(asked, ["table", "key"])
-    return met.where("fp <> query").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("query"))) <= radius).select("query", "fp").distinct()
+    classes = of(index).select("fp", F.col("fp").alias("class_id"), F.lit(1).cast("long").alias("n_docs"))
+    return near_classes(classes, of(queries), radius, blocks).select("query", F.explode("near.fp").alias("fp"))
 
 
 def _hex(c: str):
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
-def fingerprint_report(docs: DataFrame, every: int = 20, radius: int = RADIUS) -> DataFrame:
-    """Fingerprints and likenesses of every row; rows whose doc_id is divisible by ``every`` also
-    search all fingerprints and carry the number of others within the radius (null for the rest)."""
+def fingerprint_report(docs: DataFrame, every: int = 20, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """Fingerprints, likenesses and class of every row; rows whose doc_id is divisible by ``every``
+    also search all fingerprints, equal ones too.
+
+    class_id is the smallest doc_id with the fingerprint (null if none has one). n_near is, for
+    searching rows, the number of other rows within the radius (null for the rest). near lists the
+    other classes within the radius of a class with a searching row, on the row whose doc_id is
+    the class_id (null on other rows): members of two classes are near if their classes are.
+    """
     made = fingerprinted(docs)
-    asked = made.where(F.pmod("doc_id", F.lit(every)) == 0)
-    near = within_radius(made, asked, radius).groupBy("query").agg(F.count("*").alias("n_near"))
+    searches = F.coalesce(F.pmod("doc_id", F.lit(every)) == 0, F.lit(False))
+    classes = keep(made.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"), F.max(searches).alias("asked")), "classes")
+    near = keep(near_classes(classes.drop("asked"), classes.where("asked").select("fp"), radius, blocks), "near-classes")
+    others = near.select(F.col("query").alias("fp"), F.aggregate("near.n_docs", F.lit(0).cast("long"), lambda a, b: a + b).alias("n_others"))
+    members = classes.join(others, "fp", "left").withColumnRenamed("fp", "class_fp")
+    lists = classes.where("asked").join(near.withColumnRenamed("query", "fp"), "fp", "left").select(F.col("fp").alias("list_fp"), F.col("class_id").alias("list_id"), F.coalesce("near", F.array().cast(_NEAR)).alias("near"))
     alike = lambda a, b: 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / 64
-    out = made.join(near, made["fp"] == near["query"], "left")
-    searched = F.when(F.pmod("doc_id", F.lit(every)) == 0, F.coalesce("n_near", F.lit(0)))
+    out = made.join(members, made["fp"] == members["class_fp"]).join(lists, (F.col("fp") == F.col("list_fp")) & (F.col("doc_id") == F.col("list_id")), "left")
+    named = lambda x: F.struct(x["class_id"].alias("class_id"), _hex(x["fp"]).alias("fingerprint"), x["distance"].alias("distance"), x["n_docs"].alias("n_docs"))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", _hex("fp").alias("fingerprint"), _hex("edited_fp").alias("edited_fingerprint"),
-        alike("fp", "edited_fp").alias("near_edited"), alike("fp", "next_fp").alias("near_next"), searched.cast("long").alias("n_near"),
+        alike("fp", "edited_fp").alias("near_edited"), alike("fp", "next_fp").alias("near_next"),
+        F.when(searches, F.col("n_docs") - 1 + F.coalesce("n_others", F.lit(0))).cast("long").alias("n_near"),
+        "class_id", F.transform("near", named).alias("near"),
     )
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with fingerprints, and the neighbours of every twentieth."""
+    """All documents with fingerprints and classes, and the neighbours of every twentieth."""
     return fingerprint_report(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

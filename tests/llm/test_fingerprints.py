@@ -50,3 +50,19 @@ def test_near_copies_are_near():
     b = [w if k % 40 else "changed" for k, w in enumerate(a)]
     x, y, z = f.simhashes([" ".join(a), " ".join(b), words(2, 300)])
     assert f.likeness(x, y) > 0.8 > f.likeness(x, z)
+
+
+def test_copies_are_neighbours_by_class(spark):
+    long = words(5, 200).split()
+    near = " ".join([*long[:-1], "changed"])
+    rows = [(k, words(5, 200)) for k in range(19, 60)] + [(None, words(5, 200)), (70, near), (80, near), (100, words(8, 200)), (101, ""), (120, None)]
+    fp = {k: f.simhashes([t])[0] for k, t in rows}
+    distance = (fp[20] ^ fp[70]).bit_count()
+    assert 0 < distance <= f.RADIUS < (fp[20] ^ fp[100]).bit_count()
+    out = f.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = {r.doc_id: r for r in out}
+    assert len(out) == len(rows)
+    assert {k: r.class_id for k, r in got.items()} == {k: {fp[20]: 19, fp[70]: 70, fp[100]: 100, 0: 101}[fp[k]] for k in got}
+    assert {k: r.n_near for k, r in got.items() if r.n_near is not None} == {20: 43, 40: 43, 80: 43, 100: 0, 120: 1}
+    lists = {k: [tuple(x) for x in r.near] for k, r in got.items() if r.near is not None}
+    assert lists == {19: [(70, f"{fp[70]:016x}", distance, 2)], 70: [(19, f"{fp[20]:016x}", distance, 42)], 100: [], 101: []}
