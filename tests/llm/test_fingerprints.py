@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import pyarrow as pa
 from llm_words import words
 
 from leafgrid.llm import fingerprints as f
+from leafgrid.llm import textnum
 
 
 def test_report_matches_brute_force(odd_docs, no_docs, spark):
@@ -66,3 +68,20 @@ def test_copies_are_neighbours_by_class(spark):
     assert {k: r.n_near for k, r in got.items() if r.n_near is not None} == {20: 43, 40: 43, 80: 43, 100: 0, 120: 1}
     lists = {k: [tuple(x) for x in r.near] for k, r in got.items() if r.near is not None}
     assert lists == {19: [(70, f"{fp[70]:016x}", distance, 2)], 70: [(19, f"{fp[20]:016x}", distance, 42)], 100: [], 101: []}
+
+
+def test_near_copies_of_the_task_are_within_the_radius(spark):
+    r = random.Random(11)
+    rows, pairs = [], []
+    while len(pairs) < 60:
+        a = words(r.random(), r.randint(40, 400)).split()
+        b = [x if r.random() > 0.02 else "changed" for x in a]
+        x, y = (set(textnum.shingles(textnum.words(pa.array([" ".join(t)]))[0], 5).tolist()) for t in (a, b))
+        if a != b and len(x & y) >= 0.8 * len(x | y):
+            pairs.append((20 * len(pairs), 20 * len(pairs) + 1))
+            rows += zip(pairs[-1], (" ".join(a), " ".join(b)), strict=True)
+    fp = dict(zip([k for k, _ in rows], f.simhashes([t for _, t in rows]), strict=True))
+    apart = [(fp[a] ^ fp[b]).bit_count() for a, b in pairs]
+    assert max(apart) > 3
+    out = {q.doc_id: q.n_near for q in f.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[a] == 1 for a, _ in pairs) == sum(d <= f.RADIUS for d in apart) >= 0.95 * len(pairs)
