@@ -70,3 +70,19 @@ def test_contexts_are_last_letters():
 def test_empty_table(spark, no_docs, odd_docs):
     assert lm.score_texts(no_docs).count() == 0
     assert lm.score_texts(odd_docs).count() == odd_docs.count()
+
+
+@pytest.mark.parametrize("discount", [0.3, 0.67])
+def test_table_numbers_of_many_customers_follow_their_weights(discount):
+    rng = np.random.default_rng(3)
+    most = 2000
+    exact, table = lm.log_stirling(most, discount), lm.log_stirling(lm.EXACT, discount)
+    for c, a in ((65, 0.01), (65, 20), (300, 1.0), (300, 1000.0), (1000, 10.0), (2000, 0.2), (2000, 100.0), (2000, 600.0)):
+        t = lm.draw_tables(np.full(20_000, c), np.full(20_000, a), table, rng)
+        k = np.arange(1, c + 1)
+        w = np.log(a) * k + exact[c, 1 : c + 1]
+        w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+        mean = (w * k).sum()
+        spread = np.sqrt((w * k * k).sum() - mean**2)
+        assert abs(t.mean() - mean) < 0.02 * mean + 0.1, (c, a)
+        assert abs(t.std() - spread) < 0.05 * spread + 0.05, (c, a)
