@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import geometry as g
 from leafgrid.functions.geometry import Box
+from leafgrid.operators import raster
 
 INK, WHITE, DARK = 245, 240, 200
 
@@ -21,21 +24,78 @@ def pixel_facts(pixels: DataFrame, image: list[str], size: Column) -> DataFrame:
     )
 
 
-def curve(pixels: DataFrame, image: list[str], last: tuple[int, int], xs: tuple[float, float], ys: tuple[float, float], most: int = 300) -> DataFrame:
-    """One point a column: the median of its dark pixels, every (n // most)-th of n, mapped to the axes."""
-    points = pixels.where(F.col("v") <= DARK).groupBy(*image, "x").agg(F.median("y").alias("y"))
+def curve(rasters: DataFrame, image: list[str], xs: tuple[float, float], ys: tuple[float, float], most: int = 300) -> DataFrame:
+    """One point a column: the median of the pixels of the largest dark component, every (n // most)-th of n, mapped to the axes.
+
+    The axes span the whole width and height of the raster.
+    """
+    points = raster.largest_component(rasters, image, DARK).groupBy(*image, "width", "height", "x").agg(F.median("y").alias("y"))
     each = Window.partitionBy(*image)
     points = points.withColumn("k", F.row_number().over(each.orderBy("x")) - 1).withColumn("n", F.count("*").over(each))
     points = points.where((F.col("n") <= most) | (F.col("k") % F.greatest(F.lit(1), F.floor(F.col("n") / most)) == 0))
-    x = F.lit(xs[0]) + F.col("x") / last[0] * (xs[1] - xs[0])
-    y = F.lit(ys[1]) - F.col("y") / last[1] * (ys[1] - ys[0])
+    x = F.lit(xs[0]) + F.col("x") / F.col("width") * (xs[1] - xs[0])
+    y = F.lit(ys[1]) - F.col("y") / F.col("height") * (ys[1] - ys[0])
     return points.select(*image, "x", "y", F.round(x, 6).alias("value_x"), F.round(y, 6).alias("value_y"))
 
 
-def bar_value(height: Column, axis: Column) -> Column:
-    """Height as a percentage of the axis, two places."""
-    return F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), height / axis * 100)), 2)
+class Axes(NamedTuple):
+    """Where the axes of a bar chart are: the line under the bars, the line left of them, and the far ends."""
+
+    x_axis: Column
+    y_axis: Column
+    x_max: Column
+    y_min: Column
+
+
+def orientation(n_vertical: Column, n_horizontal: Column) -> Column:
+    """Bars lie if horizontal lines are more than one and a half times the vertical ones; else they stand."""
+    lying = (n_horizontal > n_vertical * 1.5) & ~(n_vertical > n_horizontal * 1.5)
+    return F.when(lying, "horizontal").otherwise("vertical")
+
+
+def axes(segments: DataFrame, image: list[str], width: float, height: float, edge: float = 50.0) -> DataFrame:
+    """Axes of each image from segments (x0, y0, x1, y1): the lowest nearly horizontal and the leftmost nearly
+    vertical one, ``edge`` from the border where there is none, and the orientation of its bars."""
+    angle = F.abs(F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")))
+    flat, steep = (angle < 0.2) | (angle > 2.9), (angle > 1.4) & (angle < 1.7)
+    found = segments.groupBy(*image).agg(
+        F.max(F.when(flat, (F.col("y0") + F.col("y1")) / 2)).alias("low"), F.min(F.when(steep, (F.col("x0") + F.col("x1")) / 2)).alias("left"),
+        F.count_if((angle > 1.3) & (angle < 1.8)).alias("n_vertical"), F.count_if((angle < 0.3) | (angle > 2.8)).alias("n_horizontal"),
+    )
+    return found.select(
+        *image, F.coalesce(F.col("low").cast("int"), F.lit(int(height - edge))).alias("x_axis"), F.coalesce(F.col("left").cast("int"), F.lit(int(edge))).alias("y_axis"),
+        F.lit(int(width - edge)).alias("x_max"), F.lit(int(edge)).alias("y_min"), orientation(F.col("n_vertical"), F.col("n_horizontal")).alias("orientation"),
+    )
+
+
+def bar_value(b: Box, stands: Column, at: Axes) -> Column:
+    """The end of a bar as a percentage of its axis, two places; 0 for an axis without length."""
+    tall, long = at.x_axis - at.y_min, at.x_max - at.y_axis
+    up = F.when(tall > 0, (at.x_axis - b.y0) / tall * 100).otherwise(F.lit(0.0))
+    right = F.when(long > 0, (b.x1 - at.y_axis) / long * 100).otherwise(F.lit(0.0))
+    return F.round(F.when(stands, up).otherwise(right), 2)
+
+
+def valid_bar(b: Box, stands: Column, at: Axes, least_width: float = 5, least_height: float = 10) -> Column:
+    """Large enough, in the plot area, and not much shorter along its value than across it."""
+    w, h = g.width(b), g.height(b)
+    up = (b.y1 >= at.y_min) & (b.y0 <= at.x_axis) & b.x0.between(at.y_axis, at.x_max) & (h >= w * 0.8)
+    right = (b.x1 >= at.y_axis) & (b.x0 <= at.x_max) & b.y0.between(at.y_min, at.x_axis) & (w >= h * 0.8)
+    return (w >= least_width) & (h >= least_height) & F.when(stands, up).otherwise(right)
+
 
+def bar_labels(bars: DataFrame, texts: DataFrame, image: list[str], most: float = 100.0, off: float = 20.0) -> DataFrame:
+    """The text nearest to the place of each bar's label, below a standing bar and left of a lying one; Bar_n without one.
 
-def valid_bar(b: Box, least_width: float = 5, least_height: float = 10) -> Column:
-    return (g.width(b) >= least_width) & (g.height(b) >= least_height)
+    Bars have image, bar (their number), corners and orientation; texts have image, line_no, text
+    and corners. Of texts equally far the first counts.
+    """
+    stands, middle = F.col("orientation") == "vertical", lambda a, b, p="": (F.col(p + a) + F.col(p + b)) / 2
+    aim_x = F.when(stands, F.col("x0") + F.floor((F.col("x1") - F.col("x0")) / 2)).otherwise(F.col("x0") - off)
+    aim_y = F.when(stands, F.col("y1") + off).otherwise(F.col("y0") + F.floor((F.col("y1") - F.col("y0")) / 2))
+    own = texts.select(*image, "line_no", "text", middle("x0", "x1").alias("t_x"), middle("y0", "y1").alias("t_y"))
+    far = F.sqrt((F.col("t_x") - aim_x) ** 2 + (F.col("t_y") - aim_y) ** 2)
+    best = bars.join(own, image).withColumn("far", far).groupBy(*image, "bar").agg(F.min(F.struct("far", "line_no", "text")).alias("b"))
+    named = bars.join(best, [*image, "bar"], "left")
+    label = F.when((F.col("b.far") < most) & (F.col("b.text") != ""), F.col("b.text")).otherwise(F.format_string("Bar_%d", "bar"))
+    return named.select(*image, "bar", label.alias("label"))

@@ -52,24 +52,47 @@ def union_value(boxes: list[tuple]) -> tuple:
     return (min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes))
 
 
-def _merged(rows: list[dict], summed: bool) -> dict:
-    """One box of several: the union, the greatest score, the type of the first best, and how many they are or were made of."""
+def _merged(rows: list[dict]) -> dict:
+    """One box of several: the union, the greatest score, the type of the first best, and how many they are."""
     best = max(rows, key=lambda r: r["score"])
-    return {"box": union_value([r["box"] for r in rows]), "score": best["score"], "type": best["type"], "n": sum(r["n"] for r in rows) if summed else len(rows)}
+    return {"box": union_value([r["box"] for r in rows]), "score": best["score"], "type": best["type"], "n": len(rows)}
 
 
-def merge_rounds(rows: list[dict], joins, summed: bool = False, rounds: int = 10) -> list[dict]:
-    """Each box takes all later boxes that join it as it was, until a round changes nothing."""
+def merge_rounds(rows: list[dict], joins, rounds: int) -> list[dict]:
+    """Each box takes all later boxes that join it as it was, until a round changes nothing or ``rounds`` are over."""
     for _ in range(rounds):
-        out, used = [], set()
-        for i, r in enumerate(rows):
-            if i in used:
-                continue
-            own = [r] + [rows[j] for j in range(i + 1, len(rows)) if j not in used and joins(r, rows[j])]
-            used.update(j for j in range(i + 1, len(rows)) if any(rows[j] is x for x in own[1:]))
-            out.append(own[0] if len(own) == 1 else _merged(own, summed))
+        out, left = [], rows
+        while left:
+            first, others = left[0], left[1:]
+            joined = [r for r in others if joins(first, r)]
+            left = [r for r in others if not joins(first, r)]
+            out.append(_merged([first, *joined]) if joined else first)
         if len(out) == len(rows):
-            return out
+            break
+        rows = out
+    return rows
+
+
+def absorb(rows: list[dict], joins) -> list[dict]:
+    """Each box grows by every later box that joins it as it has grown, until nothing joins anything.
+
+    Counts add up, the type is that of the higher score (of ties the growing box's), and a
+    box without a signature takes that of what it absorbs.
+    """
+    changed = True
+    while changed:
+        changed, out, left = False, [], rows
+        while left:
+            own, rest = left[0], []
+            for r in left[1:]:
+                if not joins(own, r):
+                    rest.append(r)
+                    continue
+                better = own if own["score"] >= r["score"] else r
+                own = {"box": union_value([own["box"], r["box"]]), "score": better["score"], "type": better["type"], "n": own["n"] + r["n"], "sig": own["sig"] or r["sig"]}
+                changed = True
+            out.append(own)
+            left = rest
         rows = out
     return rows
 
@@ -78,7 +101,9 @@ def each_group(rows: DataFrame, by: list[str], order: list[str], run: Callable[[
     """``run`` on the rows of each group in order, as dicts; its dicts become rows of ``schema``.
 
     Groups are dealt by key, sorted and streamed, so that small groups cost no call of
-    their own and memory holds one group and one batch.
+    their own and memory holds one group and one batch. They are dealt by a hash column: an
+    exchange on the key itself may be dropped where the input claims to be dealt by it, and the
+    branches of a union may then be cut at different keys.
     """
     names = [x.strip().split(" ")[0] for x in schema.split(", ")]
 
@@ -106,26 +131,36 @@ def each_group(rows: DataFrame, by: list[str], order: list[str], run: Callable[[
 
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
     arrow = {x.strip().split(" ")[0]: kinds[x.strip().split(" ")[1]] for x in schema.split(", ")}
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(stream, schema)
+    columns = rows.columns
+    dealt = rows.withColumn("__dealt", F.xxhash64(*by, F.lit("leafgrid"))).repartition("__dealt")
+    return dealt.sortWithinPartitions("__dealt", *by, *order).select(*columns).mapInArrow(stream, schema)
 
 
-def merged_by_page(rows: DataFrame, page: list[str], joins, summed: bool = False) -> DataFrame:
-    """Boxes merged to a fixpoint page by page; ``joins(a, b)`` sees dicts with box, score, type and n."""
+_MERGED = "merged_ord int, x0 double, y0 double, x1 double, y1 double, score double, type string, merged_from int"
 
-    def run(own: list[dict]) -> list[dict]:
-        start = [{"box": tuple(r[c] for c in CORNERS), "score": r["score"], "type": r["type"], "n": 1} for r in own]
-        return [
-            {p: own[0][p] for p in page} | {"merged_ord": k + 1, "score": r["score"], "type": r["type"], "merged_from": r["n"]} | dict(zip(CORNERS, r["box"], strict=True))
-            for k, r in enumerate(merge_rounds(start, joins, summed))
-        ]
 
+def _schema(rows: DataFrame, page: list[str]) -> str:
     types = dict(rows.dtypes)
-    schema = ", ".join(f"{p} {types[p]}" for p in page) + ", merged_ord int, x0 double, y0 double, x1 double, y1 double, score double, type string, merged_from int"
-    return each_group(rows.select(*page, "ord", *CORNERS, "score", "type"), page, ["ord"], run, schema)
+    return ", ".join(f"{p} {types[p]}" for p in page) + ", " + _MERGED
 
 
-def overlap_merge(rows: DataFrame, page: list[str], least_iou: float = 0.3, least_overlap: float = 0.7) -> DataFrame:
-    return merged_by_page(rows, page, lambda a, b: iou_value(a["box"], b["box"]) >= least_iou or overlap_value(a["box"], b["box"]) >= least_overlap)
+def _out(page: dict, rows: list[dict]) -> list[dict]:
+    return [page | {"merged_ord": k + 1, "score": r["score"], "type": r["type"], "merged_from": r["n"]} | dict(zip(CORNERS, r["box"], strict=True)) for k, r in enumerate(rows)]
+
+
+def _box(r: dict) -> tuple:
+    return tuple(r[c] for c in CORNERS)
+
+
+def overlap_merge(rows: DataFrame, page: list[str], least_iou: float = 0.3, least_overlap: float = 0.7, again: int = 10) -> DataFrame:
+    """Boxes of a page merged while they overlap: one pass, then at most ``again`` more while one changes something."""
+    joins = lambda a, b: iou_value(a["box"], b["box"]) >= least_iou or overlap_value(a["box"], b["box"]) >= least_overlap
+
+    def run(own: list[dict]) -> list[dict]:
+        start = [{"box": _box(r), "score": r["score"], "type": r["type"], "n": 1} for r in own]
+        return _out({p: own[0][p] for p in page}, merge_rounds(start, joins, 1 + again))
+
+    return each_group(rows.select(*page, "ord", *CORNERS, "score", "type"), page, ["ord"], run, _schema(rows, page))
 
 
 def _span(a0: float, a1: float, b0: float, b1: float) -> float:
@@ -138,8 +173,62 @@ def beside_value(a: tuple, b: tuple, aligned: float = 0.65, gap: float = 16.0) -
     return (_span(a[0], a[2], b[0], b[2]) >= aligned and max(0.0, down) <= gap) or (_span(a[1], a[3], b[1], b[3]) >= aligned and max(0.0, across) <= gap)
 
 
-def proximity_merge(rows: DataFrame, page: list[str], aligned: float = 0.65, gap: float = 16.0) -> DataFrame:
-    return merged_by_page(rows, page, lambda a, b: beside_value(a["box"], b["box"], aligned, gap), summed=True)
+def barrier_value(a: tuple, b: tuple, lines: list[tuple], least: float = 0.6) -> bool:
+    """A line crosses the gap between two boxes: the rule of ``captions.barrier`` for values."""
+    for along in (1, 0):  # one above the other, then side by side
+        across = 1 - along
+        if not (a[along + 2] <= b[along] or b[along + 2] <= a[along]):
+            continue
+        first, second = (a, b) if a[along] < b[along] else (b, a)
+        slot = [0.0] * 4
+        slot[along], slot[along + 2] = first[along + 2], second[along]
+        slot[across], slot[across + 2] = max(first[across], second[across]), min(first[across + 2], second[across + 2])
+        if slot[along + 2] <= slot[along] + 2 or slot[across + 2] <= slot[across]:
+            return False
+        for line in lines:
+            touches = all(min(line[k + 2], slot[k + 2]) > max(line[k], slot[k]) for k in (0, 1))
+            if touches and all(_span(line[across], line[across + 2], x[across], x[across + 2]) >= least for x in (slot, first, second)):
+                return True
+    return False
+
+
+def proximity_merge(signed: DataFrame, lines: DataFrame, page: list[str], aligned: float = 0.65, gap: float = 16.0) -> DataFrame:
+    """Boxes of a page absorbed by aligned ones close by, to the fixpoint.
+
+    Boxes carry the text of their nearest caption as ``signature``; two that have different ones
+    stay apart, and so do two with a line (corners, line_no) between them.
+    """
+
+    def run(own: list[dict]) -> list[dict]:
+        bars = [_box(r) for r in own if r["score"] is None]
+        start = [{"box": _box(r), "score": r["score"], "type": r["type"], "n": 1, "sig": r["signature"]} for r in own if r["score"] is not None]
+
+        def joins(a: dict, b: dict) -> bool:
+            apart = a["sig"] and b["sig"] and a["sig"] != b["sig"]
+            return not apart and beside_value(a["box"], b["box"], aligned, gap) and not barrier_value(a["box"], b["box"], bars)
+
+        return _out({p: own[0][p] for p in page}, absorb(start, joins))
+
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    boxes = signed.select(*page, F.col("ord").cast("long").alias("ord"), *CORNERS, "score", "type", "signature")
+    bars = lines.select(*page, F.col("line_no").cast("long").alias("ord"), *CORNERS, null("double", "score"), null("string", "type"), null("string", "signature"))
+    return each_group(boxes.unionByName(bars), page, ["ord"], run, _schema(signed, page))
+
+
+def replacing_distinct(rows: DataFrame, page: list[str], order: list[Column], worth: Column, most: float, carry: tuple[str, ...]) -> DataFrame:
+    """In the given order a box stays if no kept one overlaps it by more than ``most`` (IoU); of the first kept one
+    that does, the box takes the place at the end if it is worth more. ``place`` is the place among the kept, from 1."""
+    struct = F.struct(*order, worth.alias("worth"), *(F.col(c).alias("k_" + c) for c in carry), *(F.col(c) for c in CORNERS))
+    grouped = rows.groupBy(*page).agg(F.array_sort(F.collect_list(struct)).alias("all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        hit = F.get(F.filter(F.transform(acc, lambda y, i: F.when(g.iou(_of(y), _of(x)) > most, i)), lambda i: i.isNotNull()), F.lit(0))
+        worse = F.get(acc, hit)["worth"] < x["worth"]
+        return F.when(hit.isNull(), F.concat(acc, F.array(x))).when(worse, F.concat(F.filter(acc, lambda y, i: i != hit), F.array(x))).otherwise(acc)
+
+    kept = F.aggregate("all", F.slice(F.col("all"), 1, 0), step)
+    out = grouped.select(*page, F.posexplode(kept).alias("place", "b"))
+    return out.select(*page, (F.col("place") + 1).alias("place"), *(F.col(f"b.k_{c}").alias(c) for c in carry), *(F.col(f"b.{c}") for c in CORNERS))
 
 
 def components(edges: DataFrame, nodes: DataFrame, page: list[str]) -> DataFrame:

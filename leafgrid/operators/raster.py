@@ -84,6 +84,26 @@ def with_features(rasters: DataFrame, key: list[str], line: int = 40) -> DataFra
     return rasters.select(*key, "pixels", "height", "width").mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in key) + ", " + FEATURES)
 
 
+def largest_component(rasters: DataFrame, key: list[str], dark: int) -> DataFrame:
+    """Key, width, height, x and y of the pixels of each raster's largest 8-connected component of grey at most ``dark``;
+    of equal ones that of the first pixel, row by row."""
+    types = dict(rasters.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (data, h, w) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("pixels", "height", "width")), strict=True)):
+                labels = labelled(np.frombuffer(data or b"", np.uint8).reshape(h if data else 0, w if data else 0) <= dark)
+                names, sizes = np.unique(labels[labels > 0], return_counts=True)
+                if len(names):
+                    y, x = np.nonzero(labels == names[np.argmax(sizes)])
+                    same = pa.array(np.full(len(x), i))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c).take(same) for c in (*key, "width", "height")), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], names=[*key, "width", "height", "x", "y"]
+                    )
+
+    return rasters.select(*key, "pixels", "height", "width").mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in key) + ", width int, height int, x int, y int")
+
+
 def from_pixels(pixels: DataFrame, image: list[str], height: int, width: int, blank: int = 255) -> DataFrame:
     """Rasters of fixed size from rows of x, y and v; a pixel without a row is blank."""
     types = dict(pixels.dtypes)

@@ -12,7 +12,7 @@ from leafgrid.functions.geometry import Box
 from leafgrid.operators import captions as o
 from leafgrid.operators import merging as m
 from leafgrid.plans import common as c
-from leafgrid.plans.captioning import KEY, _K, _ON
+from leafgrid.plans.captioning import _GAP, _K, _ON, _SHARED, KEY
 
 
 def A():
@@ -23,7 +23,6 @@ def B():
     return Box.of("b_")
 
 
-
 def _fold(order: str, test: str, by: str = "doc_no, page_index") -> str:
     """First-wins de-duplication in SQL: boxes in order, each against the list of those that stayed."""
     item = "{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'ord': ord}"
@@ -49,23 +48,99 @@ def weighted_nms(spark, sf_dir):
     return m.greedy_distinct(c.boxes(spark, sf_dir), c.PAGE, [(-F.col("score")).alias("o1"), F.col("ord").alias("o2")], 0.05, ("ord",)).select(*KEY)
 
 
-@query(c.sql("b", f"WITH {_fold('cells DESC, score DESC, ord', f'{_IOU} > 0.05').replace('FROM b)', 'FROM (SELECT *, (ord % 4 + 1) * (page_index % 3 + 1) AS cells FROM b) b)')} SELECT doc_no, page_index, b.ord AS ord FROM e", recursive=True))
+def _s_replacing(most: float) -> str:
+    """De-duplication in SQL where a box worth more takes the place of the first kept one that it overlaps."""
+    return f"""k0 AS (SELECT *, (ord % 4 + 1) * (page_index % 3 + 1) AS cells FROM b),
+q AS (SELECT doc_no, page_index, row_number() OVER w AS i, count(*) OVER (PARTITION BY doc_no, page_index) AS n, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'ord': ord, 'cells': cells}} AS b
+ FROM k0 WINDOW w AS (PARTITION BY doc_no, page_index ORDER BY score DESC, ord)),
+f AS (SELECT doc_no, page_index, i, n, [b] AS kept FROM q WHERE i = 1 UNION ALL SELECT doc_no, page_index, i, n, CASE WHEN hit IS NULL THEN list_append(kept, x)
+ WHEN x.cells > kept[hit].cells THEN list_append(list_filter(kept, lambda y: y.ord <> kept[hit].ord), x) ELSE kept END
+ FROM (SELECT f.doc_no, f.page_index, q.i, f.n, f.kept, q.b AS x, list_position(list_transform(f.kept, lambda y: {_IOU} > {most}), true) AS hit
+ FROM f JOIN q ON q.doc_no = f.doc_no AND q.page_index = f.page_index AND q.i = f.i + 1)),
+e AS (SELECT doc_no, page_index, unnest(kept) AS b, generate_subscripts(kept, 1)::INT AS place FROM f WHERE i = n)"""
+
+
+#: The threshold of the rule, and a low one that the boxes here often pass.
+DEDUP = (0.7, 0.05)
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({c.sql('b', f'WITH {_s_replacing(x)} SELECT {x}::DOUBLE AS most, doc_no, page_index, place, b.ord AS ord FROM e', recursive=True)})" for x in DEDUP))
 def table_dedup(spark, sf_dir):
-    """Of tables that overlap the one with more cells stays, then the one with the higher score."""
-    rows = c.boxes(spark, sf_dir).withColumn("cells", (F.col("ord") % 4 + 1) * (F.col("page_index") % 3 + 1))
-    order = [(-F.col("cells")).alias("o1"), (-F.col("score")).alias("o2"), F.col("ord").alias("o3")]
-    return m.greedy_distinct(rows, c.PAGE, order, 0.05, ("ord",)).select(*KEY)
+    """Tables by falling score; one that overlaps a kept one goes, or takes its place if it has more cells."""
+    rows = c.boxes(spark, sf_dir)
+    cells = (F.col("ord") % 4 + 1) * (F.col("page_index") % 3 + 1)
+    order = [(-F.col("score")).alias("o1"), F.col("ord").alias("o2")]
+    runs = [m.replacing_distinct(rows, c.PAGE, order, cells, x, ("ord",)).select(F.lit(x).alias("most"), *c.PAGE, "place", "ord") for x in DEDUP]
+    return runs[0].unionByName(runs[1])
+
+
+def _least(x: str, of: str) -> str:
+    return f"list_min(list_transform({of}, lambda y: y.{x}))"
+
+
+def _most(x: str, of: str) -> str:
+    return f"list_max(list_transform({of}, lambda y: y.{x}))"
+
+
+_H = f"{c.s_iou('h.', 'y.')} >= 0.3 OR {c.s_overlap('h.', 'y.')} >= 0.7"
+_UNION = f"""{{'x0': {_least('x0', 'own')}, 'y0': {_least('y0', 'own')}, 'x1': {_most('x1', 'own')}, 'y1': {_most('y1', 'own')}, 'score': {_most('score', 'own')},
+ 'type': list_filter(own, lambda t: t.score = {_most('score', 'own')})[1].type, 'n': len(own)::INT}}"""
+_PLACED = "unnest(out) AS b, generate_subscripts(out, 1)::INT AS merged_ord"
+_SHOWN = "doc_no, page_index, merged_ord, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1, b.score AS score, b.type AS type, b.n AS merged_from"
 
 
-@query()
+@query(c.sql("b", f"""WITH q AS (SELECT doc_no, page_index, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'score': score, 'type': type, 'n': 1::INT}} ORDER BY ord) AS todo FROM b GROUP BY ALL),
+f AS (SELECT doc_no, page_index, 1 AS turn, false AS changed, todo, todo[:0] AS out FROM q UNION ALL
+SELECT doc_no, page_index, CASE WHEN h IS NULL THEN turn + 1 ELSE turn END, CASE WHEN h IS NULL THEN false ELSE changed OR len(own) > 1 END,
+ CASE WHEN h IS NULL THEN out ELSE rest END, CASE WHEN h IS NULL THEN todo ELSE list_append(out, CASE WHEN len(own) = 1 THEN h ELSE {_UNION} END) END
+ FROM (SELECT *, list_prepend(h, list_filter(todo[2:], lambda y: {_H})) AS own, list_filter(todo[2:], lambda y: NOT ({_H})) AS rest FROM (SELECT *, todo[1] AS h FROM f))
+ WHERE len(todo) > 0 OR (changed AND turn < 11)),
+e AS (SELECT doc_no, page_index, {_PLACED} FROM f WHERE len(todo) = 0 AND NOT (changed AND turn < 11)) SELECT {_SHOWN} FROM e""", recursive=True))
 def overlap_merge(spark, sf_dir):
-    """Boxes of a document merged while they overlap; each takes what joins it, round by round."""
+    """Boxes of a page merged while they overlap; each takes what joins it, pass by pass."""
     return m.overlap_merge(c.boxes(spark, sf_dir), c.PAGE)
 
 
-@query()
+def _s_span(a: str, b: str, s: str) -> str:
+    return f"(greatest(0, least({a}{s}1, {b}{s}1) - greatest({a}{s}0, {b}{s}0)) / greatest(1, least({a}{s}1 - {a}{s}0, {b}{s}1 - {b}{s}0)))"
+
+
+def _s_slot(s: str, o: str) -> str:
+    """Whether a line l stands in the gap between boxes h and x along s, the other axis being o; null where the gap is none."""
+    first = lambda v: f"(CASE WHEN h.{s}0 < x.{s}0 THEN h.{v} ELSE x.{v} END)"
+    second = lambda v: f"(CASE WHEN h.{s}0 < x.{s}0 THEN x.{v} ELSE h.{v} END)"
+    low, high, left, right = first(s + "1"), second(s + "0"), f"greatest(h.{o}0, x.{o}0)", f"least(h.{o}1, x.{o}1)"
+    slot = f"(greatest(0, least(l.{o}1, {right}) - greatest(l.{o}0, {left})) / greatest(1, least(l.{o}1 - l.{o}0, {right} - {left})))"
+    over = " AND ".join([f"{slot} >= 0.6", *(f"{_s_span('l.', p, o)} >= 0.6" for p in ("h.", "x."))])
+    touch = f"least(l.{s}1, {high}) > greatest(l.{s}0, {low}) AND least(l.{o}1, {right}) > greatest(l.{o}0, {left})"
+    return f"""(CASE WHEN {high} <= {low} + 2 OR {right} <= {left} THEN NULL ELSE len(list_filter(bars, lambda l: {touch} AND {over})) > 0 END)"""
+
+
+_JOINS = f"""NOT (h.sig <> '' AND x.sig <> '' AND h.sig <> x.sig)
+ AND (({_s_span('h.', 'x.', 'x')} >= 0.65 AND greatest(h.y0, x.y0) - least(h.y1, x.y1) <= 16) OR ({_s_span('h.', 'x.', 'y')} >= 0.65 AND greatest(h.x0, x.x0) - least(h.x1, x.x1) <= 16))
+ AND NOT (CASE WHEN h.y1 <= x.y0 OR x.y1 <= h.y0 THEN CASE WHEN {_s_slot('y', 'x')} IS NULL THEN false WHEN {_s_slot('y', 'x')} THEN true WHEN h.x1 <= x.x0 OR x.x1 <= h.x0 THEN coalesce({_s_slot('x', 'y')}, false) ELSE false END
+ WHEN h.x1 <= x.x0 OR x.x1 <= h.x0 THEN coalesce({_s_slot('x', 'y')}, false) ELSE false END)"""
+_GROWN = """{'x0': least(h.x0, x.x0), 'y0': least(h.y0, x.y0), 'x1': greatest(h.x1, x.x1), 'y1': greatest(h.y1, x.y1), 'score': greatest(h.score, x.score),
+ 'type': CASE WHEN h.score >= x.score THEN h.type ELSE x.type END, 'n': h.n + x.n, 'sig': CASE WHEN h.sig <> '' THEN h.sig ELSE x.sig END}"""
+
+
+@query(c.sql("bc", f"""WITH {_K}, sg AS (SELECT b.doc_no, b.page_index, b.ord, k.text, {_GAP} + {_SHARED} AS s, row_number() OVER (PARTITION BY b.doc_no, b.page_index, b.ord ORDER BY {_GAP} + {_SHARED}, k.line_no) AS r FROM b JOIN k ON {_ON}),
+q AS (SELECT doc_no, page_index, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'score': score, 'type': type, 'n': 1::INT, 'sig': coalesce(text, '')}} ORDER BY ord) AS todo
+ FROM b LEFT JOIN (SELECT doc_no, page_index, ord, text FROM sg WHERE r = 1 AND s <= 300) USING (doc_no, page_index, ord) GROUP BY ALL),
+bl AS (SELECT doc_no, page_index, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY line_no) AS bars FROM c GROUP BY ALL),
+f AS (SELECT doc_no, page_index, coalesce(bars, []) AS bars, false AS changed, todo[1] AS h, todo[2:] AS todo, todo[:0] AS rest, todo[:0] AS out FROM q LEFT JOIN bl USING (doc_no, page_index) UNION ALL
+SELECT doc_no, page_index, bars, CASE WHEN x IS NOT NULL THEN changed OR joined WHEN len(rest) > 0 THEN changed ELSE false END,
+ CASE WHEN x IS NOT NULL THEN CASE WHEN joined THEN {_GROWN} ELSE h END WHEN len(rest) > 0 THEN rest[1] WHEN changed THEN list_append(out, h)[1] END,
+ CASE WHEN x IS NOT NULL THEN todo[2:] WHEN len(rest) > 0 THEN rest[2:] WHEN changed THEN list_append(out, h)[2:] ELSE todo END,
+ CASE WHEN x IS NOT NULL AND NOT joined THEN list_append(rest, x) WHEN x IS NOT NULL THEN rest ELSE rest[:0] END,
+ CASE WHEN x IS NOT NULL THEN out WHEN len(rest) > 0 THEN list_append(out, h) WHEN changed THEN out[:0] ELSE list_append(out, h) END
+ FROM (SELECT *, coalesce({_JOINS}, false) AS joined FROM (SELECT *, todo[1] AS x FROM f WHERE h IS NOT NULL))),
+e AS (SELECT doc_no, page_index, {_PLACED} FROM f WHERE h IS NULL) SELECT {_SHOWN} FROM e""", recursive=True))
 def proximity_merge(spark, sf_dir):
-    return m.proximity_merge(c.boxes(spark, sf_dir), c.PAGE)
+    """Boxes absorbed by aligned ones close by, but for those under other captions or behind a line."""
+    rows, lines = c.boxes(spark, sf_dir), c.captions(spark, sf_dir)
+    signed = rows.join(o.signature(rows, o.candidates(lines), c.PAGE, KEY), KEY)
+    return m.proximity_merge(signed, lines, c.PAGE)
 
 
 _REACH = f"""ed AS (SELECT doc_no, page_index, a_ord AS a, b_ord AS b FROM p WHERE {c.s_distance('a_', 'b_')} <= 50),

@@ -105,19 +105,67 @@ def ink_ratio(spark, sf_dir):
     return dz.pixel_facts(_pixels(spark, sf_dir), ["img_id"], F.lit(4096))
 
 
-@query(f"""WITH {_PX}, m AS (SELECT img_id, x, median(y) AS y FROM px WHERE v <= 200 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY img_id) AS n FROM m)
-SELECT img_id, x, y, round(x / 63 * 10, 6) AS value_x, round(5 - y / 63 * 5, 6) AS value_y FROM r WHERE n <= 30 OR k % (n // 30) = 0""")
+_LARGEST = """dk AS (SELECT img_id, x, y, y * 64 + x AS i FROM px WHERE v <= 200),
+reach AS (SELECT img_id, i, i AS t FROM dk UNION SELECT r.img_id, r.i, d.i FROM reach r JOIN dk e ON r.img_id = e.img_id AND r.t = e.i JOIN dk d ON d.img_id = e.img_id AND abs(d.x - e.x) <= 1 AND abs(d.y - e.y) <= 1),
+lab AS (SELECT img_id, i, min(t) AS comp FROM reach GROUP BY ALL),
+big AS (SELECT img_id, comp FROM (SELECT img_id, comp, row_number() OVER (PARTITION BY img_id ORDER BY count(*) DESC, comp) AS r FROM lab GROUP BY img_id, comp) WHERE r = 1),
+lg AS (SELECT dk.img_id, dk.x, dk.y FROM dk JOIN lab USING (img_id, i) JOIN big USING (img_id, comp))"""
+
+
+@query(f"""WITH RECURSIVE {_PX}, {_LARGEST}, m AS (SELECT img_id, x, median(y) AS y FROM lg GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY x) - 1 AS k, count(*) OVER (PARTITION BY img_id) AS n FROM m)
+SELECT img_id, x, y, round(x / 64 * 10, 6) AS value_x, round(5 - y / 64 * 5, 6) AS value_y FROM r WHERE n <= 5 OR k % (n // 5) = 0""")
 def curve_median(spark, sf_dir):
-    """The curve of a line plot: median dark pixel of each column, thinned, on the axes 0..10 and 0..5."""
-    return dz.curve(_pixels(spark, sf_dir), ["img_id"], (63, 63), (0.0, 10.0), (0.0, 5.0), most=30)
+    """The curve of a line plot: median pixel of each column of the largest dark component, thinned, on the axes 0..10 and 0..5."""
+    rasters = raster.from_pixels(_pixels(spark, sf_dir), ["img_id"], 64, 64)
+    return dz.curve(rasters, ["img_id"], (0.0, 10.0), (0.0, 5.0), most=5)
+
+
+_STROKES = f"st AS (SELECT * FROM ({sources.view('strokes')}))"
+_AXES = """an AS (SELECT *, abs(atan2((y1 - y0)::DOUBLE, (x1 - x0)::DOUBLE)) AS a FROM st),
+ax AS (SELECT chart_no, coalesce(trunc(max((y0 + y1) / 2) FILTER (WHERE a < 0.2 OR a > 2.9))::INT, 1050) AS x_axis, coalesce(trunc(min((x0 + x1) / 2) FILTER (WHERE a > 1.4 AND a < 1.7))::INT, 50) AS y_axis,
+ 850 AS x_max, 50 AS y_min, count(*) FILTER (WHERE a > 1.3 AND a < 1.8) AS nv, count(*) FILTER (WHERE a < 0.3 OR a > 2.8) AS nh FROM an GROUP BY ALL),
+axes AS (SELECT chart_no, x_axis, y_axis, x_max, y_min, CASE WHEN nv > nh * 1.5 THEN 'vertical' WHEN nh > nv * 1.5 THEN 'horizontal' ELSE 'vertical' END AS orientation FROM ax)"""
+
+
+def _axes(spark, sf_dir):
+    return dz.axes(sources.entity(spark, sf_dir, "strokes"), ["chart_no"], 900, 1100)
+
+
+@query(f"WITH {_STROKES}, {_AXES} SELECT * FROM axes")
+def bar_axes(spark, sf_dir):
+    """Axes of charts of 900 by 1100 and whether their bars stand."""
+    return _axes(spark, sf_dir)
+
+
+_BARS = f"""bars AS (SELECT b.doc_no, b.page_index, ord, x0, y0, x1, y1, x_axis, y_axis, x_max, y_min, orientation, row_number() OVER (PARTITION BY b.doc_no, b.page_index ORDER BY
+ CASE orientation WHEN 'vertical' THEN x0 + floor((x1 - x0) / 2) ELSE y0 + floor((y1 - y0) / 2) END, ord)::INT AS bar FROM b JOIN axes ON doc_no % 200 = chart_no)"""
+
+
+def _bars(spark, sf_dir):
+    """The boxes of a page as the bars of a chart, in order."""
+    rows = c.boxes(spark, sf_dir).withColumn("chart_no", F.col("doc_no") % 200).join(_axes(spark, sf_dir), "chart_no")
+    middle = F.when(F.col("orientation") == "vertical", F.col("x0") + F.floor((F.col("x1") - F.col("x0")) / 2)).otherwise(F.col("y0") + F.floor((F.col("y1") - F.col("y0")) / 2))
+    return rows.withColumn("bar", F.row_number().over(Window.partitionBy(*c.PAGE).orderBy(middle, "ord")))
 
 
-@query(c.sql("b", """SELECT doc_no, page_index, row_number() OVER (PARTITION BY doc_no, page_index ORDER BY (x0 + x1) / 2, ord)::INT AS bar, round(least(100, greatest(0, (y1 - y0) / 190 * 100)), 2) AS value,
- x1 - x0 >= 5 AND y1 - y0 >= 60 AS valid FROM b"""))
+@query(c.sql("b", f"""WITH {_STROKES}, {_AXES}, {_BARS} SELECT doc_no, page_index, bar, round(CASE orientation WHEN 'vertical' THEN CASE WHEN x_axis > y_min THEN (x_axis - y0) / (x_axis - y_min) * 100 ELSE 0 END
+ ELSE CASE WHEN x_max > y_axis THEN (x1 - y_axis) / (x_max - y_axis) * 100 ELSE 0 END END, 2) AS value,
+ x1 - x0 >= 5 AND y1 - y0 >= 10 AND CASE orientation WHEN 'vertical' THEN NOT (y1 < y_min OR y0 > x_axis OR x0 < y_axis OR x0 > x_max) AND y1 - y0 >= (x1 - x0) * 0.8
+ ELSE NOT (x1 < y_axis OR x0 > x_max OR y0 < y_min OR y0 > x_axis) AND x1 - x0 >= (y1 - y0) * 0.8 END AS valid FROM bars"""))
 def bar_values(spark, sf_dir):
-    """Bars from left to right with their height as a percentage of an axis of 190 pixels."""
-    rows = c.boxes(spark, sf_dir).withColumn("bar", F.row_number().over(Window.partitionBy(*c.PAGE).orderBy((F.col("x0") + F.col("x1")) / 2, "ord")))
-    return rows.select(*c.PAGE, "bar", dz.bar_value(g.height(B()), F.lit(190.0)).alias("value"), dz.valid_bar(B(), 5, 60).alias("valid"))
+    """Bars in their order with the end of each as a percentage of the axis, and whether it can be a bar."""
+    rows = _bars(spark, sf_dir)
+    at, stands = dz.Axes(*(F.col(x) for x in dz.Axes._fields)), F.col("orientation") == "vertical"
+    return rows.select(*c.PAGE, "bar", dz.bar_value(B(), stands, at).alias("value"), dz.valid_bar(B(), stands, at).alias("valid"))
+
+
+@query(c.sql("bc", f"""WITH {_STROKES}, {_AXES}, {_BARS}, far AS (SELECT s.doc_no, s.page_index, s.bar, c.text,
+ sqrt(((c.x0 + c.x1) / 2 - CASE orientation WHEN 'vertical' THEN s.x0 + floor((s.x1 - s.x0) / 2) ELSE s.x0 - 20 END) ** 2 + ((c.y0 + c.y1) / 2 - CASE orientation WHEN 'vertical' THEN s.y1 + 20 ELSE s.y0 + floor((s.y1 - s.y0) / 2) END) ** 2) AS far,
+ c.line_no FROM bars s JOIN c USING (doc_no, page_index)), best AS (SELECT *, row_number() OVER (PARTITION BY doc_no, page_index, bar ORDER BY far, line_no) AS r FROM far)
+SELECT doc_no, page_index, bar, CASE WHEN far < 100 AND text <> '' THEN text ELSE 'Bar_' || bar END AS label FROM bars LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (doc_no, page_index, bar)"""))
+def bar_labels(spark, sf_dir):
+    """Bars with the nearest text at the place of their label."""
+    return dz.bar_labels(_bars(spark, sf_dir).select(*c.PAGE, "bar", *c.CORNERS, "orientation"), c.captions(spark, sf_dir), c.PAGE)
 
 
 def _runs(along: str, across: str) -> str:

@@ -28,6 +28,8 @@ VIEWS: dict[str, tuple[str, str, str]] = {
  ' of TiO2 and NaCl annealed at ', CAST(CAST(l_quantity AS INT)*20 AS STRING), ' °C for ', CAST(l_linenumber AS STRING), ' h under ',
  CAST(l_suppkey AS STRING), ' kPa, pH = ', CAST(l_linenumber AS STRING), '.5, ', CAST(300 + l_partkey % 500 AS STRING), ' nm') AS text""", ""),
     "segments": ("orders", """o_orderkey % 200 AS page_no, (o_orderkey*61) % 1200 AS y, (o_custkey*7) % 300 AS x0, (o_custkey*7) % 300 + 200 + o_orderkey % 300 AS x1, o_orderkey AS seg_id""", ""),
+    "strokes": ("orders", """o_orderkey % 200 AS chart_no, (o_custkey*7) % 300 + 40 AS x0, (o_orderkey*61) % 800 + 60 AS y0,
+ (o_custkey*7) % 300 + 40 + CASE WHEN o_custkey % 5 < o_orderkey % 200 % 6 THEN 0 ELSE 200 END AS x1, (o_orderkey*61) % 800 + 60 + CASE WHEN o_custkey % 5 < o_orderkey % 200 % 6 THEN 250 ELSE 0 END AS y1""", ""),
     "pixels": ("lineitem", """DISTINCT l_orderkey % 50 AS img_id, (l_partkey*17) % 64 AS x, (l_suppkey*31 + l_partkey) % 64 AS y,
  (l_partkey*29 + (l_suppkey*31 + l_partkey) % 64) % 256 AS v""", ""),
 }
