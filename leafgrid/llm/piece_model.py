@@ -1,10 +1,15 @@
 """SentencePiece encoding and decoding: Viterbi over pieces, as a stream.
 
-Positions of a text are reached by pieces; the best sum of scores at each position needs
-only the last positions that a piece can span. Whenever the paths back from all of these
-meet at one boundary, everything before it is settled: its ids are committed and forgotten.
-Scores are needed only within the longest piece; what is open beyond it are back pointers, in
-practice for some letters (a run of one letter can keep two alignments open to its end).
+A text is read part by part. Each position keeps the best sum of scores that reaches it and
+a pointer back. A later piece can only follow the end, or a position from which the text
+so far is the beginning of a longer piece; these positions survive, and all of them lie within
+the longest piece. Whenever the paths back from the survivors meet at one boundary, all before it
+is settled: its ids are committed and forgotten. On ordinary text that happens at nearly every
+space; a run of one letter can keep several alignments open to its end.
+
+What a part commits depends on it and the open window alone, as the sums count from the last
+settled boundary. A stream therefore remembers its own steps for short windows: each
+window is a state, which maps parts to the ids committed and the next state.
 """
 
 from __future__ import annotations
@@ -20,8 +25,12 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: How much below the least score a character that no piece covers counts.
 PENALTY = 10.0
-#: Cuts remembered in one worker process, and their longest length.
-REMEMBERED, LONGEST = 300_000, 48
+#: Steps remembered in one worker process, and the longest window and part of one.
+REMEMBERED, SHORT = 1_000_000, 64
+#: Characters of a text that are prepared at once.
+SLICE = 1 << 20
+#: A window longer than this looks for a boundary only when it has grown by an eighth.
+WIDE = 1024
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -50,6 +59,16 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class State(dict):
+    """A short open window: of parts, the committed ids and the state after them."""
+
+    __slots__ = ("open",)
+
+    def __init__(self, open_: str) -> None:
+        super().__init__()
+        self.open = open_
+
+
 @dataclass
 class PieceModel:
     """Pieces with scores, and how texts are prepared: a space in front, spaces as U+2581."""
@@ -59,12 +78,12 @@ class PieceModel:
     kinds: list[int]
     prefix: bool = True
     ids: dict[str, int] = field(init=False)
-    starts: set[str] = field(init=False)
     bytes_of: list[bytes] = field(init=False)
+    #: of a character: the score of the piece that ends with it, if one does, and what may follow, if anything may
+    trie: dict = field(init=False)
 
     def __post_init__(self) -> None:
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.longest = max(map(len, self.ids), default=1)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
@@ -73,11 +92,23 @@ class PieceModel:
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode()
             for p, k in zip(self.pieces, self.kinds, strict=True)
         ]
-        #: no piece has a space after something else, so that a space after something else always begins a piece
-        self.cuts_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.known: dict[str, bytes] = {}
-        #: score of each piece, and None for what only begins one
-        self.scored: dict[str, float | None] = {p: None for p in self.starts} | {p: self.scores[i] for p, i in self.ids.items()}
+        self.single = {p for p in self.ids if len(p) == 1}
+        self.trie = self._branch(sorted(self.ids), 0)
+        self.states: dict[str, State] = {}
+        self.steps = 0
+
+    def _branch(self, pieces: list[str], depth: int) -> dict:
+        out = {}
+        at = 0
+        while at < len(pieces):
+            end = at
+            while end < len(pieces) and pieces[end][depth] == pieces[at][depth]:
+                end += 1
+            whole = len(pieces[at]) == depth + 1
+            more = pieces[at + whole : end]
+            out[pieces[at][depth]] = (self.scores[self.ids[pieces[at]]] if whole else None, self._branch(more, depth + 1) if more else None)
+            at = end
+        return out
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -108,135 +139,160 @@ class PieceModel:
             return [self.byte_ids[b] for b in piece.encode()]
         return [self.unknown]
 
+    def state(self, window: str) -> State:
+        if self.steps > REMEMBERED:
+            self.states, self.steps = {}, 0
+        found = self.states.get(window)
+        if found is None:
+            found = self.states[window] = State(window)
+        return found
+
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text. Equal cuts between settled boundaries are worked out once."""
+        """Ids of a whole text, by a stream over it."""
         if not text:
             return np.zeros(0, np.uint32)
-        whole = self.prepared(text)
-        if not self.cuts_at_space:
-            return np.array(_all_ids(self, whole), np.uint32)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for cut in _CUT.findall(whole):
-            got = known.get(cut)
-            if got is None:
-                if len(cut) <= LONGEST:
-                    got = known[cut] = np.array(self.short_ids(cut), "<u4").tobytes()
-                else:
-                    got = np.array(_all_ids(self, cut), "<u4").tobytes()
-            out.append(got)
+        stream = Stream(self)
+        out = [stream.feed(self.prepared(text[:SLICE]))]
+        out += [stream.feed(text[at : at + SLICE].replace(" ", SPACE)) for at in range(SLICE, len(text), SLICE)]
+        out.append(stream.finish())
         return np.frombuffer(b"".join(out), "<u4")
 
-    def short_ids(self, cut: str) -> list[int]:
-        """What a stream gives for a cut that fits its window."""
-        n, get, longest = len(cut), self.scored.get, self.longest
-        best, back = [0.0] + [-1e300] * n, [0] * (n + 1)
-        for i in range(n):
-            here, single = best[i], False
-            for j in range(i + 1, min(i + longest, n) + 1):
-                score = get(cut[i:j], self)
-                if score is self:
-                    break
-                if score is not None:
-                    single = single or j == i + 1
-                    if here + score > best[j]:
-                        best[j], back[j] = here + score, i
-            if not single and here + self.unknown_score > best[i + 1]:
-                best[i + 1], back[i + 1] = here + self.unknown_score, i
-        out: list[list[int]] = []
-        while n:
-            out.append(self.piece_ids(cut[back[n] : n]))
-            n = back[n]
-        return [x for ids in reversed(out) for x in ids]
-
     def decode(self, ids: np.ndarray) -> str:
         return self.restored(b"".join(map(self.bytes_of.__getitem__, ids.tolist())))
 
 
-_CUT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-
-
-def _all_ids(model: PieceModel, prepared: str) -> list[int]:
-    stream = Stream(model)
-    return stream.feed(prepared) + stream.finish()
+#: A word and the space after it, as the boundary before a space settles when the space is read.
+_PART = re.compile(f"[^{SPACE}]{{1,{SHORT - 16}}}{SPACE}?|{SPACE}{{1,{SHORT}}}")
 
 
 class Stream:
-    """Takes prepared text in parts of any length and gives ids as soon as they are settled."""
+    """Takes prepared text in parts of any length and gives ids, as bytes of 32-bit numbers, as soon as they are settled."""
 
     def __init__(self, model: PieceModel) -> None:
         self.model = model
-        self.text = ""  # from the last settled boundary on
-        self.best: list[float] = [0.0]  # of each position of text that was reached
+        self.state: State | None = model.state("")  # the open window, while it is short
+        self.width = 0  # the longest window ever open after a step, and the steps that committed, for tests
+        self.commits = 0
+        self._load("")
+
+    def _load(self, window: str) -> list[int]:
+        """Take up a window as if it had been read since a settled boundary; gives the survivors."""
+        self.parts = [window]  # of the window, from the last settled boundary on
+        self.tail = window[-self.model.longest :]
+        self.best: list[float] = [0.0]  # of each position of the window
         self.back: list[int] = [0]
-        self.width = 0  # the most characters ever held, for tests
+        self.looked = 0  # length of the window when a boundary was last looked for
+        return self._reach(window, window)
 
-    def feed(self, part: str) -> list[int]:
+    def feed(self, text: str) -> bytes:
         """Ids that this part of the text settles."""
-        out: list[int] = []
-        step = max(4 * self.model.longest, 64)
-        for at in range(0, len(part), step):
-            self.text += part[at : at + step]
-            self._reach()
-            out += self._settled()
-            self.width = max(self.width, len(self.text))
-        return out
-
-    def finish(self) -> list[int]:
+        out = []
+        state = self.state
+        for part in _PART.findall(text):
+            step = state.get(part) if state is not None else None
+            if step is None:
+                step = self._step(state, part)
+            out.append(step[0])
+            state = step[1]
+        self.state = state
+        return b"".join(out)
+
+    def finish(self) -> bytes:
         """Ids of what is left."""
-        out = self._commit(len(self.text))
-        self.text, self.best, self.back = "", [0.0], [0]
+        if self.state is not None:
+            self._load(self.state.open)
+        out = self._commit(len(self.back) - 1)
+        self.state = self.model.state("")
         return out
 
-    def _reach(self) -> None:
-        text, best, back, model = self.text, self.best, self.back, self.model
-        ids, starts, scores, longest = model.ids, model.starts, model.scores, model.longest
-        done, n = len(best) - 1, len(text)
-        best += [float("-inf")] * (n - done)
-        back += [0] * (n - done)
+    def _step(self, state: State | None, part: str) -> tuple[bytes, State | None]:
+        """Read a part; remembered where the windows before and after are short."""
+        model = self.model
+        if state is not None:
+            survivors = self._load(state.open + part)
+        else:
+            self.tail += part
+            survivors = self._reach(part, self.tail)
+            self.tail = self.tail[-model.longest :]
+            self.parts.append(part)
+        n = len(self.back) - 1
+        ids = b""
+        if n < WIDE or n > self.looked * 9 // 8:
+            self.looked = n
+            ids = self._commit(self._meeting(survivors))
+            n = len(self.back) - 1
+        self.width = max(self.width, n)
+        after = model.state("".join(self.parts)) if n <= SHORT else None
+        if state is not None and after is not None:
+            state[part] = (ids, after)
+            model.steps += 1
+        return ids, after
+
+    def _reach(self, part: str, text: str) -> list[int]:
+        """Best sums of the positions of a new part; text ends with it and begins a piece's length before. Gives the survivors."""
+        best, back, trie, longest, single, unknown = self.best, self.back, self.model.trie, self.model.longest, self.model.single, self.model.unknown_score
+        done = len(best) - 1
+        n = done + len(part)
+        off = n - len(text)  # place of the text in the window
+        best += [float("-inf")] * len(part)
+        back += [0] * len(part)
+        survivors = []
         for i in range(max(0, done - longest + 1), n):
-            if i < done:
-                first = done - i + 1
-            else:
-                first = 1
-            here = best[i]
-            single = False
-            for j in range(i + 1, min(i + longest, n) + 1):
-                piece = text[i:j]
-                if piece not in starts:
+            here, j, node = best[i], i, trie
+            for c in text[i - off : i - off + longest]:
+                found = node.get(c)
+                if found is None:
+                    node = None
+                    break
+                j += 1
+                score, node = found
+                if score is not None and j > done and here + score > best[j]:
+                    best[j] = here + score
+                    back[j] = i
+                if node is None:
                     break
-                k = ids.get(piece)
-                if k is not None:
-                    single = single or j == i + 1
-                    if j - i >= first and here + scores[k] > best[j]:
-                        best[j], back[j] = here + scores[k], i
-            if not single and i >= done and here + model.unknown_score > best[i + 1]:
-                best[i + 1], back[i + 1] = here + model.unknown_score, i
-
-    def _settled(self) -> list[int]:
-        """Commit up to the boundary where the paths from all positions that a later piece can follow meet."""
-        n = len(self.text)
-        ends = set(range(max(0, n - self.model.longest + 1), n + 1))
-        while len(ends) > 1:
-            last = max(ends)
-            ends.remove(last)
-            ends.add(self.back[last])
-        at = ends.pop()
-        return self._commit(at) if at else []
-
-    def _commit(self, at: int) -> list[int]:
-        cuts = [at]
-        while cuts[-1]:
-            cuts.append(self.back[cuts[-1]])
-        cuts.reverse()
+            if node is not None and j == n:
+                survivors.append(i)
+            if i >= done and text[i - off] not in single and here + unknown > best[i + 1]:
+                best[i + 1] = here + unknown
+                back[i + 1] = i
+        survivors.append(n)
+        return survivors
+
+    def _meeting(self, survivors: list[int]) -> int:
+        """The last boundary that the paths back from all survivors share."""
+        back = self.back
+        at = survivors[-1]
+        for other in reversed(survivors[:-1]):
+            while at != other:
+                if at > other:
+                    at = back[at]
+                else:
+                    other = back[other]
+        return at
+
+    def _commit(self, at: int) -> bytes:
+        if not at:
+            return b""
+        self.commits += 1
+        window, back, ids = "".join(self.parts), self.back, self.model.ids
         out: list[int] = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            out += self.model.piece_ids(self.text[a:b])
+        end = at
+        while end:
+            begin = back[end]
+            found = ids.get(window[begin:end])
+            if found is None:
+                out += reversed(self.model.piece_ids(window[begin:end]))
+            else:
+                out.append(found)
+            end = begin
+        out.reverse()
         base = self.best[at]
-        self.text, self.best, self.back = self.text[at:], [x - base for x in self.best[at:]], [max(0, x - at) for x in self.back[at:]]
-        return out
+        self.parts, self.looked = [window[at:]], 0
+        self.tail = self.parts[0][-self.model.longest :]
+        # a position that no survivor's path goes through may point before the boundary; nothing follows it
+        self.best, self.back = [x - base for x in self.best[at:]], [x - at if x > at else 0 for x in back[at:]]
+        return struct.pack(f"<{len(out)}I", *out)
 
 
 class Decoder:

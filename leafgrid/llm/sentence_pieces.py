@@ -44,7 +44,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            texts = [own.restored(b"".join(own.bytes_of[i] for i in ids or [])) for ids in batch.column("ids").to_pylist()]
+            texts = [own.restored(b"".join([own.bytes_of[i] for i in ids or []])) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 from llm_words import words
 
@@ -27,14 +28,19 @@ def score(model, ids_of_pieces):
 
 
 def pieces_of(model, prepared):
-    """Pieces of a text as a stream commits them."""
-    out = []
-    own = pm.Stream(model)
-    original = model.piece_ids
-    model.piece_ids = lambda p: out.append(p) or original(p)
-    own.feed(prepared)
-    own.finish()
-    del model.piece_ids
+    """Pieces of a text as a stream commits them; bytes of a character that is none as the character."""
+    s = pm.Stream(model)
+    out, held = [], b""
+    for i in numbers(s.feed(prepared) + s.finish()):
+        if model.kinds[i] != pm.BYTE:
+            out.append(model.pieces[i])
+            continue
+        held += model.bytes_of[i]
+        try:
+            out.append(held.decode())
+        except UnicodeDecodeError:
+            continue
+        held = b""
     return out
 
 
@@ -46,6 +52,10 @@ def test_best_path():
         assert abs(score(MODEL, got) - naive(MODEL, prepared)) <= 1e-9 * max(1, abs(naive(MODEL, prepared)))
 
 
+def numbers(data):
+    return np.frombuffer(data, "<u4").tolist()
+
+
 def test_streams_commit_in_a_window_and_agree():
     r = random.Random(3)
     for text in TEXTS:
@@ -54,11 +64,35 @@ def test_streams_commit_in_a_window_and_agree():
             s, out, at = pm.Stream(MODEL), [], 0
             while at < len(prepared):
                 k = r.randint(1, step)
-                out += s.feed(prepared[at : at + k])
+                out += numbers(s.feed(prepared[at : at + k]))
                 at += k
-            assert out + s.finish() == whole
-            if len(set(text)) > 1:  # a run of one letter keeps two alignments alive to its end
-                assert s.width <= 128 + 4 * MODEL.longest
+            assert out + numbers(s.finish()) == whole
+
+
+def test_ordinary_text_commits_within_a_short_window():
+    fresh = pm.PieceModel.load(PATH)  # that has no steps in store, so that each is taken
+    text = words(5, 3000)
+    s = pm.Stream(fresh)
+    early = numbers(s.feed(fresh.prepared(text)))
+    assert s.commits >= len(set(text.split())) - 1 and s.width <= 4 * fresh.longest
+    assert len(early) >= len(fresh.encode(text)) - 2 * fresh.longest  # all but the open window
+
+
+def test_remembered_steps_change_nothing(monkeypatch):
+    text = words(6, 400) + "a" * 300 + " " * 300 + words(7, 50)
+    whole = MODEL.encode(text).tolist()
+    monkeypatch.setattr(pm, "REMEMBERED", 3)
+    fresh = pm.PieceModel.load(PATH)
+    assert fresh.encode(text).tolist() == whole
+    monkeypatch.setattr(pm, "SHORT", 0)  # no window is short
+    assert numbers(pm.Stream(fresh).feed(fresh.prepared(text)))[:300] == whole[:300]
+
+
+def test_very_long_runs():
+    for text in (" " * 300_000, "a" * 300_001, "\n" * 300_000, "ab \n\t" * 60_000, "語" * 100_000):
+        ids = MODEL.encode(text)
+        assert MODEL.decode(ids) == text
+    assert len(MODEL.encode(" " * 300_000)) == 300_000 // 16 + 1
 
 
 def test_round_trips():
@@ -71,7 +105,6 @@ def test_round_trips():
 
 def test_pieces_without_byte_fallback_and_with_inner_spaces():
     m = pm.PieceModel(["<unk>", "a", "b", "ab", "▁", "a▁b"], [0.0, -1, -1, -1.5, -1, -0.5], [2, 1, 1, 1, 1, 1])
-    assert not m.cuts_at_space
     assert m.encode("a b").tolist() == [4, 5]
     assert m.encode("az").tolist() == [4, 1, 0]
 
