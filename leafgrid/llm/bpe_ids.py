@@ -1,8 +1,10 @@
 """Ids of whole texts by a byte-level BPE vocabulary file of the library tokenizers.
 
 The file's vocabulary is run by tiktoken's merge loop, which gives the same ids as
-the library that the file is for (a test compares them) at a fraction of its cost. Strings
-of special tokens are ordinary text.
+the library that the file is for (a test compares them) at a fraction of its cost. Its
+splitting pattern gives up on white space of about a million characters; the library itself
+codes such a text. Strings of special tokens are ordinary text unless asked for, as the
+vocabulary's description has it, so that a text cannot forge them.
 """
 
 from __future__ import annotations
@@ -27,20 +29,33 @@ def _byte_of() -> dict[str, int]:
 class Encoder:
     """Ids of texts, as arrays of unsigned 32-bit integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
         import tiktoken
 
+        self.path, self.special = path, special
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = _byte_of()
-        special = {x["content"] for x in spec.get("added_tokens", [])}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.engine = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+        self.engine = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added if special else {})
+        self.library = None
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        return self.engine.encode_to_numpy(text, disallowed_special=())
+        try:
+            return self.engine.encode_to_numpy(text, allowed_special="all" if self.special else set(), disallowed_special=())
+        except ValueError:
+            return self._by_library(text)
+
+    def _by_library(self, text: str) -> np.ndarray:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.encode_special_tokens = not self.special
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def encoder(path: str) -> Encoder:

@@ -1,14 +1,20 @@
 """Token counts: additive totals by source, language and tokenizer version, kept up by deltas.
 
-A ledger is a folder of numbered versions. Each version holds the totals and the ids of
-all batches that they contain. A commit adds one batch of signed changes to the last
-version, writes the next one aside and renames it into place; a batch that is already
-contained changes nothing, so that a repeated or retried commit is safe.
+A ledger is a folder. ``log`` holds one small file for each version, which names the batch
+that made it and the folder of its totals. A commit sums a batch's signed changes and the
+totals of the last version, writes them aside and then publishes the next file of the log in
+one step that fails if another writer was first; it then starts again from that version. A batch
+that the log names already changes nothing, so that a repeated or retried commit is safe.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from collections.abc import Iterator
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +22,7 @@ from pyspark.sql import functions as F
 
 from leafgrid.llm import textnum
 from leafgrid.llm.bpe_ids import encoder
-from leafgrid.llm.store import fresh_path, keep, small_batches
+from leafgrid.llm.store import drop_path, fresh_path, keep, small_batches
 
 GROUP = ("source", "lang", "version")
 _TOTALS = "source string, lang string, version string, n_docs long, n_tokens long"
@@ -62,50 +68,94 @@ def delta(changes: DataFrame) -> DataFrame:
     )
 
 
+_LOG = "batch string, totals string"
+
+
 class Ledger:
-    """Totals by source, lang and version in a folder that all executors share."""
+    """Totals by source, lang and version in a folder that all executors share.
+
+    The folder must be on a file system that renames in one step: a local or mounted one, or HDFS.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        jvm = spark.sparkContext._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._at = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> int:
         """The number of the last version; 0 before any commit."""
-        if not self._fs.exists(self._at(self.path)):
+        log = self._at(f"{self.path}/log")
+        if not self._fs.exists(log):
             return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(self.path))]
-        return max((int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()), default=0)
+        names = [s.getPath().getName() for s in self._fs.listStatus(log)]
+        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+    def _log(self, version: int | None = None) -> DataFrame:
+        return self.spark.read.schema(_LOG).json(f"{self.path}/log" if version is None else f"{self.path}/log/{version:020d}.json")
 
-    def _part(self, version: int, name: str, schema: str) -> DataFrame:
+    def _totals(self, version: int) -> DataFrame:
         if not version:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v={version}/{name}")
+            return self.spark.createDataFrame([], _TOTALS)
+        return self.spark.read.schema(_TOTALS).parquet(f"{self.path}/totals/{self._log(version).first()['totals']}")
 
     def totals(self) -> DataFrame:
         """Groups with a document or a token."""
-        return self._part(self.version(), "totals", _TOTALS)
+        return self._totals(self.version())
 
     def batches(self) -> DataFrame:
-        return self._part(self.version(), "batches", "batch string")
+        """The batches that the totals hold."""
+        return self._log().select("batch") if self.version() else self.spark.createDataFrame([], "batch string")
+
+    def _publish(self, version: int, record: dict) -> bool:
+        """Make the file of a version in one step; False if there is one."""
+        to = f"{self.path}/log/{version:020d}.json"
+        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
+        out = self._fs.create(self._at(aside), False)
+        out.write(bytearray(json.dumps(record).encode()))
+        out.close()
+        self._fs.mkdirs(self._at(f"{self.path}/log"))
+        try:
+            if self._fs.getScheme() == "file":
+                os.link(_local(aside), _local(to))
+            else:
+                none = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                kinds = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                kinds[0] = none
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+                context.rename(self._at(aside), self._at(to), kinds)
+            return True
+        except Exception:
+            if self._fs.exists(self._at(to)):
+                return False
+            raise
+        finally:
+            self._fs.delete(self._at(aside), False)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Add a batch; False if the totals have it already."""
-        now = self.version()
-        seen = self._part(now, "batches", "batch string")
-        if not seen.where(F.col("batch") == batch).isEmpty():
-            return False
-        aside = f"{self.path}/staging-{batch}-{now + 1}"
-        both = self._part(now, "totals", _TOTALS).unionByName(delta(changes))
-        summed = both.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        summed.where("n_docs <> 0 or n_tokens <> 0").coalesce(1).write.mode("overwrite").parquet(f"{aside}/totals")
-        new = self.spark.createDataFrame([(batch,)], "batch string")
-        seen.unionByName(new).coalesce(1).write.mode("overwrite").parquet(f"{aside}/batches")
-        to = self._at(f"{self.path}/v={now + 1}")
-        if self._fs.exists(to) or not self._fs.rename(self._at(aside), to):
-            raise RuntimeError(f"version {now + 1} was written meanwhile; commit {batch} again")
-        return True
+        """Add a batch; False if the totals have it already.
+
+        Changes hold GROUP, old_tokens and new_tokens: see ``delta`` for nulls in the counts; a null
+        source, lang or version is a group of its own; equal changes count each; no changes make a
+        version of the same totals.
+        """
+        added: DataFrame | None = None
+        while True:
+            now = self.version()
+            if not self.batches().where(F.col("batch") == batch).isEmpty():
+                return False
+            added = keep(delta(changes), "delta") if added is None else added
+            both = self._totals(now).unionByName(added)
+            summed = both.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+            name = uuid.uuid4().hex
+            summed.where("n_docs <> 0 or n_tokens <> 0").coalesce(1).write.parquet(f"{self.path}/totals/{name}")
+            if self._publish(now + 1, {"batch": batch, "totals": name}):
+                return True
+            drop_path(self.spark, f"{self.path}/totals/{name}")
+
+
+def _local(path: str) -> Path:
+    return Path(unquote(urlparse(path).path) if path.startswith("file:") else path)
 
 
 def rolled_up(totals: DataFrame) -> DataFrame:
@@ -116,28 +166,25 @@ def rolled_up(totals: DataFrame) -> DataFrame:
 
 
 def maintained(docs: DataFrame, vocabulary: str, version: str) -> DataFrame:
-    """Totals of a table after three batches, each committed twice: all rows inserted; the end
-    id added to every count; rows without any text deleted.
+    """Totals of a table, with an end id for every document, after four batches, each committed twice:
+    all rows inserted; the end id added to every count; rows without any text deleted, and inserted again.
 
-    Null sources and languages are groups of their own; repeated rows count each; an
-    empty table gives no rows; further columns are ignored.
+    Null sources and languages are groups of their own; a null or empty text counts its end id;
+    repeated rows count each; an empty table gives no groups; further columns are ignored.
     """
     spark = docs.sparkSession
     rows = keep(counted(docs, vocabulary, version), "token-counts")
     ledger = Ledger(spark, fresh_path(spark, "ledger"))
     with_end = rows.withColumn("n_tokens", F.col("n_tokens") + 1)
-    for name, changes in (
-        ("load", inserts(rows)),
-        ("end-ids", revisions(rows, F.col("n_tokens") + 1)),
-        ("drop-empty", deletes(with_end.where("n_tokens = 1"))),
-    ):
+    empty = with_end.where("n_tokens = 1")
+    for name, changes in (("load", inserts(rows)), ("end-ids", revisions(rows, F.col("n_tokens") + 1)), ("withdraw-empty", deletes(empty)), ("return-empty", inserts(empty))):
         ledger.commit(name, changes)
         ledger.commit(name, changes)
     return rolled_up(ledger.totals())
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals of all documents by source and language."""
+    """Token totals of all documents, an end id each, by source and language."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
