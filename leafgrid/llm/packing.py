@@ -6,7 +6,7 @@ over remaining capacities for the tightest open bin that fits, in logarithmic ti
 of documents of one length and of bins with one remaining capacity move together. It is
 worked out once from the histogram, whose size does not depend on the input, and is
 the same packing as one document at a time. Documents then find their place by their rank
-among those of their length.
+among those of their length; pieces that fill a sequence need none.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,9 @@ from leafgrid.llm.store import keep, small_batches
 
 CAPACITY = 1024
 END = 2
-#: Documents of one length are ranked in so many groups by doc_id, as one length may hold most of them.
-SALTS = 64
+#: Pieces of one length are ranked in groups of about so many rows, as one length may hold most of them;
+#: and the most groups of a table, beside one for each length, whose sizes the driver sees.
+GROUP_ROWS, MOST_GROUPS = 5_000, 100_000
 
 
 class SegmentTree:
@@ -98,7 +100,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rows
 
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, number long"
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -114,6 +116,7 @@ def _pieces(path: str, capacity: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             for part in textnum.by_size(batch, "text"):
                 cols: list[list] = [[], [], [], [], []]
@@ -125,48 +128,53 @@ def _pieces(path: str, capacity: int, end: int):
                         for c, v in zip(cols, row, strict=True):
                             c.append(v)
                         start += n
+                numbers = np.arange(number, number + len(cols[0]))
+                number += len(cols[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                    [*(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)), pa.array(numbers)],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "number"],
                 )
 
     return run
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of the pieces of every row."""
+    """doc_id, piece, start, length, ids_crc32 of the pieces of every row, and a number of each."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_pieces(vocabulary, capacity, end), _PIECES)
 
 
-def place(items: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """The items with ``sequence_id`` and ``offset``; ``items`` is read more than once."""
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # capacity * salts rows at most
-    total: dict[int, int] = {}
-    starts = []
-    for r in sorted(counts, key=lambda r: (r["length"], r["salt"])):
-        starts.append((r["length"], r["salt"], total.get(r["length"], 0)))
-        total[r["length"]] = total.get(r["length"], 0) + r["n"]
+def place(items: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The items with ``sequence_id`` and ``offset``; ``items`` is a written table with distinct numbers.
+
+    A piece of the whole capacity is a sequence, named by its number below zero. The others are
+    ranked among those of their length: in groups dealt by number, each after the rows of the
+    groups before it. What goes to all tasks is bounded by the capacity and MOST_GROUPS.
+    """
     spark = items.sparkSession
+    total = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    total.pop(capacity, None)
+    size = max(group_rows, sum(total.values()) // MOST_GROUPS)
+    groups = spark.createDataFrame([(n, -(-k // size)) for n, k in sorted(total.items())], "length long, groups long")
+    salt = F.pmod(F.xxhash64("number"), F.col("groups")).cast("int")
+    salted = items.where(F.col("length") < capacity).join(F.broadcast(groups), "length").withColumn("salt", salt).drop("groups")
+    before: dict[int, int] = {}
+    starts = []
+    for r in sorted(salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()):
+        starts.append((r["length"], r["salt"], before.get(r["length"], 0)))
+        before[r["length"]] = before.get(r["length"], 0) + r["n"]
     first = spark.createDataFrame(starts, "length long, salt int, before long")
-    rows = spark.createDataFrame(plan(total, capacity), "length long, rank_from long, n long, bin_from long, each long, base long")
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = (
-        salted.join(F.broadcast(first), ["length", "salt"])
-        .withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
-        .drop("before", "salt")
-    )
-    rows = rows.withColumnRenamed("length", "of_length")
+    rows = spark.createDataFrame(plan(total, capacity), "of_length long, rank_from long, n long, bin_from long, each long, base long")
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "number")
+    ranked = salted.join(F.broadcast(first), ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
     on = (F.col("length") == F.col("of_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_from") + F.col("n"))
     placed = ranked.join(F.broadcast(rows), on)
+    out = ("doc_id", "piece", "start", "length", "ids_crc32")
     k = F.col("rank") - F.col("rank_from")
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("bin_from") + F.expr("(rank - rank_from) div each")).alias("sequence_id"),
-        (F.col("base") + k % F.col("each") * F.col("length")).alias("offset"),
-    )
+    shared = placed.select(*out, (F.col("bin_from") + F.expr("(rank - rank_from) div each")).alias("sequence_id"), (F.col("base") + k % F.col("each") * F.col("length")).alias("offset"))
+    alone = items.where(F.col("length") == capacity).select(*out, (-1 - F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return shared.unionByName(alone)
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -5,10 +5,12 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leafgrid.llm import packing
 from leafgrid.llm.bpe_ids import Encoder
+from leafgrid.llm.store import keep
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -88,3 +90,28 @@ def test_first_piece_is_the_short_one():
     assert packing.cut_lengths(2500, 1024) == [452, 1024, 1024]
     assert packing.cut_lengths(2048, 1024) == [1024, 1024]
     assert packing.cut_lengths(5, 1024) == [5]
+
+
+def test_special_strings_are_text_unless_asked_for():
+    text = "a<|endoftext|> b"
+    assert Encoder(PATH).ids(text).tolist() == [64, 27, 91, 437, 1659, 5239, 91, 29, 275]
+    assert Encoder(PATH, special=True).ids(text).tolist() == [64, 50256, 275] == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_groups_of_a_length_are_one_ranking(spark, odd_docs):
+    """Many rows of one length and text, without ids, ranked in many groups."""
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a b c d").otherwise("x" * 3000).alias("text"))
+    items = keep(packing.pieces(rows, PATH, capacity=64), "items")
+    placed = packing.place(items, 64, group_rows=50).collect()
+    assert len(placed) == items.count()
+    filled = Counter()
+    for r in sorted(placed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled[r.sequence_id]
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 64 and len(filled) == len(best_fit([r.length for r in placed], 64))
+
+
+def test_a_row_of_white_space_does_not_end_the_job(spark):
+    docs = spark.createDataFrame([(1, " " * 1_500_000), (2, "a")], "doc_id long, text string")
+    rows = packing.pack(docs, PATH).collect()
+    assert sum(r.length for r in rows) == len(Tokenizer.from_file(PATH).encode(" " * 1_500_000, add_special_tokens=False).ids) + 3
