@@ -1,20 +1,24 @@
 """LM scoring: a hierarchical Pitman-Yor model of words, learned from and applied to a whole corpus.
 
-A word is seated in the restaurant of its context, the last letter of the word before
-it; all context restaurants share one parent, whose base is uniform over the known
-words and one for all unknown ones. Tables of a context are customers of the parent.
-
-Given the parent's predictive probabilities, the number of tables at which the c
-customers of a dish sit has the weights a**t * S(c, t), S being the generalised Stirling
-numbers of the discount and a the chance weight of a new table; a Gibbs sweep draws all of
-them and then those of the parent. Restaurants are dealt by word, so that a sweep needs of
-other words only the totals of each restaurant; these come from a first run of sweeps.
-Averages of the counts over the later sweeps give averaged predictive probabilities that
-add up to one.
-
-Volumes: counts of (word, context) pairs are summed per task and dealt by word. Scores of
-the most frequent pairs, at most FREQUENT of them, go to all tasks; the other tokens are
-dealt by word, meet their counts, and come back as sums for each task's texts.
+A word is seated in the restaurant of the word before it. Restaurants of words that end in the
+same letter share a parent, the restaurant of that letter; all letters share one grandparent,
+whose base is uniform over the known words and one for all unknown ones. Tables of a
+restaurant are customers of its parent. Table numbers are drawn by Gibbs sweeps (``seating``),
+level by level: word restaurants given the letters' probabilities, then the letters' given the
+tables of the words', and again. A sweep draws a restaurant's dishes from its table number of
+the sweep before. A dish's probability is linear in its own table numbers, so that the
+average of the predictive probabilities over the sampled sweeps is taken by averaging these.
+
+How it is dealt:
+1. Words are counted: totals, and the most frequent words, which get short codes.
+2. Pairs (word before, word) of all texts are counted, per task and then by part; parts go by
+   the word before, and where that is very frequent by the word too, so that all parts are alike.
+3. Letters' restaurants are dealt by word. Parts ask them for each (word, letter) that they have,
+   telling the customers they send; an answer is in the order of the question.
+4. Scores of the FREQUENT most frequent pairs go to all tasks; other tokens go to their
+   part and come back as sums for each text.
+The number of parts follows from the number of tokens. All chance is named by words and sweeps, so
+that scores do not depend on parts, partitions or settings.
 """
 
 from __future__ import annotations
@@ -31,26 +35,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrid.llm import textnum
+from leafgrid.llm.messages import Common, packed, unpacked
+from leafgrid.llm.seating import pair_keys, seat_dishes
 from leafgrid.llm.store import keep, small_batches
 
 FOLDS, HELD_FOLD = 5, 1
-#: Pairs whose scores all tasks hold: 24 bytes each.
-FREQUENT = 300_000
-#: Sweeps of a run before any is averaged, and those averaged.
-BURN, SAMPLES = 6, 8
-STRENGTH = 10.0
-#: Dishes of more customers draw from a binomial law of the same mean and variance.
-EXACT = 64
-#: Tokens looked at together, and those that a task holds back before it sends them.
-CHUNK, HELD = 1 << 20, 1 << 22
-CONTEXTS = 256
+#: Words with short codes, and pairs whose scores all tasks hold: 2 bytes and 24 bytes each in every task.
+COMMON, FREQUENT = 65_000, 500_000
+#: Tokens of a part, about; and the least number of parts.
+PART_TOKENS, LEAST_PARTS = 4_000_000, 8
+#: Parts that words are counted in.
+WORD_PARTS = 64
+#: Strengths of the restaurants of words, of letters and of the grandparent.
+STRENGTH, LETTER_STRENGTH, TOP_STRENGTH = 1.0, 10.0, 10.0
+#: Discount of the letters' restaurants until the tables of the first run tell it.
+FIRST_DISCOUNT = 0.7
+#: Bytes of text looked at together, and the pairs or tokens that a task holds back before it sends them.
+CHUNK, HELD = 6 << 20, 1 << 22
+LETTERS = 256
 _END = np.uint64(0x6A09E667F3BCC909)
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[ord(c) for c in ".,;:!?"]] = True
 
+#: What goes between tasks: where to, what it is, from which task or part, and arrays.
+_MESSAGE = "part int, kind int, task long, blob binary"
+_TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+WORDS, PAIRS, ASKED, ANSWER, TABLES, TOKENS, TEXTS, SCORES, FACTS = range(9)
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and context of every token, and bounds; each text's last token is its end."""
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every token, of the token before it and its letter, and bounds; each text's last token is its end.
+
+    The first token of a text follows an end. The letter is a word's last byte, but for one mark after it.
+    """
     data, _ = textnum.raw(texts)
     found, ends, bounds = textnum.words(texts)
     n = len(texts)
@@ -63,63 +80,220 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     to = np.arange(len(found)) + np.repeat(np.arange(n), np.diff(bounds))  # places among tokens
     out = np.full(len(found) + n, _END, np.uint64)
     out[to] = found
-    context = np.zeros(len(out), np.uint8)
-    context[to + 1] = last
-    return out, context, bounds + np.arange(n + 1)
-
-
-def pair_keys(hashes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    return textnum.mix(hashes + (contexts.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    letter = np.zeros(len(out), np.uint8)
+    letter[to + 1] = last
+    before = np.concatenate([[_END], out[:-1]]) if len(out) else out
+    return out, before, letter, bounds + np.arange(n + 1)
 
 
 def _held(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_FOLD
 
 
-def _summed(h: np.ndarray, u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in the order of (word, context) with their summed counts."""
-    order = np.lexsort((u, h))
-    h, u, c = h[order], u[order], c[order]
-    if not len(h):
-        return h, u, c
-    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (u[1:] != u[:-1])]))
-    return h[first], u[first], np.add.reduceat(c, first)
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for part in textnum.by_size(batch, "text", CHUNK):
+            yield part, *tokens(part.column("text"))
 
 
-def _parts(h: np.ndarray, parts: int) -> np.ndarray:
-    """Bounds of the parts in sorted hashes."""
-    step = (1 << 64) // parts
-    return np.concatenate([[0], np.searchsorted(h, np.array([step * k for k in range(1, parts)], np.uint64)), [len(h)]]).astype(np.int64)
+def _learned(part: pa.RecordBatch, bounds: np.ndarray) -> np.ndarray:
+    """Whether each token is learned from."""
+    return np.repeat(np.array([not _held(d) for d in part.column("doc_id").to_pylist()], bool), np.diff(bounds))
 
 
-def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return np.minimum(h // np.uint64((1 << 64) // parts), np.uint64(parts - 1)).astype(np.int64)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, _TYPES, strict=True)], names=["part", "kind", "task", "blob"])
 
 
-_COUNTS = "part int, h binary, u binary, c binary"
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["part", "kind", "task", "blob"])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for part in textnum.by_size(batch, "text", 6 * CHUNK):
-            yield part, *tokens(part.column("text"))
+def _dealt(h: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each hash."""
+    return ((textnum.mix(h) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    n = len(keys[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    fresh = np.ones(n, bool)
+    fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(fresh)
+
+
+def _cut(part: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """Part, begin and end of each part that has any, in ascending parts."""
+    b = np.searchsorted(part, np.arange(parts + 1))
+    return ((k, int(i), int(j)) for k, (i, j) in enumerate(zip(b[:-1], b[1:], strict=True)) if j > i)
+
+
+# ---- 1: words
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    seen = 0
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(h)
+        first = _runs(h[order])
+        return h[order][first], np.add.reduceat(c[order], first)
 
+    def send() -> pa.RecordBatch:
+        h, c = summed()
+        part = _dealt(h, WORD_PARTS)
+        order = np.argsort(part, kind="stable")
+        h, c, part = h[order], c[order], part[order]
+        return _batch([(k, WORDS, 0, packed(h[i:j], c[i:j].astype("<u4"))) for k, i, j in _cut(part, WORD_PARTS)])
+
+    for part, h, _, _, bounds in _chunks(batches):
+        seen += len(h)
+        h = h[_learned(part, bounds)]
+        if len(h):
+            held.append(np.unique(h, return_counts=True))
+        if sum(len(x[0]) for x in held) > HELD:
+            held[:] = [summed()]
+            if len(held[0][0]) > HELD // 2:
+                yield send()
+                held.clear()
+    if held:
+        yield send()
+    if seen:
+        yield _batch([(0, FACTS, 0, packed(np.array([seen], np.int64)))])
+
+
+#: Bins of counts, by twice their binary logarithm.
+_BINS = 128
+
+
+def _bin(c: np.ndarray) -> np.ndarray:
+    return np.minimum((2 * np.log2(c)).astype(np.int64), _BINS - 1)
+
+
+def _threshold(bins: np.ndarray, most: int) -> int:
+    """The least count from which on no more than ``most`` dishes are."""
+    if bins.sum() <= most:
+        return 1
+    from_bin = int(np.argmax(bins[::-1].cumsum()[::-1] <= most)) if bins[-1] <= most else _BINS
+    least = 1
+    while int(_bin(np.array([least]))[0]) < from_bin:  # the least count of the bin
+        least = least + 1 if least < 1024 else int(least * 1.0005) + 1
+    return least
+
+
+def _merge_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    seen = sum(int(unpacked(b)[0][0]) for b in pdf.loc[pdf["kind"] == FACTS, "blob"])
+    blobs = pdf.loc[pdf["kind"] == WORDS, "blob"]
+    bins, n, words = np.zeros(_BINS, np.int64), 0, 0
+    if len(blobs):
+        h, c = (np.concatenate(x) for x in zip(*(unpacked(b) for b in blobs), strict=True))
+        order = np.argsort(h)
+        first = _runs(h[order])
+        h, c = h[order][first], np.add.reduceat(c[order].astype(np.int64), first)
+        bins, n, words = np.bincount(_bin(c), minlength=_BINS), int(c.sum()), len(h)
+        out.append((int(pdf["part"].iloc[0]), WORDS, 0, packed(h, c)))
+    out.append((int(pdf["part"].iloc[0]), FACTS, 0, packed(np.concatenate([[seen, n, words], bins]).astype(np.int64))))
+    return _frame(out)
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What all tasks know of the words."""
+
+    seen: int  # tokens of all texts
+    n: int  # training tokens
+    words: int  # distinct
+    parts: int
+    common: Common
+    count: np.ndarray  # of common words
+    splits: np.ndarray  # of common words: in how many the pairs after one are dealt
+
+    def base(self, c):
+        """log10 of the add-a-half share of a word of count c."""
+        return np.log10((c + 0.5) / (self.n + 0.5 * (self.words + 1)))
+
+    def part(self, before: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The part of each pair."""
+        at, there = self.common.look_up(before)
+        splits = np.where(there, self.splits[at] if len(self.splits) else 1, 1)
+        key = before.copy()
+        many = splits > 1
+        key[many] ^= textnum.mix(_dealt_many(h[many], splits[many]) + np.uint64(1))
+        return _dealt(key, self.parts)
+
+
+def _dealt_many(h: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return (textnum.mix(h) >> np.uint64(32)) * parts.astype(np.uint64) >> np.uint64(32)
+
+
+def _corpus(words: DataFrame) -> Corpus:
+    facts = sum((unpacked(r["blob"])[0] for r in words.where(F.col("kind") == FACTS).select("blob").collect()), np.zeros(3 + _BINS, np.int64))
+    seen, n, kinds = (int(x) for x in facts[:3])
+    least = _threshold(facts[3:], COMMON)
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                h, c = unpacked(blob)
+                yield pa.RecordBatch.from_arrays([pa.array([packed(h[c >= least], c[c >= least])], pa.binary())], names=["blob"])
+
+    rows = words.where(F.col("kind") == WORDS).select("blob").mapInArrow(frequent, "blob binary").collect()  # COMMON words at most
+    h, c = (np.concatenate(x) for x in zip(*(unpacked(r["blob"]) for r in rows), strict=True)) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    parts = max(LEAST_PARTS, -(-seen // PART_TOKENS))
+    # a word with a quarter of an even part or more is split
+    splits = np.clip(-(-c * 4 * parts // max(n, 1)), 1, parts)
+    return Corpus(seen, n, kinds, parts, Common(h), c, splits)
+
+
+# ---- 2: pairs
+
+
+def _summed(h: np.ndarray, b: np.ndarray, letter: np.ndarray, c: np.ndarray) -> tuple:
+    """Distinct pairs with their summed counts."""
+    order = np.argsort(pair_keys(h, b))
+    h, b, letter, c = h[order], b[order], letter[order], c[order]
+    first = _runs(h, b)
+    return h[first], b[first], letter[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def _pack_pairs(corpus: Corpus, h: np.ndarray, b: np.ndarray, letter: np.ndarray, *more: np.ndarray) -> bytes:
+    """Pairs in the order of (word before, word), a run for each word before."""
+    first = _runs(b)
+    long = np.diff(np.append(first, len(b))).astype("<u4")
+    return packed(*corpus.common.short(b[first]), letter[first], long, *corpus.common.short(h), *more)
+
+
+def _unpack_pairs(corpus: Corpus, blob: bytes) -> tuple:
+    """Word, word before and letter of each pair, then the further arrays."""
+    bs, b_rest, letter, long, hs, h_rest, *more = unpacked(blob)
+    return corpus.common.whole(hs, h_rest), np.repeat(corpus.common.whole(bs, b_rest), long), np.repeat(letter, long), *more
+
+
+def _count_pairs(known):
+    """Pairs of all texts with their counts in those learned from."""
 
-def _count(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus: Corpus = known.value
         held: list[tuple] = []
 
         def send() -> pa.RecordBatch:
-            h, u, c = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            b = _parts(h, parts)
-            rows = [(k, h[i:j].tobytes(), u[i:j].tobytes(), c[i:j].astype("<u4").tobytes()) for k, (i, j) in enumerate(zip(b[:-1], b[1:], strict=True)) if j > i]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "h", "u", "c"])
-
-        for part, h, u, bounds in _chunks(batches):
-            learn = np.repeat(np.array([not _held(d) for d in part.column("doc_id").to_pylist()], bool), np.diff(bounds))
-            h, u = h[learn], u[learn]
+            h, b, letter, c = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            part = corpus.part(b, h)
+            order = np.lexsort((h, b, part))
+            h, b, letter, c, part = h[order], b[order], letter[order], c[order].astype("<u4"), part[order]
+            return _batch([(k, PAIRS, 0, _pack_pairs(corpus, h[i:j], b[i:j], letter[i:j], c[i:j])) for k, i, j in _cut(part, corpus.parts)])
+
+        for part, h, b, letter, bounds in _chunks(batches):
             if len(h):
-                held.append(_summed(h, u, np.ones(len(h), np.uint32)))
+                held.append(_summed(h, b, letter, _learned(part, bounds).astype(np.uint32)))
             if sum(len(x[0]) for x in held) > HELD:
                 held[:] = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                 if len(held[0][0]) > HELD // 2:
@@ -131,183 +305,280 @@ def _count(parts: int):
     return run
 
 
-_PART = "part int, h binary, u binary, c binary, facts binary"
-#: Bins of pair counts, by twice their binary logarithm.
-_BINS = 80
+def _merge_pairs(known):
+    """One row of pairs for each part, and its facts: bins of counts, pairs seen once and twice, pairs by letter."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        corpus: Corpus = known.value
+        part = int(pdf["part"].iloc[0])
+        h, b, letter, c = _summed(*(np.concatenate(x) for x in zip(*(_unpack_pairs(corpus, x) for x in pdf["blob"]), strict=True)))
+        order = np.lexsort((h, b))
+        h, b, letter, c = h[order], b[order], letter[order], c[order]
+        some = c > 0
+        facts = np.concatenate([np.bincount(_bin(c[some]), minlength=_BINS), [(c == 1).sum(), (c == 2).sum()], np.bincount(letter[some], minlength=LETTERS)])
+        return _frame([(part, PAIRS, 0, _pack_pairs(corpus, h, b, letter, c.astype("<u4"))), (part, FACTS, 0, packed(facts.astype(np.int64), *_hot(corpus, b, np.minimum(c, 1))))])
+
+    return run
 
-def _bin(c: np.ndarray) -> np.ndarray:
-    return np.minimum((2 * np.log2(c)).astype(np.int64), _BINS - 1)
 
+def _hot(corpus: Corpus, b: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the split words before that are here, and their tables here."""
+    at, there = corpus.common.look_up(b)
+    there &= (corpus.splits[at] > 1) if len(corpus.splits) else False
+    n = np.bincount(at[there], tables[there], len(corpus.count))
+    own = np.flatnonzero(n)
+    return own, n[own]
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    h, u = np.frombuffer(b"".join(pdf["h"]), np.uint64), np.frombuffer(b"".join(pdf["u"]), np.uint8)
-    c = np.frombuffer(b"".join(pdf["c"]), "<u4").astype(np.int64)
-    h, u, c = _summed(h, u, c)
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    kinds = np.diff(np.append(first, len(h)))
-    facts = np.concatenate([
-        [c.sum(), len(first), (c == 1).sum(), (c == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()],
-        np.bincount(_bin(c), minlength=_BINS), np.bincount(u, c, CONTEXTS), np.bincount(u, minlength=CONTEXTS),
-    ]).astype(np.int64)
-    return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "h": [h.tobytes()], "u": [u.tobytes()], "c": [c.astype("<u4").tobytes()], "facts": [facts.tobytes()]})
+
+# ---- 3: restaurants of letters
 
 
 @dataclass(frozen=True)
-class Totals:
-    """What restaurants need to know of all words."""
+class Letters:
+    """What tasks need to know of the letters' restaurants and of the grandparent."""
 
-    n: int  # training tokens
-    words: int  # distinct
-    discount: float  # of context restaurants
-    parent_discount: float
-    customers: np.ndarray  # of each context
-    tables: np.ndarray  # of each context
-    parent_customers: float
-    parent_tables: float
-    frequent_from: int  # count from which a pair is frequent
-
-    def parent(self, customers, tables):
-        """Predictive probability of the parent for words with these counts."""
-        base = (STRENGTH + self.parent_discount * self.parent_tables) / (self.words + 1)
-        return (customers - self.parent_discount * tables + base) / (STRENGTH + self.parent_customers)
-
-    def child(self, u, c, t, p):
-        """Predictive probability in context u of a word with c customers at t tables and p in the parent."""
-        back = STRENGTH + self.discount * self.tables[u]
-        return (c - self.discount * t + back * p) / (STRENGTH + self.customers[u])
+    words: int
+    discount: float
+    top_discount: float
+    customers: np.ndarray  # of each letter
+    tables: np.ndarray
+    top_customers: float
+    top_tables: float
 
-    def base(self, c):
-        """log10 of the add-a-half share of a word of count c."""
-        return np.log10((c + 0.5) / (self.n + 0.5 * (self.words + 1)))
+    def top(self, own):
+        """Grandparent's probability of a word; own: its customers less the discount of its tables there."""
+        base = (TOP_STRENGTH + self.top_discount * self.top_tables) / (self.words + 1)
+        return (own + base) / (TOP_STRENGTH + self.top_customers)
 
+    def probability(self, letter, seen, own):
+        """Probability of a word after a letter; seen: its customers less the discount of its tables there."""
+        back = LETTER_STRENGTH + self.discount * self.tables[letter]
+        return (seen + back * self.top(own)) / (LETTER_STRENGTH + self.customers[letter])
 
-def log_stirling(most: int, discount: float) -> np.ndarray:
-    """Logarithms of the generalised Stirling numbers S(c, t) for c, t up to ``most``."""
-    out = np.full((most + 1, most + 1), -np.inf)
-    out[0, 0] = 0.0
-    for c in range(most):
-        t = np.arange(1, c + 2)
-        with np.errstate(divide="ignore"):
-            stay = out[c, t] + np.log(np.maximum(c - discount * t, 0))
-        out[c + 1, t] = np.logaddexp(out[c, t - 1], stay)
-    return out
 
+def _ask(corpus: Corpus, h: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a part asks for, in the order of the parts that answer: part, word, letter; and the place of each pair there."""
+    to = _dealt(h ^ _END, corpus.parts)
+    order = np.lexsort((letter, h, to))
+    h, letter, to = h[order], letter[order], to[order]
+    first = _runs(h, letter)
+    place = np.empty(len(h), np.int64)
+    place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    return to[first], h[first], letter[first], place
 
-def draw_tables(c: np.ndarray, a: np.ndarray, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A number of tables for each dish of c customers, by weights a**t * S(c, t)."""
-    t = np.minimum(c, 1).astype(np.int64)
-    size = np.minimum(c, EXACT)
-    order = np.argsort(size, kind="stable")
-    bounds = np.searchsorted(size[order], np.arange(2, EXACT + 2))
-    with np.errstate(divide="ignore"):
-        log_a = np.log(a)
-    for k in range(2, EXACT + 1):
-        at = order[bounds[k - 2] : bounds[k - 1]]
-        if len(at):
-            w = log_a[at, None] * np.arange(1, k + 1) + stirling[k, 1 : k + 1]
-            w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
-            t[at] = 1 + (w < rng.random(len(at))[:, None] * w[:, -1:]).sum(axis=1)
-    large = np.flatnonzero(c > EXACT)
-    if len(large):
-        mean, var = table_moments(c[large], a[large], 1 - np.exp(stirling[2, 1]))
-        more, less = mean - 1, np.maximum(mean - 1 - var, 1e-9)
-        n = np.maximum(np.rint(np.minimum(more * more / less, 1e12)), np.ceil(more)).astype(np.int64)
-        t[large] = np.minimum(1 + rng.binomial(n, np.minimum(more / np.maximum(n, 1), 1)), c[large])
-    return t
-
-
-def table_moments(c: np.ndarray, a: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance of the number of tables by weights a**t * S(c, t), for many customers.
-
-    The weights are those of a Poisson number of tables given the sum of their sizes, whose
-    generating function is exp(a / d * (1 - (1 - x)**d)); x is set so that the sum has the mean c.
-    A test holds mean and spread to a few hundredths of the exact ones.
-    """
-    low, high = np.zeros(len(c)), np.maximum(np.log(c / a), 0) / (1 - discount) + 50  # of -log(1 - x)
-    for _ in range(60):
-        z = (low + high) / 2
-        over = np.log(a) + np.log(-np.expm1(-z)) + (1 - discount) * z > np.log(c)
-        low, high = np.where(over, low, z), np.where(over, z, high)
-    y = np.exp(-high)
-    tables = -a / discount * np.expm1(-discount * high)
-    g = y + (1 - y) * (1 - discount)
-    edge = (1 - y) * (1 - discount) / (2 * g * g)  # of many tables; of few ones it is 1, the table that holds most
-    return np.minimum(tables + 1 + (edge - 1) * tables / (tables + 80), c), np.maximum(tables - c * y / g, 0)
 
+def _asked(corpus: Corpus, part: int, h: np.ndarray, letter: np.ndarray, tables: np.ndarray) -> list[tuple]:
+    """Questions of a part with the customers that it sends."""
+    to, words, letters, place = _ask(corpus, h, letter)
+    n = np.bincount(place, tables, len(to)).astype("<u4")
+    return [(k, ASKED, part, packed(*corpus.common.short(words[i:j]), letters[i:j], n[i:j])) for k, i, j in _cut(to, corpus.parts)]
 
-@dataclass(frozen=True)
-class Seating:
-    """Averaged counts of one part: words and pairs, in the order of (word, context)."""
-
-    h: np.ndarray  # of words
-    count: np.ndarray  # of words
-    customers: np.ndarray  # of words in the parent
-    tables: np.ndarray  # of words in the parent
-    word: np.ndarray  # of pairs: place among words
-    u: np.ndarray
-    c: np.ndarray
-    t: np.ndarray
-
-
-def seat(part: int, h: bytes, u: bytes, c: bytes, totals: Totals) -> Seating:
-    """One run of Gibbs sweeps over a part; the same for the same totals."""
-    hs, us, cs = np.frombuffer(h, np.uint64), np.frombuffer(u, np.uint8), np.frombuffer(c, "<u4").astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]])) if len(hs) else np.zeros(0, np.int64)
-    word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hs))))
-    rng = np.random.Generator(np.random.PCG64([20_240_601, part]))
-    low, high = log_stirling(EXACT, totals.discount), log_stirling(EXACT, totals.parent_discount)
-    weight = STRENGTH + totals.discount * totals.tables[us]
-    fresh = (STRENGTH + totals.parent_discount * totals.parent_tables) / (totals.words + 1)
-    many = np.flatnonzero(cs > 1)
-    t = np.ones(len(cs), np.int64)
-    own, own_tables = np.bincount(word, minlength=len(first)), np.ones(len(first), np.int64)
-    sums = [np.zeros(len(cs)), np.zeros(len(first)), np.zeros(len(first))]
-    for sweep in range(BURN + SAMPLES):
-        p = totals.parent(own, own_tables)
-        t[many] = draw_tables(cs[many], (weight * p[word])[many], low, rng)
-        own = np.bincount(word, t, len(first)).astype(np.int64)
-        own_tables = draw_tables(own, np.full(len(first), fresh), high, rng)
-        if sweep >= BURN:
-            for s, x in zip(sums, (t, own, own_tables), strict=True):
-                s += x
-    t_mean, own_mean, tables_mean = (s / SAMPLES for s in sums)
-    count = np.bincount(word, cs, len(first)).astype(np.int64)
-    return Seating(hs[first], count, own_mean, tables_mean, word, us, cs, t_mean)
 
+def _first_questions(known):
+    """The questions of parts in which each pair has one table."""
 
-_RUN = "tables binary, parent_customers double, parent_tables double, frequent binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus: Corpus = known.value
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                h, _, letter, c = _unpack_pairs(corpus, blob)
+                rows = _asked(corpus, part, h, letter, np.minimum(c, 1))
+                for k in range(0, len(rows), 256):
+                    yield _batch(rows[k : k + 256])
+
+    return run
 
 
-def _run(totals: Totals, with_frequent: bool):
-    """Totals of each part after a run, and its frequent pairs: key, count of the word, u, c, t and the parent's counts."""
+def _deal_words(known):
+    """The counted words, dealt as the letters' restaurants are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus: Corpus = known.value
         for batch in batches:
-            for r in batch.to_pylist():
-                s = seat(r["part"], r["h"], r["u"], r["c"], totals)
-                blob = b""
-                if with_frequent:
-                    at = np.flatnonzero(s.c >= totals.frequent_from)
-                    w = s.word[at]
-                    cols = (pair_keys(s.h[w], s.u[at]).view(np.float64), s.count[w], s.u[at], s.c[at], s.t[at], s.customers[w], s.tables[w])
-                    blob = np.stack([np.asarray(x, np.float64) for x in cols]).tobytes()
-                tables = np.bincount(s.u, s.t, CONTEXTS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([tables.tobytes()], pa.binary()), pa.array([float(s.customers.sum())]), pa.array([float(s.tables.sum())]), pa.array([blob], pa.binary())],
-                    names=["tables", "parent_customers", "parent_tables", "frequent"],
-                )
+            for blob in batch.column("blob").to_pylist():
+                h, c = unpacked(blob)
+                to = _dealt(h ^ _END, corpus.parts)
+                order = np.argsort(to, kind="stable")
+                h, c, to = h[order], c[order], to[order]
+                rows = [(k, WORDS, 0, packed(h[i:j], c[i:j].astype("<u4"))) for k, i, j in _cut(to, corpus.parts)]
+                for k in range(0, len(rows), 256):
+                    yield _batch(rows[k : k + 256])
+
+    return run
+
+
+def seat_letters(h: np.ndarray, letter: np.ndarray, c: np.ndarray, letters: Letters, runs: int = 2) -> tuple:
+    """Mean tables of each dish of the letters' restaurants, in the order of (word, letter), and of the grandparent:
+    means of a word's customers there and of its tables; then where words begin, and the word of each dish.
+
+    All of a word's dishes are here; table totals of restaurants are those of the run before, whatever is here."""
+    first = _runs(h)
+    word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    keys, top_keys = pair_keys(h, letter.astype(np.uint64) + np.uint64(1 << 20)), pair_keys(h[first], np.full(len(first), 1 << 21, np.uint64))
+    own = np.bincount(word, minlength=len(first))
+    tables_own = np.ones(len(first))
+    known, top_known = letters.tables.astype(np.float64), np.array([letters.top_tables])
+    fresh = np.full(len(first), 1 / (letters.words + 1))
+    for _ in range(runs):
+        p = letters.top(own - letters.top_discount * tables_own)
+        mean, t = seat_dishes(c, letter.astype(np.int64), known, p[word], keys, LETTER_STRENGTH, letters.discount)
+        own = np.bincount(word, t, len(first)).astype(np.int64)
+        tables_own, _ = seat_dishes(own, np.zeros(len(first), np.int64), top_known, fresh, top_keys, TOP_STRENGTH, letters.top_discount)
+    return mean, np.bincount(word, mean, len(first)), tables_own, first, word
+
+
+def _answer(known, letters: Letters, last: bool):
+    """Answers to what parts ask of the words dealt here: a probability; or, last, the two numbers that it is made
+    of and the word's count. And facts: tables by letter, the grandparent's, and dishes with one and two customers."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        corpus: Corpus = known.value
+        part = int(pdf["part"].iloc[0])
+        counted = [unpacked(b) for b in pdf.loc[pdf["kind"] == WORDS, "blob"]]
+        words, count = (np.concatenate(x) for x in zip(*counted, strict=True)) if counted else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        order = np.argsort(words)
+        words, count = words[order], count[order]
+        asked = pdf[pdf["kind"] == ASKED].sort_values("task")
+        if not len(asked):
+            return _frame([])
+        got = [(corpus.common.whole(a, b), x, n) for a, b, x, n in map(unpacked, asked["blob"])]
+        h, letter, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((letter, h))
+        first = _runs(h[order], letter[order])
+        dish = np.empty(len(h), np.int64)
+        dish[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        h, letter, c = h[order][first], letter[order][first], np.bincount(dish, n, len(first)).astype(np.int64)
+        mean, top_customers, top_tables, of, word = seat_letters(h, letter, c, letters)
+        seen, own = c - letters.discount * mean, top_customers - letters.top_discount * top_tables
+        if last:
+            at = np.minimum(np.searchsorted(words, h[of]), max(len(words) - 1, 0))
+            counts = np.where(words[at] == h[of], count[at], 0) if len(words) else np.zeros(len(of), np.uint32)
+            columns = (seen.astype("<f4"), own[word].astype("<f4"), counts[word].astype("<u4"))
+        else:
+            columns = (letters.probability(letter, seen, own[word]).astype("<f4"),)
+        out, at = [], 0
+        for task, (asks, _, _) in zip(asked["task"], got, strict=True):
+            mine = dish[at : at + len(asks)]
+            out.append((int(task), ANSWER, part, packed(*(x[mine] for x in columns))))
+            at += len(asks)
+        facts = np.concatenate([[top_customers.sum(), top_tables.sum(), (c == 1).sum(), (c == 2).sum(), (top_customers == 1).sum(), ((top_customers > 1) & (top_customers <= 2)).sum()], np.bincount(letter, mean, LETTERS)])
+        return _frame([*out, (-1, FACTS, part, packed(facts))])
+
+    return run
+
+
+def _added(rows: list, long: int) -> np.ndarray:
+    return sum((unpacked(r["blob"])[0] for r in rows), np.zeros(long))
+
+
+def _facts(df: DataFrame) -> list:
+    return df.where(F.col("kind") == FACTS).select("blob").collect()
+
+
+def _share(once: float, twice: float) -> float:
+    """A discount by the dishes seen once and twice."""
+    return min(max(once / (once + 2 * twice), 0.05), 0.95) if once + twice else 0.5
+
+
+# ---- restaurants of words
+
+
+@dataclass(frozen=True)
+class Words:
+    """What tasks need to know of the restaurants of words: the discount, and of split ones the tables in all parts."""
+
+    discount: float
+    split: np.ndarray  # tables of each common word that is split, else 0
+
+    def tables(self, corpus: Corpus, before: np.ndarray) -> np.ndarray:
+        """Tables of each restaurant that is split, and nan for the others."""
+        at, there = corpus.common.look_up(before)
+        if not len(self.split):
+            return np.full(len(before), np.nan)
+        return np.where(there & (corpus.splits[at] > 1), self.split[at], np.nan)
+
+
+@dataclass(frozen=True)
+class Part:
+    """The pairs of a part, in the order of (word before, word), and its restaurants."""
+
+    h: np.ndarray
+    before: np.ndarray
+    letter: np.ndarray
+    c: np.ndarray
+    first: np.ndarray  # of restaurants among pairs
+    place: np.ndarray  # of pairs among restaurants
+    ask: np.ndarray  # place of each pair in what the part asks
+
+    @classmethod
+    def of(cls, corpus: Corpus, blob: bytes) -> Part:
+        h, b, letter, c = _unpack_pairs(corpus, blob)
+        first = _runs(b)
+        place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(b))))
+        return cls(h, b, letter, c.astype(np.int64), first, place, _ask(corpus, h, letter)[3])
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place, x, len(self.first))
+
+    def seated(self, corpus: Corpus, words: Words, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = words.tables(corpus, self.before[self.first])
+        return seat_dishes(self.c, self.place, known, p, pair_keys(self.h, self.before), STRENGTH, words.discount)
+
+    def customers(self, corpus: Corpus) -> np.ndarray:
+        """Customers of each restaurant, in all parts."""
+        at, there = corpus.common.look_up(self.before[self.first])
+        whole = corpus.count[at] if len(corpus.count) else np.zeros(len(at), np.int64)
+        return np.where(there, whole, self.sums(self.c))
+
+
+def _answers(pdf: pd.DataFrame) -> list[np.ndarray]:
+    """The answers to a part, in the order of its questions."""
+    rows = pdf[pdf["kind"] == ANSWER].sort_values("task")
+    return [np.concatenate(x) for x in zip(*map(unpacked, rows["blob"]), strict=True)]
+
+
+def _first_run(known, words: Words):
+    """Sweeps of a part's restaurants given the first answers: the next questions, with tables of the last sweep;
+    and facts: customers by letter, tables of split restaurants."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        corpus: Corpus = known.value
+        number = int(pdf["part"].iloc[0])
+        part = Part.of(corpus, pdf.loc[pdf["kind"] == PAIRS, "blob"].iloc[0])
+        _, t = part.seated(corpus, words, _answers(pdf)[0].astype(np.float64)[part.ask])
+        facts = (number, FACTS, number, packed(np.bincount(part.letter, t, LETTERS), *_hot(corpus, part.before, t)))
+        return _frame([*_asked(corpus, number, part.h, part.letter, t), facts])
+
+    return run
+
+
+def _second_run(known, words: Words, letters: Letters, least: int):
+    """Sweeps given the last answers: a part's mean tables of pairs seen twice or more, in SAMPLES-ths of a table;
+    and facts: tables of split restaurants, and what the scores of its frequent pairs are made of."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        corpus: Corpus = known.value
+        number = int(pdf["part"].iloc[0])
+        part = Part.of(corpus, pdf.loc[pdf["kind"] == PAIRS, "blob"].iloc[0])
+        seen, own, count = (x[part.ask] for x in _answers(pdf))
+        p = letters.probability(part.letter, seen.astype(np.float64), own.astype(np.float64))
+        mean, _ = part.seated(corpus, words, p)
+        at = np.flatnonzero(part.c >= least)
+        r = part.place[at]
+        tables = part.sums(mean)
+        common, there = corpus.common.look_up(part.before[at])
+        split = there & ((corpus.splits[common] > 1) if len(corpus.splits) else False)
+        pairs = (pair_keys(part.h[at], part.before[at]), count[at], part.c[at] - words.discount * mean[at], p[at], part.customers(corpus)[r], np.where(split, -1.0, tables[r]), common)
+        return _frame([(number, TABLES, number, packed(np.rint(mean[part.c > 1] * 64).astype("<u4"))), (number, FACTS, number, packed(*_hot(corpus, part.before, mean), *pairs))])
 
     return run
 
 
-def _after(totals: Totals, rows: list) -> Totals:
-    return replace(
-        totals,
-        tables=sum((np.frombuffer(r["tables"], np.float64) for r in rows), np.zeros(CONTEXTS)),
-        parent_customers=sum(r["parent_customers"] for r in rows),
-        parent_tables=sum(r["parent_tables"] for r in rows),
-    )
+def _probability(c_less, p, customers, tables, discount: float):
+    return (c_less + (STRENGTH + discount * tables) * p) / (STRENGTH + customers)
+
+
+# ---- 4: scores
 
 
 @dataclass(frozen=True)
@@ -320,27 +591,16 @@ class Frequent:
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each key, and whether it is there."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
-
-
-_SENT = "part int, task long, kind int, a binary, b binary, c binary"
-_SENT_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-TOKENS, TEXTS, SCORES = 0, 1, 2
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SENT_TYPES, strict=True)], names=["part", "task", "kind", "a", "b", "c"])
+        return Common(self.keys).look_up(keys)
 
 
-def _send(frequent, totals: Totals, parts: int):
-    """Of each text what the frequent pairs say, and of all other tokens the word, the context and the text."""
+def _send(known, frequent):
+    """Of each text what the frequent pairs say, and of all other tokens the pair and the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus: Corpus = known.value
         table: Frequent = frequent.value
-        of_base = totals.base(table.count)
+        of_base = corpus.base(table.count)
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 20
         texts: list[tuple] = []  # doc_id or None, tokens, known, base, score
         rest: list[tuple] = []
@@ -348,24 +608,22 @@ def _send(frequent, totals: Totals, parts: int):
         def sent() -> Iterator[pa.RecordBatch]:
             ids = np.array([d or 0 for d, *_ in texts], np.int64)
             null = np.array([d is None for d, *_ in texts], np.uint8)
-            whole = np.array([x[1:] for x in texts], np.float64)
-            yield _rows([(number % parts, number, TEXTS, ids.tobytes(), null.tobytes(), whole.tobytes())])
-            h, u, i = (np.concatenate(x) for x in zip(*rest, strict=True)) if rest else (np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32))
-            order = np.argsort(h, kind="stable")
-            h, u, i = h[order], u[order], i[order]
-            b = _parts(h, parts)
-            rows = [(k, number, TOKENS, h[x:y].tobytes(), u[x:y].tobytes(), i[x:y].tobytes()) for k, (x, y) in enumerate(zip(b[:-1], b[1:], strict=True)) if y > x]
+            whole = [np.array(x, np.float64) for x in zip(*(x[1:] for x in texts), strict=True)]
+            yield _batch([(number % corpus.parts, TEXTS, number, packed(ids, null, *whole))])
+            h, b, letter, i = (np.concatenate(x) for x in zip(*rest, strict=True))
+            part = corpus.part(b, h)
+            order = np.lexsort((h, b, part))
+            h, b, letter, i, part = h[order], b[order], letter[order], i[order], part[order]
+            rows = [(k, TOKENS, number, _pack_pairs(corpus, h[x:y], b[x:y], letter[x:y], i[x:y])) for k, x, y in _cut(part, corpus.parts)]
             for k in range(0, len(rows), 256):
-                yield _rows(rows[k : k + 256])
+                yield _batch(rows[k : k + 256])
 
-        for part, h, u, bounds in _chunks(batches):
+        for part, h, b, letter, bounds in _chunks(batches):
             text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-            keys, back = np.unique(pair_keys(h, u), return_inverse=True)
-            at, there = table.look_up(keys)
-            known = there[back]
-            place = at[back[known]]
-            sums = [np.bincount(text[known], w, part.num_rows) for w in (np.ones(len(place)), of_base[place], table.score[place])]
-            rest.append((h[~known], u[~known], (text[~known] + len(texts)).astype(np.uint32)))
+            at, there = table.look_up(pair_keys(h, b))
+            place = at[there]
+            sums = [np.bincount(text[there], w, part.num_rows) for w in (np.ones(len(place)), of_base[place], table.score[place])]
+            rest.append((h[~there], b[~there], letter[~there], (text[~there] + len(texts)).astype("<u4")))
             texts += zip(part.column("doc_id").to_pylist(), np.diff(bounds).tolist(), *(s.tolist() for s in sums), strict=True)
             if sum(len(x[0]) for x in rest) > HELD or len(texts) > HELD // 8:
                 yield from sent()
@@ -376,38 +634,35 @@ def _send(frequent, totals: Totals, parts: int):
     return run
 
 
-def _meet(sampled: Totals, totals: Totals):
-    """Tokens of a part with its counts: for each the text, the count of the word and log10 of its probability."""
+def _meet(known, words: Words, letters: Letters):
+    """Tokens of a part with its pairs: sums for each text of the words known, the base and the score."""
 
-    def run(sent: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        passed = sent[sent["kind"] == TEXTS]
-        wanted = sent[sent["kind"] == TOKENS]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        corpus: Corpus = known.value
+        passed = [tuple(r) for r in pdf.loc[pdf["kind"] == TEXTS, ["part", "kind", "task", "blob"]].itertuples(index=False)]
+        sent = pdf[pdf["kind"] == TOKENS]
+        if not len(sent):
+            return _frame(passed)
+        part = Part.of(corpus, pdf.loc[pdf["kind"] == PAIRS, "blob"].iloc[0])
+        seen, own, count = (x[part.ask] for x in _answers(pdf))
+        p = letters.probability(part.letter, seen.astype(np.float64), own.astype(np.float64))
+        mean = np.minimum(part.c, 1).astype(np.float64)
+        mean[part.c > 1] = unpacked(pdf.loc[pdf["kind"] == TABLES, "blob"].iloc[0])[0] / 64
+        split = words.tables(corpus, part.before[part.first])
+        tables = np.where(np.isnan(split), part.sums(mean), split)
+        score = np.log10(_probability(part.c - words.discount * mean, p, part.customers(corpus)[part.place], tables[part.place], words.discount))
+        base, is_known = corpus.base(count.astype(np.float64)), (count > 0).astype(np.float64)
+        keys = pair_keys(part.h, part.before)
+        order = np.argsort(keys)
+        keys = keys[order]
         out = []
-        if len(wanted):
-            r = counts.iloc[0] if len(counts) else {"part": 0, "h": b"", "u": b"", "c": b""}
-            s = seat(int(r["part"]), r["h"], r["u"], r["c"], sampled)  # the same run as that of the totals
-            p = totals.parent(s.customers, s.tables)
-            unknown = float(totals.parent(0.0, 0.0))
-            keys = pair_keys(s.h[s.word], s.u)
-            order = np.argsort(keys)
-            keys = keys[order]
-            for task, a, b, c in zip(wanted["task"], wanted["a"], wanted["b"], wanted["c"], strict=True):
-                h, u, i = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint8), np.frombuffer(c, np.uint32)
-                count, parent = np.zeros(len(h), np.int64), np.full(len(h), unknown)
-                seen, tables = np.zeros(len(h)), np.zeros(len(h))
-                if len(s.h):
-                    w = np.minimum(np.searchsorted(s.h, h), len(s.h) - 1)
-                    is_word = s.h[w] == h
-                    count[is_word], parent[is_word] = s.count[w[is_word]], p[w[is_word]]
-                    k = pair_keys(h, u)
-                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                    is_pair = keys[at] == k
-                    pair = order[at[is_pair]]
-                    seen[is_pair], tables[is_pair] = s.c[pair], s.t[pair]
-                score = np.log10(totals.child(u, seen, tables, parent))
-                out.append((0, task, SCORES, i.tobytes(), count.astype("<u4").tobytes(), score.astype("<f4").tobytes()))
-        made = pd.DataFrame(out, columns=["part", "task", "kind", "a", "b", "c"])
-        return pd.concat([passed, made], ignore_index=True) if len(passed) else made
+        for task, blob in zip(sent["task"], sent["blob"], strict=True):
+            h, b, _, i = _unpack_pairs(corpus, blob)
+            at = order[np.searchsorted(keys, pair_keys(h, b))]
+            texts, i = np.unique(i, return_inverse=True)
+            sums = [np.bincount(i, x[at], len(texts)) for x in (is_known, base, score)]
+            out.append((0, SCORES, int(task), packed(texts, sums[0].astype("<u4"), sums[1], sums[2])))
+        return _frame(passed + out)
 
     return run
 
@@ -415,68 +670,121 @@ def _meet(sampled: Totals, totals: Totals):
 _SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _together(totals: Totals):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["kind"] == TEXTS].iloc[0]
-        ids, null = np.frombuffer(own["a"], np.int64), np.frombuffer(own["b"], np.uint8).astype(bool)
-        n, known, base, score = np.frombuffer(own["c"], np.float64).reshape(-1, 4).T.copy()
-        for a, b, c in pdf.loc[pdf["kind"] == SCORES, ["a", "b", "c"]].itertuples(index=False):
-            i, count = np.frombuffer(a, np.uint32), np.frombuffer(b, "<u4").astype(np.float64)
-            known += np.bincount(i, count > 0, len(ids))
-            base += np.bincount(i, totals.base(count), len(ids))
-            score += np.bincount(i, np.frombuffer(c, "<f4").astype(np.float64), len(ids))
-        doc = pd.array(ids, dtype="Int64")
-        doc[null] = pd.NA
-        return pd.DataFrame({"doc_id": doc, "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "base_score": base, "score": score})
-
-    return run
+def _together(pdf: pd.DataFrame) -> pd.DataFrame:
+    own = unpacked(pdf.loc[pdf["kind"] == TEXTS, "blob"].iloc[0])
+    ids, null, n, known, base, score = own[0], own[1].astype(bool), *own[2:]
+    known, base, score = known.copy(), base.copy(), score.copy()
+    # sums in the order of parts, whatever the order of arrival
+    parts = sorted((unpacked(b) for b in pdf.loc[pdf["kind"] == SCORES, "blob"]), key=lambda x: (x[3].tobytes(), x[0].tobytes()))
+    for i, k, b, s in parts:
+        known[i] += k
+        base[i] += b
+        score[i] += s
+    doc = pd.array(ids, dtype="Int64")
+    doc[null] = pd.NA
+    return pd.DataFrame({"doc_id": doc, "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "base_score": base, "score": score})
 
 
-def _totals(rows: list) -> Totals:
-    facts = sum((np.frombuffer(r["facts"], np.int64) for r in rows), np.zeros(6 + _BINS + 2 * CONTEXTS, np.int64))
-    n, words, one, two, kind_one, kind_two = (int(x) for x in facts[:6])
-    bins, customers, kinds = np.split(facts[6:], [_BINS, _BINS + CONTEXTS])
-    from_bin = int(np.argmax(bins[::-1].cumsum()[::-1] <= FREQUENT)) if bins.sum() > FREQUENT else 0
-    least = 1
-    while int(_bin(np.array([least]))[0]) < from_bin:  # the least count of the bin
-        least = least + 1 if least < 1024 else int(least * 1.001)
-    share = lambda a, b: min(max(a / (a + 2 * b), 0.05), 0.95) if a + b else 0.5
-    return Totals(n, words, share(one, two), share(kind_one, kind_two), customers.astype(float), kinds.astype(float), float(kinds.sum()), float(words), least)
+@dataclass(frozen=True)
+class Model:
+    """A learned model: what all tasks know, and the tables that parts hold."""
+
+    corpus: Corpus
+    words: Words
+    letters: Letters
+    pairs: DataFrame
+    answers: DataFrame
+    tables: DataFrame
+    frequent: Frequent
+
+
+def _split_tables(corpus: Corpus, rows: list, at: int) -> np.ndarray:
+    """Tables of split restaurants over all parts: of each part that has one its place and number."""
+    out = np.zeros(len(corpus.count))
+    for r in rows:
+        got = unpacked(r["blob"])
+        np.add.at(out, got[at].astype(np.int64), got[at + 1])
+    return out
 
 
-def learn(docs: DataFrame) -> tuple[DataFrame, tuple[Totals, Totals], Frequent, int]:
-    """The counts by part, the totals that the last run began with and ended in, the frequent pairs, and the number of parts."""
+def learn(docs: DataFrame) -> Model:
+    """The model of the rows with doc_id and text that are learned from; it answers for the others' words too."""
     spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counts = keep(docs.mapInArrow(_count(parts), _COUNTS).groupBy("part").applyInPandas(_merge, _PART), "counts")
-    totals = _totals(counts.select("facts").collect())  # 5 kB for each part
-    slim = counts.drop("facts")
-    totals = _after(totals, slim.mapInArrow(_run(totals, False), _RUN).collect())
-    rows = slim.mapInArrow(_run(totals, True), _RUN).collect()  # at most FREQUENT pairs
-    final = _after(totals, rows)
-    cols = np.concatenate([np.frombuffer(r["frequent"], np.float64).reshape(7, -1) for r in rows], axis=1) if rows else np.zeros((7, 0))
-    keys, (count, u, c, t, own, own_tables) = cols[0].copy().view(np.uint64), cols[1:]
+    send = spark.sparkContext.broadcast
+    words = keep(docs.mapInArrow(_count_words, _MESSAGE).groupBy("part").applyInPandas(_merge_words, _MESSAGE), "words")
+    corpus = _corpus(words)
+    known = send(corpus)
+    counted = keep(docs.mapInArrow(_count_pairs(known), _MESSAGE).groupBy("part").applyInPandas(_merge_pairs(known), _MESSAGE), "pairs")
+    facts = _facts(counted)
+    sums = _added(facts, _BINS + 2 + LETTERS)
+    bins, (once, twice), kinds = sums[:_BINS], sums[_BINS : _BINS + 2], sums[_BINS + 2 :]
+    pairs = counted.where(F.col("kind") == PAIRS)
+    seats = Words(_share(once, twice), _split_tables(corpus, facts, 1))
+    dealt_words = words.where(F.col("kind") == WORDS).mapInArrow(_deal_words(known), _MESSAGE)
+
+    # each pair has one table: the letters' probabilities to begin with
+    letters = Letters(corpus.words, FIRST_DISCOUNT, FIRST_DISCOUNT, kinds, np.minimum(kinds, corpus.words) * 0.5, float(min(kinds.sum(), 2 * corpus.words)), float(corpus.words))
+    asked = pairs.mapInArrow(_first_questions(known), _MESSAGE)
+    first = keep(asked.groupBy("part").applyInPandas(_answer(known, letters, False), _MESSAGE), "answers")
+    letters = _after(letters, _facts(first))
+
+    # sweeps of the words' restaurants, then of the letters'
+    run = keep(pairs.unionByName(first.where(F.col("kind") == ANSWER)).groupBy("part").applyInPandas(_first_run(known, seats), _MESSAGE), "questions")
+    facts = _facts(run)
+    letters = replace(letters, customers=_added(facts, LETTERS))
+    seats = replace(seats, split=_split_tables(corpus, facts, 1))
+    asked = run.where(F.col("kind") == ASKED).unionByName(dealt_words)
+    answered = keep(asked.groupBy("part").applyInPandas(_answer(known, letters, True), _MESSAGE), "answers")
+    letters = _after(letters, _facts(answered), discounts=False)
+    answers = answered.where(F.col("kind") == ANSWER)
+
+    # and of the words' again
+    least = _threshold(bins.astype(np.int64), FREQUENT)
+    second = keep(pairs.unionByName(answers).groupBy("part").applyInPandas(_second_run(known, seats, letters, least), _MESSAGE), "tables")
+    facts = _facts(second)  # FREQUENT pairs at most
+    seats = replace(seats, split=_split_tables(corpus, facts, 0))
+    return Model(corpus, seats, letters, pairs, answers, second.where(F.col("kind") == TABLES), _frequent(seats, facts))
+
+
+def _after(letters: Letters, rows: list, discounts: bool = True) -> Letters:
+    sums = _added(rows, 6 + LETTERS)
+    out = replace(letters, tables=sums[6:], top_customers=float(sums[0]), top_tables=float(sums[1]))
+    return replace(out, discount=_share(sums[2], sums[3]), top_discount=_share(sums[4], sums[5])) if discounts else out
+
+
+def _frequent(words: Words, rows: list) -> Frequent:
+    got = [unpacked(r["blob"])[2:] for r in rows]
+    if not got:
+        return Frequent(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    keys, count, less, p, customers, tables, common = (np.concatenate(x) for x in zip(*got, strict=True))
+    tables = np.where(tables < 0, words.split[common] if len(words.split) else 0.0, tables)
     order = np.argsort(keys)
-    score = np.log10(final.child(u.astype(int), c, t, final.parent(own, own_tables))) if len(keys) else np.zeros(0)
-    return counts, (totals, final), Frequent(keys[order], score[order], count[order]), parts
+    score = np.log10(_probability(less, p, customers, tables, words.discount))
+    return Frequent(keys[order], score[order], count[order].astype(np.float64))
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row.
 
-    A null text is empty and has its end alone; a row without doc_id is learned from;
-    repeated rows count and are scored each; without rows there are none; further columns
-    are ignored.
+    score is log10 of the text's probability, perplexity 10 ** (-score / n_tokens). A null text is
+    empty and has its end alone; a row without doc_id is learned from; repeated rows count and are
+    scored each; without rows there are none; further columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts, (sampled, final), frequent, parts = learn(docs)
-    sent = docs.mapInArrow(_send(spark.sparkContext.broadcast(frequent), final, parts), _SENT)
-    met = sent.groupBy("part").cogroup(counts.drop("facts").groupBy("part")).applyInPandas(_meet(sampled, final), _SENT)
-    out = met.groupBy("task").applyInPandas(_together(final), _SCORED)
+    m = learn(docs)
+    send = spark.sparkContext.broadcast
+    known = send(m.corpus)
+    sent = docs.mapInArrow(_send(known, send(m.frequent)), _MESSAGE)
+    there = m.pairs.unionByName(m.answers).unionByName(m.tables)
+    met = sent.unionByName(there).groupBy("part").applyInPandas(_meet(known, m.words, m.letters), _MESSAGE)
+    out = met.groupBy("task").applyInPandas(_together, _SCORED)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD_FOLD, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(final.n).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(m.corpus.n).cast("long").alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
