@@ -17,44 +17,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrid.llm import textnum
-from leafgrid.llm.html_blocks import Block, blocks
+from leafgrid.llm.html_blocks import Block, Node, blocks
 from leafgrid.llm.html_training import labelled_page
 from leafgrid.llm.store import small_batches
 
-PAGES, EPOCHS = 500, 6
+PAGES, EPOCHS = 1000, 6
 RATE, DECAY = 0.3, 1e-4
 
 
-def _own(b: Block) -> set[str]:
-    words = b.text.count(" ") + 1
-    out = {f"tag={t}" for t in b.tags}
-    out.add(f"last={b.tags[-1] if b.tags else ''}")
-    for n in b.names:
-        out.add(f"name={n}")
-        out.add(f"stem={n[:4]}")
-    out.add(f"words={min(words.bit_length(), 7)}")
-    share = b.in_links / max(1, len(b.text))
-    out.add(f"linked={0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}")
-    out.add(f"stop={b.text[-1] in '.!?…'}")
-    out.add(f"marks={min(3, b.text.count(',') + b.text.count('. '))}")
-    if "©" in b.text or "copyright" in b.text[:40].lower():
-        out.add("copyright")
+def node_features(node: Node) -> list[str]:
+    """What a node above a block says."""
+    return [f"tag={node.tag}", *(f"name={n}" for n in node.names), *(f"stem={n[:4]}" for n in node.names)]
+
+
+def own_features(found: list[Block]) -> list[set[str]]:
+    """What is known of each block but for the nodes above it: its shape, the tags beside it and its place."""
+    out = []
+    for k, b in enumerate(found):
+        words = b.text.count(" ") + 1
+        share = b.in_links / max(1, len(b.text))
+        own = {
+            "bias", f"last={b.last}", f"words={min(words.bit_length(), 7)}", f"linked={0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}",
+            f"stop={b.text[-1] in '.!?…'}", f"marks={min(3, b.text.count(',') + b.text.count('. '))}",
+            f"before={found[k - 1].last if k else None}", f"after={found[k + 1].last if k + 1 < len(found) else None}",
+        }
+        if words >= 20 and share < 0.3:
+            own |= {"prose", f"prose in {b.last}", f"prose before {found[k - 1].last if k else None} after {found[k + 1].last if k + 1 < len(found) else None}"}
+        if "©" in b.text or "copyright" in b.text[:40].lower():
+            own.add("copyright")
+        out.append(own)
+    if out:
+        out[0].add("first prose" if "prose" in out[0] else "first")
+        out[-1].add("end prose" if "prose" in out[-1] else "end")
     return out
 
 
 def features(found: list[Block]) -> list[set[str]]:
-    """What is known of each block: its own features, the tags beside it and its place."""
-    own = [_own(b) for b in found]
-    for k, b in enumerate(found):
-        own[k].add(f"before={found[k - 1].tags[-1:] if k else None}")
-        own[k].add(f"after={found[k + 1].tags[-1:] if k + 1 < len(found) else None}")
-    if own:
-        own[0].add("first")
-        own[-1].add("end")
-        own[0].add("bias")
-    for x in own:
-        x.add("bias")
-    return own
+    """All features of each block."""
+    return [own | {f for n in b.path() for f in node_features(n)} for own, b in zip(own_features(found), found, strict=True)]
 
 
 @dataclass
@@ -69,9 +69,46 @@ class Field:
         get = self.index.get
         return np.array([self.weights[[i for f in x if (i := get(f)) is not None]].sum(axis=0) for x in own]).reshape(-1, 2)
 
+    def of_page(self, found: list[Block]) -> np.ndarray:
+        """Emissions of all features of the blocks of a page: from block to block only the nodes between them are looked at."""
+        out = self.emissions(own_features(found))
+        get, weights = self.index.get, self.pairs
+        path: list[tuple[Node, list[int]]] = []
+        counts: dict[int, int] = {}
+        w0 = w1 = 0.0
+        for k, b in enumerate(found):
+            fresh, at = [], b.node
+            while at is not None and not (at.depth < len(path) and path[at.depth][0] is at):
+                fresh.append(at)
+                at = at.above
+            while len(path) > (at.depth + 1 if at else 0):
+                for i in path.pop()[1]:
+                    counts[i] -= 1
+                    if not counts[i]:
+                        w0, w1 = w0 - weights[i][0], w1 - weights[i][1]
+            for node in reversed(fresh):
+                known = [i for f in node_features(node) if (i := get(f)) is not None]
+                for i in known:
+                    counts[i] = counts.get(i, 0) + 1
+                    if counts[i] == 1:
+                        w0, w1 = w0 + weights[i][0], w1 + weights[i][1]
+                path.append((node, known))
+            out[k] += (w0, w1)
+        return out
+
+    @property
+    def pairs(self) -> list[list[float]]:
+        if "_pairs" not in self.__dict__:
+            self._pairs = self.weights.tolist()
+        return self._pairs
+
     def decode(self, own: list[set[str]]) -> list[int]:
-        """The most likely labels, by Viterbi; of ties the lower label."""
-        e = self.emissions(own).tolist()
+        """The most likely labels of blocks with these features."""
+        return self.viterbi(self.emissions(own))
+
+    def viterbi(self, emissions: np.ndarray) -> list[int]:
+        """The most likely labels; of ties the lower label."""
+        e = emissions.tolist()
         if not e:
             return []
         (m00, m01), (m10, m11) = self.moves.tolist()
@@ -167,7 +204,7 @@ def trained() -> Field:
 def main_text(page: str | None, field: Field) -> str:
     """The blocks of the article, joined by an empty line."""
     found = blocks(page)
-    return "\n\n".join(b.text for b, y in zip(found, field.decode(features(found)), strict=True) if y)
+    return "\n\n".join(b.text for b, y in zip(found, field.viterbi(field.of_page(found)), strict=True) if y)
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:

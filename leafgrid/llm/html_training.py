@@ -7,11 +7,14 @@ import random
 _WRAPS = (
     ("article", ""), ("article", "post"), ("main", ""), ("main", "main content"), ("div", "content"), ("div", "entry content"),
     ("div", "post body"), ("div", "article body"), ("section", "story"), ("div", "main text"), ("div", ""),
+    ("center", ""), ("td", "content"), ("td", ""), ("blockquote", ""),
 )
 _SIDE = (("aside", ""), ("div", "sidebar"), ("aside", "related posts"), ("div", "widget"), ("section", "related"), ("div", "recommended links"))
 _ADS = (("div", "ad"), ("div", "ads"), ("div", "advert"), ("div", "advertisement"), ("div", "sponsored"), ("aside", "promo"), ("div", "banner ad"), ("ins", "adsbygoogle"))
 _NOTICES = (("div", "cookie notice"), ("div", "notice"), ("div", "cookie banner"), ("div", "gdpr consent"), ("div", "alert"), ("section", "newsletter"), ("div", "popup"), ("div", "subscribe box"))
-_COMMENTS = (("section", "comments"), ("div", "comments"), ("div", "comment list"), ("ol", "commentlist"), ("div", "disqus thread"), ("div", "reader comments"), ("ul", "comment thread"), ("section", "responses"))
+_COMMENTS = (
+    ("section", "comments"), ("div", "comments"), ("div", "comment list"), ("ol", "commentlist"), ("div", "disqus thread"), ("div", "reader comments"), ("ul", "comment thread"), ("section", "responses"),
+    ("div", "user replies"), ("section", "replies"), ("ol", "reply list"), ("div", "discussion thread"), ("div", "guestbook"))
 _HEADERS = (("header", ""), ("div", "header"), ("header", "site header"), ("div", "masthead"), ("div", "topbar"), ("div", "banner"))
 _FOOTERS = (("footer", ""), ("div", "footer"), ("footer", "site footer"), ("div", "bottom copyright"))
 _MENUS = (("nav", ""), ("nav", "menu"), ("div", "navigation"), ("ul", "menu"), ("div", "breadcrumbs"), ("div", "pagination"), ("div", "share social"), ("ul", "tags"))
@@ -73,7 +76,7 @@ class Maker:
         own = ""
         for _ in range(self.r.randint(1, 5)):
             inner = f"<p>{self.words(3, 50)}</p>"
-            own += f'<div class="comment"><b>{self.word()}</b>{inner}</div>' if self.r.random() < 0.6 else (f"<li>{inner}</li>" if a.startswith(("<o", "<u")) else inner)
+            own += f'<div class="{self.r.choice(["comment", "comment", "reply", "user-reply", "response"])}"><b>{self.word()}</b>{inner}</div>' if self.r.random() < 0.6 else (f"<li>{inner}</li>" if a.startswith(("<o", "<u")) else inner)
         return a + f"<h3>{self.words(1, 3, False)}</h3>" * (self.r.random() < 0.5) + own + b
 
     def footer(self) -> str:
@@ -81,6 +84,12 @@ class Maker:
         text = self.r.choice(["&copy; ", "Copyright ", ""]) + "www." + self.word() + ".example &middot; " + self.words(1, 30)
         return a + (text if self.r.random() < 0.6 else f"<p>{text}</p><ul>{self.links(3)}</ul>") + b
 
+    def loose(self) -> str:
+        """Text of an article without tags for its paragraphs."""
+        r = self.r
+        a, b = r.choice([("", ""), ("<font size=2>", "</font>"), ("<span>", "</span>")])
+        return a + r.choice(["<br><br>", "<br>\n", "<hr>"]).join(self.words(8, 90) for _ in range(r.randint(1, 4))) + b
+
     def piece(self) -> str:
         """One or more blocks of an article."""
         r, k = self.r, self.r.random()
@@ -108,7 +117,8 @@ def labelled_page(seed: int) -> list[tuple[str, int]]:
     m = Maker(seed)
     r = m.r
     parts: list[tuple[str, int]] = [(f"<!DOCTYPE html><html><head><title>{m.words(2, 8)}</title><style>p{{}}</style></head><body>", 0)]
-    chance = lambda p, make: parts.append((make(), 0)) if r.random() < p else None
+    alone = r.random() < 0.12  # an old page of text with hardly anything else
+    chance = lambda p, make: parts.append((make(), 0)) if r.random() < (p / 8 if alone else p) else None
     bare = r.random() < 0.4
     chance(0.25, lambda: m.short(_NOTICES, 5, 40))
     chance(0.4, lambda: "<header>" + f"<h1>{m.words(1, 3, False)}</h1>" * (r.random() < 0.4) + m.menu() + f"<p>{m.words(2, 10)}</p>" * (r.random() < 0.4) + "</header>" if r.random() < 0.6 else m.short(_HEADERS, 1, 12))
@@ -116,14 +126,17 @@ def labelled_page(seed: int) -> list[tuple[str, int]]:
     chance(0.5, lambda: m.short(_ADS, 2, 45))
     chance(0.15, m.form)
     chance(0.2, m.aside)
-    a, b = m.open(_WRAPS[r.randrange(4)] if bare else r.choice(_WRAPS))
+    a, b = m.open(_WRAPS[r.randrange(4)] if bare and not alone else r.choice(_WRAPS))
+    if alone and r.random() < 0.3:
+        a = b = ""
     parts.append((a, 0))
-    if r.random() < 0.85:
+    if r.random() < (0.3 if alone else 0.85):
         parts.append((f"<h1>{m.words(1, 14, r.random() < 0.4)}</h1>", 1))
-    for _ in range(r.randint(1, 12)):
-        parts.append((m.piece(), 1))
+    untagged = r.random() < (0.6 if alone else 0.15)
+    for _ in range(1 if alone and r.random() < 0.3 else r.randint(1, 12)):
+        parts.append((m.loose() + "<hr>" if untagged else m.piece(), 1))
         if not bare:
-            chance(0.06, lambda: m.short(_ADS, 2, 45))
+            chance(0.1, lambda: m.short(_ADS, 2, 45))
             chance(0.03, m.aside)
             chance(0.02, m.form)
             chance(0.02, lambda: m.short(_NOTICES, 3, 30))
