@@ -28,7 +28,7 @@ CAPACITY = 1024
 END = 2
 #: Pieces of one length are ranked in groups of about so many rows, as one length may hold most of them;
 #: and the most groups of a table, beside one for each length, whose sizes the driver sees.
-GROUP_ROWS, MOST_GROUPS = 5_000, 100_000
+GROUP_ROWS, MOST_GROUPS = 500, 100_000
 
 
 class SegmentTree:
