@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,17 +29,18 @@ ALIASES = {
 }
 #: Signs of a formula, of a table, and of running text. Fixed values.
 MATH_SIGNS = (
-    "= ≠ ≈ ≤ ≥ < > + - × ÷ ∫ ∑ ∏ α β γ δ ε θ λ μ π σ φ ω ∂ ∇ ∞ √ ∈ ∉ ⊂ ⊃ "
-    "\\frac \\sum \\int \\prod \\sqrt \\alpha \\beta \\gamma \\delta ， 。 、 ； ： （ ） 【 】 公式 方程 函数 变量 常数 系数 参数"
-).split()
+    "=", "≠", "≈", "≤", "≥", "<", ">", "+", "-", "×", "÷", "∫", "∑", "∏", "α", "β", "γ", "δ", "ε", "θ", "λ", "μ", "π", "σ", "φ", "ω", "∂", "∇", "∞", "√", "∈", "∉", "⊂", "⊃",
+    "\\frac", "\\sum", "\\int", "\\prod", "\\sqrt", "\\alpha", "\\beta", "\\gamma", "\\delta", "，", "。", "、", "；", "：", "（", "）", "【", "】",
+    "公式", "方程", "函数", "变量", "常数", "系数", "参数",
+)
 TABLE_WORDS = (
-    "Table Tab. 表 表格 Sample Condition Parameter Value Result Method Material Property Measurement "
-    "样品 条件 参数 数值 结果 方法 材料 性质 测量"
-).split()
+    "Table", "Tab.", "表", "表格", "Sample", "Condition", "Parameter", "Value", "Result", "Method", "Material", "Property", "Measurement",
+    "样品", "条件", "参数", "数值", "结果", "方法", "材料", "性质", "测量",
+)
 TEXT_WORDS = (
-    "abstract introduction conclusion discussion methods results acknowledgment appendix references bibliography "
-    "摘要 引言 介绍 结论 讨论 方法 结果 致谢 附录 参考文献"
-).split()
+    "abstract", "introduction", "conclusion", "discussion", "methods", "results", "acknowledgment", "appendix", "references", "bibliography",
+    "摘要", "引言", "介绍", "结论", "讨论", "方法", "结果", "致谢", "附录", "参考文献",
+)
 #: What recognised text says about a region. Fixed values.
 TITLE_PATTERNS = (
     "abstract", "introduction", "conclusion", "discussion", "methods", "results", "acknowledgment", "appendix",
@@ -160,15 +162,77 @@ def dense_text(ink: Column, structure: Column, most_ink: float = 0.08, least_str
     return ((ink > most_ink) & (structure < least_structure)) | ((ink > 0.10) & (structure < 2 * least_structure)) | ((structure < least_structure * 0.5) & (ink > 0.02))
 
 
-def text_reason(b: Box, kind: Column, score: Column, text: Column, ink: Column, structure: Column, w: Column, h: Column, sure: float = 0.7) -> Column:
-    """Why a table is taken for running text: confidence, place, patterns, density; figures pass."""
-    table = kind == "table"
-    return F.when(table, F.coalesce(
-        F.when(score < 0.5, F.lit("confidence")),
-        F.concat(F.lit("place:"), margin_reason(b, w, h)),
-        F.concat(F.lit("pattern:"), pattern_reason(text, b, h)),
-        F.when((score < sure) & dense_text(ink, structure), F.lit("density")),
-    ))
+class Lines(NamedTuple):
+    """Lines of text seen in a region: how many, mean and deviation of the gaps between them, and their heights added up."""
+
+    n: Column
+    gap: Column
+    deviation: Column
+    heights: Column
+
+
+def running_text(lines: Lines, height: Column, least_density: float = 0.4) -> Column:
+    """Three or more evenly spaced lines that fill much of a region."""
+    even = (lines.gap > 0) & (lines.deviation < lines.gap * 0.5)
+    spaced = (lines.gap >= F.greatest(F.lit(5.0), height * 0.05)) & (lines.gap <= F.least(F.lit(30.0), height * 0.15))
+    return F.coalesce((lines.n >= 3) & even & spaced & (height > 0) & (lines.heights / height > least_density), F.lit(False))
+
+
+class Seen(NamedTuple):
+    """What the text filter looks at: recognised text, ink and structure, lines, and whether a second detector agrees."""
+
+    text: Column
+    ink: Column
+    structure: Column
+    lines: Lines
+    confirmed: Column
+
+
+def text_rules(b: Box, score: Column, seen: Seen, w: Column, h: Column, least_score: float = 0.7) -> dict[str, Column]:
+    """The verdict of each rule that takes a table for running text, in their order: a reason or null."""
+    flag = lambda holds, name: F.when(F.coalesce(holds, F.lit(False)), F.lit(name))
+    return {
+        "confidence": flag(score < least_score, "confidence"),
+        "place": F.concat(F.lit("place:"), margin_reason(b, w, h)),
+        "pattern": F.concat(F.lit("pattern:"), pattern_reason(seen.text, b, h)),
+        "lines": flag(running_text(seen.lines, g.height(b)), "lines"),
+        "density": flag(dense_text(seen.ink, seen.structure), "density"),
+        "unconfirmed": flag(score.between(0.5, 0.7) & ~seen.confirmed, "unconfirmed"),
+    }
+
+
+def text_reason(b: Box, kind: Column, score: Column, seen: Seen, w: Column, h: Column, least_score: float = 0.7, without: tuple[str, ...] = ()) -> Column:
+    """The first rule by which a table is taken for running text; figures pass. Rules named in ``without`` are off."""
+    rules = text_rules(b, score, seen, w, h, least_score)
+    return F.when(kind == "table", F.coalesce(*(r for n, r in rules.items() if n not in without)))
+
+
+def det_reason(b: Box, kind: Column, score: Column) -> Column:
+    """Why a detection is none; null for valid ones."""
+    broken = reduce(lambda a, x: a | x, (c.isNull() | F.isnan(c) for c in b))
+    return first_reason(("coordinates", broken), ("type", F.coalesce(~kind.isin("figure", "table"), F.lit(True))), ("score", F.coalesce(~score.between(0, 1), F.lit(True))))
+
+
+def out_of_unit(values: dict[str, Column]) -> Column:
+    """Names of the values that are not between 0 and 1, in order; a null value is not looked at."""
+    return F.array_compact(F.array(*(F.when(~v.between(0, 1), F.lit(k)) for k, v in values.items())))
+
+
+def arxiv_removed(kind: Column, candidate: Column, text: Column, recognised: bool = True) -> Column:
+    """Figures that look like a preprint stamp and read like one; where no text is recognised, all that look so."""
+    says = F.coalesce(F.lower(text).contains("arxiv"), F.lit(False)) if recognised else F.lit(True)
+    return (kind == "figure") & candidate & says
+
+
+def arxiv_suspect(b: Box, kind: Column, w: Column, h: Column) -> Column:
+    """Small wide figures at the top of a page."""
+    aspect = g.aspect(b)
+    return (kind == "figure") & (g.centre(b)[1] < h * 0.1) & (g.signed_area(b) < w * h * 0.05) & (aspect > 1.5) & (aspect < 8)
+
+
+def text_suspect(kind: Column, ink: Column, h_lines: Column, v_lines: Column, structured: Column) -> Column:
+    """Tables full of ink, without lines and without structure."""
+    return (kind == "table") & (ink > 0.8) & (h_lines < 100) & (v_lines < 100) & ~structured
 
 
 def noise_reason(b: Box, ink: Column, least_area: float = 2000) -> Column:
@@ -182,21 +246,41 @@ def noise_reason(b: Box, ink: Column, least_area: float = 2000) -> Column:
 def equation(b: Box, near: Column, edge_ratio: Column) -> Column:
     """A formula: wide and low, more signs than table words nearby, or mostly horizontal edges."""
     signs, words = hits(near, MATH_SIGNS), hits(F.lower(near), [w.lower() for w in TABLE_WORDS])
-    return ((g.aspect(b, 0.0) > 4) & (g.height(b) < 100)) | F.coalesce((signs > words) & (signs >= 2), F.lit(False)) | F.coalesce(edge_ratio > 3, F.lit(False))
-
-
-def table_reason(b: Box, rows: Column, cols: Column, near: Column, ink: Column, structure: Column, w: Column, h: Column) -> Column:
-    """Why a table is no valid table; null for valid ones."""
-    aspect, (cx, cy), low = g.aspect(b, 0.0), g.centre(b), F.lower(near)
+    return F.coalesce((g.aspect(b, 0.0) > 4) & (g.height(b) < 100), F.lit(False)) | F.coalesce((signs > words) & (signs >= 2), F.lit(False)) | F.coalesce(edge_ratio > 3, F.lit(False))
+
+
+class Table(NamedTuple):
+    """What is seen of a table: its cells, text nearby, ink, structure, pixels of its lines, text lines inside (how many and
+    how their widths vary), lines by their look, pixels of a grid, and how much its edges lie."""
+
+    rows: Column
+    cols: Column
+    near: Column
+    ink: Column
+    structure: Column
+    h_lines: Column
+    v_lines: Column
+    n_lines: Column
+    width_variation: Column
+    lines: Lines
+    grid_h: Column
+    grid_v: Column
+    edge_ratio: Column
+
+
+def table_reason(b: Box, seen: Table, w: Column, h: Column) -> Column:
+    """Why a table is no valid table; null for valid ones. What is not known (null) speaks against nothing but missing cells."""
+    aspect, (cx, cy), low = g.aspect(b, 0.0), g.centre(b), F.lower(seen.near)
     citations = total([low.rlike(p) for p in CITATION_PATTERNS])
     margin = ((cy < h * 0.1) | (cy > h * 0.9)) & (g.height(b) < h * 0.05)
     edge = ((cx < w * 0.05) | (cx > w * 0.95)) & (g.width(b) < w * 0.1)
+    unruled = (seen.h_lines < 30) & (seen.v_lines < 30)
     return first_reason(
-        ("area", g.area(b) < 5000), ("aspect", (aspect > 8) | (aspect < 0.15)), ("cells", F.coalesce((rows < 2) | (cols < 2), F.lit(True))),
-        ("margin", margin), ("edge", edge), ("citations", F.coalesce(citations >= 2, F.lit(False))),
-        ("section", F.coalesce(any_of(low, TEXT_WORDS) & (g.height(b) < h * 0.08), F.lit(False))),
-        ("ink", (ink > 0.04) & (structure < 400)), ("dense", (ink > 0.08) & (structure < 800)), ("bare", (structure < 200) & (ink > 0.015)),
-        ("equation", equation(b, near, F.lit(None).cast("double"))),
+        ("area", g.signed_area(b) < 5000), ("aspect", (aspect > 8) | (aspect < 0.15)), ("cells", F.coalesce((seen.rows < 2) | (seen.cols < 2), F.lit(True))),
+        ("margin", margin), ("edge", edge), ("citations", citations >= 2), ("section", any_of(low, TEXT_WORDS) & (g.height(b) < h * 0.08)),
+        ("paragraph", unruled & (seen.n_lines >= 4) & (seen.width_variation < 0.15)), ("lines", running_text(seen.lines, g.height(b), 0.3)),
+        ("ink", (seen.ink > 0.04) & (seen.structure < 400)), ("dense", (seen.ink > 0.08) & (seen.structure < 800)), ("bare", (seen.structure < 200) & (seen.ink > 0.015)),
+        ("grid", (seen.grid_h < 50) & (seen.grid_v < 50)), ("equation", equation(b, seen.near, seen.edge_ratio)),
     )
 
 
