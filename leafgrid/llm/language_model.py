@@ -14,7 +14,8 @@ How it is dealt:
 2. Pairs (word before, word) of all texts are counted, per task and then by part; parts go by
    the word before, and where that is very frequent by the word too, so that all parts are alike.
 3. Letters' restaurants are dealt by word. Parts ask them for each (word, letter) that they have,
-   telling the customers they send; an answer is in the order of the question.
+   telling the customers they send, first one for each pair and then the tables that sweeps
+   gave; an answer is in the order of the question.
 4. Scores of the FREQUENT most frequent pairs go to all tasks; other tokens go to their
    part and come back as sums for each text.
 The number of parts follows from the number of tokens. All chance is named by words and sweeps, so
@@ -35,15 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrid.llm import textnum
-from leafgrid.llm.messages import Common, packed, unpacked
+from leafgrid.llm.messages import Common, find, packed, unpacked
 from leafgrid.llm.seating import pair_keys, seat_dishes
-from leafgrid.llm.store import keep, small_batches
+from leafgrid.llm.store import forget, keep, small_batches
 
 FOLDS, HELD_FOLD = 5, 1
-#: Words with short codes, and pairs whose scores all tasks hold: 2 bytes and 24 bytes each in every task.
-COMMON, FREQUENT = 65_000, 500_000
+#: Words with short codes, and pairs whose scores all tasks hold: 20 bytes and 24 bytes each in every task.
+COMMON, FREQUENT = 500_000, 500_000
 #: Tokens of a part, about; and the least number of parts.
-PART_TOKENS, LEAST_PARTS = 4_000_000, 8
+PART_TOKENS, LEAST_PARTS = 2_000_000, 8
 #: Parts that words are counted in.
 WORD_PARTS = 64
 #: Strengths of the restaurants of words, of letters and of the grandparent.
@@ -51,7 +52,7 @@ STRENGTH, LETTER_STRENGTH, TOP_STRENGTH = 1.0, 10.0, 10.0
 #: Discount of the letters' restaurants until the tables of the first run tell it.
 FIRST_DISCOUNT = 0.7
 #: Bytes of text looked at together, and the pairs or tokens that a task holds back before it sends them.
-CHUNK, HELD = 6 << 20, 1 << 22
+CHUNK, HELD = 6 << 20, 1 << 21
 LETTERS = 256
 _END = np.uint64(0x6A09E667F3BCC909)
 _PUNCTUATION = np.zeros(256, bool)
@@ -60,7 +61,9 @@ _PUNCTUATION[[ord(c) for c in ".,;:!?"]] = True
 #: What goes between tasks: where to, what it is, from which task or part, and arrays.
 _MESSAGE = "part int, kind int, task long, blob binary"
 _TYPES = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-WORDS, PAIRS, ASKED, ANSWER, TABLES, TOKENS, TEXTS, SCORES, FACTS = range(9)
+WORDS, PAIRS, ASKED, ANSWER, WANTED, TABLES, TOKENS, TEXTS, SCORES, FACTS = range(10)
+#: Questions for the frequent pairs of a part come as from a part of this number more.
+_WANTED = 1 << 40
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,9 +113,14 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["part", "kind", "task", "blob"])
 
 
-def _dealt(h: np.ndarray, parts: int) -> np.ndarray:
+def _spread(x: np.ndarray, parts) -> np.ndarray:
+    """A part for each evenly spread number, ascending with it."""
+    return ((x >> np.uint64(32)) * np.asarray(parts, np.uint64) >> np.uint64(32)).astype(np.int64)
+
+
+def _dealt(h: np.ndarray, parts) -> np.ndarray:
     """A part for each hash."""
-    return ((textnum.mix(h) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return _spread(textnum.mix(h), parts)
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -211,29 +219,28 @@ class Corpus:
     words: int  # distinct
     parts: int
     common: Common
-    count: np.ndarray  # of common words
-    splits: np.ndarray  # of common words: in how many the pairs after one are dealt
+    split: np.ndarray  # very frequent words, ascending: the pairs after one are dealt to several parts
+    splits: np.ndarray  # how many
+    count: np.ndarray  # of split words
 
     def base(self, c):
         """log10 of the add-a-half share of a word of count c."""
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.words + 1)))
 
-    def part(self, before: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The part of each pair."""
-        at, there = self.common.look_up(before)
-        splits = np.where(there, self.splits[at] if len(self.splits) else 1, 1)
+    def place(self, before: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """A number for each pair, the same for those of a restaurant or of its share in a part, that ascends with the part."""
+        at, there = find(self.split, before)
         key = before.copy()
-        many = splits > 1
-        key[many] ^= textnum.mix(_dealt_many(h[many], splits[many]) + np.uint64(1))
-        return _dealt(key, self.parts)
-
+        if there.any():
+            key[there] ^= textnum.mix(_dealt(h[there], self.splits[at[there]]).astype(np.uint64) + np.uint64(1))
+        return textnum.mix(key)
 
-def _dealt_many(h: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    return (textnum.mix(h) >> np.uint64(32)) * parts.astype(np.uint64) >> np.uint64(32)
+    def part(self, place: np.ndarray) -> np.ndarray:
+        return _spread(place, self.parts)
 
 
 def _corpus(words: DataFrame) -> Corpus:
-    facts = sum((unpacked(r["blob"])[0] for r in words.where(F.col("kind") == FACTS).select("blob").collect()), np.zeros(3 + _BINS, np.int64))
+    facts = sum((unpacked(r["blob"])[0] for r in _facts(words)), np.zeros(3 + _BINS, np.int64))
     seen, n, kinds = (int(x) for x in facts[:3])
     least = _threshold(facts[3:], COMMON)
 
@@ -245,12 +252,14 @@ def _corpus(words: DataFrame) -> Corpus:
 
     rows = words.where(F.col("kind") == WORDS).select("blob").mapInArrow(frequent, "blob binary").collect()  # COMMON words at most
     h, c = (np.concatenate(x) for x in zip(*(unpacked(r["blob"]) for r in rows), strict=True)) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    order = np.argsort(h)
+    order = np.lexsort((h, -c))
     h, c = h[order], c[order]
     parts = max(LEAST_PARTS, -(-seen // PART_TOKENS))
-    # a word with a quarter of an even part or more is split
-    splits = np.clip(-(-c * 4 * parts // max(n, 1)), 1, parts)
-    return Corpus(seen, n, kinds, parts, Common(h), c, splits)
+    # a word with more than a quarter of an even part is split; 4 * parts words at most
+    splits = np.minimum(-(-c * 4 * parts // max(n, 1)), parts)
+    hot = np.flatnonzero(splits > 1)
+    hot = hot[np.argsort(h[hot])]
+    return Corpus(seen, n, kinds, parts, Common(h), h[hot], splits[hot], c[hot])
 
 
 # ---- 2: pairs
@@ -265,7 +274,7 @@ def _summed(h: np.ndarray, b: np.ndarray, letter: np.ndarray, c: np.ndarray) ->
 
 
 def _pack_pairs(corpus: Corpus, h: np.ndarray, b: np.ndarray, letter: np.ndarray, *more: np.ndarray) -> bytes:
-    """Pairs in the order of (word before, word), a run for each word before."""
+    """Pairs, a run for each word before."""
     first = _runs(b)
     long = np.diff(np.append(first, len(b))).astype("<u4")
     return packed(*corpus.common.short(b[first]), letter[first], long, *corpus.common.short(h), *more)
@@ -277,6 +286,15 @@ def _unpack_pairs(corpus: Corpus, blob: bytes) -> tuple:
     return corpus.common.whole(hs, h_rest), np.repeat(corpus.common.whole(bs, b_rest), long), np.repeat(letter, long), *more
 
 
+def _by_part(corpus: Corpus, kind: int, task: int, h: np.ndarray, b: np.ndarray, letter: np.ndarray, *more: np.ndarray) -> list[tuple]:
+    """Messages of pairs to their parts."""
+    place = corpus.place(b, h)
+    order = np.argsort(place)
+    part = corpus.part(place[order])
+    h, b, letter, *more = (x[order] for x in (h, b, letter, *more))
+    return [(k, kind, task, _pack_pairs(corpus, h[i:j], b[i:j], letter[i:j], *(x[i:j] for x in more))) for k, i, j in _cut(part, corpus.parts)]
+
+
 def _count_pairs(known):
     """Pairs of all texts with their counts in those learned from."""
 
@@ -286,19 +304,14 @@ def _count_pairs(known):
 
         def send() -> pa.RecordBatch:
             h, b, letter, c = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            part = corpus.part(b, h)
-            order = np.lexsort((h, b, part))
-            h, b, letter, c, part = h[order], b[order], letter[order], c[order].astype("<u4"), part[order]
-            return _batch([(k, PAIRS, 0, _pack_pairs(corpus, h[i:j], b[i:j], letter[i:j], c[i:j])) for k, i, j in _cut(part, corpus.parts)])
+            held.clear()
+            return _batch(_by_part(corpus, PAIRS, 0, h, b, letter, c.astype("<u4")))
 
         for part, h, b, letter, bounds in _chunks(batches):
             if len(h):
-                held.append(_summed(h, b, letter, _learned(part, bounds).astype(np.uint32)))
+                held.append((h, b, letter, _learned(part, bounds).astype(np.uint32)))
             if sum(len(x[0]) for x in held) > HELD:
-                held[:] = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                if len(held[0][0]) > HELD // 2:
-                    yield send()
-                    held.clear()
+                yield send()
         if held:
             yield send()
 
@@ -306,28 +319,29 @@ def _count_pairs(known):
 
 
 def _merge_pairs(known):
-    """One row of pairs for each part, and its facts: bins of counts, pairs seen once and twice, pairs by letter."""
+    """One row of pairs for each part, the first questions, in which each pair has one table, and facts:
+    bins of counts, pairs seen once and twice, pairs by letter, and those of split restaurants."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         corpus: Corpus = known.value
-        part = int(pdf["part"].iloc[0])
+        number = int(pdf["part"].iloc[0])
         h, b, letter, c = _summed(*(np.concatenate(x) for x in zip(*(_unpack_pairs(corpus, x) for x in pdf["blob"]), strict=True)))
-        order = np.lexsort((h, b))
+        order = np.argsort(corpus.place(b, h))
         h, b, letter, c = h[order], b[order], letter[order], c[order]
         some = c > 0
         facts = np.concatenate([np.bincount(_bin(c[some]), minlength=_BINS), [(c == 1).sum(), (c == 2).sum()], np.bincount(letter[some], minlength=LETTERS)])
-        return _frame([(part, PAIRS, 0, _pack_pairs(corpus, h, b, letter, c.astype("<u4"))), (part, FACTS, 0, packed(facts.astype(np.int64), *_hot(corpus, b, np.minimum(c, 1))))])
+        rows = [(number, PAIRS, 0, _pack_pairs(corpus, h, b, letter, c.astype("<u4"))), (number, FACTS, 0, packed(facts.astype(np.int64), *_split(corpus, b, np.minimum(c, 1))))]
+        return _frame(rows + _asked(corpus, number, _ask(h, letter), h, letter, np.minimum(c, 1)))
 
     return run
 
 
-def _hot(corpus: Corpus, b: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the split words before that are here, and their tables here."""
-    at, there = corpus.common.look_up(b)
-    there &= (corpus.splits[at] > 1) if len(corpus.splits) else False
-    n = np.bincount(at[there], tables[there], len(corpus.count))
-    own = np.flatnonzero(n)
-    return own, n[own]
+def _split(corpus: Corpus, b: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which split words have pairs here, and the tables of these."""
+    first = _runs(b)
+    at, there = find(corpus.split, b[first])
+    n = np.add.reduceat(tables, first) if len(first) else tables
+    return at[there], n[there]
 
 
 # ---- 3: restaurants of letters
@@ -355,38 +369,27 @@ class Letters:
         back = LETTER_STRENGTH + self.discount * self.tables[letter]
         return (seen + back * self.top(own)) / (LETTER_STRENGTH + self.customers[letter])
 
+    def answered(self, letter, customers, tables, top_customers, top_tables, _count):
+        """The probability by an answer."""
+        return self.probability(letter, customers - self.discount * tables / 64, top_customers / 64 - self.top_discount * top_tables / 64)
 
-def _ask(corpus: Corpus, h: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What a part asks for, in the order of the parts that answer: part, word, letter; and the place of each pair there."""
-    to = _dealt(h ^ _END, corpus.parts)
-    order = np.lexsort((letter, h, to))
-    h, letter, to = h[order], letter[order], to[order]
-    first = _runs(h, letter)
+
+def _ask(h: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a part asks for, in the order of the parts that answer: one pair of each (word, letter); and the place of each pair there."""
+    key = textnum.mix(h ^ _END) & ~np.uint64(255) | letter
+    order = np.argsort(key)
+    first = _runs(key[order])
     place = np.empty(len(h), np.int64)
     place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-    return to[first], h[first], letter[first], place
+    return order[first], place
 
 
-def _asked(corpus: Corpus, part: int, h: np.ndarray, letter: np.ndarray, tables: np.ndarray) -> list[tuple]:
+def _asked(corpus: Corpus, task: int, ask: tuple[np.ndarray, np.ndarray], h: np.ndarray, letter: np.ndarray, tables: np.ndarray) -> list[tuple]:
     """Questions of a part with the customers that it sends."""
-    to, words, letters, place = _ask(corpus, h, letter)
-    n = np.bincount(place, tables, len(to)).astype("<u4")
-    return [(k, ASKED, part, packed(*corpus.common.short(words[i:j]), letters[i:j], n[i:j])) for k, i, j in _cut(to, corpus.parts)]
-
-
-def _first_questions(known):
-    """The questions of parts in which each pair has one table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus: Corpus = known.value
-        for batch in batches:
-            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                h, _, letter, c = _unpack_pairs(corpus, blob)
-                rows = _asked(corpus, part, h, letter, np.minimum(c, 1))
-                for k in range(0, len(rows), 256):
-                    yield _batch(rows[k : k + 256])
-
-    return run
+    of, place = ask
+    h, letter, n = h[of], letter[of], np.bincount(place, tables, len(of)).astype("<u4")
+    to = _dealt(h ^ _END, corpus.parts)
+    return [(k, ASKED, task, packed(*corpus.common.short(h[i:j]), letter[i:j], n[i:j])) for k, i, j in _cut(to, corpus.parts)]
 
 
 def _deal_words(known):
@@ -427,9 +430,10 @@ def seat_letters(h: np.ndarray, letter: np.ndarray, c: np.ndarray, letters: Lett
     return mean, np.bincount(word, mean, len(first)), tables_own, first, word
 
 
-def _answer(known, letters: Letters, last: bool):
-    """Answers to what parts ask of the words dealt here: a probability; or, last, the two numbers that it is made
-    of and the word's count. And facts: tables by letter, the grandparent's, and dishes with one and two customers."""
+def _answer(known, letters: Letters):
+    """Answers to what parts ask of the words dealt here: customers and mean tables of a word after a letter, and of the
+    word in the grandparent, in 64ths, and the word's count if it is told. And facts: customers and tables in the
+    grandparent, dishes with one and two customers in both, and tables by letter."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         corpus: Corpus = known.value
@@ -443,23 +447,18 @@ def _answer(known, letters: Letters, last: bool):
             return _frame([])
         got = [(corpus.common.whole(a, b), x, n) for a, b, x, n in map(unpacked, asked["blob"])]
         h, letter, n = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((letter, h))
-        first = _runs(h[order], letter[order])
-        dish = np.empty(len(h), np.int64)
-        dish[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-        h, letter, c = h[order][first], letter[order][first], np.bincount(dish, n, len(first)).astype(np.int64)
-        mean, top_customers, top_tables, of, word = seat_letters(h, letter, c, letters)
-        seen, own = c - letters.discount * mean, top_customers - letters.top_discount * top_tables
-        if last:
-            at = np.minimum(np.searchsorted(words, h[of]), max(len(words) - 1, 0))
-            counts = np.where(words[at] == h[of], count[at], 0) if len(words) else np.zeros(len(of), np.uint32)
-            columns = (seen.astype("<f4"), own[word].astype("<f4"), counts[word].astype("<u4"))
-        else:
-            columns = (letters.probability(letter, seen, own[word]).astype("<f4"),)
+        of, dish = _ask(h, letter)
+        h, letter, c = h[of], letter[of], np.bincount(dish, n, len(of)).astype(np.int64)
+        mean, top_customers, top_tables, first, word = seat_letters(h, letter, c, letters)
+        at, there = find(words, h[first])
+        counts = np.zeros(len(first), np.uint32)
+        counts[there] = count[at[there]]
+        ints = lambda x: np.rint(x * 64).astype("<u8")
+        columns = (c.astype("<u4"), ints(mean), ints(top_customers)[word], ints(top_tables)[word], counts[word])
         out, at = [], 0
         for task, (asks, _, _) in zip(asked["task"], got, strict=True):
             mine = dish[at : at + len(asks)]
-            out.append((int(task), ANSWER, part, packed(*(x[mine] for x in columns))))
+            out.append((int(task) % _WANTED, WANTED if task >= _WANTED else ANSWER, part, packed(*(x[mine] for x in columns))))
             at += len(asks)
         facts = np.concatenate([[top_customers.sum(), top_tables.sum(), (c == 1).sum(), (c == 2).sum(), (top_customers == 1).sum(), ((top_customers > 1) & (top_customers <= 2)).sum()], np.bincount(letter, mean, LETTERS)])
         return _frame([*out, (-1, FACTS, part, packed(facts))])
@@ -472,7 +471,7 @@ def _added(rows: list, long: int) -> np.ndarray:
 
 
 def _facts(df: DataFrame) -> list:
-    return df.where(F.col("kind") == FACTS).select("blob").collect()
+    return df.where(F.col("kind") == FACTS).select("part", "blob").collect()
 
 
 def _share(once: float, twice: float) -> float:
@@ -488,19 +487,17 @@ class Words:
     """What tasks need to know of the restaurants of words: the discount, and of split ones the tables in all parts."""
 
     discount: float
-    split: np.ndarray  # tables of each common word that is split, else 0
+    split: np.ndarray
 
     def tables(self, corpus: Corpus, before: np.ndarray) -> np.ndarray:
         """Tables of each restaurant that is split, and nan for the others."""
-        at, there = corpus.common.look_up(before)
-        if not len(self.split):
-            return np.full(len(before), np.nan)
-        return np.where(there & (corpus.splits[at] > 1), self.split[at], np.nan)
+        at, there = find(corpus.split, before)
+        return np.where(there, self.split[at], np.nan) if len(self.split) else np.full(len(before), np.nan)
 
 
 @dataclass(frozen=True)
 class Part:
-    """The pairs of a part, in the order of (word before, word), and its restaurants."""
+    """The pairs of a part, a run for each restaurant."""
 
     h: np.ndarray
     before: np.ndarray
@@ -508,27 +505,24 @@ class Part:
     c: np.ndarray
     first: np.ndarray  # of restaurants among pairs
     place: np.ndarray  # of pairs among restaurants
-    ask: np.ndarray  # place of each pair in what the part asks
+    ask: tuple[np.ndarray, np.ndarray]  # what the part asks, and the place of each pair there
 
     @classmethod
-    def of(cls, corpus: Corpus, blob: bytes) -> Part:
-        h, b, letter, c = _unpack_pairs(corpus, blob)
+    def of(cls, corpus: Corpus, pdf: pd.DataFrame) -> Part:
+        h, b, letter, c = _unpack_pairs(corpus, pdf.loc[pdf["kind"] == PAIRS, "blob"].iloc[0])
         first = _runs(b)
         place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(b))))
-        return cls(h, b, letter, c.astype(np.int64), first, place, _ask(corpus, h, letter)[3])
+        return cls(h, b, letter, c.astype(np.int64), first, place, _ask(h, letter))
 
     def sums(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.place, x, len(self.first))
-
-    def seated(self, corpus: Corpus, words: Words, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known = words.tables(corpus, self.before[self.first])
-        return seat_dishes(self.c, self.place, known, p, pair_keys(self.h, self.before), STRENGTH, words.discount)
+        return np.add.reduceat(x, self.first)
 
     def customers(self, corpus: Corpus) -> np.ndarray:
         """Customers of each restaurant, in all parts."""
-        at, there = corpus.common.look_up(self.before[self.first])
-        whole = corpus.count[at] if len(corpus.count) else np.zeros(len(at), np.int64)
-        return np.where(there, whole, self.sums(self.c))
+        at, there = find(corpus.split, self.before[self.first])
+        out = self.sums(self.c)
+        out[there] = corpus.count[at[there]]
+        return out
 
 
 def _answers(pdf: pd.DataFrame) -> list[np.ndarray]:
@@ -537,39 +531,29 @@ def _answers(pdf: pd.DataFrame) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*map(unpacked, rows["blob"]), strict=True)]
 
 
-def _first_run(known, words: Words):
-    """Sweeps of a part's restaurants given the first answers: the next questions, with tables of the last sweep;
-    and facts: customers by letter, tables of split restaurants."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        corpus: Corpus = known.value
-        number = int(pdf["part"].iloc[0])
-        part = Part.of(corpus, pdf.loc[pdf["kind"] == PAIRS, "blob"].iloc[0])
-        _, t = part.seated(corpus, words, _answers(pdf)[0].astype(np.float64)[part.ask])
-        facts = (number, FACTS, number, packed(np.bincount(part.letter, t, LETTERS), *_hot(corpus, part.before, t)))
-        return _frame([*_asked(corpus, number, part.h, part.letter, t), facts])
-
-    return run
-
-
-def _second_run(known, words: Words, letters: Letters, least: int):
-    """Sweeps given the last answers: a part's mean tables of pairs seen twice or more, in SAMPLES-ths of a table;
-    and facts: tables of split restaurants, and what the scores of its frequent pairs are made of."""
+def _run(known, words: Words, letters: Letters, least: int):
+    """Sweeps of a part's restaurants given the first answers: mean tables of pairs seen twice or more, in 64ths; the
+    next questions, with tables of the last sweep, and those for the frequent pairs; and facts: customers by letter,
+    mean tables of split restaurants, and what the scores of its frequent pairs are made of."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         corpus: Corpus = known.value
         number = int(pdf["part"].iloc[0])
-        part = Part.of(corpus, pdf.loc[pdf["kind"] == PAIRS, "blob"].iloc[0])
-        seen, own, count = (x[part.ask] for x in _answers(pdf))
-        p = letters.probability(part.letter, seen.astype(np.float64), own.astype(np.float64))
-        mean, _ = part.seated(corpus, words, p)
+        part = Part.of(corpus, pdf)
+        p = letters.answered(part.letter, *(x[part.ask[1]] for x in _answers(pdf)))
+        keys = pair_keys(part.h, part.before)
+        mean, t = seat_dishes(part.c, part.place, words.tables(corpus, part.before[part.first]), p, keys, STRENGTH, words.discount)
+        rows = [(number, TABLES, number, packed(np.rint(mean[part.c > 1] * 64).astype("<u4")))]
+        rows += _asked(corpus, number, part.ask, part.h, part.letter, t)
         at = np.flatnonzero(part.c >= least)
+        at = at[np.argsort(part.ask[1][at], kind="stable")]
+        if len(at):
+            rows += _asked(corpus, number + _WANTED, (at, np.zeros(0, np.int64)), part.h, part.letter, np.zeros(0))
         r = part.place[at]
-        tables = part.sums(mean)
-        common, there = corpus.common.look_up(part.before[at])
-        split = there & ((corpus.splits[common] > 1) if len(corpus.splits) else False)
-        pairs = (pair_keys(part.h[at], part.before[at]), count[at], part.c[at] - words.discount * mean[at], p[at], part.customers(corpus)[r], np.where(split, -1.0, tables[r]), common)
-        return _frame([(number, TABLES, number, packed(np.rint(mean[part.c > 1] * 64).astype("<u4"))), (number, FACTS, number, packed(*_hot(corpus, part.before, mean), *pairs))])
+        split, is_split = find(corpus.split, part.before[at])
+        pairs = (keys[at], part.letter[at], part.c[at] - words.discount * mean[at], part.customers(corpus)[r], part.sums(mean)[r], np.where(is_split, split, -1))
+        rows.append((number, FACTS, number, packed(np.bincount(part.letter, t, LETTERS), *_split(corpus, part.before, mean), *pairs)))
+        return _frame(rows)
 
     return run
 
@@ -589,10 +573,6 @@ class Frequent:
     score: np.ndarray
     count: np.ndarray
 
-    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each key, and whether it is there."""
-        return Common(self.keys).look_up(keys)
-
 
 def _send(known, frequent):
     """Of each text what the frequent pairs say, and of all other tokens the pair and the text."""
@@ -610,24 +590,21 @@ def _send(known, frequent):
             null = np.array([d is None for d, *_ in texts], np.uint8)
             whole = [np.array(x, np.float64) for x in zip(*(x[1:] for x in texts), strict=True)]
             yield _batch([(number % corpus.parts, TEXTS, number, packed(ids, null, *whole))])
-            h, b, letter, i = (np.concatenate(x) for x in zip(*rest, strict=True))
-            part = corpus.part(b, h)
-            order = np.lexsort((h, b, part))
-            h, b, letter, i, part = h[order], b[order], letter[order], i[order], part[order]
-            rows = [(k, TOKENS, number, _pack_pairs(corpus, h[x:y], b[x:y], letter[x:y], i[x:y])) for k, x, y in _cut(part, corpus.parts)]
+            rows = _by_part(corpus, TOKENS, number, *(np.concatenate(x) for x in zip(*rest, strict=True)))
+            rest.clear()
             for k in range(0, len(rows), 256):
                 yield _batch(rows[k : k + 256])
 
         for part, h, b, letter, bounds in _chunks(batches):
             text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-            at, there = table.look_up(pair_keys(h, b))
+            at, there = find(table.keys, pair_keys(h, b))
             place = at[there]
             sums = [np.bincount(text[there], w, part.num_rows) for w in (np.ones(len(place)), of_base[place], table.score[place])]
             rest.append((h[~there], b[~there], letter[~there], (text[~there] + len(texts)).astype("<u4")))
             texts += zip(part.column("doc_id").to_pylist(), np.diff(bounds).tolist(), *(s.tolist() for s in sums), strict=True)
             if sum(len(x[0]) for x in rest) > HELD or len(texts) > HELD // 8:
                 yield from sent()
-                texts, rest, number = [], [], number + 1
+                texts, number = [], number + 1
         if texts:
             yield from sent()
 
@@ -643,9 +620,9 @@ def _meet(known, words: Words, letters: Letters):
         sent = pdf[pdf["kind"] == TOKENS]
         if not len(sent):
             return _frame(passed)
-        part = Part.of(corpus, pdf.loc[pdf["kind"] == PAIRS, "blob"].iloc[0])
-        seen, own, count = (x[part.ask] for x in _answers(pdf))
-        p = letters.probability(part.letter, seen.astype(np.float64), own.astype(np.float64))
+        part = Part.of(corpus, pdf)
+        answers = [x[part.ask[1]] for x in _answers(pdf)]
+        p, count = letters.answered(part.letter, *answers), answers[-1]
         mean = np.minimum(part.c, 1).astype(np.float64)
         mean[part.c > 1] = unpacked(pdf.loc[pdf["kind"] == TABLES, "blob"].iloc[0])[0] / 64
         split = words.tables(corpus, part.before[part.first])
@@ -696,14 +673,15 @@ class Model:
     answers: DataFrame
     tables: DataFrame
     frequent: Frequent
+    kept: tuple[DataFrame, ...]  # the tables that these are parts of
 
 
-def _split_tables(corpus: Corpus, rows: list, at: int) -> np.ndarray:
+def _split_tables(corpus: Corpus, rows: list) -> np.ndarray:
     """Tables of split restaurants over all parts: of each part that has one its place and number."""
-    out = np.zeros(len(corpus.count))
+    out = np.zeros(len(corpus.split))
     for r in rows:
-        got = unpacked(r["blob"])
-        np.add.at(out, got[at].astype(np.int64), got[at + 1])
+        _, at, n, *_ = unpacked(r["blob"])
+        np.add.at(out, at, n)
     return out
 
 
@@ -711,39 +689,38 @@ def learn(docs: DataFrame) -> Model:
     """The model of the rows with doc_id and text that are learned from; it answers for the others' words too."""
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
-    words = keep(docs.mapInArrow(_count_words, _MESSAGE).groupBy("part").applyInPandas(_merge_words, _MESSAGE), "words")
+    of = lambda df, kind: df.where(F.col("kind") == kind)
+    words = keep(docs.mapInArrow(_count_words, _MESSAGE).groupBy("part").applyInPandas(_merge_words, _MESSAGE), "words", "kind")
     corpus = _corpus(words)
     known = send(corpus)
-    counted = keep(docs.mapInArrow(_count_pairs(known), _MESSAGE).groupBy("part").applyInPandas(_merge_pairs(known), _MESSAGE), "pairs")
+    counted = keep(docs.mapInArrow(_count_pairs(known), _MESSAGE).groupBy("part").applyInPandas(_merge_pairs(known), _MESSAGE), "pairs", "kind")
     facts = _facts(counted)
     sums = _added(facts, _BINS + 2 + LETTERS)
     bins, (once, twice), kinds = sums[:_BINS], sums[_BINS : _BINS + 2], sums[_BINS + 2 :]
-    pairs = counted.where(F.col("kind") == PAIRS)
-    seats = Words(_share(once, twice), _split_tables(corpus, facts, 1))
-    dealt_words = words.where(F.col("kind") == WORDS).mapInArrow(_deal_words(known), _MESSAGE)
+    pairs = of(counted, PAIRS)
+    seats = Words(_share(once, twice), _split_tables(corpus, facts))
 
     # each pair has one table: the letters' probabilities to begin with
     letters = Letters(corpus.words, FIRST_DISCOUNT, FIRST_DISCOUNT, kinds, np.minimum(kinds, corpus.words) * 0.5, float(min(kinds.sum(), 2 * corpus.words)), float(corpus.words))
-    asked = pairs.mapInArrow(_first_questions(known), _MESSAGE)
-    first = keep(asked.groupBy("part").applyInPandas(_answer(known, letters, False), _MESSAGE), "answers")
+    first = keep(of(counted, ASKED).groupBy("part").applyInPandas(_answer(known, letters), _MESSAGE), "answers", "kind")
+    forget(counted, f"kind={ASKED}")
+    sampled = _after(letters, _facts(first), discounts=False)
     letters = _after(letters, _facts(first))
 
     # sweeps of the words' restaurants, then of the letters'
-    run = keep(pairs.unionByName(first.where(F.col("kind") == ANSWER)).groupBy("part").applyInPandas(_first_run(known, seats), _MESSAGE), "questions")
-    facts = _facts(run)
-    letters = replace(letters, customers=_added(facts, LETTERS))
-    seats = replace(seats, split=_split_tables(corpus, facts, 1))
-    asked = run.where(F.col("kind") == ASKED).unionByName(dealt_words)
-    answered = keep(asked.groupBy("part").applyInPandas(_answer(known, letters, True), _MESSAGE), "answers")
-    letters = _after(letters, _facts(answered), discounts=False)
-    answers = answered.where(F.col("kind") == ANSWER)
-
-    # and of the words' again
     least = _threshold(bins.astype(np.int64), FREQUENT)
-    second = keep(pairs.unionByName(answers).groupBy("part").applyInPandas(_second_run(known, seats, letters, least), _MESSAGE), "tables")
-    facts = _facts(second)  # FREQUENT pairs at most
-    seats = replace(seats, split=_split_tables(corpus, facts, 0))
-    return Model(corpus, seats, letters, pairs, answers, second.where(F.col("kind") == TABLES), _frequent(seats, facts))
+    ran = keep(pairs.unionByName(of(first, ANSWER)).groupBy("part").applyInPandas(_run(known, seats, sampled, least), _MESSAGE), "tables", "kind")
+    forget(first)
+    facts = _facts(ran)  # FREQUENT pairs at most
+    letters = replace(letters, customers=_added(facts, LETTERS))
+    seats = replace(seats, split=_split_tables(corpus, facts))
+    asked = of(ran, ASKED).unionByName(of(words, WORDS).mapInArrow(_deal_words(known), _MESSAGE))
+    answers = keep(asked.groupBy("part").applyInPandas(_answer(known, letters), _MESSAGE), "answers", "kind")
+    forget(ran, f"kind={ASKED}")
+    forget(words)
+    letters = _after(letters, _facts(answers), discounts=False)
+    wanted = of(answers, WANTED).select("part", "task", "blob").collect()  # FREQUENT pairs at most
+    return Model(corpus, seats, letters, pairs, of(answers, ANSWER), of(ran, TABLES), _frequent(seats, letters, facts, wanted), (counted, answers, ran))
 
 
 def _after(letters: Letters, rows: list, discounts: bool = True) -> Letters:
@@ -752,15 +729,18 @@ def _after(letters: Letters, rows: list, discounts: bool = True) -> Letters:
     return replace(out, discount=_share(sums[2], sums[3]), top_discount=_share(sums[4], sums[5])) if discounts else out
 
 
-def _frequent(words: Words, rows: list) -> Frequent:
-    got = [unpacked(r["blob"])[2:] for r in rows]
-    if not got:
+def _frequent(words: Words, letters: Letters, facts: list, wanted: list) -> Frequent:
+    """Scores of the frequent pairs, of what parts told of them and what they were answered."""
+    got = [unpacked(r["blob"])[3:] for r in sorted(facts, key=lambda r: r["part"])]
+    answered = [unpacked(r["blob"]) for r in sorted(wanted, key=lambda r: (r["part"], r["task"]))]
+    if not answered:
         return Frequent(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    keys, count, less, p, customers, tables, common = (np.concatenate(x) for x in zip(*got, strict=True))
-    tables = np.where(tables < 0, words.split[common] if len(words.split) else 0.0, tables)
+    keys, letter, less, customers, tables, split = (np.concatenate(x) for x in zip(*got, strict=True))
+    answer = [np.concatenate(x).astype(np.float64) for x in zip(*answered, strict=True)]
+    tables = np.where(split >= 0, words.split[split], tables) if len(words.split) else tables
     order = np.argsort(keys)
-    score = np.log10(_probability(less, p, customers, tables, words.discount))
-    return Frequent(keys[order], score[order], count[order].astype(np.float64))
+    score = np.log10(_probability(less, letters.answered(letter, *answer), customers, tables, words.discount))
+    return Frequent(keys[order], score[order], answer[-1][order])
 
 
 def score_texts(docs: DataFrame) -> DataFrame:

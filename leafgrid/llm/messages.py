@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 
@@ -33,27 +31,33 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-@dataclass(frozen=True)
 class Common:
-    """Ascending hashes of the most frequent words, 65,535 at most: a word is its place here, or no place and its hash."""
+    """The most frequent words, most frequent first: a word is its place here, from 1 on, or 0 and its hash."""
 
-    keys: np.ndarray
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.order = np.argsort(keys).astype(np.uint32)
+        self.sorted = keys[self.order]
 
     def short(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each word in two bytes, and the hashes of those without one."""
-        at, there = self.look_up(h)
-        return np.where(there, at, 65_535).astype("<u2"), h[~there]
+        """Place of each word, and the hashes of those without one."""
+        at, there = find(self.sorted, h)
+        places = np.zeros(len(h), "<u4")
+        places[there] = self.order[at[there]] + np.uint32(1)
+        return places, h[~there]
 
     def whole(self, places: np.ndarray, rest: np.ndarray) -> np.ndarray:
         out = np.empty(len(places), np.uint64)
-        there = places < 65_535
-        out[there] = self.keys[places[there]]
+        there = places > 0
+        out[there] = self.keys[places[there] - np.uint32(1)]
         out[~there] = rest
         return out
 
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each word, and whether it has one."""
-        if not len(self.keys):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return at, self.keys[at] == h
+
+def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x is in ascending keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.searchsorted(keys, x)
+    at[at == len(keys)] = 0
+    return at, keys[at] == x

@@ -1,8 +1,9 @@
 """Intermediate tables in the folder that all executors share.
 
 A written table cuts lineage and survives a lost executor. The folder is the one
-named by ``spark.checkpoint.dir``; a session without one (tests, a laptop) gets a
-local folder of its own. Tables go when the driver's process ends.
+named by ``spark.checkpoint.dir``; a session without one gets a local folder of its own if all
+its tasks run on this machine, and an error otherwise. Tables go when they are forgotten, or
+when the driver's process ends.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_ROWS = "500"
 
 _made: dict[str, SparkSession] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _sent: set[str] = set()
 
 
@@ -30,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="leafgrid-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -42,12 +47,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and return them read back."""
+def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write the rows to the shared folder and return them read back; ``by``: a column that parts the files."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    _paths[out] = path
+    return out
+
+
+def forget(kept: DataFrame, part: str = "") -> None:
+    """Remove a kept table, or a part of one (``column=value``), that no later step reads.
+
+    The collection lets Spark remove the shuffle files of finished steps as well.
+    """
+    spark = kept.sparkSession
+    path = _paths[kept]
+    drop_path(spark, f"{path}/{part}" if part else path)
+    if not part:
+        _made.pop(path, None)
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
