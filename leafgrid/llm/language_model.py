@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrid.llm import textnum
-from leafgrid.llm.messages import Common, find, packed, unpacked
-from leafgrid.llm.seating import pair_keys, seat_dishes
+from leafgrid.llm.messages import Common, Index, packed, unpacked
+from leafgrid.llm.seating import SAMPLES, pair_keys, seat_dishes
 from leafgrid.llm.store import forget, keep, small_batches
 
 FOLDS, HELD_FOLD = 5, 1
@@ -219,7 +219,7 @@ class Corpus:
     words: int  # distinct
     parts: int
     common: Common
-    split: np.ndarray  # very frequent words, ascending: the pairs after one are dealt to several parts
+    split: Index  # very frequent words: the pairs after one are dealt to several parts
     splits: np.ndarray  # how many
     count: np.ndarray  # of split words
 
@@ -229,7 +229,7 @@ class Corpus:
 
     def place(self, before: np.ndarray, h: np.ndarray) -> np.ndarray:
         """A number for each pair, the same for those of a restaurant or of its share in a part, that ascends with the part."""
-        at, there = find(self.split, before)
+        at, there = self.split.find(before)
         key = before.copy()
         if there.any():
             key[there] ^= textnum.mix(_dealt(h[there], self.splits[at[there]]).astype(np.uint64) + np.uint64(1))
@@ -259,7 +259,7 @@ def _corpus(words: DataFrame) -> Corpus:
     splits = np.minimum(-(-c * 4 * parts // max(n, 1)), parts)
     hot = np.flatnonzero(splits > 1)
     hot = hot[np.argsort(h[hot])]
-    return Corpus(seen, n, kinds, parts, Common(h), h[hot], splits[hot], c[hot])
+    return Corpus(seen, n, kinds, parts, Common(h), Index(h[hot]), splits[hot], c[hot])
 
 
 # ---- 2: pairs
@@ -339,7 +339,7 @@ def _merge_pairs(known):
 def _split(corpus: Corpus, b: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which split words have pairs here, and the tables of these."""
     first = _runs(b)
-    at, there = find(corpus.split, b[first])
+    at, there = corpus.split.find(b[first])
     n = np.add.reduceat(tables, first) if len(first) else tables
     return at[there], n[there]
 
@@ -410,7 +410,7 @@ def _deal_words(known):
     return run
 
 
-def seat_letters(h: np.ndarray, letter: np.ndarray, c: np.ndarray, letters: Letters, runs: int = 2) -> tuple:
+def seat_letters(h: np.ndarray, letter: np.ndarray, c: np.ndarray, letters: Letters, last: bool) -> tuple:
     """Mean tables of each dish of the letters' restaurants, in the order of (word, letter), and of the grandparent:
     means of a word's customers there and of its tables; then where words begin, and the word of each dish.
 
@@ -422,15 +422,15 @@ def seat_letters(h: np.ndarray, letter: np.ndarray, c: np.ndarray, letters: Lett
     tables_own = np.ones(len(first))
     known, top_known = letters.tables.astype(np.float64), np.array([letters.top_tables])
     fresh = np.full(len(first), 1 / (letters.words + 1))
-    for _ in range(runs):
+    for samples in (1, SAMPLES) if last else (1,):  # a first run tells the grandparent's tables
         p = letters.top(own - letters.top_discount * tables_own)
-        mean, t = seat_dishes(c, letter.astype(np.int64), known, p[word], keys, LETTER_STRENGTH, letters.discount)
+        mean, t = seat_dishes(c, letter.astype(np.int64), known, p[word], keys, LETTER_STRENGTH, letters.discount, samples)
         own = np.bincount(word, t, len(first)).astype(np.int64)
-        tables_own, _ = seat_dishes(own, np.zeros(len(first), np.int64), top_known, fresh, top_keys, TOP_STRENGTH, letters.top_discount)
+        tables_own, _ = seat_dishes(own, np.zeros(len(first), np.int64), top_known, fresh, top_keys, TOP_STRENGTH, letters.top_discount, samples)
     return mean, np.bincount(word, mean, len(first)), tables_own, first, word
 
 
-def _answer(known, letters: Letters):
+def _answer(known, letters: Letters, last: bool):
     """Answers to what parts ask of the words dealt here: customers and mean tables of a word after a letter, and of the
     word in the grandparent, in 64ths, and the word's count if it is told. And facts: customers and tables in the
     grandparent, dishes with one and two customers in both, and tables by letter."""
@@ -449,8 +449,8 @@ def _answer(known, letters: Letters):
         h, letter, n = (np.concatenate(x) for x in zip(*got, strict=True))
         of, dish = _ask(h, letter)
         h, letter, c = h[of], letter[of], np.bincount(dish, n, len(of)).astype(np.int64)
-        mean, top_customers, top_tables, first, word = seat_letters(h, letter, c, letters)
-        at, there = find(words, h[first])
+        mean, top_customers, top_tables, first, word = seat_letters(h, letter, c, letters, last)
+        at, there = Index(words).find(h[first])
         counts = np.zeros(len(first), np.uint32)
         counts[there] = count[at[there]]
         ints = lambda x: np.rint(x * 64).astype("<u8")
@@ -491,7 +491,7 @@ class Words:
 
     def tables(self, corpus: Corpus, before: np.ndarray) -> np.ndarray:
         """Tables of each restaurant that is split, and nan for the others."""
-        at, there = find(corpus.split, before)
+        at, there = corpus.split.find(before)
         return np.where(there, self.split[at], np.nan) if len(self.split) else np.full(len(before), np.nan)
 
 
@@ -519,7 +519,7 @@ class Part:
 
     def customers(self, corpus: Corpus) -> np.ndarray:
         """Customers of each restaurant, in all parts."""
-        at, there = find(corpus.split, self.before[self.first])
+        at, there = corpus.split.find(self.before[self.first])
         out = self.sums(self.c)
         out[there] = corpus.count[at[there]]
         return out
@@ -550,7 +550,7 @@ def _run(known, words: Words, letters: Letters, least: int):
         if len(at):
             rows += _asked(corpus, number + _WANTED, (at, np.zeros(0, np.int64)), part.h, part.letter, np.zeros(0))
         r = part.place[at]
-        split, is_split = find(corpus.split, part.before[at])
+        split, is_split = corpus.split.find(part.before[at])
         pairs = (keys[at], part.letter[at], part.c[at] - words.discount * mean[at], part.customers(corpus)[r], part.sums(mean)[r], np.where(is_split, split, -1))
         rows.append((number, FACTS, number, packed(np.bincount(part.letter, t, LETTERS), *_split(corpus, part.before, mean), *pairs)))
         return _frame(rows)
@@ -569,7 +569,7 @@ def _probability(c_less, p, customers, tables, discount: float):
 class Frequent:
     """Ascending keys of frequent pairs with log10 of their probability and the count of their word."""
 
-    keys: np.ndarray
+    index: Index
     score: np.ndarray
     count: np.ndarray
 
@@ -597,7 +597,7 @@ def _send(known, frequent):
 
         for part, h, b, letter, bounds in _chunks(batches):
             text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-            at, there = find(table.keys, pair_keys(h, b))
+            at, there = table.index.find(pair_keys(h, b))
             place = at[there]
             sums = [np.bincount(text[there], w, part.num_rows) for w in (np.ones(len(place)), of_base[place], table.score[place])]
             rest.append((h[~there], b[~there], letter[~there], (text[~there] + len(texts)).astype("<u4")))
@@ -631,11 +631,11 @@ def _meet(known, words: Words, letters: Letters):
         base, is_known = corpus.base(count.astype(np.float64)), (count > 0).astype(np.float64)
         keys = pair_keys(part.h, part.before)
         order = np.argsort(keys)
-        keys = keys[order]
+        index = Index(keys[order])
         out = []
         for task, blob in zip(sent["task"], sent["blob"], strict=True):
             h, b, _, i = _unpack_pairs(corpus, blob)
-            at = order[np.searchsorted(keys, pair_keys(h, b))]
+            at = order[index.find(pair_keys(h, b))[0]]
             texts, i = np.unique(i, return_inverse=True)
             sums = [np.bincount(i, x[at], len(texts)) for x in (is_known, base, score)]
             out.append((0, SCORES, int(task), packed(texts, sums[0].astype("<u4"), sums[1], sums[2])))
@@ -678,7 +678,7 @@ class Model:
 
 def _split_tables(corpus: Corpus, rows: list) -> np.ndarray:
     """Tables of split restaurants over all parts: of each part that has one its place and number."""
-    out = np.zeros(len(corpus.split))
+    out = np.zeros(len(corpus.split.keys))
     for r in rows:
         _, at, n, *_ = unpacked(r["blob"])
         np.add.at(out, at, n)
@@ -702,7 +702,7 @@ def learn(docs: DataFrame) -> Model:
 
     # each pair has one table: the letters' probabilities to begin with
     letters = Letters(corpus.words, FIRST_DISCOUNT, FIRST_DISCOUNT, kinds, np.minimum(kinds, corpus.words) * 0.5, float(min(kinds.sum(), 2 * corpus.words)), float(corpus.words))
-    first = keep(of(counted, ASKED).groupBy("part").applyInPandas(_answer(known, letters), _MESSAGE), "answers", "kind")
+    first = keep(of(counted, ASKED).groupBy("part").applyInPandas(_answer(known, letters, False), _MESSAGE), "answers", "kind")
     forget(counted, f"kind={ASKED}")
     sampled = _after(letters, _facts(first), discounts=False)
     letters = _after(letters, _facts(first))
@@ -715,7 +715,7 @@ def learn(docs: DataFrame) -> Model:
     letters = replace(letters, customers=_added(facts, LETTERS))
     seats = replace(seats, split=_split_tables(corpus, facts))
     asked = of(ran, ASKED).unionByName(of(words, WORDS).mapInArrow(_deal_words(known), _MESSAGE))
-    answers = keep(asked.groupBy("part").applyInPandas(_answer(known, letters), _MESSAGE), "answers", "kind")
+    answers = keep(asked.groupBy("part").applyInPandas(_answer(known, letters, True), _MESSAGE), "answers", "kind")
     forget(ran, f"kind={ASKED}")
     forget(words)
     letters = _after(letters, _facts(answers), discounts=False)
@@ -734,13 +734,13 @@ def _frequent(words: Words, letters: Letters, facts: list, wanted: list) -> Freq
     got = [unpacked(r["blob"])[3:] for r in sorted(facts, key=lambda r: r["part"])]
     answered = [unpacked(r["blob"]) for r in sorted(wanted, key=lambda r: (r["part"], r["task"]))]
     if not answered:
-        return Frequent(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+        return Frequent(Index(np.zeros(0, np.uint64)), np.zeros(0), np.zeros(0))
     keys, letter, less, customers, tables, split = (np.concatenate(x) for x in zip(*got, strict=True))
     answer = [np.concatenate(x).astype(np.float64) for x in zip(*answered, strict=True)]
     tables = np.where(split >= 0, words.split[split], tables) if len(words.split) else tables
     order = np.argsort(keys)
     score = np.log10(_probability(less, letters.answered(letter, *answer), customers, tables, words.discount))
-    return Frequent(keys[order], score[order], answer[-1][order])
+    return Frequent(Index(keys[order]), score[order], answer[-1][order])
 
 
 def score_texts(docs: DataFrame) -> DataFrame:

@@ -31,17 +31,46 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+class Index:
+    """Ascending hashes with a table of where those of the same first bits begin: a look-up takes a few reads."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.starts = np.append(edges, len(keys)).astype(np.int64)
+        self.padded = np.append(keys, np.uint64(0))
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each x is among the keys, and whether it is there."""
+        first = (x >> self.shift).astype(np.int64)
+        at = self.starts[first]
+        n = self.starts[first + 1] - at
+        there = (n > 0) & (self.padded[at] == x)
+        todo, k = np.flatnonzero(~there & (n > 1)), 1
+        while len(todo):
+            hit = self.padded[at[todo] + k] == x[todo]
+            found = todo[hit]
+            at[found] += k
+            there[found] = True
+            k += 1
+            todo = todo[~hit]
+            todo = todo[n[todo] > k]
+        at[~there] = 0
+        return at, there
+
+
 class Common:
     """The most frequent words, most frequent first: a word is its place here, from 1 on, or 0 and its hash."""
 
     def __init__(self, keys: np.ndarray) -> None:
         self.keys = keys
         self.order = np.argsort(keys).astype(np.uint32)
-        self.sorted = keys[self.order]
+        self.index = Index(keys[self.order])
 
     def short(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each word, and the hashes of those without one."""
-        at, there = find(self.sorted, h)
+        at, there = self.index.find(h)
         places = np.zeros(len(h), "<u4")
         places[there] = self.order[at[there]] + np.uint32(1)
         return places, h[~there]
@@ -52,12 +81,3 @@ class Common:
         out[there] = self.keys[places[there] - np.uint32(1)]
         out[~there] = rest
         return out
-
-
-def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each x is in ascending keys, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.searchsorted(keys, x)
-    at[at == len(keys)] = 0
-    return at, keys[at] == x

@@ -17,7 +17,7 @@ from leafgrid.llm import textnum
 
 #: Dishes of more customers draw from a law of the same mean and variance.
 EXACT = 64
-#: Sweeps of a run before any is averaged, and those averaged.
+#: Sweeps of a run before any is averaged, and those averaged (a power of two, 64 at most, so that means are exact).
 BURN, SAMPLES = 4, 8
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,7 +109,7 @@ def table_moments(c: np.ndarray, a: np.ndarray, discount: float) -> tuple[np.nda
     return np.minimum(tables + 1 + (edge - 1) * tables / (tables + 80), c), np.maximum(tables - c * y / g, 0)
 
 
-def seat_dishes(c: np.ndarray, place: np.ndarray, known: np.ndarray, p: np.ndarray, keys: np.ndarray, strength: float, discount: float) -> tuple[np.ndarray, np.ndarray]:
+def seat_dishes(c: np.ndarray, place: np.ndarray, known: np.ndarray, p: np.ndarray, keys: np.ndarray, strength: float, discount: float, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
     """Mean number of tables of each dish over the sampled sweeps, and the last sample.
 
     c: customers of each dish; place: its restaurant; known: the tables of each restaurant that
@@ -121,11 +121,11 @@ def seat_dishes(c: np.ndarray, place: np.ndarray, known: np.ndarray, p: np.ndarr
     total = np.zeros(len(many))
     single = np.bincount(place[c == 1], minlength=len(known))
     at, cm, pm, km = place[many], c[many], p[many], keys[many]
-    for sweep in range(BURN + SAMPLES):
+    for sweep in range(BURN + samples):
         tables = np.where(np.isnan(known), single + np.bincount(at, t[many], len(known)), known)
         t[many] = draw_tables(cm, (strength + discount * tables[at]) * pm, discount, km, sweep)
         if sweep >= BURN:
             total += t[many]
     mean = t.astype(np.float64)
-    mean[many] = total / SAMPLES
+    mean[many] = total / samples
     return mean, t

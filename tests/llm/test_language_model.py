@@ -222,6 +222,10 @@ def test_messages():
     for x, y in zip(arrays, messages.unpacked(messages.packed(*arrays)), strict=True):
         assert x.dtype == y.dtype and (x == y).all()
     assert messages.unpacked(messages.packed()) == []
+    for keys in (np.sort(arrays[0]), np.zeros(0, np.uint64), np.array([0, 1, 2, 3, 2**64 - 1], np.uint64)):
+        x = np.concatenate([arrays[0], arrays[0] + np.uint64(1), np.array([0, 2, 4, 2**64 - 1], np.uint64)])
+        at, there = messages.Index(keys).find(x)
+        assert there.tolist() == np.isin(x, keys).tolist() and (keys[at[there]] == x[there]).all()
     common = messages.Common(arrays[0][:40])
     assert (common.whole(*common.short(arrays[0])) == arrays[0]).all()
 
