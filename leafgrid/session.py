@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "leafgrid") -> SparkSession:
@@ -18,3 +20,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "leafgr
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """The rows worked out once, in the checkpoint folder, so that later stages do not repeat earlier ones."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafgrid-"))
+    return rows.checkpoint()
