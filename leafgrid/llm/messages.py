@@ -8,19 +8,28 @@ import pyarrow as pa
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
+def pressed(raw: bytes) -> bytes:
+    return _CODEC.compress(raw, asbytes=True)
+
+
+def released(data: bytes, size: int) -> bytes:
+    """The bytes, so many of them, that ``pressed`` was given."""
+    return _CODEC.decompress(data, size, asbytes=True) if size else b""
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays of numbers as bytes: how many, their kinds and lengths, then their bytes plane by plane."""
     arrays = tuple(np.ascontiguousarray(x) for x in arrays)
     head = "".join(f"{x.dtype.str[1:]}:{len(x)};" for x in arrays).encode()
     planes = [x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays]
     raw = b"".join(planes)
-    return len(head).to_bytes(4, "little") + len(raw).to_bytes(8, "little") + head + _CODEC.compress(raw, asbytes=True)
+    return len(head).to_bytes(4, "little") + len(raw).to_bytes(8, "little") + head + pressed(raw)
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
     """The arrays of ``packed``."""
     n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:12], "little")
-    raw = _CODEC.decompress(blob[12 + n :], size, asbytes=True) if size else b""
+    raw = released(blob[12 + n :], size)
     out, at = [], 0
     for one in blob[12 : 12 + n].decode().split(";")[:-1]:
         kind, long = one.split(":")

@@ -3,14 +3,15 @@
 Steps
 1. One pass gives each text a digest of its words, its number of shingles, and a share of
    a count sketch of all shingles. Texts of equal words form a class; its smallest doc_id
-   stands for it.
+   stands for it. Large classes, a bounded list, reach their rows by a broadcast.
 2. One pass orders each class's shingles rare first (by the sketch, then by hash) and emits
    its prefix: a linked partner must share a shingle of it. Entries are dealt and sorted by
-   shingle; those that one class alone has go at once, and each other entry gets the
-   smallest class of its shingle, its centre, beside it.
+   shingle, those of a shingle that the sketch calls frequent by a share of the documents too;
+   those that one class alone has go at once, and each other entry gets the smallest class
+   of its shingle, its centre, beside it.
 3. Pairs that share a prefix shingle pass the length and positional filters and are made
-   distinct; a suffix filter compares how both sets spread over 128 cells of the hash space;
-   what is left is verified once on the whole sets.
+   distinct; a suffix filter bounds the overlap by how both sets, prefix and suffix, spread over 128 cells of
+   the hash space; what is left is verified once on the whole sets.
 4. The first round pairs each entry with its centre alone, and links are contracted to
    components. Pairs inside one component need no test, so that a later round pairs only
    strays, entries whose component is not their centre's, with the entries of other
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrid.llm import textnum
-from leafgrid.llm.store import keep, small_batches
+from leafgrid.llm.messages import pressed, released
+from leafgrid.llm.store import forget, keep, small_batches
 
 WORDS = 5
 #: Two sets link at SHARE[0] / SHARE[1] or more.
@@ -41,6 +43,8 @@ SKETCH, PARTS = 1 << 20, 16
 CELLS = 128
 #: Ids up to this number go to all executors (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Entries of one shingle that are dealt to one task, about, and copies of one text that a shuffle brings together.
+HOT_ENTRIES, HOT_COPIES = 1_000, 500
 #: All remaining pairs are made when they are at most so many for each entry; else rounds of stars shrink them first.
 PAIRS_PER_ENTRY = 32
 STAR_ROUNDS = 2
@@ -85,40 +89,40 @@ def _facts(words: int):
         if rows:
             yield made(rows)
         if counts.any():
-            small = np.minimum(counts, 65_535).astype(np.uint16).reshape(PARTS, -1)
-            yield made([(None, None, None, None, k, small[k].tobytes()) for k in range(PARTS)])
+            small = counts.reshape(PARTS, -1)
+            yield made([(None, None, None, None, k, pressed(small[k].tobytes())) for k in range(PARTS)])
 
     return run
 
 
-def _added(pdf):
+def _sum(pdf):
+    """The sum of some counters of one part."""
     import pandas as pd
 
     total = np.zeros(SKETCH // PARTS, np.uint64)
     for blob in pdf["counts"]:
-        total += np.frombuffer(blob, np.uint16)
-    return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
-
-
-def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of what one task has read, so that a part's counts meet as a few rows."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            got = np.frombuffer(blob, np.uint16).astype(np.uint32)
-            held[part] = held[part] + got if part in held else got
-    if held:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.int32()), pa.array([np.minimum(v, 65_535).astype(np.uint16).tobytes() for v in held.values()], pa.binary())], names=["part", "counts"]
-        )
-
-
-def _sketch(facts: DataFrame) -> np.ndarray:
-    """The summed counters: 4 MB, whatever the input."""
-    rows = facts.where("part is not null").select("part", "counts").mapInArrow(_halves, "part int, counts binary").groupBy("part").applyInPandas(_added, "part int, counts binary").collect()
+        total += np.frombuffer(released(blob, 4 * SKETCH // PARTS), np.uint32)
+    total = np.minimum(total, 2**32 - 1).astype(np.uint32)
+    return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "counts": [pressed(total.tobytes())]})
+
+
+def _sketch(facts: DataFrame, together: int = 256) -> np.ndarray:
+    """The summed counters: 4 MB, whatever the input. They are added in levels, ``together`` of a part at a time."""
+    rows = facts.where("part is not null").select("part", "counts", F.monotonically_increasing_id().alias("n"))
+    count = rows.count() // PARTS
+    made = None
+    while count > together:
+        count = -(-count // together)
+        summed = rows.groupBy("part", F.pmod(F.xxhash64("n"), F.lit(count)).alias("g")).applyInPandas(_sum, "part int, counts binary")
+        before, made = made, keep(summed, "counters")
+        if before is not None:
+            forget(before)
+        rows = made.withColumn("n", F.monotonically_increasing_id())
     out = np.zeros((PARTS, SKETCH // PARTS), np.uint32)
-    for r in rows:
-        out[r["part"]] = np.frombuffer(r["counts"], np.uint32)
+    for r in rows.groupBy("part").applyInPandas(_sum, "part int, counts binary").collect():
+        out[r["part"]] = np.frombuffer(released(r["counts"], 4 * SKETCH // PARTS), np.uint32)
+    if made is not None:
+        forget(made)
     return out.reshape(-1)
 
 
@@ -127,7 +131,7 @@ def prefix_length(n: np.ndarray | int, share: tuple[int, int] = SHARE):
     return n - -(-n * share[0] // share[1]) + 1
 
 
-_ENTRY = "tok long, doc long, n int, pos int"
+_ENTRY = "tok long, salt int, doc long, n int, pos int"
 _CENTRED = _ENTRY + ", rank int, c_doc long, c_n int, c_pos int"
 
 
@@ -140,8 +144,11 @@ def _prefixes(sketch, words: int, share: tuple[int, int]):
             n = len(own)
             if doc is None or not n:
                 continue
-            rare = np.argsort(counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[: prefix_length(n, share)]
-            held.append((own[rare].view(np.int64), doc, n))
+            seen = counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)]
+            rare = np.argsort(seen, kind="stable")[: prefix_length(n, share)]
+            shares = seen[rare] // HOT_ENTRIES
+            salt = np.where(shares > 0, 1 + _spread(doc) % (shares.astype(np.uint64) + np.uint64(1)), 0)
+            held.append((own[rare].view(np.int64), salt.astype(np.int32), doc, n))
             size += len(rare)
             if size > 200_000:
                 yield _entries(held)
@@ -152,38 +159,46 @@ def _prefixes(sketch, words: int, share: tuple[int, int]):
     return run
 
 
+def _spread(doc: int) -> np.uint64:
+    return textnum.mix(np.array([doc], np.int64).view(np.uint64))[0]
+
+
 def _entries(held: list[tuple]) -> pa.RecordBatch:
-    long = np.array([len(t) for t, _, _ in held])
+    toks, salts, docs, sizes = zip(*held, strict=True)
+    long = np.array([len(t) for t in toks])
     starts = np.concatenate([[0], np.cumsum(long)[:-1]])
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([t for t, _, _ in held])),
-            pa.array(np.repeat(np.array([d for _, d, _ in held], np.int64), long)),
-            pa.array(np.repeat(np.array([n for _, _, n in held], np.int32), long)),
+            pa.array(np.concatenate(toks)),
+            pa.array(np.concatenate(salts)),
+            pa.array(np.repeat(np.array(docs, np.int64), long)),
+            pa.array(np.repeat(np.array(sizes, np.int32), long)),
             pa.array((np.arange(long.sum()) - np.repeat(starts, long)).astype(np.int32)),
         ],
-        names=["tok", "doc", "n", "pos"],
+        names=["tok", "salt", "doc", "n", "pos"],
     )
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by shingle and class, those whose shingle another has, with their rank in it and its first entry.
+    """Of entries sorted by shingle, share and class, those whose shingle another has, with their rank in it and its first entry.
 
-    Equal entries count once. The last entry seen is held back until the next one is known.
+    Entries of a frequent shingle's share all stay, as other shares may have it. Equal entries
+    count once. The last entry seen is held back until the next one is known.
     """
+    names = ["tok", "salt", "doc", "n", "pos", "rank", "c_doc", "c_n", "c_pos"]
     held: list[np.ndarray] | None = None
     run = None  # rank and first entry of the run that the held row is in
     for batch in batches:
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
         if not len(cols[0]):
             continue
         fresh = np.ones(len(cols[0]), bool)
         fresh[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-        tok, doc, n, pos = cols = [c[fresh] for c in cols]
+        tok, salt, doc, n, pos = cols = [c[fresh] for c in cols]
         begins = np.ones(len(tok), bool)
-        begins[1:] = tok[1:] != tok[:-1]
+        begins[1:] = (tok[1:] != tok[:-1]) | (salt[1:] != salt[:-1])
         first = np.flatnonzero(begins)
         of = np.cumsum(begins) - 1
         rank = np.arange(len(tok)) - first[of]
@@ -192,15 +207,30 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = of == 0
             rank[own] += run[0]
             c_doc[own], c_n[own], c_pos[own] = run[1:]
-        shared = rank > 0
+        shared = (rank > 0) | (salt > 0)
         shared[:-1] |= ~begins[1:]
         held, run = [c[-1:] for c in cols], (int(rank[-1]), c_doc[-1], c_n[-1], c_pos[-1])
-        out = [c[:-1][shared[:-1]] for c in (tok, doc, n, pos, rank.astype(np.int32), c_doc, c_n, c_pos)]
+        out = [c[:-1][shared[:-1]] for c in (*cols, rank.astype(np.int32), c_doc, c_n, c_pos)]
         if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["tok", "doc", "n", "pos", "rank", "c_doc", "c_n", "c_pos"])
-    if held is not None and run[0] > 0:
-        last = [*(c for c in held), np.array([run[0]], np.int32), *(np.array([v]) for v in run[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=["tok", "doc", "n", "pos", "rank", "c_doc", "c_n", "c_pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+    if held is not None and (run[0] > 0 or held[1][0] > 0):
+        last = [*held, np.array([run[0]], np.int32), *(np.array([v]) for v in run[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=names)
+
+
+def _centred(entries: DataFrame) -> DataFrame:
+    """Entries with the centre of their shingle: those of frequent shingles, dealt in shares, get that of all shares.
+
+    Their rank is the number of the shingle's entries, and entries that no other class shares go.
+    """
+    hot = entries.where("salt > 0")
+    centres = hot.groupBy("tok").agg(F.count("*").alias("k"), F.min(F.struct("c_doc", "c_n", "c_pos")).alias("c")).where("k > 1")
+    centres = keep(centres, "centres")
+    if centres.isEmpty():
+        return entries.where("salt = 0").drop("salt")
+    own = hot.select("tok", "doc", "n", "pos").join(_small(centres), "tok")
+    own = own.select("tok", "doc", "n", "pos", F.least("k", F.lit(2**31 - 1)).cast("int").alias("rank"), "c.c_doc", "c.c_n", "c.c_pos")
+    return keep(entries.where("salt = 0").drop("salt").unionByName(own), "entries")
 
 
 _SETS = "doc long, n int, cells binary, shingles binary"
@@ -293,7 +323,8 @@ def components(links: DataFrame) -> DataFrame:
             further = hooks.join(up, "r")
             if further.isEmpty():
                 break
-            hooks = keep(hooks.join(up, "r", "left").select("u", F.coalesce("r2", "r").alias("r")), "hooks")
+            before, hooks = hooks, keep(hooks.join(up, "r", "left").select("u", F.coalesce("r2", "r").alias("r")), "hooks")
+            forget(before)
         rounds.append(hooks)
         to = _small(hooks)
         at = lambda c: to.select(F.col("u").alias(c), F.col("r").alias(f"{c}_r"))  # noqa: B023, E731
@@ -321,20 +352,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int]
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     facts = keep(docs.mapInArrow(_facts(words), _FACTS), "facts")
-    rows = facts.where("part is null")
     sketch = spark.sparkContext.broadcast(_sketch(facts))
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    named = keep(rows.join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", "rep"), "classes")
+    named = keep(_classes(facts.where("part is null").select("doc_id", "n_shingles", "d1", "d2")), "classes")
+    forget(facts)
     # doc_ids all of whose texts another stands for
     copies = named.where("rep is not null").groupBy("doc_id").agg(F.bool_and(F.col("rep") != F.col("doc_id")).alias("copy")).where("copy").select("doc_id")
+    copies = keep(copies, "copies")
     entries = (
-        docs.join(_small(keep(copies, "copies")), "doc_id", "left_anti")
+        docs.join(_small(copies), "doc_id", "left_anti")
         .mapInArrow(_prefixes(sketch, words, share), _ENTRY)
-        .repartition("tok")
-        .sortWithinPartitions("tok", "doc", "n", "pos")
+        .repartition("tok", "salt")
+        .sortWithinPartitions("tok", "salt", "doc", "n", "pos")
         .mapInArrow(_shared_only, _CENTRED)
     )
-    links = _links(docs, keep(entries, "entries"), words, share)
+    entries = _centred(keep(entries, "entries"))
+    forget(copies)
+    links = _links(docs, entries, words, share)
     # equal words but another representative: one link to it
     same = named.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comps = _small(components(links.unionByName(same)).withColumnRenamed("doc", "doc_id"))
@@ -342,6 +375,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: tuple[int, int]
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and rep: the smallest doc_id with the same words, null without words or without doc_id.
+
+    The classes of many rows reach these by a broadcast: at most BROADCAST_IDS of them, as each has
+    more than its share of the rows.
+    """
+    same = ["n_shingles", "d1", "d2"]
+    whole = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = keep(whole.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1"), "copies")
+    most = max(HOT_COPIES, (classes.agg(F.sum("k")).first()[0] or 0) // BROADCAST_IDS)
+    large = classes.where(F.col("k") > most).select(*same, F.col("rep").alias("large"))
+    small = classes.where(F.col("k") <= most).select(*same, F.col("rep").alias("small"))
+    known = rows.join(F.broadcast(large), same, "left")
+    # a row of a large class, or of none, has its place already and needs no partner
+    word = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    others = known.where("large is null").drop("large").join(small.hint("merge"), same, "left")
+    others = others.select("doc_id", "n_shingles", F.when(word, F.coalesce("small", "doc_id")).alias("rep"))
+    return known.where("large is not null").select("doc_id", "n_shingles", F.when(word, F.col("large")).alias("rep")).unionByName(others)
+
+
 def _strays(entries: DataFrame, comps: DataFrame) -> DataFrame:
     """Entries with their component and their centre's, where these differ."""
     to = _small(comps)

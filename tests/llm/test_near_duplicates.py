@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 
 from leafgrid.llm import near_duplicates as nd
+from leafgrid.llm.store import keep
 from llm_words import words
 
 
@@ -39,9 +40,11 @@ def edits(text, n, r):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("per_entry", [4, 0])
-def test_components_match_brute_force(spark, monkeypatch, per_entry):
+@pytest.mark.parametrize("per_entry, hot, copies", [(4, 1_000, 500), (0, 1_000, 500), (4, 3, 2), (0, 1, 1)])
+def test_components_match_brute_force(spark, monkeypatch, per_entry, hot, copies):
     monkeypatch.setattr(nd, "PAIRS_PER_ENTRY", per_entry)
+    monkeypatch.setattr(nd, "HOT_ENTRIES", hot)
+    monkeypatch.setattr(nd, "HOT_COPIES", copies)
     r = random.Random(5)
     rows, k = [], 0
     for g in range(12):
@@ -54,6 +57,7 @@ def test_components_match_brute_force(spark, monkeypatch, per_entry):
             base = edits(base, 2, r)
             rows.append((k, base))
             k += 1
+    rows += [(20_000 + i, words(778 + i % 3, 40)) for i in range(20)]
     shared = words(777, 60)
     rows += [(10_000 + i, shared + " " + words(3000 + i, r.choice([5, 10, 200]))) for i in range(30)]
     r.shuffle(rows)
@@ -83,3 +87,19 @@ def test_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
 
 def test_prefix_length():
     assert [nd.prefix_length(n) for n in (1, 4, 5, 10, 100)] == [1, 1, 2, 3, 21]
+
+
+def test_counters_are_added_in_levels(spark):
+    docs = spark.createDataFrame([(k, words(k % 7, 30)) for k in range(40)], "doc_id long, text string").repartition(20)
+    facts = keep(docs.mapInArrow(nd._facts(5), nd._FACTS), "facts")
+    whole = nd._sketch(facts)
+    assert (nd._sketch(facts, together=2) == whole).all() and whole.sum() == sum(len(nd.shingle_set(hashes)) for hashes in sets(docs))
+
+
+def sets(docs):
+    import pyarrow as pa
+
+    from leafgrid.llm import textnum
+
+    for r in docs.collect():
+        yield textnum.words(pa.array([r.text]))[0]
