@@ -17,6 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,10 @@ RADIUS, BLOCKS = 13, 7
 PAIRS = 1 << 20
 #: Terms whose bits are added up at once.
 SLICE = 1 << 16
+#: Classes of one cell of a table that are dealt to one task, about.
+CELL_ROWS = 200_000
+#: Rows of one class that a shuffle brings together; larger classes reach theirs by a broadcast, of so many classes at most.
+HOT_COPIES, BROADCAST_CLASSES = 500, 1_000_000
 
 
 def simhash(words: np.ndarray) -> int:
@@ -64,9 +69,9 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_ROW = "kind int, doc_id long, n_chars long, edited_sha256 string, fp long, edited_fp long, next_fp long, text string"
+_ROW = "kind int, part int, doc_id long, n_chars long, edited_sha256 string, fp long, edited_fp long, next_fp long, text string"
 _SCHEMA = pa.schema(
-    [("kind", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fp", pa.int64()), ("edited_fp", pa.int64()), ("next_fp", pa.int64()), ("text", pa.string())]
+    [("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fp", pa.int64()), ("edited_fp", pa.int64()), ("next_fp", pa.int64()), ("text", pa.string())]
 )
 DONE, FIRST, LAST = 0, 1, 2
 
@@ -79,7 +84,7 @@ def _finished(rows: list[tuple[int | None, str, int, str, int]]) -> list[tuple]:
     """Result rows of (doc_id, text, fingerprint, following text, its fingerprint)."""
     changed = [edited(t, f) for _, t, _, f, _ in rows]
     return [
-        (DONE, d, len(t), hashlib.sha256(e.encode()).hexdigest(), _signed(own), _signed(fp), _signed(nxt), None)
+        (DONE, None, d, len(t), hashlib.sha256(e.encode()).hexdigest(), _signed(own), _signed(fp), _signed(nxt), None)
         for (d, t, own, _, nxt), e, fp in zip(rows, changed, simhashes(changed), strict=True)
     ]
 
@@ -91,6 +96,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Results of all rows of a sorted partition but the last; its first and last row as they are."""
     before: tuple[int | None, str, int] | None = None
+    number = TaskContext.get().partitionId() if TaskContext.get() else 0
     for batch in batches:
         for part in textnum.by_size(batch, "text"):
             ids, texts = part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
@@ -98,14 +104,14 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = list(zip(ids, texts, own, strict=True))
             out = []
             if before is None and rows:
-                out.append((FIRST, rows[0][0], None, None, _signed(rows[0][2]), None, None, rows[0][1]))
+                out.append((FIRST, number, rows[0][0], None, None, _signed(rows[0][2]), None, None, rows[0][1]))
             pairs = zip([before, *rows[:-1]] if before else rows[:-1], rows if before else rows[1:], strict=True)
             out += _finished([(*a, b[1], b[2]) for a, b in pairs])
             before = rows[-1] if rows else before
             if out:
                 yield _batch(out)
     if before:
-        yield _batch([(LAST, before[0], None, None, _signed(before[2]), None, None, before[1])])
+        yield _batch([(LAST, number, before[0], None, None, _signed(before[2]), None, None, before[1])])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,31 +126,22 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
     Rows are dealt by ranges of doc_id and sorted there, so that the next row is at hand;
     the rows at the edges of ranges meet in a join of two rows a range. Rows without
-    doc_id come first; equal doc_ids follow in the order of their texts; a null text is empty;
-    one row alone follows itself; no rows give no rows; further columns are ignored.
+    doc_id come first; equal doc_ids follow in the order of a hash of their texts; a null text is
+    empty; one row alone follows itself; no rows give no rows; further columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = F.col("doc_id").asc_nulls_first()
-    made = keep(rows.repartitionByRange(order).sortWithinPartitions(order, "text").mapInArrow(_in_order, _ROW), "fingerprints")
-    edges = made.where(F.col("kind") != DONE).select("kind", "doc_id").collect()  # two rows a range
-    low = [(-1, 0) if r["doc_id"] is None else (0, r["doc_id"]) for r in edges]
-    firsts = sorted(x for x, r in zip(low, edges, strict=True) if r["kind"] == FIRST)
-    lasts = sorted(x for x, r in zip(low, edges, strict=True) if r["kind"] == LAST)
-    follows = [(k, (k + 1) % len(firsts)) for k in range(len(lasts))]
-    null = lambda x: None if x[0] < 0 else x[1]
-    last_at = spark.createDataFrame([(null(lasts[a]), b) for a, b in follows], "doc_id long, at int")
-    first_at = spark.createDataFrame([(null(x), k) for k, x in enumerate(firsts)], "doc_id long, at int")
-
-    def side(kind: int, at: DataFrame) -> DataFrame:
-        own = made.where(F.col("kind") == kind).select("doc_id", "text", "fp")
-        at = F.broadcast(at.withColumnRenamed("doc_id", "id"))
-        return own.join(at, own["doc_id"].eqNullSafe(at["id"])).drop("id")
-
-    nexts = side(FIRST, first_at).select("at", F.col("text").alias("next_text"), F.col("fp").alias("next_fp"))
-    at_edges = side(LAST, last_at).join(nexts, "at").select("doc_id", "text", "fp", "next_text", "next_fp").mapInArrow(_pairs, _ROW)
-    return made.where(F.col("kind") == DONE).unionByName(at_edges).drop("kind", "text")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    made = keep(rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text").mapInArrow(_in_order, _ROW), "fingerprints")
+    parts = sorted(r["part"] for r in made.where(F.col("kind") == FIRST).select("part").collect())  # one for each range
+    follows = [(a, parts[(k + 1) % len(parts)]) for k, a in enumerate(parts)]
+    follows = F.broadcast(spark.createDataFrame(follows, "part int, follower int"))
+    edge = lambda kind: made.where(F.col("kind") == kind).select("part", "doc_id", "text", "fp")
+    nexts = edge(FIRST).select(F.col("part").alias("follower"), F.col("text").alias("next_text"), F.col("fp").alias("next_fp"))
+    at_edges = edge(LAST).join(follows, "part").join(nexts, "follower").select("doc_id", "text", "fp", "next_text", "next_fp").mapInArrow(_pairs, _ROW)
+    return made.where(F.col("kind") == DONE).unionByName(at_edges).drop("kind", "part", "text")
 
 
 def _masks(blocks: int) -> list[int]:
@@ -167,7 +164,7 @@ _NEAR = "array<struct<class_id: long, fp: long, distance: int, n_docs: long>>"
 _NEAR_TYPE = pa.struct([("class_id", pa.int64()), ("fp", pa.int64()), ("distance", pa.int32()), ("n_docs", pa.int64())])
 
 
-def _cell_pairs(radius: int, blocks: int):
+def _cell_pairs(radius: int, blocks: int, shares: int):
     """Of rows sorted by cell, searched fingerprints first: each query of a cell with what is near it and meets it in no earlier table."""
     off, masks = radius // blocks, np.array(_masks(blocks), np.uint64)
 
@@ -204,7 +201,7 @@ def _cell_pairs(radius: int, blocks: int):
                     held.append([fps[a:middle].view(np.uint64), ids[a:middle], null[a:middle], sizes[a:middle]])
                 if b > middle and held:
                     held = [[np.concatenate(x) for x in zip(*held, strict=True)]] if len(held) > 1 else held
-                    yield from near(int(cell) >> 40, held[0], fps[middle:b].view(np.uint64))
+                    yield from near(int(cell) // shares >> 40, held[0], fps[middle:b].view(np.uint64))
 
     return run
 
@@ -215,9 +212,15 @@ def near_classes(classes: DataFrame, queries: DataFrame, radius: int, blocks: in
     Classes have fp, class_id and n_docs, one row for each fp; queries have distinct fp.
     """
     small_batches(classes.sparkSession)
-    index = classes.select(F.explode(block_cells(F.col("fp"), blocks, 0)).alias("cell"), "n_docs", "fp", "class_id")
-    asked = queries.select(F.explode(block_cells(F.col("fp"), blocks, radius // blocks)).alias("cell"), F.lit(0).cast("long").alias("n_docs"), "fp", F.lit(None).cast("long").alias("class_id"))
-    met = index.unionByName(asked).repartition("cell").sortWithinPartitions("cell", F.col("n_docs").desc()).mapInArrow(_cell_pairs(radius, blocks), f"query long, near {_NEAR}")
+    # a cell holds one of so many blocks' values; its classes are dealt in shares, and each query asks all of them
+    shares = -(-classes.count() // (CELL_ROWS << 64 // blocks)) or 1
+    share = F.pmod(F.xxhash64("fp"), F.lit(shares))
+    index = classes.select(F.explode(block_cells(F.col("fp"), blocks, 0)).alias("cell"), share.alias("share"), "n_docs", "fp", "class_id")
+    none = F.lit(None).cast("long")
+    asked = queries.select(F.explode(block_cells(F.col("fp"), blocks, radius // blocks)).alias("cell"), "fp")
+    asked = asked.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"), F.lit(0).cast("long").alias("n_docs"), "fp", none.alias("class_id"))
+    rows = index.unionByName(asked).select((F.col("cell") * shares + F.col("share")).alias("cell"), "n_docs", "fp", "class_id")
+    met = rows.repartition("cell").sortWithinPartitions("cell", F.col("n_docs").desc()).mapInArrow(_cell_pairs(radius, blocks, shares), f"query long, near {_NEAR}")
     return met.groupBy("query").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
 
 
@@ -249,10 +252,19 @@ def fingerprint_report(docs: DataFrame, every: int = 20, radius: int = RADIUS, b
     classes = keep(made.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"), F.max(searches).alias("asked")), "classes")
     near = keep(near_classes(classes.drop("asked"), classes.where("asked").select("fp"), radius, blocks), "near-classes")
     others = near.select(F.col("query").alias("fp"), F.aggregate("near.n_docs", F.lit(0).cast("long"), lambda a, b: a + b).alias("n_others"))
-    members = classes.join(others, "fp", "left").withColumnRenamed("fp", "class_fp")
-    lists = classes.where("asked").join(near.withColumnRenamed("query", "fp"), "fp", "left").select(F.col("fp").alias("list_fp"), F.col("class_id").alias("list_id"), F.coalesce("near", F.array().cast(_NEAR)).alias("near"))
+    # a row whose class has no other and does not search knows all of its class
+    facts = classes.where("n_docs > 1 or asked").join(others.hint("merge"), "fp", "left").drop("asked")
+    most = max(HOT_COPIES, (classes.agg(F.sum("n_docs")).first()[0] or 0) // BROADCAST_CLASSES)
+    large = facts.where(F.col("n_docs") > most).select(*(F.col(c).alias("large_" + c) for c in facts.columns))
+    rows = made.join(F.broadcast(large), F.col("fp") == F.col("large_fp"), "left")
+    found = [F.col("large_class_id").alias("class_id"), F.col("large_n_docs").alias("n_docs"), F.col("large_n_others").alias("n_others")]
+    there = rows.where("large_fp is not null").select(*made.columns, *found)
+    rest = rows.where("large_fp is null").select(*made.columns).join(facts.where(F.col("n_docs") <= most).hint("merge"), "fp", "left")
+    rest = rest.select(*made.columns, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_docs", F.lit(1)).alias("n_docs"), "n_others")
+    lists = classes.where("asked").join(near.withColumnRenamed("query", "fp").hint("merge"), "fp", "left")
+    lists = lists.select(F.col("fp").alias("list_fp"), F.col("class_id").alias("list_id"), F.coalesce("near", F.array().cast(_NEAR)).alias("near"))
     alike = lambda a, b: 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / 64
-    out = made.join(members, made["fp"] == members["class_fp"]).join(lists, (F.col("fp") == F.col("list_fp")) & (F.col("doc_id") == F.col("list_id")), "left")
+    out = there.unionByName(rest).join(lists.hint("merge"), (F.col("doc_id") == F.col("list_id")) & (F.col("fp") == F.col("list_fp")), "left")
     named = lambda x: F.struct(x["class_id"].alias("class_id"), _hex(x["fp"]).alias("fingerprint"), x["distance"].alias("distance"), x["n_docs"].alias("n_docs"))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", _hex("fp").alias("fingerprint"), _hex("edited_fp").alias("edited_fingerprint"),

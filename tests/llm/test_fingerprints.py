@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import pyarrow as pa
+import pytest
 from llm_words import words
+from pyspark.sql import functions as F
 
 from leafgrid.llm import fingerprints as f
 from leafgrid.llm import textnum
@@ -11,10 +13,11 @@ from leafgrid.llm import textnum
 def test_report_matches_brute_force(odd_docs, no_docs, spark):
     more = spark.createDataFrame([(k, words(k, 30)) for k in range(100, 140)], "doc_id long, text string")
     docs = odd_docs.select("doc_id", "text").unionByName(more).repartition(6)
-    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()))
+    hashed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.h, r.text or "") for r in hashed.collect()))
     want = []
-    for k, (has, d, t) in enumerate(rows):
-        nxt = rows[(k + 1) % len(rows)][2]
+    for k, (has, d, _, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][3]
         half = len(t) // 2
         e = t[: len(t) - half] + nxt[:half]
         x, y, z = f.simhashes([t, e, nxt])
@@ -24,13 +27,24 @@ def test_report_matches_brute_force(odd_docs, no_docs, spark):
     assert f.fingerprint_report(no_docs).count() == 0
 
 
+def test_rows_without_ids_are_dealt_to_many_tasks(spark):
+    docs = spark.createDataFrame([(None, words(k, 20)) for k in range(200)], "doc_id long, text string")
+    hashed = sorted((r.h, r.text) for r in docs.withColumn("h", F.xxhash64("text")).collect())
+    texts = [t for _, t in hashed]
+    got = sorted(r.edited_sha256 for r in f.fingerprinted(docs).collect())
+    assert got == sorted(hashlib.sha256(f.edited(t, texts[(k + 1) % 200]).encode()).hexdigest() for k, t in enumerate(texts))
+
+
 def test_one_row_follows_itself(spark):
     r = f.fingerprint_report(spark.createDataFrame([(20, "a b c d")], "doc_id long, text string")).first()
     assert r.near_next == 1.0 and r.n_near == 0
     assert r.edited_sha256 == hashlib.sha256(b"a b " + b"a b").hexdigest()
 
 
-def test_tables_find_all_within_radius(spark):
+@pytest.mark.parametrize("cell_rows", [200_000, 0.05])
+def test_tables_find_all_within_radius(spark, monkeypatch, cell_rows):
+    if cell_rows < 1:  # each cell in several shares
+        monkeypatch.setattr(f, "near_classes", shared(f.near_classes, monkeypatch))
     r = random.Random(4)
     base = [r.getrandbits(64) for _ in range(40)]
     fps = list(base)
@@ -47,6 +61,30 @@ def test_tables_find_all_within_radius(spark):
         assert got == {(a, b) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= radius}
 
 
+def shared(real, monkeypatch):
+    def run(classes, queries, radius, blocks):
+        class Few:
+            """Counts as many classes, so that cells are dealt in five shares."""
+
+            def __getattr__(self, name):
+                return getattr(classes, name)
+
+            def count(self):
+                return 5 * (f.CELL_ROWS << 64 // blocks)
+
+        return real(Few(), queries, radius, blocks)
+
+    return run
+
+
+def test_large_classes_by_broadcast(spark, monkeypatch, odd_docs):
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(k, words(5, 20)) for k in range(200, 260)], "doc_id long, text string"))
+    key = lambda rows: sorted(((r.doc_id is None, r.doc_id or 0, r.fingerprint, r.class_id, r.n_near, r.near) for r in rows), key=repr)
+    whole = key(f.fingerprint_report(docs).collect())
+    monkeypatch.setattr(f, "HOT_COPIES", 1)
+    assert key(f.fingerprint_report(docs).collect()) == whole
+
+
 def test_near_copies_are_near():
     a = words(1, 300).split()
     b = [w if k % 40 else "changed" for k, w in enumerate(a)]
