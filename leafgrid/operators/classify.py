@@ -59,6 +59,11 @@ HIERARCHY = {
     "photo": ["photo"],
     "spectrum": ["spectrum"],
 }
+#: All kinds, in the order that breaks ties. Fixed values.
+KINDS = (
+    "bar_chart", "pie_chart", "line_plot", "scatter_plot", "histogram", "box_plot", "violin_plot", "microscopy_sem", "microscopy_tem", "microscopy_optical",
+    "diagram_flowchart", "diagram_schematic", "heatmap", "spectrum", "photo", "unknown",
+)
 #: Weights of keywords, features and context that the pipeline runs with.
 WEIGHTS = (0.4, 0.6, 0.1)
 #: The longest list of the flat vocabulary, by which its hits are divided.
@@ -143,11 +148,56 @@ def with_main_scores(rows: DataFrame, text: Column, visual: dict[str, Column], a
     return staged(rows, {k: F.round(v, 9) for k, v in normalised(raw).items()}, "main_")
 
 
-def with_sub_scores(rows: DataFrame, text: Column, main: str) -> tuple[DataFrame, dict[str, Column]]:
-    """Rows with the share of keyword hits of each kind under a main category, alike without any."""
+def with_sub_scores(rows: DataFrame, text: Column, main: str, visual: dict[str, Column] | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with the share of each kind under a main category, by keyword hits and twice its look; alike without any."""
+    t, visual = F.lower(text), visual or {}
+    seen = lambda k: 2.0 * visual[k] if k in visual else F.lit(0.0)
+    rows, hits = staged(rows, {k: keyword_hits(t, SUB[k]).cast("double") + seen(k) for k in HIERARCHY[main]}, "hits_")
+    return staged(rows, {k: F.round(v, 9) for k, v in normalised(hits, even=True).items()}, "sub_")
+
+
+def hierarchical(rows: DataFrame, text: Column, main_visual: dict[str, Column], sub_visual: dict[str, Column], around: dict[str, Column], name: str = "kind") -> DataFrame:
+    """Rows with a struct ``name`` of main and sub, their calibrated confidences, and the words of the sub kind that the text has."""
+    rows, mains = with_main_scores(rows, text, main_visual, around)
+    rows = rows.withColumns({"main": best(mains), "main_score": F.greatest(*mains.values())})
+    each = []
+    for main in HIERARCHY:
+        rows, subs = with_sub_scores(rows, text, main, sub_visual)
+        top = F.greatest(*subs.values()) if len(subs) > 1 else next(iter(subs.values()))
+        rows = rows.withColumns({f"best_{main}": best(subs), f"top_{main}": top})
+        each.append(main)
+    sub = F.coalesce(*(F.when(F.col("main") == k, F.col(f"best_{k}")) for k in each))
+    score = F.coalesce(*(F.when(F.col("main") == k, F.col(f"top_{k}")) for k in each))
+    rows = rows.withColumns({"sub": sub, "sub_score": score})
+    made = F.struct(
+        "main", "sub", F.round(calibrated(F.col("main_score")), 6).alias("main_confidence"), F.round(calibrated(F.col("sub_score")), 6).alias("confidence"), matched(text, F.col("sub")).alias("matched"),
+    )
+    return rows.withColumn(name, made)
+
+
+def flat_kinds(rows: DataFrame, text: Column, visual: dict[str, Column], name: str = "kind") -> DataFrame:
+    """Rows with a struct ``name``: the kind of all kinds with most keyword hits and twice its look, its calibrated share
+    of the sum, and its words that the text has."""
     t = F.lower(text)
-    rows, hits = staged(rows, {k: keyword_hits(t, SUB[k]).cast("double") for k in HIERARCHY[main]}, "hits_")
-    return staged(rows, normalised(hits, even=True), "sub_")
+    rows, scores = staged(rows, {k: keyword_hits(t, SUB.get(k, [])).cast("double") + (2.0 * visual[k] if k in visual else F.lit(0.0)) for k in KINDS}, "flat_")
+    rows = rows.withColumns({"flat_best": best(scores), "flat_top": F.greatest(*scores.values()), "flat_sum": total(scores.values())})
+    share = F.round(F.when(F.col("flat_sum") > 0, F.col("flat_top") / F.col("flat_sum")).otherwise(F.lit(0.0)), 9)
+    return rows.withColumn(name, F.struct(F.col("flat_best").alias("kind"), F.round(calibrated(share), 6).alias("confidence"), matched(text, F.col("flat_best")).alias("matched")))
+
+
+def with_fallback(first: Column, confidence: Column, second: Column, second_confidence: Column, least: float = 0.3) -> tuple[Column, Column]:
+    """The first answer and its confidence, or the second's where the first is unsure or none."""
+    unsure = F.coalesce(confidence < least, F.lit(True))
+    return F.when(unsure, second).otherwise(first), F.when(unsure, second_confidence).otherwise(confidence)
+
+
+def merged_annotations(first: Column, confidence: Column, conditions: Column, keywords: Column, second: Column, second_confidence: Column, more_conditions: Column, more_keywords: Column) -> dict[str, Column]:
+    """One annotation of two: the second subtype where the first is unknown or unsure, all conditions, each keyword once in order."""
+    unsure = (first == "unknown") | (confidence < 0.4)
+    return {
+        "subtype": F.when(unsure, second).otherwise(first), "confidence": F.when(unsure, second_confidence).otherwise(confidence),
+        "conditions": F.concat(conditions, more_conditions), "keywords": F.array_sort(F.array_union(keywords, more_keywords)),
+    }
 
 
 def calibrated(score: Column, a: float = 1.0, b: float = 0.0) -> Column:

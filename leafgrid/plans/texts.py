@@ -17,8 +17,6 @@ def X():
     return F.col("text")
 
 
-
-
 def _phrases(spark, sf_dir):
     return sources.entity(spark, sf_dir, "phrases")
 
@@ -141,9 +139,87 @@ def chart_sub_v17(spark, sf_dir):
     return rows.select(*KEYS, F.explode(F.array(*each)).alias("s")).select(*KEYS, "s.*")
 
 
-@query(f"WITH {_FX}, {_LOOK} SELECT {_K}, array_to_string(list_filter([" + ", ".join(f"'{w}'" for w in k.SUB["microscopy_sem"]) + "], lambda w: contains(lt, w)), ',') AS matched FROM lo")
+_WORDS = "CASE {0} " + " ".join(f"WHEN '{n}' THEN [" + ", ".join(f"'{w}'" for w in words) + "]" for n, words in k.SUB.items()) + " END"
+
+
+def _matched(kind: str) -> str:
+    return f"coalesce(array_to_string(list_filter({_WORDS.format(kind)}, lambda w: contains(lt, w)), ','), '')"
+
+
+_SUB_LOOK = {"line_plot": "edges", "heatmap": "white / 2", "microscopy_tem": "white", "photo": "edges", "diagram_schematic": "edges * 3"}
+
+
+def _sub_look():
+    return {"line_plot": F.col("edges"), "heatmap": F.col("white") / 2, "microscopy_tem": F.col("white"), "photo": F.col("edges"), "diagram_schematic": F.col("edges") * 3}
+
+
+_FLATS = {n: f"({_hits(k.SUB[n]) if n in k.SUB else '0'} + 2 * {_SUB_LOOK.get(n, '0')})::DOUBLE" for n in k.KINDS}
+_FLAT_ALL = f"""fa AS (SELECT *, {', '.join(f'{v} AS f_{n}' for n, v in _FLATS.items())} FROM lo), fb AS (SELECT *, greatest({', '.join('f_' + n for n in k.KINDS)}) AS f_top, {' + '.join('f_' + n for n in k.KINDS)} AS f_sum FROM fa),
+fc AS (SELECT *, CASE {' '.join(f"WHEN f_{n} = f_top THEN '{n}'" for n in k.KINDS)} END AS kind, round(1 / (1 + exp(-round(CASE WHEN f_sum > 0 THEN f_top / f_sum ELSE 0 END, 9))), 6) AS confidence FROM fb)"""
+
+
+@query(f"WITH {_FX}, {_LOOK}, {_FLAT_ALL} SELECT {_K}, kind, confidence, {_matched('kind')} AS matched FROM fc")
+def chart_flat_v17(spark, sf_dir):
+    """The kind of all sixteen that words and look speak for."""
+    rows = k.flat_kinds(_looks(spark, sf_dir), X(), _sub_look())
+    return rows.select(*KEYS, "kind.kind", "kind.confidence", F.concat_ws(",", "kind.matched").alias("matched"))
+
+
+@query(f"WITH {_FX}, {_LOOK}, {_FLAT_ALL} SELECT {_K}, {_matched('kind')} AS matched FROM fc")
 def matched_keywords(spark, sf_dir):
-    return _looks(spark, sf_dir).select(*KEYS, F.concat_ws(",", k.matched(X(), F.lit("microscopy_sem"))).alias("matched"))
+    """The words of the winning kind that each phrase has."""
+    rows = k.flat_kinds(_looks(spark, sf_dir), X(), _sub_look())
+    return rows.select(*KEYS, F.concat_ws(",", k.matched(X(), F.col("kind.kind"))).alias("matched"))
+
+
+_AROUND = {"chart": "(CASE WHEN l_linenumber % 2 = 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN l_linenumber % 3 = 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN l_partkey % 4 = 0 THEN 0.3::DOUBLE ELSE 0 END)",
+           "photo": "(CASE WHEN l_partkey % 5 = 0 THEN 0.3::DOUBLE ELSE 0 END)"}
+
+
+def _around():
+    detector = F.when(F.col("l_linenumber") % 2 == 0, "table_transformer").otherwise("doclayout")
+    place = F.when(F.col("l_linenumber") % 3 == 0, "top").otherwise("middle")
+    near = F.concat(F.when(F.col("l_partkey") % 4 == 0, "see Figure 1 ").otherwise(""), F.when(F.col("l_partkey") % 5 == 0, "an image").otherwise(""))
+    return k.context(detector, place, near)
+
+
+_HRAW = {n: f"(0.4::DOUBLE * CASE WHEN {_SUMP} > 0 THEN p_{n} / {_SUMP} ELSE 0 END + 0.6::DOUBLE * {'white' if n == 'chart' else 'edges' if n == 'photo' else '0'} + 0.1::DOUBLE * {_AROUND.get(n, '0')})" for n in _POINTS}
+_HV = f"v AS (SELECT *, {', '.join(f'{v} AS r_{n}' for n, v in _HRAW.items())} FROM w)"
+
+
+def _sub_columns() -> str:
+    """For each main category its best kind and that kind's share."""
+    out = []
+    for main, kinds in k.HIERARCHY.items():
+        h = {n: f"({_hits(k.SUB[n])} + 2 * {_SUB_LOOK.get(n, '0')})::DOUBLE" for n in kinds}
+        whole = "(" + " + ".join(h.values()) + ")"
+        scores = {n: f"round(CASE WHEN {whole} > 0 THEN {v} / {whole} ELSE 1::DOUBLE / {len(kinds)} END, 9)" for n, v in h.items()}
+        top = f"greatest({', '.join(scores.values())})" if len(scores) > 1 else next(iter(scores.values()))
+        out.append(f"{_best(scores) if len(scores) > 1 else chr(39) + kinds[0] + chr(39)} AS s_{main}, {top} AS t_{main}")
+    return ", ".join(out)
+
+
+_PICK = lambda p: "CASE main " + " ".join(f"WHEN '{n}' THEN {p}_{n}" for n in k.HIERARCHY) + " END"
+
+
+@query(f"""WITH {_FX}, {_LOOK}, {_W}, {_HV}, h0 AS (SELECT *, {_best(_SHARE)} AS main, greatest({', '.join(_SHARE.values())}) AS main_score FROM v), h1 AS (SELECT *, {_sub_columns()} FROM h0),
+h2 AS (SELECT *, {_PICK('s')} AS sub, {_PICK('t')} AS sub_score FROM h1)
+SELECT {_K}, main, sub, round(1 / (1 + exp(-main_score)), 6) AS main_confidence, round(1 / (1 + exp(-sub_score)), 6) AS confidence, {_matched('sub')} AS matched FROM h2""")
+def chart_hierarchical(spark, sf_dir):
+    """Main category and kind under it, by words, look and context, with calibrated confidences."""
+    rows = k.hierarchical(_looks(spark, sf_dir), X(), {"chart": F.col("white"), "photo": F.col("edges")}, _sub_look(), _around())
+    return rows.select(*KEYS, "kind.main", "kind.sub", "kind.main_confidence", "kind.confidence", F.concat_ws(",", "kind.matched").alias("matched"))
+
+
+@query(f"""WITH {_FX}, {_LOOK}, s AS (SELECT {_K}, {_best(_FLAT, 'unknown')} AS a, round(least(1, greatest({', '.join(_FLAT.values())})), 6)::DOUBLE AS ca, {_best(_ONE, 'unknown')} AS z, round({_CONF.format(', '.join(_ONE.values()))}, 6) AS cz FROM lo)
+SELECT {_K}, CASE WHEN ca < 0.3 THEN z ELSE a END AS kind, CASE WHEN ca < 0.3 THEN cz ELSE ca END AS confidence FROM s""")
+def chart_fallback(spark, sf_dir):
+    """The first classifier's kind, or the baseline's where it is unsure."""
+    flat, one = k.flat_scores(X(), {"line_plot": F.col("edges")}), k.subtype_scores(X(), F.col("white"))
+    own = F.round(F.least(F.lit(1.0), F.greatest(*flat.values())), 6)
+    rows = _looks(spark, sf_dir).select(*KEYS, k.best(flat, "unknown").alias("a"), own.alias("ca"), k.best(one, "unknown").alias("z"), F.round(k.confidence(one), 6).alias("cz"))
+    kind, conf = k.with_fallback(*(F.col(x) for x in ("a", "ca", "z", "cz")))
+    return rows.select(*KEYS, kind.alias("kind"), conf.alias("confidence"))
 
 
 @query(c.sql("b", """SELECT doc_no, page_index, ord, CASE WHEN contains(detector, 'table') THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN y0 < 100 OR y1 > 800 THEN 0.2::DOUBLE ELSE 0 END
@@ -166,10 +242,28 @@ def caption_reclassify(spark, sf_dir):
     return rows.select(*c.PAGE, "ord", F.col("type").alias("was"), k.reclassified(F.col("type"), F.col("figures"), F.col("tables")).alias("type"))
 
 
-@query(f"""WITH {_FX}, {_LOOK}, s AS (SELECT {_K}, {_best(_ONE, 'unknown')} AS first, {_CONF.format(', '.join(_ONE.values()))} AS conf, {_best(_FLAT, 'unknown')} AS second FROM lo)
-SELECT {_K}, CASE WHEN first = 'unknown' OR conf < 0.4 THEN second ELSE first END AS subtype FROM s""")
+_FOUND = "list_concat(" + ", ".join(f"list_transform(regexp_extract_all(text, '{p}', 1), lambda v: '{n}=' || v)" for n, p in t.CONDITIONS.items()) + ")"
+_SAID = lambda words: "list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda w: contains(lt, lower(w)))"
+_FIRST_WORDS, _SECOND_WORDS = [w for ws in k.SUBTYPES.values() for w in ws], [w for ws in k.CHARTS.values() for w in ws]
+
+
+def _said(words):
+    low = F.lower(X())
+    return F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(F.lower(w)))
+
+
+@query(f"""WITH {_FX}, {_LOOK}, s AS (SELECT *, {_best(_ONE, 'unknown')} AS a, round({_CONF.format(', '.join(_ONE.values()))}, 6) AS ca, {_best(_FLAT, 'unknown')} AS z, round(least(1, greatest({', '.join(_FLAT.values())})), 6)::DOUBLE AS cz FROM lo)
+SELECT {_K}, CASE WHEN a = 'unknown' OR ca < 0.4 THEN z ELSE a END AS subtype, CASE WHEN a = 'unknown' OR ca < 0.4 THEN cz ELSE ca END AS confidence,
+ array_to_string(list_concat({_FOUND}, {_FOUND}), ',') AS conditions, array_to_string(list_sort(list_distinct(list_concat({_SAID(_FIRST_WORDS)}, {_SAID(_SECOND_WORDS)}))), ',') AS keywords FROM s""")
 def merge_annotations(spark, sf_dir):
-    """The first classifier's answer, or the second's where that is unknown or unsure."""
+    """Two classifiers' annotations as one: subtype, conditions of both, keywords of both."""
     one, two = k.subtype_scores(X(), F.col("white")), k.flat_scores(X(), {"line_plot": F.col("edges")})
-    rows = _looks(spark, sf_dir).select(*KEYS, k.best(one, "unknown").alias("first"), k.confidence(one).alias("conf"), k.best(two, "unknown").alias("second"))
-    return rows.select(*KEYS, F.when((F.col("first") == "unknown") | (F.col("conf") < 0.4), F.col("second")).otherwise(F.col("first")).alias("subtype"))
+    sure = F.round(F.least(F.lit(1.0), F.greatest(*two.values())), 6)
+    rows = _looks(spark, sf_dir).select(
+        *KEYS, k.best(one, "unknown").alias("a"), F.round(k.confidence(one), 6).alias("ca"), k.best(two, "unknown").alias("z"), sure.alias("cz"),
+        t.conditions(X()).alias("cond"), _said(_FIRST_WORDS).alias("ka"), _said(_SECOND_WORDS).alias("kz"),
+    )
+    of = F.col
+    made = k.merged_annotations(of("a"), of("ca"), of("cond"), of("ka"), of("z"), of("cz"), of("cond"), of("kz"))
+    shown = F.transform(made["conditions"], lambda s: F.concat_ws("=", s["name"], s["value"]))
+    return rows.select(*KEYS, made["subtype"].alias("subtype"), made["confidence"].alias("confidence"), F.concat_ws(",", shown).alias("conditions"), F.concat_ws(",", made["keywords"]).alias("keywords"))
