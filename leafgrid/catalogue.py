@@ -30,7 +30,7 @@ def query(sql: str | None = None, **views: str) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from leafgrid.plans import captioning, detections, evaluation, exports, figures, grouping, overlaps, scoring, tables, texts  # noqa: F401
+    from leafgrid.plans import captioning, detections, evaluation, exports, figures, grouping, overlaps, pictures, reports, scoring, tables, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -63,6 +63,13 @@ def iou(a: Box, b: Box) -> Column:
     return ratio(both, area(a) + area(b) - both)
 
 
+def unclamped_iou(a: Box, b: Box) -> Column:
+    """IoU by signed areas; 0 for boxes that do not overlap."""
+    both = intersection(a, b)
+    whole = signed_area(a) + signed_area(b) - both
+    return F.when((both > 0) & (whole != 0), both / whole).otherwise(F.lit(0.0))
+
+
 def overlap_ratio(a: Box, b: Box) -> Column:
     """Intersection over the smaller area."""
     return ratio(intersection(a, b), F.least(area(a), area(b)))

@@ -90,7 +90,8 @@ def aligned(items: DataFrame, captions: DataFrame, page: list[str], key: list[st
     matching = F.when(F.col("l_kind") == F.col("type"), F.lit(30.0)).otherwise(F.lit(0.0))
     off = F.abs(F.col("l_number") - 1 - F.col("item_index"))
     number = F.when(F.col("l_number") < 0, F.lit(0.0)).when(off == 0, F.lit(50.0)).when(off <= 1, F.lit(20.0)).otherwise(F.lit(0.0))
-    scored = beside(indexed(items, page), captions, page, ("text", "kind", "number", "label"))
+    placed = items if "item_index" in items.columns else indexed(items, page)
+    scored = beside(placed, captions, page, ("text", "kind", "number", "label"))
     scored = scored.withColumn("gap", gap).where(F.col("gap") < WINDOW).withColumn("score", F.col("gap") + wrong_side(F.col("type"), side) - matching - number)
     best = scored.groupBy(*key).agg(F.min(F.struct("score", "l_line_no", "l_text", "l_label")).alias("b"))
     out = items.select(*key, "type").join(best, key, "left")
@@ -102,6 +103,16 @@ def aligned(items: DataFrame, captions: DataFrame, page: list[str], key: list[st
     )
 
 
+def captioned(items: DataFrame, captions: DataFrame, page: list[str], key: list[str]) -> DataFrame:
+    """Key, caption and label of items with ``boxless``: the best caption; the first of the page for an item without a box, null
+    if there is none; what is said of an item on a page without captions, and of one without a matching caption."""
+    first = captions.groupBy(*page).agg(F.min_by(F.struct("text", "label"), "line_no").alias("first"))
+    best = aligned(items.where("not boxless"), captions, page, key).select(*key, F.col("caption").alias("best"), F.col("label").alias("best_label"))
+    rows = items.select(*key, "boxless").join(first, page, "left").join(best, key, "left")
+    said = F.when(F.col("boxless"), F.col("first.text")).when(F.col("first").isNull(), F.lit("No caption found.")).otherwise(F.col("best"))
+    return rows.select(*key, said.alias("caption"), F.when(F.col("boxless"), F.col("first.label")).otherwise(F.col("best_label")).alias("label"))
+
+
 def joined_text(rows: DataFrame, key: list[str], sep: str, name: str) -> DataFrame:
     """Texts of lines in the order of their numbers as one text for each key."""
     ordered = F.array_sort(F.collect_list(F.struct("l_line_no", "l_text")))

@@ -47,3 +47,9 @@ def report(truth: DataFrame, found: DataFrame, doc: str, page: str, least: float
         F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(f1(precision, recall), 6).alias("f1"),
         F.round(share(F.col("iou_sum"), F.col("tp")), 6).alias("mean_iou"),
     )
+
+
+def evaluable(truth: DataFrame, found: DataFrame, doc: str) -> tuple[DataFrame, DataFrame]:
+    """Annotations and detections of the documents that have both; a document without detections is skipped, not counted as missed."""
+    both = truth.select(doc).distinct().join(found.select(doc).distinct(), doc)
+    return truth.join(both, doc), found.join(both, doc)

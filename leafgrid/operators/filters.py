@@ -90,6 +90,31 @@ def looked_up(detector: Column, at: int, default: float) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(detector)), F.lit(float(default)))
 
 
+def of_detector(detector: Column, values: dict[str, float], default: float) -> Column:
+    """A value of a detector by its name or its other name."""
+    known = values | {n: values[to] for n, to in ALIASES.items() if to in values and n not in values}
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for n, v in known.items() for x in (n, float(v)))), F.lower(detector)), F.lit(float(default)))
+
+
+def updated(values: dict[str, float], changes: dict[str, float]) -> dict[str, float]:
+    """Values with changes by lower-cased name; a change that is not between 0 and 1 is left out."""
+    return values | {n.lower(): v for n, v in changes.items() if 0 <= v <= 1}
+
+
+#: Labels of the classes of two layout models, by number. Fixed values.
+LAYOUT_CLASSES = ("text", "title", "figure", "table", "caption", "header", "footer", "reference", "equation")
+BLOCK_CLASSES = ("Text", "Title", "List", "Table", "Figure")
+
+
+def class_label(number: Column, labels: tuple[str, ...]) -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, labels)), number.cast("int")), F.lit("unknown"))
+
+
+def layout_kept(label: Column, score: Column, least: float = 0.5) -> Column:
+    """Sure figures and tables of a layout."""
+    return F.lower(label).isin("figure", "table") & (score >= least)
+
+
 def weight(detector: Column) -> Column:
     return looked_up(detector, 0, 0.5)
 

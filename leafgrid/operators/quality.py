@@ -79,3 +79,47 @@ def anomalies(b: Box, page_area: Column, ink: Column) -> Column:
         found(share > 0.9, "oversized", "high"), found(share < 0.001, "undersized", "medium"),
         found((aspect > 10) | ((aspect < 0.1) & (aspect > 0)), "extreme_aspect_ratio", "medium"), found(ink < 0.005, "sparse_content", "high"),
     ))
+
+
+#: What to do about each issue. Fixed values.
+ADVICE = {
+    "low_detection": "Consider using ensemble detection or adjusting thresholds",
+    "low_content": "Refine bbox boundaries to remove excess whitespace",
+    "low_boundary": "Apply boundary refinement algorithm",
+    "low_caption": "Verify this is a valid figure/table",
+    "low_position": "Check if this is a valid figure or page artifact",
+    "text": "Filter this detection as false positive",
+    "stamp": "Filter this detection as arXiv ID false positive",
+}
+
+
+def advice(found: Column) -> Column:
+    """What to do about each of the issues, in their order; some issues have no advice."""
+    table = F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair))
+    return F.array_compact(F.transform(found, lambda i: F.try_element_at(table, i)))
+
+
+def input_issues(there: Column, readable: Column, w: Column, h: Column, kind: Column, sharpness: Column) -> Column:
+    """What is wrong with an image: not found or unreadable, and nothing else then; size, kind, blur."""
+    found = F.array_compact(F.array(
+        F.when((w < 50) | (h < 50), F.lit("small")), F.when((w > 5000) | (h > 5000), F.lit("large")),
+        F.when(~kind.isin("figure", "table", "chart", "unknown"), F.lit("kind")), F.when(sharpness < 10, F.lit("blurred")),
+    ))
+    return F.when(~there, F.array(F.lit("not_found"))).when(~readable, F.array(F.lit("unreadable"))).otherwise(found)
+
+
+def input_valid(found: Column) -> Column:
+    """Only what is not there or cannot be read makes an image invalid."""
+    return ~F.arrays_overlap(found, F.array(F.lit("not_found"), F.lit("unreadable")))
+
+
+def diagnosis(b: Box, w: Column, h: Column, ink: Column, h_lines: Column, v_lines: Column) -> list[Column]:
+    """Place, centre, size and shape of a box cut to whole pixels of the page, its ink and lines, and whether it has the structure of a table."""
+    x0, y0, x1, y1 = g.whole_pixels(b)
+    k = Box(F.greatest(F.lit(0), x0), F.greatest(F.lit(0), y0), F.least(w, x1), F.least(h, y1))
+    cx, cy = g.centre(k)
+    return [
+        (k.x0 / w).alias("left_share"), (k.y0 / h).alias("top_share"), (cx / w).alias("centre_x"), (cy / h).alias("centre_y"), (g.signed_area(k) / (w * h)).alias("area_share"),
+        F.when(g.height(k) > 0, g.width(k) / g.height(k)).otherwise(F.lit(0.0)).alias("aspect"), ink.alias("ink"), h_lines.alias("h_lines"), v_lines.alias("v_lines"),
+        ((h_lines > 50) & (v_lines > 50)).alias("structured"),
+    ]

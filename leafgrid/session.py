@@ -22,12 +22,20 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "leafgr
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the driver and all executors share; a session of this machine alone gets one of its own."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", "")
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="leafgrid-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def staged(rows: DataFrame) -> DataFrame:
     """The rows worked out once, in the checkpoint folder, so that later stages do not repeat earlier ones."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir", "")
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafgrid-"))
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()

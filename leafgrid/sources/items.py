@@ -64,3 +64,34 @@ def cells(tables: DataFrame, key: str) -> DataFrame:
     """Grids (array of rows of cells) in long form, rows and columns from 0."""
     rows = tables.select(key, F.posexplode("grid").alias("row_no", "row"))
     return rows.select(key, "row_no", F.posexplode("row").alias("col_no", "cell"))
+
+
+def scanned(docs: DataFrame, items: DataFrame, doc: str) -> DataFrame:
+    """Documents and ``has_manifest``: whether any item of theirs is there."""
+    there = items.select(doc).distinct().withColumn("has_manifest", F.lit(True))
+    return docs.join(there, doc, "left").select(doc, F.coalesce("has_manifest", F.lit(False)).alias("has_manifest"))
+
+
+def with_manual(items: DataFrame, added: DataFrame, doc: str, width, height) -> DataFrame:
+    """Items and those that users add (corners, page_index, and n: how many items their document has), cut to the page and numbered on."""
+    from leafgrid.functions import geometry as g
+
+    own = items.select(doc, "item_id", "page_index", *Box._fields, F.lit("extracted").alias("source"))
+    place = F.row_number().over(Window.partitionBy(doc).orderBy("page_index", *Box._fields)) + F.col("n")
+    new = added.withColumn("item_id", F.format_string("manual_%04d", place.cast("long")))
+    return own.unionByName(new.select(doc, "item_id", "page_index", *g.clamp(Box.of(), width, height).named(), F.lit("manual").alias("source")))
+
+
+def renamed(paths, old, new):
+    """A map of paths with an item's old id replaced by its new one."""
+    return F.transform_values(paths, lambda _, v: F.replace(v, old, new))
+
+
+def table_items(tables: DataFrame, score, source, strategy, zoom: float) -> DataFrame:
+    """Tables (item_id, page_index, corners, row_count, col_count) as items, with their box on the page's own scale and the paths of their files."""
+    path = lambda name: F.concat(F.lit("items/"), F.col("item_id"), F.lit("/" + name))
+    return tables.select(
+        *[c for c in tables.columns if c not in ("type", "subtype", "score", "detector")], F.lit("table").alias("type"), F.lit("table").alias("subtype"),
+        F.struct(*((F.col(c) / zoom).alias(c) for c in Box._fields)).alias("pdf_bbox"), score.alias("detection_score"), source.alias("detection_source"), strategy.alias("extraction_strategy"),
+        F.create_map(F.lit("table_csv"), path("table.csv"), F.lit("preview_png"), path("preview.png")).alias("artifacts"),
+    )
