@@ -100,10 +100,15 @@ def text_coverage(spark, sf_dir):
     return o.coverage(c.boxes(spark, sf_dir), c.captions(spark, sf_dir), c.PAGE, KEY)
 
 
-@query(c.sql("bc", f"WITH {_COVER} SELECT doc_no, page_index, ord FROM v WHERE coverage >= 0.05 AND wide_lines >= 1"))
+#: The rule's least coverage and wide lines, and low ones that the boxes here pass more often.
+REGIONS = ((0.35, 2), (0.05, 1))
+
+
+@query(" UNION ALL ".join(f"SELECT {x}::DOUBLE AS least, * FROM ({c.sql('bc', f'WITH {_COVER} SELECT doc_no, page_index, ord FROM v WHERE coverage >= {x} AND wide_lines >= {n}')})" for x, n in REGIONS))
 def likely_text_region(spark, sf_dir):
     covered = o.coverage(c.boxes(spark, sf_dir), c.captions(spark, sf_dir), c.PAGE, KEY)
-    return covered.where(o.text_region(covered, 0.05, 1)).select(*KEY)
+    one, two = (covered.where(o.text_region(covered, x, n)).select(F.lit(x).alias("least"), *KEY) for x, n in REGIONS)
+    return one.unionByName(two)
 
 
 def _share(axis: str, p: str, q: str) -> str:
@@ -141,22 +146,34 @@ def text_barrier(spark, sf_dir):
     return crossed.select(*c.PAGE, "a_ord", "b_ord").distinct()
 
 
-_RUNS = f"""t AS (SELECT *, row_number() OVER w AS place, regexp_matches(text, '{S_CAPTION}') AS starts, coalesce(y0 - lag(y1) OVER w > 40, true) AS far
+#: The rule's greatest gap within a caption, and a wide one that the lines here pass more often.
+GAPS = (12.0, 40.0)
+
+
+def _runs(gap: float) -> str:
+    return f"""t AS (SELECT *, row_number() OVER w AS place, regexp_matches(text, '{S_CAPTION}') AS starts, coalesce(y0 - lag(y1) OVER w > {gap}, true) AS far
  FROM c WINDOW w AS (PARTITION BY doc_no ORDER BY line_no)),
 u AS (SELECT *, sum((starts OR far)::INT) OVER (PARTITION BY doc_no ORDER BY line_no) AS run FROM t),
 r AS (SELECT doc_no, run, min(place) AS first, count(*) AS n, min(line_no) AS line_no, string_agg(text, ' ' ORDER BY place) AS caption,
  min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM u GROUP BY ALL HAVING bool_or(starts))"""
 
 
-@query(c.sql("c", f"WITH {_RUNS} SELECT doc_no, line_no, n, caption, x0, y0, x1, y1 FROM r"))
+def _multilines(spark, sf_dir, *columns: str):
+    one, two = (o.multiline(c.captions(spark, sf_dir), ["doc_no"], x).select(F.lit(x).alias("gap"), *columns) for x in GAPS)
+    return one.unionByName(two)
+
+
+@query(" UNION ALL ".join(f"SELECT {x}::DOUBLE AS gap, * FROM ({c.sql('c', f'WITH {_runs(x)} SELECT doc_no, line_no, n, caption, x0, y0, x1, y1 FROM r')})" for x in GAPS))
 def caption_multiline(spark, sf_dir):
-    return o.multiline(c.captions(spark, sf_dir), ["doc_no"], 40.0).select("doc_no", "line_no", "n", "caption", *c.CORNERS)
+    """Captions with the lines that continue them."""
+    return _multilines(spark, sf_dir, "doc_no", "line_no", "n", "caption", *c.CORNERS)
 
 
-@query(c.sql("c", f"""WITH {_RUNS} SELECT r.doc_no, r.line_no, string_agg(t.text, chr(10) ORDER BY t.place) AS snippet
-FROM r JOIN t ON t.doc_no = r.doc_no AND t.place >= r.first - 2 AND t.place < r.first + r.n + 3 GROUP BY r.doc_no, r.line_no, r.run"""))
+@query(" UNION ALL ".join(f"""SELECT {x}::DOUBLE AS gap, * FROM ({c.sql('c', f"""WITH {_runs(x)} SELECT r.doc_no, r.line_no, string_agg(t.text, chr(10) ORDER BY t.place) AS snippet
+FROM r JOIN t ON t.doc_no = r.doc_no AND t.place >= r.first - 2 AND t.place < r.first + r.n + 3 GROUP BY r.doc_no, r.line_no, r.run""")})""" for x in GAPS))
 def evidence_snippet(spark, sf_dir):
-    return o.multiline(c.captions(spark, sf_dir), ["doc_no"], 40.0).select("doc_no", "line_no", "snippet")
+    """Captions with the lines around them."""
+    return _multilines(spark, sf_dir, "doc_no", "line_no", "snippet")
 
 
 @query(c.sql("l", f"""SELECT doc_id, page_index, string_agg(text, ' ' ORDER BY line_no) AS page_text, count(*) AS n_lines FROM l GROUP BY ALL"""))

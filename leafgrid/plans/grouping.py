@@ -11,6 +11,7 @@ from leafgrid.functions import geometry as g
 from leafgrid.functions.geometry import Box
 from leafgrid.operators import captions as o
 from leafgrid.operators import merging as m
+from leafgrid.operators import tables as tb
 from leafgrid.plans import common as c
 from leafgrid.plans.captioning import _GAP, _K, _ON, _SHARED, KEY
 
@@ -195,71 +196,6 @@ def subfigure_groups(spark, sf_dir):
     return out.select(*c.PAGE, "line_no", "n_boxes", ((F.col("far") <= 100) & (F.col("spread") <= 4)).alias("is_group"))
 
 
-_ROWS = """t AS (SELECT *, coalesce(y0 - lag(y0) OVER w >= 50, true) AS brk FROM b WINDOW w AS (PARTITION BY doc_no ORDER BY y0, x0, page_index, ord)),
-u AS (SELECT *, sum(brk::INT) OVER (PARTITION BY doc_no ORDER BY y0, x0, page_index, ord)::INT AS row_no FROM t)"""
-
-
-@query(c.sql("b", f"WITH {_ROWS} SELECT doc_no, row_no, count(*) AS n, min(y0) AS top, max(y0) AS low FROM u GROUP BY ALL"))
-def grid_rows(spark, sf_dir):
-    """Rows of boxes: a box within 50 of the one before it is in its row."""
-    order = ["y0", "x0", "page_index", "ord"]
-    gap = F.col("y0") - F.lag("y0").over(Window.partitionBy("doc_no").orderBy(*order))
-    rows = m.clusters(c.boxes(spark, sf_dir), ["doc_no"], order, gap >= 50, "row_no")
-    return rows.groupBy("doc_no", "row_no").agg(F.count("*").alias("n"), F.min("y0").alias("top"), F.max("y0").alias("low"))
-
-
-@query(c.sql("b", f"WITH {_ROWS}, n AS (SELECT doc_no, row_no, count(*) AS n FROM u GROUP BY ALL) SELECT doc_no, count(*) AS n_rows, max(n) - min(n) <= 1 AND count(*) > 1 AS even FROM n GROUP BY ALL"))
-def grid_arrangement(spark, sf_dir):
-    """Documents whose rows of boxes differ by one box at most."""
-    n = grid_rows(spark, sf_dir)
-    return n.groupBy("doc_no").agg(F.count("*").alias("n_rows"), ((F.max("n") - F.min("n") <= 1) & (F.count("*") > 1)).alias("even"))
-
-
-_BANDS = """z AS (SELECT doc_id, page_index, line_no, x0, y0, x1, y1, y1 - y0 AS h FROM l WHERE x1 - x0 >= 600),
-md AS (SELECT doc_id, page_index, list_sort(list(h))[len(list(h)) // 2 + 1] AS mh FROM z GROUP BY ALL),
-t AS (SELECT z.*, coalesce(y0 - lag(y1) OVER w > greatest(12, trunc(1.8 * mh)), true) AS brk FROM z JOIN md USING (doc_id, page_index) WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY y0, line_no)),
-u AS (SELECT *, sum(brk::INT) OVER (PARTITION BY doc_id, page_index ORDER BY y0, line_no)::INT AS run FROM t),
-k AS (SELECT doc_id, page_index, run, count(*) AS n, min(y0) AS top, max(y1) AS bottom FROM u GROUP BY ALL)"""
-
-
-def _bands(spark, sf_dir):
-    by = ["doc_id", "page_index"]
-    wide = c.lines(spark, sf_dir).where("x1 - x0 >= 600").withColumn("h", F.col("y1") - F.col("y0"))
-    middle = wide.groupBy(*by).agg(m.upper_median(F.collect_list("h")).alias("mh"))
-    rows = wide.join(middle, by)
-    gap = F.col("y0") - F.lag("y1").over(Window.partitionBy(*by).orderBy("y0", "line_no"))
-    runs = m.clusters(rows, by, ["y0", "line_no"], gap > F.greatest(F.lit(12), (F.lit(1.8) * F.col("mh")).cast("int")))
-    return runs.groupBy(*by, "run").agg(F.count("*").alias("n"), F.min("y0").alias("top"), F.max("y1").alias("bottom"))
-
-
-@query(c.sql("l", f"""WITH {_BANDS} SELECT doc_id, page_index, top, bottom, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY n * (bottom - top) DESC, run) AS r FROM k
- WHERE n >= 2 AND (top + bottom) / 2 BETWEEN 100 AND 1100) WHERE r = 1"""))
-def text_band(spark, sf_dir):
-    """The band of wide lines in the middle of a page that splits it."""
-    bands = _bands(spark, sf_dir).where("n >= 2 and (top + bottom) / 2 between 100 and 1100")
-    best = bands.groupBy("doc_id", "page_index").agg(F.max_by(F.struct("top", "bottom", "n"), F.struct(F.col("n") * (F.col("bottom") - F.col("top")), -F.col("run"))).alias("b"))
-    return best.select("doc_id", "page_index", "b.*")
-
-
-@query(c.sql("l", """WITH t AS (SELECT *, coalesce(y0 - lag(y1) OVER w > 10, true) AS brk FROM l WHERE length(text) > 0 WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY line_no)),
-u AS (SELECT *, sum(brk::INT) OVER (PARTITION BY doc_id, page_index ORDER BY line_no)::INT AS run FROM t),
-k AS (SELECT doc_id, page_index, run, count(*) AS n, min(x0) - 8 AS x0, min(y0) - 8 AS y0, max(x1) + 8 AS x1, max(y1) + 8 AS y1,
- round(count(*) * (1 + stddev_pop(x1 - x0) / greatest(1, avg(x1 - x0)) + stddev_pop(x0) / greatest(1, avg(x0)) + stddev_pop(x1) / greatest(1, avg(x1))), 6) AS score FROM u GROUP BY ALL)
-SELECT doc_id, page_index, n, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY score DESC, run) AS r FROM k) WHERE r = 1"""))
-def refine_text_lines(spark, sf_dir):
-    """The cluster of lines that looks most like a table, padded: many lines of varied widths."""
-    by = ["doc_id", "page_index"]
-    rows = c.lines(spark, sf_dir).where("length(text) > 0")
-    gap = F.col("y0") - F.lag("y1").over(Window.partitionBy(*by).orderBy("line_no"))
-    runs = m.clusters(rows, by, ["line_no"], gap > 10)
-    width = F.col("x1") - F.col("x0")
-    score = F.round(F.count("*") * (1 + m.variation(width) + m.variation(F.col("x0")) + m.variation(F.col("x1"))), 6)
-    box = [(F.min("x0") - 8).alias("x0"), (F.min("y0") - 8).alias("y0"), (F.max("x1") + 8).alias("x1"), (F.max("y1") + 8).alias("y1")]
-    sized = runs.groupBy(*by, "run").agg(F.count("*").alias("n"), *box, score.alias("score"))
-    best = sized.groupBy(*by).agg(F.max_by(F.struct("n", *c.CORNERS), F.struct("score", -F.col("run"))).alias("b"))
-    return best.select(*by, "b.*")
-
-
 _SEGMENTS = f"WITH s AS (SELECT page_no, y::INT AS y, x0::DOUBLE AS x0, x1::DOUBLE AS x1, seg_id FROM ({sources.view('segments')})), "
 
 
@@ -268,70 +204,26 @@ def _segments(spark, sf_dir):
     return rows.select("page_no", F.col("y").cast("int").alias("y"), F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), "seg_id")
 
 
-@query(_SEGMENTS + """t AS (SELECT *, coalesce(y - lag(y) OVER w > 6, true) AS brk FROM s WINDOW w AS (PARTITION BY page_no ORDER BY y, seg_id)),
-u AS (SELECT *, sum(brk::INT) OVER (PARTITION BY page_no ORDER BY y, seg_id) AS line_ FROM t),
-li AS (SELECT page_no, line_, min(x0) AS x0, max(x1) AS x1, avg(y) AS y FROM u GROUP BY ALL),
-t2 AS (SELECT *, coalesce(y - lag(y) OVER w > 15, true) AS brk FROM li WINDOW w AS (PARTITION BY page_no ORDER BY y)),
-u2 AS (SELECT *, sum(brk::INT) OVER (PARTITION BY page_no ORDER BY y)::INT AS run FROM t2),
-k AS (SELECT page_no, run, count(*) AS n, min(x0) AS x0, max(x1) AS x1, min(y) AS top, max(y) AS bottom FROM u2 GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8)
-SELECT page_no, n, x0, x1, round(top - greatest(10, 0.25::DOUBLE * (bottom - top)), 6) AS top, round(bottom + greatest(10, 0.25::DOUBLE * (bottom - top)), 6) AS bottom FROM k""")
-def three_line_groups(spark, sf_dir):
-    """Regions of two to eight rules: segments chained to lines, lines to groups, padded."""
-    w = Window.partitionBy("page_no")
-    rows = _segments(spark, sf_dir)
-    one = m.clusters(rows, ["page_no"], ["y", "seg_id"], F.col("y") - F.lag("y").over(w.orderBy("y", "seg_id")) > 6, "line_")
-    lines = one.groupBy("page_no", "line_").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.avg("y").alias("y"))
-    two = m.clusters(lines, ["page_no"], ["y"], F.col("y") - F.lag("y").over(w.orderBy("y")) > 15)
-    k = two.groupBy("page_no", "run").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("top"), F.max("y").alias("bottom"))
-    pad = F.greatest(F.lit(10.0), 0.25 * (F.col("bottom") - F.col("top")))
-    k = k.where("n between 2 and 8").withColumn("pad", pad)
-    return k.select("page_no", "n", "x0", "x1", F.round(F.col("top") - F.col("pad"), 6).alias("top"), F.round(F.col("bottom") + F.col("pad"), 6).alias("bottom"))
-
-
-_LINES = """t AS (SELECT *, coalesce(y - lag(y) OVER w >= 10, true) AS brk FROM s WINDOW w AS (PARTITION BY page_no ORDER BY y, seg_id)),
-u AS (SELECT *, sum(brk::INT) OVER (PARTITION BY page_no ORDER BY y, seg_id)::INT AS line_ FROM t),
-li AS (SELECT page_no, line_, min(x0) AS x0, max(x1) AS x1, min(y) AS y FROM u GROUP BY ALL)"""
-
-
-def _lines(spark, sf_dir):
-    w = Window.partitionBy("page_no").orderBy("y", "seg_id")
-    one = m.clusters(_segments(spark, sf_dir), ["page_no"], ["y", "seg_id"], F.col("y") - F.lag("y").over(w) >= 10, "line_")
-    return one.groupBy("page_no", "line_").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y"))
-
-
-@query(_SEGMENTS + _LINES + """, w3 AS (SELECT page_no, y AS y1, lead(y, 1) OVER w AS y2, lead(y, 2) OVER w AS y3, least(x0, lead(x0, 1) OVER w, lead(x0, 2) OVER w) AS x0,
- greatest(x1, lead(x1, 1) OVER w, lead(x1, 2) OVER w) AS x1 FROM li WINDOW w AS (PARTITION BY page_no ORDER BY y))
-SELECT page_no, y1, y2, y3, x0, x1 FROM w3 WHERE y3 IS NOT NULL AND y2 - y1 BETWEEN 20 AND 300 AND y3 - y2 BETWEEN 20 AND 300""")
-def simple_triples(spark, sf_dir):
-    """Three lines in a row with gaps of 20 to 300: the rules of a simple table."""
-    w = Window.partitionBy("page_no").orderBy("y")
-    at = lambda x, k: F.lead(x, k).over(w)
-    rows = _lines(spark, sf_dir).select(
-        "page_no", F.col("y").alias("y1"), at("y", 1).alias("y2"), at("y", 2).alias("y3"),
-        F.least("x0", at("x0", 1), at("x0", 2)).alias("x0"), F.greatest("x1", at("x1", 1), at("x1", 2)).alias("x1"),
-    )
-    return rows.where("y3 is not null and y2 - y1 between 20 and 300 and y3 - y2 between 20 and 300")
+#: The rule's least overlap, and a low one that the boxes here pass more often.
+COVERS, CONFIRMS = (0.3, 0.05), (0.5, 0.05)
+
+
+def _each(values: tuple, select: str, use: str = "b") -> str:
+    return " UNION ALL ".join(f"SELECT {v}::DOUBLE AS most, * FROM ({c.sql(use, select.replace('@', str(v)))})" for v in values)
 
 
-@query(_SEGMENTS + _LINES + """ SELECT a.page_no, a.y AS y1, b.y AS y2, d.y AS y3 FROM li a JOIN li b ON a.page_no = b.page_no AND b.y >= a.y + 20 JOIN li d ON d.page_no = a.page_no AND d.y >= b.y + 20
-WHERE d.y - a.y BETWEEN 50 AND 200 AND least(b.y - a.y, d.y - b.y) / greatest(b.y - a.y, d.y - b.y) > 0.2""")
-def missed_triples(spark, sf_dir):
-    """All triples of lines of a page within 200 whose gaps are alike."""
-    side = lambda n: _lines(spark, sf_dir).select("page_no", F.col("y").alias(n))
-    rows = side("y1").join(side("y2"), "page_no").where("y2 >= y1 + 20 and y2 <= y1 + 180").join(side("y3"), "page_no").where("y3 >= y2 + 20 and y3 - y1 between 50 and 200")
-    up, down = F.col("y2") - F.col("y1"), F.col("y3") - F.col("y2")
-    return rows.where(F.least(up, down) / F.greatest(up, down) > 0.2).select("page_no", "y1", "y2", "y3")
+def _both(values: tuple, run):
+    one, two = (run(v).withColumn("most", F.lit(v)) for v in values)
+    return one.unionByName(two)
 
 
-@query(c.sql("b", f"""SELECT doc_no, page_index, ord FROM b a WHERE type = 'figure' AND NOT EXISTS (SELECT 1 FROM b t WHERE t.type = 'table' AND t.doc_no = a.doc_no
- AND t.page_index = a.page_index AND {c.s_iou('a.', 't.')} > 0.05)"""))
+@query(_each(COVERS, f"""SELECT doc_no, page_index, ord FROM b a WHERE type = 'figure' AND NOT EXISTS (SELECT 1 FROM b t WHERE t.type = 'table' AND t.doc_no = a.doc_no
+ AND t.page_index = a.page_index AND {c.s_iou('a.', 't.')} > @)"""))
 def uncovered_tables(spark, sf_dir):
     """Candidates that no detected table covers."""
     rows = c.boxes(spark, sf_dir)
-    tables = rows.where("type = 'table'").select(*(F.col(x).alias("b_" + x) for x in (*c.PAGE, *c.CORNERS)))
-    own = rows.where("type = 'figure'")
-    same = (own["doc_no"] == tables["b_doc_no"]) & (own["page_index"] == tables["b_page_index"])
-    return own.join(tables, same & (g.iou(Box.of(), Box.of("b_")) > 0.05), "left_anti").select(*KEY)
+    tables, own = rows.where("type = 'table'"), rows.where("type = 'figure'")
+    return _both(COVERS, lambda most: tb.uncovered(own, tables, c.PAGE, most).select(*KEY))
 
 
 @query(c.sql("b", "SELECT DISTINCT doc_no, page_index FROM b WHERE (doc_no, page_index) NOT IN (SELECT (doc_no, page_index) FROM b WHERE type = 'table')"))
@@ -340,12 +232,12 @@ def pages_without_tables(spark, sf_dir):
     return rows.groupBy(*c.PAGE).agg(F.bool_or(F.col("type") == "table").alias("has")).where("not has").select(*c.PAGE)
 
 
-@query(c.sql("b", f"""SELECT doc_no, page_index, ord FROM b a WHERE type = 'table' AND EXISTS (SELECT 1 FROM b t WHERE t.detector = 'table_transformer' AND t.doc_no = a.doc_no
- AND t.page_index = a.page_index AND t.ord <> a.ord AND {c.s_iou('a.', 't.')} > 0.05)"""))
+@query(_each(CONFIRMS, f"""SELECT doc_no, page_index, ord FROM b a WHERE type = 'table' AND EXISTS (SELECT 1 FROM b t WHERE t.detector = 'table_transformer' AND t.doc_no = a.doc_no
+ AND t.page_index = a.page_index AND t.ord <> a.ord AND {c.s_iou('a.', 't.')} > @)"""))
 def verified_semi(spark, sf_dir):
     """Tables that a second detector confirms."""
     rows = c.boxes(spark, sf_dir)
     second = rows.where("detector = 'table_transformer'").select(*(F.col(x).alias("b_" + x) for x in (*c.PAGE, "ord", *c.CORNERS)))
     own = rows.where("type = 'table'")
     same = (own["doc_no"] == second["b_doc_no"]) & (own["page_index"] == second["b_page_index"]) & (own["ord"] != second["b_ord"])
-    return own.join(second, same & (g.iou(Box.of(), Box.of("b_")) > 0.05), "left_semi").select(*KEY)
+    return _both(CONFIRMS, lambda most: own.join(second, same & (g.iou(Box.of(), Box.of("b_")) > most), "left_semi").select(*KEY))

@@ -168,15 +168,20 @@ def bar_labels(spark, sf_dir):
     return dz.bar_labels(_bars(spark, sf_dir).select(*c.PAGE, "bar", *c.CORNERS, "orientation"), c.captions(spark, sf_dir), c.PAGE)
 
 
-def _runs(along: str, across: str) -> str:
-    """Pixels of each image in runs of at least three dark ones along a direction."""
+def _runs(along: str, across: str, least: int) -> str:
+    """Pixels of each image in runs of at least ``least`` dark ones along a direction."""
     return f"""(SELECT img_id, sum(n)::BIGINT AS n FROM (SELECT img_id, {across}, k, count(*) AS n FROM (SELECT img_id, {across}, {along} - row_number() OVER (PARTITION BY img_id, {across} ORDER BY {along}) AS k
- FROM px WHERE v <= 245) GROUP BY ALL HAVING count(*) >= 3) GROUP BY 1)"""
+ FROM px WHERE v <= 245) GROUP BY ALL HAVING count(*) >= {least}) GROUP BY 1)"""
 
 
-@query(f"""WITH {_PX} SELECT i.img_id, i.ink, coalesce(a.n, 0) AS across_pixels, coalesce(d.n, 0) AS down_pixels FROM (SELECT img_id, count(*) FILTER (WHERE v <= 245) / 4096 AS ink FROM px GROUP BY ALL) i
-LEFT JOIN {_runs('x', 'y')} a USING (img_id) LEFT JOIN {_runs('y', 'x')} d USING (img_id)""")
+#: The rule's shortest line, and a short one that these small rasters hold.
+LINES = (40, 3)
+
+
+@query(" UNION ALL ".join(f"""SELECT * FROM (WITH {_PX} SELECT {n} AS line, i.img_id, i.ink, coalesce(a.n, 0) AS across_pixels, coalesce(d.n, 0) AS down_pixels FROM (SELECT img_id, count(*) FILTER (WHERE v <= 245) / 4096 AS ink FROM px GROUP BY ALL) i
+LEFT JOIN {_runs('x', 'y', n)} a USING (img_id) LEFT JOIN {_runs('y', 'x', n)} d USING (img_id))""" for n in LINES))
 def raster_features(spark, sf_dir):
     """Ink and pixels in lines of rasters of 64 by 64, by the kernels on rasters."""
     rasters = raster.from_pixels(_pixels(spark, sf_dir), ["img_id"], 64, 64)
-    return raster.with_features(rasters, ["img_id"], 3).select("img_id", "ink", "across_pixels", "down_pixels")
+    one, two = (raster.with_features(rasters, ["img_id"], n).select(F.lit(n).alias("line"), "img_id", "ink", "across_pixels", "down_pixels") for n in LINES)
+    return one.unionByName(two)
