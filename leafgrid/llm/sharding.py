@@ -106,12 +106,12 @@ class Feistel:
 
 
 def numbered(rows: DataFrame, order: list[str], buckets: int = BUCKETS) -> tuple[DataFrame, int]:
-    """The rows with ``row_number`` 0..n-1 and n, by bucket of the first order column, then the order.
+    """The rows with ``row_number`` 0..n-1 and n, by bucket of all order columns together, then the order.
 
-    Only one row for each bucket is gathered, and windows hold one bucket. Rows that
-    agree in every order column are interchangeable.
+    Only one row for each bucket is gathered, and windows hold one bucket, so that many rows of one
+    or no first column spread over all. Rows that agree in every order column are interchangeable.
     """
-    bucketed = rows.withColumn("__bucket", F.pmod(F.xxhash64(order[0]), F.lit(buckets)))
+    bucketed = rows.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     sizes = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), "__n")

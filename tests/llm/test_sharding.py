@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from leafgrid.llm.sharding import Feistel, shard
+from leafgrid.llm.sharding import BUCKETS, Feistel, numbered, shard
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 24, 97, 1000, 4097])
@@ -38,3 +38,14 @@ def test_rows_law(odd_docs, no_docs, spark):
     key = lambda r: (str(r.doc_id), r.text_crc32, r.shard, r.slot)
     assert sorted(map(key, rows)) == sorted(map(key, again))
     assert shard(no_docs).count() == 0
+
+
+def test_rows_without_ids_spread_over_the_buckets(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    slim = docs.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("c"))
+    rows, n = numbered(slim, ["doc_id", "c"])
+    assert n == 4000 and sorted(r.row_number for r in rows.collect()) == list(range(n))
+    largest = slim.groupBy(F.pmod(F.xxhash64("doc_id", "c"), F.lit(BUCKETS))).count().agg(F.max("count")).first()[0]
+    assert largest < 40
