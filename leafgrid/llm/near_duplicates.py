@@ -458,7 +458,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies: that of the smallest doc_id; rows without doc_id stay."""
+    """One row of each group of near copies: that of the smallest doc_id; rows without doc_id stay, and so do
+    rows without text and those that repeat the smallest doc_id itself."""
     found = near_duplicates(docs)
     gone = keep(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     return docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)

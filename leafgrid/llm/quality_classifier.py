@@ -178,7 +178,11 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows that the model takes for good, with the columns they came with."""
+    """The rows that the model takes for good, with the columns they came with.
+
+    A null or empty text has the score of the bias; a null doc_id does not matter; repeated rows are
+    scored one by one; no rows give no rows.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

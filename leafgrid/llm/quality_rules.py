@@ -139,7 +139,11 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] =
 
 
 def keep_clean(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = BASE) -> DataFrame:
-    """The rows of ``docs`` that break no rule, with the columns they came with."""
+    """The rows of ``docs`` that break no rule, with the columns they came with.
+
+    A null or empty text has no words and goes; a null doc_id does not matter; repeated rows are
+    judged one by one; no rows give no rows.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("text"))
     bad = F.lit(False)
     for r in (*base, *rules):

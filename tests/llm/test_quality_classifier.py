@@ -46,6 +46,52 @@ def test_dual_coordinate_descent_meets_the_margin_conditions():
     assert all((m.score(f) >= 0.5) == bool(t) for f, t in zip(rows, y, strict=True))
 
 
+def test_ratios_and_optimum_by_brute_force():
+    """Ratios by counting; the fitted loss is that of the dual problem solved by projected gradients."""
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(3, 15))) for _ in range(50)]
+    labels = [int(rng.random() < (0.8 if 3 in f or 7 in f else 0.3)) for f in rows]
+    cost = 0.7
+    m = c.fit(rows, labels, cost=cost, epochs=3000)
+    y = np.where(np.array(labels) == 1, 1.0, -1.0)
+    shares = []
+    for sign in (1, -1):
+        n = [1 + sum(k in f for f, s in zip(rows, y, strict=True) if s == sign) for k in range(c.FEATURES)]
+        shares.append(np.array(n) / sum(n))
+    assert np.allclose(m.ratios, np.log(shares[0] / shares[1]))
+    x = np.zeros((len(rows), 41))
+    for i, f in enumerate(rows):
+        x[i, f] = m.ratios[f]
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    x[:, 40] = 1  # the bias
+    q = (x @ x.T) * np.outer(y, y)
+    a = np.zeros(len(y))
+    for _ in range(60_000):
+        a = np.clip(a - (q @ a - 1) / np.linalg.norm(q, 2), 0, cost)
+    dual = a.sum() - 0.5 * a @ q @ a
+    w = np.append(m.weights[:40], m.bias)
+    primal = 0.5 * w @ w + cost * np.maximum(0, 1 - y * (x @ w)).sum()
+    assert dual <= primal <= dual * 1.002
+    margins = x @ w
+    assert np.allclose([m.score(f) for f in rows], 1 / (1 + np.exp(-2 * margins)))
+
+
+def test_indicators_are_the_grams_of_bytes_and_of_repeats():
+    from leafgrid.llm import textnum
+    import pyarrow as pa
+
+    text = "ab a a b ab"
+    data, _ = textnum.raw(pa.array([text]))
+    hashes, _, _ = textnum.words(pa.array([text]))
+    got = set(c.indicators(data, hashes).tolist())
+    raw, w = text.encode(), text.split()
+    new = [1 if k and w[k] == w[k - 1] else 2 if k > 1 and w[k] == w[k - 2] else 0 for k in range(len(w))]
+    bucket = lambda gram, kind: ((gram + (kind << 33)) * 0x9E3779B97F4A7C15 % 2**64) >> 48
+    want = {bucket(int.from_bytes(raw[i : i + n], "little"), n) for n in (1, 2, 3, 4) for i in range(len(raw) - n + 1)}
+    want |= {bucket(sum(new[i + j] * 3**j for j in range(n)), 8 + n) for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)}
+    assert got == want
+
+
 def test_odd_tables(spark, odd_docs, no_docs):
     docs, labels = tables(spark)
     model = c.learn(docs, labels)
