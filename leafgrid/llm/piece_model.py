@@ -9,24 +9,30 @@ space; a run of one letter can keep several alignments open to its end.
 
 What a part commits depends on it and the open window alone, as the sums count from the last
 settled boundary. A stream therefore remembers its own steps for short windows: each
-window is a state, which maps parts to the ids committed and the next state.
+window is a state, which maps parts to the ids committed and the next state. Steps that are new
+in a batch of texts are taken side by side (``piece_steps``).
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import filterfalse
 
 import numpy as np
 
+from leafgrid.llm.piece_steps import Steps
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: How much below the least score a character that no piece covers counts.
 PENALTY = 10.0
 #: Steps remembered in one worker process, and the longest window and part of one.
 REMEMBERED, SHORT = 1_000_000, 64
+#: Steps that are taken side by side.
+TOGETHER = 100_000
 #: Characters of a text that are prepared at once.
 SLICE = 1 << 20
 #: A window longer than this looks for a boundary only when it has grown by an eighth.
@@ -94,6 +100,7 @@ class PieceModel:
         ]
         self.single = {p for p in self.ids if len(p) == 1}
         self.trie = self._branch(sorted(self.ids), 0)
+        self.side_by_side = Steps(self.trie, self.ids, self.unknown_score, self.piece_ids)
         self.states: dict[str, State] = {}
         self.steps = 0
 
@@ -152,11 +159,85 @@ class PieceModel:
         if not text:
             return np.zeros(0, np.uint32)
         stream = Stream(self)
-        out = [stream.feed(self.prepared(text[:SLICE]))]
-        out += [stream.feed(text[at : at + SLICE].replace(" ", SPACE)) for at in range(SLICE, len(text), SLICE)]
+        out = []
+        for at in range(0, len(text), SLICE):
+            parts = _PART.findall(self.prepared(text[:SLICE]) if not at else text[at : at + SLICE].replace(" ", SPACE))
+            self.prime(parts)
+            out.append(stream.feed_parts(parts))
         out.append(stream.finish())
         return np.frombuffer(b"".join(out), "<u4")
 
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts. Steps after a space that are new here are left open at first, taken side by side, and filled in;
+        a text whose open step did not lead back to a space is read again."""
+        made: list[tuple[list[str], list[bytes | None], list[int]] | None] = []
+        new: set[str] = set()
+        start = self.state(SPACE)
+        for text in texts:
+            if not text or len(text) > SLICE:
+                made.append(None)
+                continue
+            parts, out, holes, stream = _PART.findall(self.prepared(text)), [], [], Stream(self)
+            state = stream.state
+            for part in parts:
+                step = state.get(part)
+                if step is None:
+                    if state is start:
+                        holes.append(len(out))
+                        out.append(None)
+                        new.add(part)
+                        continue
+                    step = stream._step(state, part)
+                    if step[1] is None:  # a window stays open for long
+                        break
+                out.append(step[0])
+                state = step[1]
+            if len(out) == len(parts):
+                stream.state = state
+                out.append(stream.finish())
+            made.append((parts, out, holes))
+        self.prime(new)
+        return [np.frombuffer(b"".join(m[1]), "<u4") if m and self._filled(*m) else self.encode(text) for text, m in zip(texts, made, strict=True)]
+
+    def _filled(self, parts: list[str], out: list[bytes | None], holes: list[int]) -> bool:
+        """Fill in the open steps of a text; False where it must be read again."""
+        if len(out) <= len(parts):
+            return False
+        start = self.state(SPACE)
+        for at in holes:
+            step = start.get(parts[at])
+            if step is None:
+                return False
+            out[at] = step[0]
+            if step[1] is not start:
+                if at + 1 < len(parts):
+                    return False
+                end = Stream(self)  # the last part leaves another window
+                end.state = step[1]
+                out[-1] = end.finish()
+        return True
+
+    def prime(self, parts: Iterable[str]) -> None:
+        """Take the steps of parts after a space that are not in store yet."""
+        start = self.state(SPACE)
+        new = list(set(filterfalse(start.__contains__, parts)))
+        if self.steps + len(new) > REMEMBERED:  # what is known goes; what is missing now is taken one by one
+            self.states, self.steps = {}, 0
+            start = self.state(SPACE)
+        if len(new) > REMEMBERED:
+            return
+        self.steps += len(new)
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            for part, (ids, n) in zip(some, self.side_by_side.take([SPACE + p for p in some]), strict=True):
+                if n == len(part) and part[-1] == SPACE:
+                    start[part] = (ids, start)
+                    continue
+                open_ = part[n - 1 :] if n else SPACE + part
+                if len(open_) <= SHORT:
+                    start[part] = (ids, self.states.get(open_) or State(open_))
+                    self.states.setdefault(open_, start[part][1])
+
     def decode(self, ids: np.ndarray) -> str:
         return self.restored(b"".join(map(self.bytes_of.__getitem__, ids.tolist())))
 
@@ -186,9 +267,12 @@ class Stream:
 
     def feed(self, text: str) -> bytes:
         """Ids that this part of the text settles."""
+        return self.feed_parts(_PART.findall(text))
+
+    def feed_parts(self, parts: list[str]) -> bytes:
         out = []
         state = self.state
-        for part in _PART.findall(text):
+        for part in parts:
             step = state.get(part) if state is not None else None
             if step is None:
                 step = self._step(state, part)

@@ -30,8 +30,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            for part in textnum.by_size(batch, "text", 1 << 21):
-                ids = [own.encode(t).astype("int32") for t in part.column("text").to_pylist()]
+            for part in textnum.by_size(batch, "text", 1 << 19):
+                ids = [x.astype("int32") for x in own.encode_all(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return _slim(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -66,11 +66,10 @@ def coding_report(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            for part in textnum.by_size(batch, "text"):
+            for part in textnum.by_size(batch, "text", 1 << 19):
                 rows = []
-                for text in part.column("text").to_pylist():
-                    text = text or ""
-                    ids = own.encode(text)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                for text, ids in zip(texts, own.encode_all(texts), strict=True):
                     rows.append((len(text), len(ids), zlib.crc32(ids.tobytes()), own.decode(ids) == text.replace(SPACE, " ")))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(

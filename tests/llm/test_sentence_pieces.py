@@ -88,6 +88,22 @@ def test_remembered_steps_change_nothing(monkeypatch):
     assert numbers(pm.Stream(fresh).feed(fresh.prepared(text)))[:300] == whole[:300]
 
 
+def test_steps_side_by_side_are_those_of_streams():
+    r = random.Random(9)
+    alphabet = "abcdeéñ日.,-▁▁Zq☃"
+    parts = sorted({"".join(r.choice(alphabet) for _ in range(r.randint(1, 40))) for _ in range(3000)})
+    parts = [p for x in parts for p in pm._PART.findall(x)] + words(3, 400).replace(" ", "▁ ").split()
+    one, two = pm.PieceModel.load(PATH), pm.PieceModel.load(PATH)
+    one.prime(parts)
+    start = one.state(pm.SPACE)
+    assert len(start) > 500
+    for part in start:
+        want, after = pm.Stream(two)._step(two.state(pm.SPACE), part)
+        assert start[part][0] == want and start[part][1].open == after.open
+    texts = [words(k, 200) + "☃ x" for k in range(5)] + [None, "", "a"]
+    assert [x.tolist() for x in one.encode_all(texts)] == [two.encode(t).tolist() for t in texts]
+
+
 def test_very_long_runs():
     for text in (" " * 300_000, "a" * 300_001, "\n" * 300_000, "ab \n\t" * 60_000, "語" * 100_000):
         ids = MODEL.encode(text)
