@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafgrid.functions.text import keyword_hits
+from leafgrid.functions.text import conditions, keyword_hits, materials
 
 # The words of each kind.
 SUBTYPES = {
@@ -216,3 +216,16 @@ def reclassified(kind: Column, figures: Column, tables: Column) -> Column:
     to_figure = (kind == "table") & (figures > 2 * tables) & (figures >= 2)
     to_table = (kind == "figure") & (tables > 2 * figures) & (tables >= 2)
     return F.when(to_figure, "figure").when(to_table, "table").otherwise(kind)
+
+
+def analysed(valid: Column, text: Column, scores: dict[str, Column], sure: float = 0.6) -> dict[str, Column]:
+    """Subtype, confidence, conditions and materials of a figure by its subtype scores; those of an image that cannot be
+    analysed are unknown and empty."""
+    level = F.round(confidence(scores), 6)
+    name = F.concat(best(scores, "unknown"), F.when(level < sure, "_low_confidence").otherwise(""))
+    found = lambda c: F.when(valid, c).otherwise(F.slice(c, 1, 0))
+    return {
+        "subtype": F.when(valid, name).otherwise(F.lit("unknown")), "confidence": F.when(valid, level).otherwise(F.lit(0.0)),
+        "conditions": found(conditions(text)), "materials": found(materials(text)),
+        "method": F.when(valid, F.lit("analysed")).otherwise(F.lit("validation_failed")),
+    }

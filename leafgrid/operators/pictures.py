@@ -290,6 +290,14 @@ def peaks(values: np.ndarray, apart: int, least: float) -> np.ndarray:
     return np.array(sorted(kept), np.int64)
 
 
+def ruled_boxes(grey: np.ndarray, line: int = 40, least: tuple[int, int] = (100, 50), aspect: tuple[float, float] = (0.5, 20.0)) -> list[tuple[int, int, int, int]]:
+    """Boxes of long dark rules that hang together, large enough and of a table's shape."""
+    dark = grey <= otsu(grey) if grey.size else grey > 0
+    found = [p[:4] for p in components(_long(dark, line) | _long(dark.T, line).T)] if grey.size else []
+    fits = lambda b: b[2] - b[0] >= least[0] and b[3] - b[1] >= least[1] and aspect[0] <= (b[2] - b[0]) / (b[3] - b[1]) <= aspect[1]
+    return [b for b in found if fits(b)]
+
+
 RULES = "h_pixels long, v_pixels long, h_rules int, v_rules int, grid boolean, simple boolean, crossings double"
 
 

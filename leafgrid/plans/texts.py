@@ -257,9 +257,10 @@ SELECT {_K}, CASE WHEN a = 'unknown' OR ca < 0.4 THEN z ELSE a END AS subtype, C
  array_to_string(list_concat({_FOUND}, {_FOUND}), ',') AS conditions, array_to_string(list_sort(list_distinct(list_concat({_SAID(_FIRST_WORDS)}, {_SAID(_SECOND_WORDS)}))), ',') AS keywords FROM s""")
 def merge_annotations(spark, sf_dir):
     """Two classifiers' annotations as one: subtype, conditions of both, keywords of both."""
-    one, two = k.subtype_scores(X(), F.col("white")), k.flat_scores(X(), {"line_plot": F.col("edges")})
+    rows, one = k.staged(_looks(spark, sf_dir), k.subtype_scores(X(), F.col("white")), "one_")
+    rows, two = k.staged(rows, k.flat_scores(X(), {"line_plot": F.col("edges")}), "two_")
     sure = F.round(F.least(F.lit(1.0), F.greatest(*two.values())), 6)
-    rows = _looks(spark, sf_dir).select(
+    rows = rows.select(
         *KEYS, k.best(one, "unknown").alias("a"), F.round(k.confidence(one), 6).alias("ca"), k.best(two, "unknown").alias("z"), sure.alias("cz"),
         t.conditions(X()).alias("cond"), _said(_FIRST_WORDS).alias("ka"), _said(_SECOND_WORDS).alias("kz"),
     )
@@ -267,3 +268,18 @@ def merge_annotations(spark, sf_dir):
     made = k.merged_annotations(of("a"), of("ca"), of("cond"), of("ka"), of("z"), of("cz"), of("cond"), of("kz"))
     shown = F.transform(made["conditions"], lambda s: F.concat_ws("=", s["name"], s["value"]))
     return rows.select(*KEYS, made["subtype"].alias("subtype"), made["confidence"].alias("confidence"), F.concat_ws(",", shown).alias("conditions"), F.concat_ws(",", made["keywords"]).alias("keywords"))
+
+
+@query(f"""WITH {_FX}, {_LOOK}, s AS (SELECT *, l_partkey % 11 <> 0 AS ok, {_best(_TWO, 'unknown')} AS a, round({_CONF.format(', '.join(_TWO.values()))}, 6) AS ca,
+ list_filter(regexp_extract_all(text, '{t.MATERIAL}', 0), lambda x: length(x) > 1 AND x NOT IN ('The', 'In', 'On', 'At', 'To', 'For')) AS ml FROM lo)
+SELECT {_K}, CASE WHEN ok THEN a || CASE WHEN ca < 0.6 THEN '_low_confidence' ELSE '' END ELSE 'unknown' END AS subtype, CASE WHEN ok THEN ca ELSE 0 END AS confidence,
+ CASE WHEN ok THEN array_to_string({_FOUND}, ',') ELSE '' END AS conditions, CASE WHEN ok THEN array_to_string(list_filter(ml, lambda x, i: list_position(ml, x) = i)[1:10], ',') ELSE '' END AS materials,
+ CASE WHEN ok THEN 'analysed' ELSE 'validation_failed' END AS method FROM s""")
+def robust_analysis(spark, sf_dir):
+    """Subtype, conditions and materials of figures whose image is valid."""
+    rows, scores = k.staged(_looks(spark, sf_dir), k.subtype_scores(X(), F.col("white"), F.col("edges")), "score_")
+    made = k.analysed(F.col("l_partkey") % 11 != 0, X(), scores)
+    shown = F.transform(made["conditions"], lambda c: F.concat_ws("=", c["name"], c["value"]))
+    return rows.select(
+        *KEYS, made["subtype"].alias("subtype"), made["confidence"].alias("confidence"), F.concat_ws(",", shown).alias("conditions"), F.concat_ws(",", made["materials"]).alias("materials"), made["method"].alias("method")
+    )

@@ -60,6 +60,17 @@ def test_table_rules():
     assert pc.table_rules(g)[3] >= 1
 
 
+def test_ruled_boxes():
+    g = blank(200, 400)
+    for y in (20, 60, 100):
+        g[y, 50:250] = 0
+    for x in (50, 150, 249):
+        g[20:101, x] = 0
+    g[150, 10:390] = 0  # a rule alone
+    assert pc.ruled_boxes(g) == [(50, 20, 250, 101)]
+    assert pc.ruled_boxes(blank()) == [] == pc.ruled_boxes(blank(0, 0))
+
+
 def test_drawn_in():
     g = blank(200, 300)
     for y in (60, 100, 140):
