@@ -57,11 +57,11 @@ def _alike(a: Box, b: Box):
     return (a.x0 + b.y0) % 10 / 10
 
 
-_EDGES = f"ed AS (SELECT {_PAGE}, a_ord AS a, b_ord AS b FROM p WHERE {c.s_distance('a_', 'b_')} <= 200 AND (a_ord + b_ord) % 3 <> 0)"
+_EDGES = f"ed AS MATERIALIZED (SELECT {_PAGE}, a_ord AS a, b_ord AS b FROM p WHERE {c.s_distance('a_', 'b_')} <= 200 AND (a_ord + b_ord) % 3 <> 0)"
 
 
 def _comps(of: str, edges: str, name: str) -> str:
-    return f"""{name}b AS (SELECT * FROM {edges} UNION ALL SELECT {_PAGE}, b, a FROM {edges}),
+    return f"""{name}b AS MATERIALIZED (SELECT * FROM {edges} UNION ALL SELECT {_PAGE}, b, a FROM {edges}),
 {name}r AS (SELECT {_PAGE}, ord, ord AS t FROM {of} UNION SELECT r.doc_no, r.page_index, r.ord, e.b FROM {name}r r JOIN {name}b e ON e.doc_no = r.doc_no AND e.page_index = r.page_index AND e.a = r.t),
 {name} AS (SELECT {of}.*, comp FROM {of} JOIN (SELECT {_PAGE}, ord, min(t) AS comp FROM {name}r GROUP BY ALL) USING ({_PAGE}, ord))"""
 
@@ -84,8 +84,8 @@ def _look():
     return F.when((F.col("x0") + F.col("y0")).cast("long") % 3 == 0, "flowchart").when((F.col("x0") + F.col("y0")).cast("long") % 3 == 1, "composite").otherwise("single")
 
 
-@query(c.sql("bcp", f"""WITH {_K}, {_EDGES}, ty AS (SELECT *, {_LOOK} AS look FROM b), fl AS (SELECT * FROM ty WHERE look = 'flowchart'), co AS (SELECT * FROM ty WHERE look = 'composite'),
-fe AS (SELECT ed.* FROM ed JOIN fl x ON x.doc_no = ed.doc_no AND x.page_index = ed.page_index AND x.ord = ed.a JOIN fl y ON y.doc_no = ed.doc_no AND y.page_index = ed.page_index AND y.ord = ed.b),
+@query(c.sql("bcp", f"""WITH {_K}, {_EDGES}, ty AS MATERIALIZED (SELECT *, {_LOOK} AS look FROM b), fl AS MATERIALIZED (SELECT * FROM ty WHERE look = 'flowchart'), co AS MATERIALIZED (SELECT * FROM ty WHERE look = 'composite'),
+fe AS MATERIALIZED (SELECT ed.* FROM ed JOIN fl x ON x.doc_no = ed.doc_no AND x.page_index = ed.page_index AND x.ord = ed.a JOIN fl y ON y.doc_no = ed.doc_no AND y.page_index = ed.page_index AND y.ord = ed.b),
 {_comps('fl', 'fe', 'q')}, {_near('co', 'n')}, {_grouped('n', 'm', 'line_no')}
 SELECT {_PAGE}, {_MERGED} FROM q GROUP BY {_PAGE}, comp UNION ALL SELECT {_OUT} FROM m
 UNION ALL SELECT {_PAGE}, x0, y0, x1, y1, score, type, 1 FROM ty WHERE look IN ('table', 'single')""", recursive=True))
