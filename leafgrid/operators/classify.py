@@ -79,6 +79,11 @@ def staged(rows: DataFrame, scores: dict[str, Column], prefix: str) -> tuple[Dat
     return rows.withColumns({prefix + k: v for k, v in scores.items()}), {k: F.col(prefix + k) for k in scores}
 
 
+def lowered(rows: DataFrame, text: Column) -> tuple[DataFrame, Column]:
+    """The lower-cased text as a column of its own, worked out once for all words that are looked for."""
+    return rows if "__low" in rows.columns else rows.withColumn("__low", F.lower(text)), F.col("__low")
+
+
 def best(scores: dict[str, Column], none: str | None = None) -> Column:
     """The first kind of the greatest score; ``none`` if that is 0."""
     top = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
@@ -93,32 +98,32 @@ def normalised(scores: dict[str, Column], even: bool = False) -> dict[str, Colum
     return {k: F.when(whole > 0, s / whole).otherwise(F.lit(rest)) for k, s in scores.items()}
 
 
-def subtype_scores(text: Column, white: Column, edges: Column | None = None) -> dict[str, Column]:
-    """Hits, with half a point for dark images as microscopy and white ones as plots, and for edges as plots."""
-    t = F.lower(text)
-    hits = {k: keyword_hits(t, words).cast("double") for k, words in SUBTYPES.items()}
+def with_subtype_scores(rows: DataFrame, text: Column, white: Column, edges: Column | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with the score of each subtype: hits, with half a point for dark images as microscopy and white ones as plots,
+    and for edges as plots."""
+    rows, t = lowered(rows, text)
+    rows, hits = staged(rows, {k: keyword_hits(t, words).cast("double") for k, words in SUBTYPES.items()}, "said_")
     hits["microscopy"] = hits["microscopy"] + F.when(white < 0.3, 0.5).otherwise(0.0)
     hits["spectrum"] = hits["spectrum"] + F.when(white > 0.7, 0.3).otherwise(0.0)
     hits["line_plot"] = hits["line_plot"] + F.when(white > 0.7, 0.5).otherwise(0.0)
     if edges is not None:
         hits["line_plot"] = hits["line_plot"] + F.when(edges > 0.05, 0.3).otherwise(0.0)
-    return hits
+    return rows, hits
 
 
 def confidence(scores: dict[str, Column]) -> Column:
     return F.least(F.lit(1.0), F.greatest(*scores.values()) / 3.0)
 
 
-def flat_scores(text: Column, visual: dict[str, Column]) -> dict[str, Column]:
-    """Keyword share and feature of each flat kind, weighted."""
-    t = F.lower(text)
+def with_flat_scores(rows: DataFrame, text: Column, visual: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with the score of each flat kind: keyword share and feature, weighted."""
+    rows, t = lowered(rows, text)
     none = F.lit(0.0)
-    return {k: 0.4 * (keyword_hits(t, words) / LONGEST) + 0.6 * visual.get(k, none) for k, words in CHARTS.items()}
+    return staged(rows, {k: 0.4 * (keyword_hits(t, words) / LONGEST) + 0.6 * visual.get(k, none) for k, words in CHARTS.items()}, "kind_")
 
 
-def main_points(text: Column) -> dict[str, Column]:
-    """Keyword points: 2 for each word of a diagram, 1 for each other word."""
-    t = F.lower(text)
+def main_points(t: Column) -> dict[str, Column]:
+    """Keyword points of lower-cased text: 2 for each word of a diagram, 1 for each other word."""
     return {k: keyword_hits(t, words).cast("double") * (2 if k == "diagram" else 1) for k, words in MAIN.items()}
 
 
@@ -141,7 +146,8 @@ def context(detector: Column, place: Column, around: Column) -> dict[str, Column
 
 def with_main_scores(rows: DataFrame, text: Column, visual: dict[str, Column], around: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
     """Rows with the normalised score of each main category, and these as columns."""
-    rows, points = staged(rows, main_points(text), "points_")
+    rows, low = lowered(rows, text)
+    rows, points = staged(rows, main_points(low), "points_")
     rows, words = staged(rows, main_keywords(points), "words_")
     none, (by_words, by_look, by_context) = F.lit(0.0), WEIGHTS
     rows, raw = staged(rows, {k: by_words * words[k] + by_look * visual.get(k, none) + by_context * around.get(k, none) for k in MAIN}, "raw_")
@@ -150,7 +156,8 @@ def with_main_scores(rows: DataFrame, text: Column, visual: dict[str, Column], a
 
 def with_sub_scores(rows: DataFrame, text: Column, main: str, visual: dict[str, Column] | None = None) -> tuple[DataFrame, dict[str, Column]]:
     """Rows with the share of each kind under a main category, by keyword hits and twice its look; alike without any."""
-    t, visual = F.lower(text), visual or {}
+    visual = visual or {}
+    rows, t = lowered(rows, text)
     seen = lambda k: 2.0 * visual[k] if k in visual else F.lit(0.0)
     rows, hits = staged(rows, {k: keyword_hits(t, SUB[k]).cast("double") + seen(k) for k in HIERARCHY[main]}, "hits_")
     return staged(rows, {k: F.round(v, 9) for k, v in normalised(hits, even=True).items()}, "sub_")
@@ -178,7 +185,7 @@ def hierarchical(rows: DataFrame, text: Column, main_visual: dict[str, Column],
 def flat_kinds(rows: DataFrame, text: Column, visual: dict[str, Column], name: str = "kind") -> DataFrame:
     """Rows with a struct ``name``: the kind of all kinds with most keyword hits and twice its look, its calibrated share
     of the sum, and its words that the text has."""
-    t = F.lower(text)
+    rows, t = lowered(rows, text)
     rows, scores = staged(rows, {k: keyword_hits(t, SUB.get(k, [])).cast("double") + (2.0 * visual[k] if k in visual else F.lit(0.0)) for k in KINDS}, "flat_")
     rows = rows.withColumns({"flat_best": best(scores), "flat_top": F.greatest(*scores.values()), "flat_sum": total(scores.values())})
     share = F.round(F.when(F.col("flat_sum") > 0, F.col("flat_top") / F.col("flat_sum")).otherwise(F.lit(0.0)), 9)

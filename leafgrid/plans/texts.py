@@ -77,17 +77,17 @@ _CONF = "least(1, greatest({0}) / 3)::DOUBLE"
 
 @query(f"WITH {_FX}, {_LOOK} SELECT {_K}, {_best(_ONE, 'unknown')} AS subtype, round({_CONF.format(', '.join(_ONE.values()))}, 6) AS confidence FROM lo")
 def subtype_baseline(spark, sf_dir):
-    s = k.subtype_scores(X(), F.col("white"))
-    return _looks(spark, sf_dir).select(*KEYS, k.best(s, "unknown").alias("subtype"), F.round(k.confidence(s), 6).alias("confidence"))
+    rows, s = k.with_subtype_scores(_looks(spark, sf_dir), X(), F.col("white"))
+    return rows.select(*KEYS, k.best(s, "unknown").alias("subtype"), F.round(k.confidence(s), 6).alias("confidence"))
 
 
 @query(f"""WITH {_FX}, {_LOOK}, s AS (SELECT {_K}, {_best(_TWO, 'unknown')} AS subtype, round({_CONF.format(', '.join(_TWO.values()))}, 6) AS confidence FROM lo)
 SELECT {_K}, subtype || CASE WHEN confidence < 0.6 THEN '_low_confidence' ELSE '' END AS subtype, confidence FROM s""")
 def subtype_robust(spark, sf_dir):
-    s = k.subtype_scores(X(), F.col("white"), F.col("edges"))
+    rows, s = k.with_subtype_scores(_looks(spark, sf_dir), X(), F.col("white"), F.col("edges"))
     conf = F.round(k.confidence(s), 6)
     name = F.concat(k.best(s, "unknown"), F.when(conf < 0.6, "_low_confidence").otherwise(""))
-    return _looks(spark, sf_dir).select(*KEYS, name.alias("subtype"), conf.alias("confidence"))
+    return rows.select(*KEYS, name.alias("subtype"), conf.alias("confidence"))
 
 
 _FLAT = {n: f"(0.4::DOUBLE * ({_hits(w)} / 7) + 0.6::DOUBLE * {'edges' if n == 'line_plot' else '0'})" for n, w in k.CHARTS.items()}
@@ -95,9 +95,9 @@ _FLAT = {n: f"(0.4::DOUBLE * ({_hits(w)} / 7) + 0.6::DOUBLE * {'edges' if n == '
 
 @query(f"WITH {_FX}, {_LOOK} SELECT {_K}, {_best(_FLAT, 'unknown')} AS chart_type, round(least(1, greatest({', '.join(_FLAT.values())})), 6)::DOUBLE AS confidence FROM lo")
 def chart_kw_v13(spark, sf_dir):
-    s = k.flat_scores(X(), {"line_plot": F.col("edges")})
+    rows, s = k.with_flat_scores(_looks(spark, sf_dir), X(), {"line_plot": F.col("edges")})
     conf = F.round(F.least(F.lit(1.0), F.greatest(*s.values())), 6)
-    return _looks(spark, sf_dir).select(*KEYS, k.best(s, "unknown").alias("chart_type"), conf.alias("confidence"))
+    return rows.select(*KEYS, k.best(s, "unknown").alias("chart_type"), conf.alias("confidence"))
 
 
 _MAIN = {n: _hits(w) for n, w in k.MAIN.items()}
@@ -215,9 +215,10 @@ def chart_hierarchical(spark, sf_dir):
 SELECT {_K}, CASE WHEN ca < 0.3 THEN z ELSE a END AS kind, CASE WHEN ca < 0.3 THEN cz ELSE ca END AS confidence FROM s""")
 def chart_fallback(spark, sf_dir):
     """The first classifier's kind, or the baseline's where it is unsure."""
-    flat, one = k.flat_scores(X(), {"line_plot": F.col("edges")}), k.subtype_scores(X(), F.col("white"))
+    rows, flat = k.with_flat_scores(_looks(spark, sf_dir), X(), {"line_plot": F.col("edges")})
+    rows, one = k.with_subtype_scores(rows, X(), F.col("white"))
     own = F.round(F.least(F.lit(1.0), F.greatest(*flat.values())), 6)
-    rows = _looks(spark, sf_dir).select(*KEYS, k.best(flat, "unknown").alias("a"), own.alias("ca"), k.best(one, "unknown").alias("z"), F.round(k.confidence(one), 6).alias("cz"))
+    rows = rows.select(*KEYS, k.best(flat, "unknown").alias("a"), own.alias("ca"), k.best(one, "unknown").alias("z"), F.round(k.confidence(one), 6).alias("cz"))
     kind, conf = k.with_fallback(*(F.col(x) for x in ("a", "ca", "z", "cz")))
     return rows.select(*KEYS, kind.alias("kind"), conf.alias("confidence"))
 
@@ -247,9 +248,9 @@ _SAID = lambda words: "list_filter([" + ", ".join(f"'{w}'" for w in words) + "],
 _FIRST_WORDS, _SECOND_WORDS = [w for ws in k.SUBTYPES.values() for w in ws], [w for ws in k.CHARTS.values() for w in ws]
 
 
-def _said(words):
-    low = F.lower(X())
-    return F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(F.lower(w)))
+def _said(low, words):
+    pairs = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(w.lower()).alias("l")) for w in words))
+    return F.transform(F.filter(pairs, lambda p: low.contains(p["l"])), lambda p: p["w"])
 
 
 @query(f"""WITH {_FX}, {_LOOK}, s AS (SELECT *, {_best(_ONE, 'unknown')} AS a, round({_CONF.format(', '.join(_ONE.values()))}, 6) AS ca, {_best(_FLAT, 'unknown')} AS z, round(least(1, greatest({', '.join(_FLAT.values())})), 6)::DOUBLE AS cz FROM lo)
@@ -257,12 +258,12 @@ SELECT {_K}, CASE WHEN a = 'unknown' OR ca < 0.4 THEN z ELSE a END AS subtype, C
  array_to_string(list_concat({_FOUND}, {_FOUND}), ',') AS conditions, array_to_string(list_sort(list_distinct(list_concat({_SAID(_FIRST_WORDS)}, {_SAID(_SECOND_WORDS)}))), ',') AS keywords FROM s""")
 def merge_annotations(spark, sf_dir):
     """Two classifiers' annotations as one: subtype, conditions of both, keywords of both."""
-    rows, one = k.staged(_looks(spark, sf_dir), k.subtype_scores(X(), F.col("white")), "one_")
-    rows, two = k.staged(rows, k.flat_scores(X(), {"line_plot": F.col("edges")}), "two_")
+    rows, one = k.with_subtype_scores(_looks(spark, sf_dir), X(), F.col("white"))
+    rows, two = k.with_flat_scores(rows, X(), {"line_plot": F.col("edges")})
     sure = F.round(F.least(F.lit(1.0), F.greatest(*two.values())), 6)
     rows = rows.select(
         *KEYS, k.best(one, "unknown").alias("a"), F.round(k.confidence(one), 6).alias("ca"), k.best(two, "unknown").alias("z"), sure.alias("cz"),
-        t.conditions(X()).alias("cond"), _said(_FIRST_WORDS).alias("ka"), _said(_SECOND_WORDS).alias("kz"),
+        t.conditions(X()).alias("cond"), _said(F.col("__low"), _FIRST_WORDS).alias("ka"), _said(F.col("__low"), _SECOND_WORDS).alias("kz"),
     )
     of = F.col
     made = k.merged_annotations(of("a"), of("ca"), of("cond"), of("ka"), of("z"), of("cz"), of("cond"), of("kz"))
@@ -277,7 +278,7 @@ SELECT {_K}, CASE WHEN ok THEN a || CASE WHEN ca < 0.6 THEN '_low_confidence' EL
  CASE WHEN ok THEN 'analysed' ELSE 'validation_failed' END AS method FROM s""")
 def robust_analysis(spark, sf_dir):
     """Subtype, conditions and materials of figures whose image is valid."""
-    rows, scores = k.staged(_looks(spark, sf_dir), k.subtype_scores(X(), F.col("white"), F.col("edges")), "score_")
+    rows, scores = k.with_subtype_scores(_looks(spark, sf_dir), X(), F.col("white"), F.col("edges"))
     made = k.analysed(F.col("l_partkey") % 11 != 0, X(), scores)
     shown = F.transform(made["conditions"], lambda c: F.concat_ws("=", c["name"], c["value"]))
     return rows.select(
