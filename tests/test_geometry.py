@@ -67,20 +67,24 @@ def test_plain_iou_is_symmetric_and_within_one(a, b):
     assert m.overlap_value(a, b) >= m.iou_value(a, b)
 
 
+def _joins(a, b):
+    return m.iou_value(a["box"], b["box"]) >= 0.3 or m.overlap_value(a["box"], b["box"]) >= 0.7
+
+
 @given(st.lists(box, max_size=8))
 @settings(max_examples=200, deadline=None)
 def test_merging_is_a_fixpoint_and_loses_no_box(boxes):
-    rows = [{"box": tuple(map(float, b)), "score": 0.5, "type": "figure", "n": 1} for b in boxes]
-    joins = lambda a, b: m.iou_value(a["box"], b["box"]) >= 0.3 or m.overlap_value(a["box"], b["box"]) >= 0.7
-    out = m.merge_rounds(rows, joins, summed=True)
-    assert sum(r["n"] for r in out) == len(rows)
-    assert len(m.merge_rounds(out, joins, summed=True)) == len(out)
-    for r in rows:
-        assert any(o["box"][0] <= r["box"][0] and o["box"][3] >= r["box"][3] for o in out)
+    rows = [{"box": tuple(map(float, b)), "score": 0.5, "type": "figure", "n": 1, "sig": ""} for b in boxes]
+    grown = m.absorb(rows, _joins)
+    assert sum(r["n"] for r in grown) == len(rows)
+    for out, again in ((grown, m.absorb(grown, _joins)), (done := m.merge_rounds(rows, _joins, 100), m.merge_rounds(done, _joins, 1))):
+        assert [o["box"] for o in again] == [o["box"] for o in out]
+        for r in rows:
+            assert any(o["box"][0] <= r["box"][0] and o["box"][1] <= r["box"][1] and o["box"][2] >= r["box"][2] and o["box"][3] >= r["box"][3] for o in out)
 
 
 def test_the_two_counts_of_merging():
-    rows = [{"box": (0.0, 0.0, 10.0, 10.0), "score": s, "type": t, "n": 2} for s, t in ((0.2, "figure"), (0.9, "table"))]
+    rows = [{"box": (0.0, 0.0, 10.0, 10.0), "score": s, "type": t, "n": 2, "sig": g} for s, t, g in ((0.2, "figure", ""), (0.9, "table", "Table 1"))]
     joins = lambda a, b: True
-    assert m.merge_rounds(rows, joins)[0] == {"box": (0, 0, 10, 10), "score": 0.9, "type": "table", "n": 2}
-    assert m.merge_rounds(rows, joins, summed=True)[0]["n"] == 4
+    assert m.merge_rounds(rows, joins, 1)[0] == {"box": (0, 0, 10, 10), "score": 0.9, "type": "table", "n": 2}
+    assert m.absorb(rows, joins)[0] == {"box": (0, 0, 10, 10), "score": 0.9, "type": "table", "n": 4, "sig": "Table 1"}
