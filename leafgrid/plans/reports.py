@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -29,10 +27,6 @@ from leafgrid.sources import items as it
 _PAGE = "doc_no, page_index"
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{session.shared_folder(spark)}/leafgrid-{name}-{uuid.uuid4().hex}"
-
-
 # ---- captions of items without a box, and their counts
 
 _FALLBACK = f"""{_K}, i AS (SELECT *, row_number() OVER (PARTITION BY doc_no, page_index, type ORDER BY y0, x0, ord) - 1 AS item_index, ord % 5 = 0 AS boxless FROM b),
@@ -108,7 +102,7 @@ SELECT (SELECT count(*) FROM gd) AS annotated, (SELECT count(*) FROM gd JOIN pr
 def eval_loaded(spark, sf_dir):
     """Documents with predictions alone are evaluated; the annotations and predictions come from JSON files."""
     truth, found = _sides(spark, sf_dir)
-    folder, schema = _scratch(spark, "eval"), "doc_no long, page_index int, id int, x0 double, y0 double, x1 double, y1 double, type string"
+    folder, schema = session.scratch(spark, "eval"), "doc_no long, page_index int, id int, x0 double, y0 double, x1 double, y1 double, type string"
     fl.write_json(truth, f"{folder}/truth")
     fl.write_json(found.where("doc_no % 7 <> 0"), f"{folder}/found")
     truth, found = (fl.read_json(spark, f"{folder}/{n}", schema) for n in ("truth", "found"))
@@ -124,7 +118,7 @@ def eval_loaded(spark, sf_dir):
 @query(c.sql("b", f"""WITH {_IDS} SELECT doc_no, item_id, page_index, x0, y0, x1, y1, '' AS caption_text, 'Extracted from PDF|Aligned Caption|Enriched with AI' AS trace, 2.0::DOUBLE AS zoom, 'paper_' || doc_no || '.pdf' AS source_pdf, true AS layout FROM i"""))
 def package_export(spark, sf_dir):
     """A package written as JSON files and read back: manifests, evidence and parameters of every item."""
-    folder = _scratch(spark, "package")
+    folder = session.scratch(spark, "package")
     items = _items(spark, sf_dir)
     name = F.concat(F.lit("paper_"), F.col("doc_no").cast("string"), F.lit(".pdf"))
     able = {"ocr": False, "camelot": False, "layout": True}
@@ -143,7 +137,7 @@ def package_export(spark, sf_dir):
 @query(c.sql("b", "SELECT doc_no, page_index, 'Bar_' || ord || ', \"part\"' AS category, round((y1 - y0) / 190 * 100, 2) AS value FROM b"))
 def bar_csv(spark, sf_dir):
     """Values of bars written as CSV without a header and read back."""
-    folder = _scratch(spark, "csv")
+    folder = session.scratch(spark, "csv")
     category = F.concat(F.lit("Bar_"), F.col("ord").cast("string"), F.lit(', "part"'))
     fl.write_csv(c.boxes(spark, sf_dir).select("doc_no", "page_index", category.alias("category"), F.round(g.height(Box.of()) / 190 * 100, 2).alias("value")), folder)
     return fl.read_csv(spark, folder, "doc_no long, page_index int, category string, value double")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +38,24 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_made: dict[str, SparkSession] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used; removed when the driver ends."""
+    path = f"{shared_folder(spark)}/leafgrid-{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path, spark in _made.items():
+        with contextlib.suppress(Exception):  # the session may be gone
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def staged(rows: DataFrame) -> DataFrame:
     """The rows worked out once, in the checkpoint folder, so that later stages do not repeat earlier ones."""
     shared_folder(rows.sparkSession)
