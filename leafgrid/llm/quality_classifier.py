@@ -9,7 +9,7 @@ model learns from a bounded sample of labelled texts; every text is scored, whol
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,7 +83,32 @@ class Model:
         return float(1 / (1 + np.exp(-2 * np.clip(margin, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: list[int], cost: float = COST, epochs: int = EPOCHS) -> Model:
+def squeezed(features: np.ndarray) -> bytes:
+    """Ascending features as two bytes each, or as one bit of each possible one if that is not longer: 8 KB at most."""
+    if 2 * len(features) < FEATURES // 8:
+        return features.astype("<u2").tobytes()
+    seen = np.zeros(FEATURES, bool)
+    seen[features] = True
+    return np.packbits(seen).tobytes()
+
+
+class Squeezed(Sequence):
+    """The features of texts, held as ``squeezed`` and made one by one."""
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        self.blobs = blobs
+
+    def __len__(self) -> int:
+        return len(self.blobs)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        blob = self.blobs[i]
+        if len(blob) == FEATURES // 8:
+            return np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8)).view(bool))
+        return np.frombuffer(blob, "<u2").astype(np.int64)
+
+
+def fit(rows: Sequence[np.ndarray], labels: list[int], cost: float = COST, epochs: int = EPOCHS) -> Model:
     """The model of texts given by their features; one class alone gives a constant score."""
     y = np.where(np.array(labels) == 1, 1.0, -1.0) if labels else np.zeros(0)
     if not len(y) or abs(y.sum()) == len(y):
@@ -97,18 +122,17 @@ def fit(rows: list[np.ndarray], labels: list[int], cost: float = COST, epochs: i
         shares[sign] = counts / counts.sum()
     ratios = np.log(shares[1.0] / shares[-1.0])
     weights, bias = np.zeros(FEATURES), 0.0
-    scaled = []
-    for f in rows:
-        x = ratios[f]
-        scaled.append(x / (float(np.sqrt(x @ x)) or 1.0))
-    square = np.array([x @ x + 1.0 for x in scaled])
+    # texts are scaled when they are met, as all of them would fill the driver's memory
+    lengths = [float(np.sqrt(x @ x)) or 1.0 for x in (ratios[f] for f in rows)]
+    square = np.array([x @ x + 1.0 for x in (ratios[f] / n for f, n in zip(rows, lengths, strict=True))])
     alpha = np.zeros(len(y))
     order, rng = np.arange(len(y)), np.random.Generator(np.random.PCG64(7))
     for _ in range(epochs):
         rng.shuffle(order)
         most = 0.0
         for i in order:
-            f, x = rows[i], scaled[i]
+            f = rows[i]
+            x = ratios[f] / lengths[i]
             slope = y[i] * (x @ weights[f] + bias) - 1
             new = min(max(alpha[i] - slope / square[i], 0.0), cost)
             if new != alpha[i]:
@@ -129,7 +153,7 @@ def held_out(doc_id, folds: int = FOLDS, fold: int = HELD_FOLD):
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [x.astype("<u2").tobytes() for part in textnum.by_size(batch, "text") for x in featured(part.column("text"))]
+        found = [squeezed(x) for part in textnum.by_size(batch, "text") for x in featured(part.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "features"])
 
 
@@ -147,10 +171,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     )
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most `most` rows of at most 2 * FEATURES bytes
+    # at most `most` rows of at most FEATURES / 8 bytes
     rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").mapInArrow(_featured, "doc_id long, label int, features binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
-    return fit([np.frombuffer(r["features"], "<u2").astype(np.int64) for r in rows], [r["label"] for r in rows])
+    return fit(Squeezed([bytes(r["features"]) for r in rows]), [r["label"] for r in rows])
 
 
 def _scores(batch: pa.RecordBatch, model: Model) -> list[float]:

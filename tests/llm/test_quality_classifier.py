@@ -102,3 +102,23 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert {r.score for r in c.classify(odd_docs, c.learn(docs, none)).collect()} == {0.5}
     one = spark.createDataFrame([(3, 1), (4, None), (None, 0), (6, 1), (6, 0)], "doc_id long, quality int")
     assert {r.score for r in c.classify(odd_docs, c.learn(docs, one)).collect()} <= {0.5, 1.0}
+
+
+def test_long_texts_do_not_fill_the_driver(spark, monkeypatch):
+    """Features reach the driver in 8 KB a text at most, are held there as they come, and give the same model."""
+    rng = np.random.default_rng(4)
+    rows = [np.flatnonzero(rng.random(c.FEATURES) < share) for share in (0.001, 0.06, 0.07, 0.5, 1.0, 0.0) * 4]
+    blobs = [c.squeezed(f) for f in rows]
+    assert max(map(len, blobs)) == c.FEATURES // 8
+    held = c.Squeezed(blobs)
+    assert len(held) == len(rows) and all(np.array_equal(a, b) for a, b in zip(held, rows, strict=True))
+    labels = [k % 2 for k in range(len(rows))]
+    a, b = c.fit(rows, labels), c.fit(held, labels)
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
+
+    text = "".join(chr(int(x)) for x in rng.integers(33, 1000, 200_000))
+    docs = spark.createDataFrame([(k, text[k:]) for k in range(12)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(c, "fit", lambda rows, labels: seen.extend(rows.blobs))
+    c.learn(docs, spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int"))
+    assert seen and all(len(x) == c.FEATURES // 8 for x in seen)
