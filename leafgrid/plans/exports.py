@@ -26,8 +26,9 @@ def manifest_json(spark, sf_dir):
     """The manifest of each document; read back from its JSON."""
     manifest = a.manifests(_items(spark, sf_dir), "doc_no")
     back = a.items_of(manifest)
-    joined = F.array_sort(F.collect_list(F.concat_ws(":", "item_id", "type", "subtype")))
-    return back.groupBy("doc_no").agg(F.count("*").alias("n"), F.concat_ws(",", joined).alias("items"))
+    # by the id alone: beyond 9999 items an id may begin with another one, which the text behind it must not decide
+    ordered = F.array_sort(F.collect_list(F.struct("item_id", F.concat_ws(":", "item_id", "type", "subtype").alias("said"))))
+    return back.groupBy("doc_no").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda s: s["said"]), ",").alias("items"))
 
 
 _ACTION = "CASE ord % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'modify' ELSE 'keep' END"
