@@ -10,21 +10,19 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
-import shutil
 import tempfile
 import uuid
 import weakref
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafgrid.session import importable
+
 #: Rows in one Arrow batch: documents may be long, so that a batch stays small.
 ARROW_ROWS = "500"
 
 _made: dict[str, SparkSession] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-_sent: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -80,16 +78,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small for this session, as texts may be long, and let its workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    root = Path(__file__).resolve().parents[2]
-    on_path = {Path(p or ".").resolve() for p in (os.environ.get("PYTHONPATH", "") + os.pathsep).split(os.pathsep)}
-    context = spark.sparkContext
-    if root in on_path or context.applicationId in _sent:
-        return
-    _sent.add(context.applicationId)
-    with tempfile.TemporaryDirectory() as folder:
-        shutil.copytree(root / "leafgrid", Path(folder, "p", "leafgrid"), ignore=shutil.ignore_patterns("__pycache__"))
-        kept = Path(tempfile.mkdtemp(prefix="leafgrid-package-"))  # Spark serves the file for as long as the session lives
-        context.addPyFile(shutil.make_archive(str(kept / "leafgrid"), "zip", Path(folder, "p")))
+    importable(spark)
 
 
 @atexit.register

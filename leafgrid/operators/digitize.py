@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import geometry as g
 from leafgrid.functions.geometry import Box
+from leafgrid.operators import pages as p
 from leafgrid.operators import raster
 
 INK, WHITE, DARK = 245, 240, 200
@@ -90,12 +93,20 @@ def bar_labels(bars: DataFrame, texts: DataFrame, image: list[str], most: float
     Bars have image, bar (their number), corners and orientation; texts have image, line_no, text
     and corners. Of texts equally far the first counts.
     """
-    stands, middle = F.col("orientation") == "vertical", lambda a, b, p="": (F.col(p + a) + F.col(p + b)) / 2
-    aim_x = F.when(stands, F.col("x0") + F.floor((F.col("x1") - F.col("x0")) / 2)).otherwise(F.col("x0") - off)
-    aim_y = F.when(stands, F.col("y1") + off).otherwise(F.col("y0") + F.floor((F.col("y1") - F.col("y0")) / 2))
-    own = texts.select(*image, "line_no", "text", middle("x0", "x1").alias("t_x"), middle("y0", "y1").alias("t_y"))
-    far = F.sqrt((F.col("t_x") - aim_x) ** 2 + (F.col("t_y") - aim_y) ** 2)
-    best = bars.join(own, image).withColumn("far", far).groupBy(*image, "bar").agg(F.min(F.struct("far", "line_no", "text")).alias("b"))
-    named = bars.join(best, [*image, "bar"], "left")
-    label = F.when((F.col("b.far") < most) & (F.col("b.text") != ""), F.col("b.text")).otherwise(F.format_string("Bar_%d", "bar"))
+
+    def prepare(lines):
+        x0, y0, x1, y1 = p.corners(lines, "l_")
+        return (x0 + x1) / 2, (y0 + y1) / 2, p.taken(lines, "l_text", np.arange(lines.num_rows))
+
+    def run(rows, ready):
+        (x0, y0, x1, y1), (x, y, said) = p.corners(rows), ready
+        stands = p.equals(rows, "orientation", "vertical")
+        aim_x = np.where(stands, x0 + np.floor((x1 - x0) / 2), x0 - off)
+        aim_y = np.where(stands, y1 + off, y0 + np.floor((y1 - y0) / 2))
+        at = p.nearest_points(aim_x, aim_y, x, y, most)
+        return (said.take(pa.array(at, pa.int64(), mask=at < 0)),)
+
+    lines = texts.select(*image, "line_no", "text", *p.CORNERS)
+    named = p.beside_each(bars.select(*image, "bar", *p.CORNERS, "orientation"), lines, image, ["line_no", "text"], prepare, run, "near string")
+    label = F.when(F.col("near") != "", F.col("near")).otherwise(F.format_string("Bar_%d", "bar"))
     return named.select(*image, "bar", label.alias("label"))

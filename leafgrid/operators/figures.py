@@ -25,11 +25,7 @@ VISUAL_DISTANCE, VISUAL_GROWTH, VISUAL_LIKENESS, LINK_DISTANCE = 150.0, 3.0, 0.3
 
 def nearest_caption(rows: DataFrame, captions: DataFrame, page: list[str]) -> DataFrame:
     """Rows with ``line_no`` of their nearest caption, one above counting 100 more; null on pages without captions."""
-    key = [*page, "ord"]
-    pairs = o.beside(rows.select(*key, *CORNERS), captions, page, ())
-    far = g.distance(Box.of(), Box.of("l_")) + F.when(g.position(Box.of(), Box.of("l_")) == "above", 100.0).otherwise(0.0)
-    best = pairs.withColumn("far", far).groupBy(*key).agg(F.min(F.struct("far", "l_line_no")).alias("near"))
-    return rows.join(best.select(*key, F.col("near.l_line_no").alias("line_no")), key, "left")
+    return o.nearest_line(rows, captions, page)
 
 
 def merged_group() -> list[Column]:
@@ -64,8 +60,13 @@ def subfigure_groups(near: DataFrame, page: list[str]) -> DataFrame:
     """Captions whose boxes are parts of one figure: two or more, at most GROUP_DISTANCE apart, the largest at most GROUP_SPREAD times the smallest."""
     by = [*page, "line_no"]
     rows = near.where("line_no is not null")
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(g.area(Box.of())).alias("most"), F.min(g.area(Box.of())).alias("least"))
-    return sizes.join(farthest(rows, by), by).where((F.col("n") > 1) & (F.col("far") <= GROUP_DISTANCE) & (F.col("most") <= GROUP_SPREAD * F.col("least")))
+    b = Box.of()
+    apart = [F.max(b.x0) - F.min(b.x1), F.max(b.y0) - F.min(b.y1)]
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(g.area(b)).alias("most"), F.min(g.area(b)).alias("least"), apart[0].alias("wide"), apart[1].alias("tall"))
+    # what their sizes and bounds rule out needs no pairs
+    alike = (F.col("n") > 1) & (F.col("most") <= GROUP_SPREAD * F.col("least")) & (F.col("wide") <= GROUP_DISTANCE) & (F.col("tall") <= GROUP_DISTANCE)
+    sizes = sizes.where(alike).drop("wide", "tall")
+    return sizes.join(farthest(rows.join(sizes.select(*by), by, "left_semi"), by), by).where(F.col("far") <= GROUP_DISTANCE)
 
 
 def links(rows: DataFrame, page: list[str], joined: Column, most: float = LINK_DISTANCE) -> DataFrame:

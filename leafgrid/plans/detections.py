@@ -31,7 +31,10 @@ _FACTS = """d AS (SELECT *, (x0 * 7 + y0 * 3) % 100 / 250 AS ink, (x0 * 13 + y0)
 
 def facts(spark, sf_dir):
     """Detections with the features that pixels and recognised text would give."""
-    rows = c.boxes(spark, sf_dir)
+    return facts_of(c.boxes(spark, sf_dir))
+
+
+def facts_of(rows):
     texts = ["Abstract and results", "University of Nowhere", "see [1] and [2], et al.", "Page 3 draft", "a = b + c", "Sample Value Result = 3", "参考文献"]
     pick = (F.col("x0") + F.col("y0")).cast("long") % 9
     near = F.lit("plain words")

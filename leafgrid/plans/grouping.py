@@ -10,6 +10,7 @@ from leafgrid.catalogue import query
 from leafgrid.functions import geometry as g
 from leafgrid.functions.geometry import Box
 from leafgrid.operators import captions as o
+from leafgrid.operators import figures as fg
 from leafgrid.operators import merging as m
 from leafgrid.operators import tables as tb
 from leafgrid.plans import common as c
@@ -140,8 +141,7 @@ e AS (SELECT doc_no, page_index, {_PLACED} FROM f WHERE h IS NULL) SELECT {_SHOW
 def proximity_merge(spark, sf_dir):
     """Boxes absorbed by aligned ones close by, but for those under other captions or behind a line."""
     rows, lines = c.boxes(spark, sf_dir), c.captions(spark, sf_dir)
-    signed = rows.join(o.signature(rows, o.candidates(lines), c.PAGE, KEY), KEY)
-    return m.proximity_merge(signed, lines, c.PAGE)
+    return m.proximity_merge(o.signed(rows, o.candidates(lines), c.PAGE), lines, c.PAGE)
 
 
 _REACH = f"""ed AS (SELECT doc_no, page_index, a_ord AS a, b_ord AS b FROM p WHERE {c.s_distance('a_', 'b_')} <= 50),
@@ -165,10 +165,7 @@ _NEAREST = f"""n AS (SELECT b.doc_no, b.page_index, b.ord, b.x0, b.y0, b.x1, b.y
 
 def _with_nearest(spark, sf_dir):
     captions = o.candidates(c.captions(spark, sf_dir))
-    rows = o.beside(c.boxes(spark, sf_dir), captions, c.PAGE, ())
-    far = g.distance(Box.of(), Box.of("l_")) + F.when(g.position(Box.of(), Box.of("l_")) == "above", 100.0).otherwise(0.0)
-    best = rows.withColumn("far", far).groupBy(*KEY).agg(F.min(F.struct("far", "l_line_no")).alias("near"))
-    return c.boxes(spark, sf_dir).join(best, KEY).withColumn("line_no", F.col("near.l_line_no"))
+    return o.nearest_line(c.boxes(spark, sf_dir), captions, c.PAGE).where("line_no is not null")
 
 
 @query(c.sql("bc", f"""WITH {_K}, {_NEAREST}
@@ -189,11 +186,10 @@ SELECT s.doc_no, s.page_index, s.line_no, n_boxes, n_boxes > 1 AND far <= 100 AN
 def subfigure_groups(spark, sf_dir):
     """Whether boxes under one caption are parts of one figure: close together and of like size."""
     rows = _with_nearest(spark, sf_dir)
-    side = lambda p: rows.select(*c.PAGE, "line_no", *(F.col(x).alias(p + x) for x in ("ord", *c.CORNERS)))
-    far = side("a_").join(side("b_"), [*c.PAGE, "line_no"]).where("a_ord < b_ord").groupBy(*c.PAGE, "line_no").agg(F.max(g.distance(A(), B())).alias("far"))
-    size = rows.groupBy(*c.PAGE, "line_no").agg(F.count("*").alias("n_boxes"), (F.max(g.area(Box.of())) / F.min(g.area(Box.of()))).alias("spread")).where("n_boxes > 1")
-    out = size.join(far, [*c.PAGE, "line_no"], "left")
-    return out.select(*c.PAGE, "line_no", "n_boxes", ((F.col("far") <= 100) & (F.col("spread") <= 4)).alias("is_group"))
+    by = [*c.PAGE, "line_no"]
+    size = rows.groupBy(*by).agg(F.count("*").alias("n_boxes")).where("n_boxes > 1")
+    out = size.join(fg.subfigure_groups(rows, c.PAGE).select(*by, F.lit(True).alias("is_group")), by, "left")
+    return out.select(*by, "n_boxes", F.coalesce("is_group", F.lit(False)).alias("is_group"))
 
 
 _SEGMENTS = f"WITH s AS (SELECT page_no, y::INT AS y, x0::DOUBLE AS x0, x1::DOUBLE AS x1, seg_id FROM ({sources.view('segments')})), "

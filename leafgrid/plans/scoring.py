@@ -16,7 +16,7 @@ from leafgrid.operators import quality as q
 from leafgrid.operators import raster
 from leafgrid.plans import common as c
 from leafgrid.plans.captioning import KEY, _K, _ON
-from leafgrid.plans.detections import _FACTS, H, W, facts
+from leafgrid.plans.detections import _FACTS, H, W, facts, facts_of
 
 def B():
     return Box.of()
@@ -30,11 +30,7 @@ _EDGE = "(x0 < 20 OR y0 < 20 OR x1 > 880 OR y1 > 930)"
 
 
 def _scored(spark, sf_dir):
-    rows = facts(spark, sf_dir)
-    line, above = Box.of("l_"), F.when(g.position(Box.of(), Box.of("l_")) == "above", 100.0).otherwise(0.0)
-    pairs = o.beside(rows, o.candidates(c.captions(spark, sf_dir)), c.PAGE, ("kind",)).withColumn("far", g.distance(B(), line))
-    near = pairs.groupBy(*KEY).agg(F.min(F.when(F.col("type") == F.col("l_kind"), F.col("far") + above)).alias("far"), F.min("far").alias("any_far"))
-    return rows.join(near, KEY, "left")
+    return facts_of(o.distances(c.boxes(spark, sf_dir), o.candidates(c.captions(spark, sf_dir)), c.PAGE))
 
 
 @query(c.sql("bc", f"""WITH {_FACTS}, {_K}, {_NEAR}, s AS (SELECT d.*, {_CONTENT} AS content, {_BUCKET.format('far', '0.3', '150', '300', '0.6', '0.4')} AS caption,

@@ -33,3 +33,42 @@ def _same(spark, name, folder):
 
 def test_items_beyond_four_digits_keep_the_order_of_their_ids(spark, tmp_path):
     _same(spark, "manifest_json", _tables(tmp_path, 30_300, 10))
+
+
+@pytest.fixture(scope="module")
+def crowded(tmp_path_factory):
+    """Three documents of two pages, some 330 boxes and 60 captions on each page."""
+    return _tables(tmp_path_factory.mktemp("crowded"), 2_000, 2_500, docs=3)
+
+
+NEAREST = ["bar_labels", "caption_align", "caption_conflicts", "caption_counts", "caption_fallbacks", "caption_groups", "caption_merge", "caption_signature", "figure_items", "low_quality", "nearest_caption_kind",
+           "nearest_caption_kind_table", "quality_stats", "quality_v1", "quality_v2", "recommendations", "subfigure_groups"]
+
+
+def _most_joined(spark, df) -> int:
+    """The most rows that a join of the query gives out."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+        if "Join" in node.nodeName():
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return most
+
+
+@pytest.mark.parametrize("name", NEAREST)
+def test_the_nearest_line_of_a_crowded_page(spark, crowded, name):
+    _same(spark, name, crowded)
+    assert _most_joined(spark, QUERIES[name](spark, crowded)) <= 4_000
+
+
+@pytest.mark.parametrize("name", ["likely_text_region", "lines_in_box", "nearby_text", "section_text", "text_coverage"])
+def test_the_lines_in_and_near_boxes_of_a_crowded_page(spark, crowded, name):
+    _same(spark, name, crowded)
+    assert _most_joined(spark, QUERIES[name](spark, crowded)) <= 4_000
