@@ -1,20 +1,22 @@
 """Order-dependent operators on the boxes of a page: merging, de-duplication, matching, clustering.
 
-A page's boxes are few. Folds over one page run as higher-order functions over a sorted
-array of structs, inside the JVM; operators whose steps depend on all earlier merges run
-once per page in a grouped function. Pages are the unit of parallelism throughout.
+Pages are the unit of parallelism throughout: the boxes of one page, in order, are arrays in an
+Arrow stream (``pages``), so that a step over all that is left of a page costs one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import geometry as g
 from leafgrid.functions.geometry import Box
+from leafgrid.operators import pages as p
+from leafgrid.session import importable
 
 CORNERS = Box._fields
 
@@ -25,14 +27,26 @@ def _of(s: Column) -> Box:
 
 def greedy_distinct(rows: DataFrame, page: list[str], order: list[Column], most: float, carry: tuple[str, ...]) -> DataFrame:
     """First wins: in the given order a box stays if no box that stayed overlaps it by more than ``most`` (IoU)."""
-    struct = F.struct(*order, *(F.col(c).alias("k_" + c) for c in carry), *(F.col(c) for c in CORNERS))
-    grouped = rows.groupBy(*page).agg(F.array_sort(F.collect_list(struct)).alias("all"))
-    kept = F.aggregate(
-        "all", F.slice(F.col("all"), 1, 0),
-        lambda acc, x: F.when(F.exists(acc, lambda y: g.iou(_of(y), _of(x)) > most), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    out = grouped.select(*page, F.explode(kept).alias("b"))
-    return out.select(*page, *(F.col(f"b.k_{c}").alias(c) for c in carry), *(F.col(f"b.{c}") for c in CORNERS))
+    types = dict(rows.dtypes)
+    names = [f"__o{k}" for k in range(len(order))]
+    columns = list(dict.fromkeys([*carry, *CORNERS]))
+
+    def run(own: pa.Table) -> dict:
+        kept = pa.array(first_wins(p.corners(own), most))
+        return {c: own[c].take(kept) for c in columns}
+
+    ordered = rows.select(*page, *(o.alias(n) for o, n in zip(order, names, strict=True)), *columns)
+    return p.whole_pages(ordered, page, [*names, *columns], run, ", ".join(f"{c} {types[c]}" for c in columns)).select(*page, *carry, *CORNERS)
+
+
+def first_wins(b: p.Corners, most: float) -> np.ndarray:
+    """Places of the boxes that stay: each strikes out all later ones that it overlaps by more than ``most``."""
+    left, kept = np.arange(len(b[0])), []
+    while left.size:
+        kept.append(left[0])
+        own, left = left[0], left[1:]
+        left = left[~(p.iou(tuple(x[own] for x in b), tuple(x[left] for x in b)) > most)]
+    return np.array(kept, np.int64)
 
 
 def iou_value(a: tuple, b: tuple) -> float:
@@ -132,6 +146,7 @@ def each_group(rows: DataFrame, by: list[str], order: list[str], run: Callable[[
     kinds = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
     arrow = {x.strip().split(" ")[0]: kinds[x.strip().split(" ")[1]] for x in schema.split(", ")}
     columns = rows.columns
+    importable(rows.sparkSession)
     dealt = rows.withColumn("__dealt", F.xxhash64(*by, F.lit("leafgrid"))).repartition("__dealt")
     return dealt.sortWithinPartitions("__dealt", *by, *order).select(*columns).mapInArrow(stream, schema)
 
@@ -154,13 +169,41 @@ def _box(r: dict) -> tuple:
 
 def overlap_merge(rows: DataFrame, page: list[str], least_iou: float = 0.3, least_overlap: float = 0.7, again: int = 10) -> DataFrame:
     """Boxes of a page merged while they overlap: one pass, then at most ``again`` more while one changes something."""
-    joins = lambda a, b: iou_value(a["box"], b["box"]) >= least_iou or overlap_value(a["box"], b["box"]) >= least_overlap
 
-    def run(own: list[dict]) -> list[dict]:
-        start = [{"box": _box(r), "score": r["score"], "type": r["type"], "n": 1} for r in own]
-        return _out({p: own[0][p] for p in page}, merge_rounds(start, joins, 1 + again))
+    def joins(own: p.Corners, others: p.Corners) -> np.ndarray:
+        both, one, two = p.intersection(own, others), p.area(own), p.area(others)
+        return (p.ratio(both, one + two - both) >= least_iou) | (p.ratio(both, np.minimum(one, two)) >= least_overlap)
+
+    def run(own: pa.Table) -> dict:
+        b, score, kind, n = merged_arrays(p.corners(own), p.floats(own, "score"), joins, 1 + again)
+        made = dict(zip(CORNERS, b, strict=True)) | {"merged_ord": np.arange(1, len(n) + 1), "score": pa.array(score, from_pandas=True), "type": own["type"].take(pa.array(kind)), "merged_from": n}
+        return made
 
-    return each_group(rows.select(*page, "ord", *CORNERS, "score", "type"), page, ["ord"], run, _schema(rows, page))
+    return p.whole_pages(rows.select(*page, "ord", *CORNERS, "score", "type"), page, ["ord"], run, _MERGED)
+
+
+def merged_arrays(b: p.Corners, score: np.ndarray, joins: Callable, rounds: int) -> tuple[p.Corners, np.ndarray, np.ndarray, np.ndarray]:
+    """``merge_rounds`` on arrays: corners, scores, the places whose type each has, and counts."""
+    b, score, kind, n = [x.copy() for x in b], score.copy(), np.arange(len(score)), np.ones(len(score), np.int64)
+    for _ in range(rounds):
+        left, out = np.arange(len(n)), []
+        while left.size:
+            own, left = left[0], left[1:]
+            hit = joins(tuple(x[own] for x in b), tuple(x[left] for x in b))
+            if hit.any():
+                group = np.concatenate([[own], left[hit]])
+                best = group[np.where(np.isnan(score[group]), -np.inf, score[group]).argmax()]
+                for k, f in enumerate((np.min, np.min, np.max, np.max)):
+                    b[k][own] = f(b[k][group])
+                score[own], kind[own], n[own] = score[best], kind[best], group.size
+                left = left[~hit]
+            out.append(own)
+        done = len(out) == len(n)
+        keep = np.array(out, np.int64)
+        b, score, kind, n = [x[keep] for x in b], score[keep], kind[keep], n[keep]
+        if done:
+            break
+    return tuple(b), score, kind, n
 
 
 def _span(a0: float, a1: float, b0: float, b1: float) -> float:
@@ -256,15 +299,24 @@ def components(edges: DataFrame, nodes: DataFrame, page: list[str]) -> DataFrame
     return each_group(both, page, ["a", "b"], run, schema)
 
 
-def greedy_match(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """One-to-one matches of pairs (gt, pred, iou): the greatest IoU first, then the lower gt, then the lower pred."""
-    struct = F.struct((-F.col("iou")).alias("neg"), "gt", "pred")
-    grouped = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(struct)).alias("all"))
-    taken = F.aggregate(
-        "all", F.slice(F.col("all"), 1, 0),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (y["gt"] == x["gt"]) | (y["pred"] == x["pred"])), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return grouped.select(*by, F.explode(taken).alias("m")).select(*by, "m.gt", "m.pred", (-F.col("m.neg")).alias("iou"))
+def greedy_match(gt: np.ndarray, pred: np.ndarray, iou: np.ndarray) -> np.ndarray:
+    """Places of one-to-one matches of pairs: the greatest IoU first, then the lower gt, then the lower pred.
+
+    In each round all pairs that come first for both their boxes are taken; few rounds do.
+    """
+    order = np.lexsort((pred, gt, -iou))
+    (gt, n_gt), (pred, n_pred) = ((np.searchsorted(u := np.unique(x), x[order]), u.size) for x in (gt, pred))
+    left, taken = np.arange(order.size), []
+    while left.size:
+        first_gt, first_pred = np.full(n_gt, -1), np.full(n_pred, -1)
+        back = left[::-1]
+        first_gt[gt[back]], first_pred[pred[back]] = back, back
+        won = left[(first_gt[gt[left]] == left) & (first_pred[pred[left]] == left)]
+        taken.append(won)
+        used_gt, used_pred = np.zeros(n_gt, bool), np.zeros(n_pred, bool)
+        used_gt[gt[won]], used_pred[pred[won]] = True, True
+        left = left[~(used_gt[gt[left]] | used_pred[pred[left]])]
+    return order[np.concatenate(taken)] if taken else order
 
 
 def clusters(rows: DataFrame, by: list[str], order: list[str], breaks: Column, name: str = "run") -> DataFrame:

@@ -130,7 +130,8 @@ def whole_pages(rows: DataFrame, page: list[str], order: list[str], run: Callabl
                 n = len(next(iter(made.values())))
                 if n:
                     cols = [pa.array([v] * n, arrow.field(c).type) for c, v in zip(page, key, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*cols, *(pc.cast(pa.array(made[f]) if isinstance(made[f], np.ndarray) else made[f], arrow.field(f).type) for f in extra.names)], names=arrow.names)
+                    own = (pa.array(x) if isinstance(x, np.ndarray) else _one(x) for x in (made[f] for f in extra.names))
+                    yield pa.RecordBatch.from_arrays([*cols, *(pc.cast(x, arrow.field(f).type) for x, f in zip(own, extra.names, strict=True))], names=arrow.names)
 
         for batch in batches:
             cuts = _starts(batch, page)

@@ -38,6 +38,6 @@ UNION ALL SELECT doc_no, page_index, ord, 'false' FROM b WHERE (doc_no, page_ind
 def unmatched(spark, sf_dir):
     """Annotations without a detection and detections without an annotation."""
     truth, found = _sides(spark, sf_dir)
-    hit = e.merging.greedy_match(e.overlaps(truth, found, *c.PAGE), c.PAGE)
+    hit = e.matches(truth, found, *c.PAGE)
     left = lambda df, col, side: df.join(hit.select(*c.PAGE, F.col(col).alias("id")), [*c.PAGE, "id"], "left_anti").select(*c.PAGE, "id", F.lit(side).alias("side"))
     return left(truth, "gt", "missed").unionByName(left(found, "pred", "false"))

@@ -1,9 +1,13 @@
 """Queries on few pages with many boxes and captions, held to their SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from leafgrid import catalogue
+from leafgrid.operators import evaluation as e
+from leafgrid.operators import merging as m
+from leafgrid.operators import pages as p
 from test_catalogue import plain
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
@@ -72,3 +76,51 @@ def test_the_nearest_line_of_a_crowded_page(spark, crowded, name):
 def test_the_lines_in_and_near_boxes_of_a_crowded_page(spark, crowded, name):
     _same(spark, name, crowded)
     assert _most_joined(spark, QUERIES[name](spark, crowded)) <= 4_000
+
+
+@pytest.fixture(scope="module")
+def packed(tmp_path_factory):
+    """One document of two pages with some 150 boxes each; DuckDB's own folds are slow on more."""
+    return _tables(tmp_path_factory.mktemp("packed"), 300, 40)
+
+
+@pytest.mark.parametrize("name", ["bars_union", "eval_loaded", "greedy_dedup", "greedy_match_eval", "overlap_merge", "unmatched", "weighted_nms"])
+def test_folds_over_a_crowded_page(spark, packed, name):
+    _same(spark, name, packed)
+    df = QUERIES[name](spark, packed)
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()  # no list that is copied at each step
+    assert _most_joined(spark, df) <= 1_000
+
+
+def _random_boxes(n: int, seed: int):
+    r = np.random.default_rng(seed)
+    x, y = r.uniform(0, 600, n), r.uniform(0, 700, n)
+    return x, y, x + r.uniform(0, 200, n), y + r.uniform(0, 150, n)
+
+
+def test_merging_takes_a_step_for_each_box_that_is_left():
+    b, score, calls = _random_boxes(400, 1), np.random.default_rng(2).integers(0, 9, 400) / 10, []
+
+    def joins(own, others):
+        calls.append(1)
+        return p.overlap(own, others) >= 0.7
+
+    rows = [{"box": tuple(x[k] for x in b), "score": score[k], "type": k, "n": 1} for k in range(400)]
+    want = m.merge_rounds(rows, lambda u, v: m.overlap_value(u["box"], v["box"]) >= 0.7, 11)
+    corners, scores, kinds, n = m.merged_arrays(b, score, joins, 11)
+    assert [(w["box"], w["score"], w["type"], w["n"]) for w in want] == list(zip(zip(*corners, strict=True), scores, kinds, n, strict=True))
+    assert 0 < len(want) < 400 and len(calls) <= 400 + 10 * 399
+
+
+def test_matching_meets_only_boxes_that_lie_near():
+    n = 1_500
+    b = tuple(np.concatenate(x) for x in zip(_random_boxes(n, 3), _random_boxes(n, 4), strict=True))
+    gt, pred, iou = e.overlapping(b, np.arange(n), np.arange(n, 2 * n), 0.4)
+    whole = p.iou(tuple(x[:n, None] for x in b), tuple(x[None, n:] for x in b))
+    assert {(i, k - n) for i, k in zip(gt, pred, strict=True)} == set(zip(*np.nonzero(whole >= 0.4), strict=True)) and len(gt) > n
+    used, want = (set(), set()), set()
+    for _, i, k in sorted(zip(-iou, gt, pred, strict=True)):
+        if i not in used[0] and k not in used[1]:
+            used[0].add(i), used[1].add(k), want.add((i, k))
+    at = m.greedy_match(gt, pred, iou)
+    assert set(zip(gt[at], pred[at], strict=True)) == want
