@@ -6,6 +6,7 @@ Arrow stream (``pages``), so that a step over all that is left of a page costs o
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -111,6 +112,44 @@ def absorb(rows: list[dict], joins) -> list[dict]:
     return rows
 
 
+def absorb_signed(rows: list[dict], joins) -> list[dict]:
+    """``absorb`` for rows that never join under different signatures; ``joins`` takes two boxes.
+
+    A box meets those of its own signature and those without one alone.
+    """
+    changed = True
+    while changed:
+        changed, out, gone, by = False, [], [False] * len(rows), {}
+        for i, r in enumerate(rows):
+            by.setdefault(r["sig"], []).append(i)
+        bare = by.get("", [])
+
+        def after(i: int, sig: str, by=by, bare=bare) -> list[int]:
+            own = by[sig][bisect_right(by[sig], i) :]
+            return sorted(own + bare[bisect_right(bare, i) :]) if bare else own
+
+        for i, first in enumerate(rows):
+            if gone[i]:
+                continue
+            own, sig = first, first["sig"]
+            todo, k = after(i, sig) if sig else range(i + 1, len(rows)), 0
+            while k < len(todo):
+                j = todo[k]
+                k += 1
+                if gone[j] or not joins(own["box"], rows[j]["box"]):
+                    continue
+                r = rows[j]
+                better = own if own["score"] >= r["score"] else r
+                own = {"box": union_value([own["box"], r["box"]]), "score": better["score"], "type": better["type"], "n": own["n"] + r["n"], "sig": sig or r["sig"]}
+                gone[j] = changed = True
+                if own["sig"] != sig:
+                    sig = own["sig"]
+                    todo, k = after(j, sig), 0
+            out.append(own)
+        rows = out
+    return rows
+
+
 def each_group(rows: DataFrame, by: list[str], order: list[str], run: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
     """``run`` on the rows of each group in order, as dicts; its dicts become rows of ``schema``.
 
@@ -235,6 +274,16 @@ def barrier_value(a: tuple, b: tuple, lines: list[tuple], least: float = 0.6) ->
     return False
 
 
+def barred(a: tuple, b: tuple, lines: np.ndarray, least: float = 0.6) -> bool:
+    """``barrier_value`` for lines in an array of corners."""
+    if not len(lines) or (a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]):
+        return False
+    lo, hi = (min(a[k], b[k]) for k in (0, 1)), (max(a[k], b[k]) for k in (2, 3))
+    (x0, y0), (x1, y1) = lo, hi
+    near = lines[(lines[:, 0] < x1) & (lines[:, 2] > x0) & (lines[:, 1] < y1) & (lines[:, 3] > y0)]
+    return barrier_value(a, b, [tuple(line) for line in near.tolist()], least)
+
+
 def proximity_merge(signed: DataFrame, lines: DataFrame, page: list[str], aligned: float = 0.65, gap: float = 16.0) -> DataFrame:
     """Boxes of a page absorbed by aligned ones close by, to the fixpoint.
 
@@ -243,14 +292,9 @@ def proximity_merge(signed: DataFrame, lines: DataFrame, page: list[str], aligne
     """
 
     def run(own: list[dict]) -> list[dict]:
-        bars = [_box(r) for r in own if r["score"] is None]
-        start = [{"box": _box(r), "score": r["score"], "type": r["type"], "n": 1, "sig": r["signature"]} for r in own if r["score"] is not None]
-
-        def joins(a: dict, b: dict) -> bool:
-            apart = a["sig"] and b["sig"] and a["sig"] != b["sig"]
-            return not apart and beside_value(a["box"], b["box"], aligned, gap) and not barrier_value(a["box"], b["box"], bars)
-
-        return _out({p: own[0][p] for p in page}, absorb(start, joins))
+        bars = np.array([_box(r) for r in own if r["score"] is None], float).reshape(-1, 4)
+        start = [{"box": _box(r), "score": r["score"], "type": r["type"], "n": 1, "sig": r["signature"] or ""} for r in own if r["score"] is not None]
+        return _out({p: own[0][p] for p in page}, absorb_signed(start, lambda a, b: beside_value(a, b, aligned, gap) and not barred(a, b, bars)))
 
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
     boxes = signed.select(*page, F.col("ord").cast("long").alias("ord"), *CORNERS, "score", "type", "signature")

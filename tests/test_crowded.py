@@ -1,10 +1,12 @@
 """Queries on few pages with many boxes and captions, held to their SQL."""
 
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
 
-from leafgrid import catalogue
+from leafgrid import catalogue, session
 from leafgrid.operators import evaluation as e
 from leafgrid.operators import merging as m
 from leafgrid.operators import pages as p
@@ -84,7 +86,7 @@ def packed(tmp_path_factory):
     return _tables(tmp_path_factory.mktemp("packed"), 300, 40)
 
 
-@pytest.mark.parametrize("name", ["bars_union", "eval_loaded", "greedy_dedup", "greedy_match_eval", "overlap_merge", "unmatched", "weighted_nms"])
+@pytest.mark.parametrize("name", ["bars_union", "eval_loaded", "greedy_dedup", "greedy_match_eval", "overlap_merge", "proximity_merge", "unmatched", "weighted_nms"])
 def test_folds_over_a_crowded_page(spark, packed, name):
     _same(spark, name, packed)
     df = QUERIES[name](spark, packed)
@@ -124,3 +126,31 @@ def test_matching_meets_only_boxes_that_lie_near():
             used[0].add(i), used[1].add(k), want.add((i, k))
     at = m.greedy_match(gt, pred, iou)
     assert set(zip(gt[at], pred[at], strict=True)) == want
+
+
+def test_growing_by_signature_is_growing():
+    r, x = np.random.default_rng(5), _random_boxes(220, 6)
+    box = [tuple(c[k] / 2 for c in x) for k in range(220)]
+    lines = [tuple(c[k] / 2 for c in _random_boxes(40, 7)) for k in range(40)]
+    lines = [(a, b, c + 80, b + 6) for a, b, c, _ in lines]
+    rows = [{"box": box[k], "score": int(r.integers(0, 9)) / 10, "type": k, "n": 1, "sig": ("", "a", "b", "c")[int(r.integers(0, 4))]} for k in range(220)]
+    bars, calls = np.array(lines), []
+
+    def joins(u, v):
+        return not (u["sig"] and v["sig"] and u["sig"] != v["sig"]) and m.beside_value(u["box"], v["box"]) and not m.barrier_value(u["box"], v["box"], lines)
+
+    def boxes_join(a, b):
+        calls.append(1)
+        assert m.barred(a, b, bars) == m.barrier_value(a, b, lines)
+        return m.beside_value(a, b) and not m.barred(a, b, bars)
+
+    want = m.absorb(rows, joins)
+    assert m.absorb_signed(rows, boxes_join) == want and 1 < len(want) < 220
+
+
+def test_packages_are_compressed(spark, packed):
+    before = set(session._made)
+    _same(spark, "package_export", packed)
+    own = [f for f in set(session._made) - before if "package" in f]
+    files = [f for f in Path(own[0].removeprefix("file:")).rglob("part-*") if not f.name.endswith(".crc")]
+    assert files and all(f.name.endswith(".json.gz") for f in files)
