@@ -22,9 +22,10 @@ def corners(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("double") for c in CORNERS})
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections: doc_no, page_index, ord, corners, type, detector, score."""
-    rows = numbered(sources.entity(spark, sf_dir, "boxes"), PAGE, ORDER)
+def boxes(spark: SparkSession, sf_dir: str, dealt: list[str] | None = None) -> DataFrame:
+    """Detections: doc_no, page_index, ord, corners, type, detector, score; ``dealt``: the part of the page's key that rows are dealt by."""
+    rows = sources.entity(spark, sf_dir, "boxes")
+    rows = numbered(rows.repartition(*dealt) if dealt else rows, PAGE, ORDER)
     return corners(rows).select(*PAGE, "ord", *CORNERS, "type", "detector", "score")
 
 

@@ -13,7 +13,8 @@ _IDS = "i AS (SELECT *, printf('%s_%04d', CASE type WHEN 'figure' THEN 'fig' ELS
 
 
 def _items(spark, sf_dir):
-    return a.with_ids(c.boxes(spark, sf_dir), "doc_no", ["page_index", "ord"])
+    # dealt by document once: its pages are numbered where its items are
+    return a.with_ids(c.boxes(spark, sf_dir, ["doc_no"]), "doc_no", ["page_index", "ord"])
 
 
 @query(c.sql("b", f"WITH {_IDS} SELECT doc_no, page_index, ord, item_id FROM i"))

@@ -103,8 +103,8 @@ def eval_loaded(spark, sf_dir):
     """Documents with predictions alone are evaluated; the annotations and predictions come from JSON files."""
     truth, found = _sides(spark, sf_dir)
     folder, schema = session.scratch(spark, "eval"), "doc_no long, page_index int, id int, x0 double, y0 double, x1 double, y1 double, type string"
-    fl.write_json(truth, f"{folder}/truth")
-    fl.write_json(found.where("doc_no % 7 <> 0"), f"{folder}/found")
+    fl.write_json(truth, f"{folder}/truth", compression="gzip")
+    fl.write_json(found.where("doc_no % 7 <> 0"), f"{folder}/found", compression="gzip")
     truth, found = (fl.read_json(spark, f"{folder}/{n}", schema) for n in ("truth", "found"))
     own, pred = e.evaluable(truth, found, "doc_no")
     hit = e.matches(own, pred, "doc_no", "page_index")
@@ -123,9 +123,9 @@ def package_export(spark, sf_dir):
     name = F.concat(F.lit("paper_"), F.col("doc_no").cast("string"), F.lit(".pdf"))
     able = {"ocr": False, "camelot": False, "layout": True}
     # by document alone: a package of one document makes a folder for each item, which a whole corpus should not
-    fl.write_json(fl.manifests(items, "doc_no", name, able), f"{folder}/manifest")
-    fl.write_json(fl.evidence(items, "doc_no"), f"{folder}/evidence")
-    fl.write_json(fl.params(items, "doc_no", 2.0), f"{folder}/params")
+    fl.write_json(fl.manifests(items, "doc_no", name, able), f"{folder}/manifest", compression="gzip")
+    fl.write_json(fl.evidence(items, "doc_no"), f"{folder}/evidence", compression="gzip")
+    fl.write_json(fl.params(items, "doc_no", 2.0), f"{folder}/params", compression="gzip")
     manifest = fl.read_json(spark, f"{folder}/manifest", "doc_no long, meta struct<source_pdf: string>, capabilities struct<layout: boolean>")
     ev = fl.read_json(spark, f"{folder}/evidence", "doc_no long, item_id string, page_index int, bbox array<double>, caption_text string, extraction_trace array<string>")
     pm = fl.read_json(spark, f"{folder}/params", "doc_no long, item_id string, extraction_config struct<zoom: double>")

@@ -14,9 +14,9 @@ VERSION = "leafgrid-v1"
 TRACE = ("Extracted from PDF", "Aligned Caption", "Enriched with AI")
 
 
-def write_json(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Rows as JSON lines, in folders by the columns ``by``."""
-    (rows.write.partitionBy(*by) if by else rows.write).mode("overwrite").json(path)
+def write_json(rows: DataFrame, path: str, by: list[str] | None = None, compression: str = "none") -> None:
+    """Rows as JSON lines, in folders by the columns ``by``; readers see by a file's name how it is compressed."""
+    (rows.write.partitionBy(*by) if by else rows.write).mode("overwrite").json(path, compression=compression)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -154,3 +154,8 @@ def test_packages_are_compressed(spark, packed):
     own = [f for f in set(session._made) - before if "package" in f]
     files = [f for f in Path(own[0].removeprefix("file:")).rglob("part-*") if not f.name.endswith(".crc")]
     assert files and all(f.name.endswith(".json.gz") for f in files)
+
+
+def test_items_are_dealt_by_document_once(spark, packed):
+    plan = QUERIES["item_ids"](spark, packed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
